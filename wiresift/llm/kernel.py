@@ -111,11 +111,16 @@ def words(raw: np.ndarray, cut: np.ndarray, kind: np.ndarray = SPACED, lower: bo
     tails = cut[1:][np.diff(cut) > 0] - 1
     last[tails] = after[tails]
     end = np.flatnonzero(last) + 1
+    return Words(spans(_BYTE_NAME[low], start, end), np.searchsorted(start, cut), start, end, raw, cut)
+
+
+def spans(value: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit name of each value[start:end]."""
+    n = len(value)
     up, down = _power_table(n + 1)
     total = np.zeros(n + 1, U64)
-    np.cumsum(_BYTE_NAME[low] * up[:n], out=total[1:])
-    name = mix((total[end] - total[start]) * down[start] + (end - start).astype(U64) * U64(0xA24BAED4963EE407))
-    return Words(name, np.searchsorted(start, cut), start, end, raw, cut)
+    np.cumsum(value * up[:n], out=total[1:])
+    return mix((total[end] - total[start]) * down[start] + (end - start).astype(U64) * U64(0xA24BAED4963EE407))
 
 
 def grams(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -146,12 +151,7 @@ def rolling(name: np.ndarray, k: int) -> np.ndarray:
 
 def sequence_hash(w: Words) -> np.ndarray:
     """One hash for each text's whole word sequence."""
-    n = len(w.name)
-    up, down = _power_table(n + 1)
-    total = np.zeros(n + 1, U64)
-    np.cumsum(w.name * up[:n], out=total[1:])
-    size = np.diff(w.cut)
-    return mix((total[w.cut[1:]] - total[w.cut[:-1]]) * down[w.cut[:-1]] + size.astype(U64))
+    return spans(w.name, w.cut[:-1], w.cut[1:])
 
 
 def distinct_by_text(h: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import packing, shared, token_output
+from . import language_id, packing, shared, token_output
 
 END_ID = 2
 
@@ -27,8 +28,18 @@ def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.read_back(index, folder)
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = shared.read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    docs = docs.withColumn("held_out", F.crc32(F.col("doc_id").cast("string")) % 4 == 2)
+    learn = docs.where(~F.coalesce("held_out", F.lit(False))).select("text", "lang")
+    langs, table = language_id.train(learn)
+    judged = language_id.predict(docs.select("doc_id", "text", "held_out"), langs, table)
+    return judged.select("doc_id", "held_out", "lang_pred", "score", "unknown_share", "lang_shares")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_best_fit_packing": op4_best_fit_packing,
     "op7_token_output": op7_token_output,
+    "op10_language_id": op10_language_id,
 }
 ORACLE_SQL: dict[str, str] = {}
