@@ -12,8 +12,8 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 
-import numpy as np
 from tokenizers import Tokenizer
 
 #: Pieces remembered in a worker; at about 200 bytes each, 200 MB.  Then it starts afresh.
@@ -24,6 +24,20 @@ _LONE = re.compile(r"[^A-Za-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff][.,]")
 _loaded: dict[str, "Encoder"] = {}
 
 
+class Pieces(dict):
+    """Ids of pieces, encoded when first met."""
+
+    def __init__(self, encode):
+        super().__init__({"": b""})
+        self.encode = encode
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        self[piece] = ids = self.encode(piece)
+        return ids
+
+
 class Encoder:
     def __init__(self, path: str):
         self.library = Tokenizer.from_file(path)
@@ -38,10 +52,10 @@ class Encoder:
             and split.get("use_regex", True)
             and not split.get("add_prefix_space", False)
         )
-        self.known: dict[str, bytes] = {"": b""}
+        self.known = Pieces(self.whole)
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
+        return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
 
     def ids(self, text: str | None) -> bytes:
         """Ids of a text as little-endian unsigned 32-bit integers; null is an empty text."""
@@ -52,20 +66,7 @@ class Encoder:
         marked = text.replace(" ", "\x00 ").replace("\n", "\x00\n\x00")
         if not _LONE.search(text):
             marked = marked.replace(".", "\x00.").replace(",", "\x00,")
-        pieces = marked.split("\x00")
-        try:
-            return b"".join([self.known[p] for p in pieces])
-        except KeyError:
-            pass
-        known = self.known
-        new = [p for p in dict.fromkeys(pieces) if p not in known]
-        if len(known) + len(new) > REMEMBERED:
-            known.clear()
-            known[""] = b""
-            new = list(dict.fromkeys(p for p in pieces if p))
-        for p, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False)):
-            known[p] = np.array(e.ids, np.uint32).tobytes()
-        return b"".join([known[p] for p in pieces])
+        return b"".join(map(self.known.__getitem__, marked.split("\x00")))
 
 
 def encoder(path: str) -> Encoder:

@@ -222,6 +222,8 @@ def predict(docs: DataFrame, langs: list[str], table: np.ndarray, text: str = "t
     out = rows.withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0), "unknown_share": F.lit(0.0), "lang_shares": F.lit("")})
     at = rows.columns.index(text)
 
+    names_out = out.columns
+
     def judge(batches):
         names, weights = model.value
         scores = WordScores(weights)
@@ -241,7 +243,7 @@ def predict(docs: DataFrame, langs: list[str], table: np.ndarray, text: str = "t
                     strange.append(float(row[-1]))
                     shares.append(",".join(f"{names[i]}:{known[i]:.4f}" for i in np.flatnonzero(known >= 0.001)))
             added = [pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(strange, pa.float64())]
-            yield pa.RecordBatch.from_arrays([*b.columns, *added, pa.array(shares, pa.string())], names=out.columns)
+            yield pa.RecordBatch.from_arrays([*b.columns, *added, pa.array(shares, pa.string())], names=names_out)
 
     return rows.mapInArrow(judge, out.schema)
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, packing, shared, token_output
+from . import language_id, packing, perplexity, shared, token_output
 
 END_ID = 2
 
@@ -22,6 +22,10 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(shared.read(spark, sf_dir, "documents"), tokenizer_path(), END_ID, 1024)
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return perplexity.judge(shared.read(spark, sf_dir, "documents"))
+
+
 def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared.shared_folder(spark)
     index = token_output.write(shared.read(spark, sf_dir, "documents"), folder, tokenizer_path(), END_ID)
@@ -39,6 +43,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op6_quality_rules": op6_quality_rules,
     "op7_token_output": op7_token_output,
     "op10_language_id": op10_language_id,
 }

@@ -30,27 +30,28 @@ from .encoding import encoder
 INDEX = "shard int, doc_id long, shard_start long, n_tokens long"
 
 
-def file_schema(length: int) -> pa.Schema:
-    return pa.schema([("ids", pa.list_(pa.uint32(), length)), ("mask", pa.list_(pa.uint8(), length))])
+def file_schema(length: int, narrow: bool) -> pa.Schema:
+    ids = pa.uint16() if narrow else pa.uint32()
+    return pa.schema([("ids", pa.list_(ids, length)), ("mask", pa.list_(pa.bool_(), length))])
 
 
 class ShardWriter:
     """Cuts a stream of ids into sequences and writes them; the file takes its name when it is complete."""
 
-    def __init__(self, folder: str, shard: int, length: int, batch_sequences: int, attempt: int):
+    def __init__(self, folder: str, shard: int, length: int, batch_sequences: int, narrow: bool, attempt: int):
         self.fs, top = pyarrow.fs.FileSystem.from_uri(folder)
         self.fs.create_dir(top, recursive=True)
         self.final, self.temporary = f"{top}/shard-{shard:06d}.arrow", f"{top}/.shard-{shard:06d}-{attempt}"
-        self.length, self.schema = length, file_schema(length)
+        self.length, self.schema = length, file_schema(length, narrow)
+        self.kind = np.uint16 if narrow else np.uint32
         self.room = length * batch_sequences * 4
         self.held, self.n = bytearray(), 0
         self.sink = self.fs.open_output_stream(self.temporary)
         self.out = pa.ipc.new_file(self.sink, self.schema)
 
     def _batch(self, raw: bytes, filled: int) -> None:
-        ids = pa.array(np.frombuffer(raw, np.uint32))
-        mask = np.zeros(len(ids), np.uint8)
-        mask[:filled] = 1
+        ids = pa.array(np.frombuffer(raw, np.uint32).astype(self.kind))
+        mask = np.arange(len(ids)) < filled
         lists = [pa.FixedSizeListArray.from_arrays(x, self.length) for x in (ids, pa.array(mask))]
         self.out.write_batch(pa.record_batch(lists, schema=self.schema))
 
@@ -87,10 +88,11 @@ class ShardReader:
         self.batch_sequences = len(self.file.get_batch(0)) if self.file.num_record_batches else 1
 
     def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and mask of sequence i, as views of the file."""
+        """Ids, as a view of the file, and mask of sequence i."""
         batch = self.file.get_batch(i // self.batch_sequences)
         k = (i % self.batch_sequences) * self.length
-        return tuple(batch.column(c).values.to_numpy()[k : k + self.length] for c in (0, 1))
+        ids, mask = (batch.column(c).values.slice(k, self.length) for c in (0, 1))
+        return ids.to_numpy(), mask.to_numpy(zero_copy_only=False)  # a bit mask has no numpy view
 
     def span(self, start: int, n: int) -> Iterator[np.ndarray]:
         """Views that together hold the n ids from `start` on."""
@@ -109,12 +111,13 @@ def write(
 
     def shard(batches):
         enc, end, out = encoder(tokenizer), np.uint32(end_id).tobytes(), None
+        narrow = max(enc.library.get_vocab_size(), end_id + 1) <= 1 << 16
         context = TaskContext.get()
         for b in batches:
             starts, sizes = [], []
             for text in b.column("text"):
                 if out is None:
-                    out = ShardWriter(folder, context.partitionId(), length, batch_sequences, context.taskAttemptId())
+                    out = ShardWriter(folder, context.partitionId(), length, batch_sequences, narrow, context.taskAttemptId())
                 ids = enc.ids(text.as_py()) + end
                 starts.append(out.add(ids))
                 sizes.append(len(ids) // 4)
@@ -149,7 +152,7 @@ def read_back(index: DataFrame, folder: str) -> DataFrame:
                     shard, reader = s, ShardReader(folder, s)
                 crc = 0
                 for view in reader.span(at, n):
-                    crc = zlib.crc32(view, crc)
+                    crc = zlib.crc32(view.astype(np.uint32), crc)
                 sums.append(crc)
             rows = [b.column("doc_id"), b.column("start"), b.column("n_tokens"), pa.array(sums, pa.int64())]
             yield pa.RecordBatch.from_arrays(rows, names=["doc_id", "start", "n_tokens", "ids_crc32"])
