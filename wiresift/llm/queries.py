@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, packing, perplexity, shared, token_output
+from . import decontaminate, language_id, license_scan, packing, perplexity, shared, substring_dedup, token_output, url_filter
 
 END_ID = 2
 
@@ -18,10 +18,41 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+#: Fixed values of the URL query: rule (host/path prefix) and its verdict.
+URL_RULES = (
+    ("com/", "allow"),
+    ("example.com/en/", "block"),
+    ("www.example.com/en/", "allow"),
+    ("net/es/", "block"),
+    ("net/fr/", "block"),
+)
+
+
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page's outcome is the label of its own number: bad if toxic or of low quality."""
+    pages = shared.read(spark, sf_dir, "pages").select("page_id", "url")
+    labels = shared.read(spark, sf_dir, "labels")
+    bad = ((F.col("toxic") == 1) | (F.col("quality") == 0)).cast("int")
+    outcomes = pages.join(labels, pages["page_id"] == labels["doc_id"]).select("url", bad.alias("bad"))
+    return url_filter.judge(pages, outcomes, URL_RULES)
+
+
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(shared.read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(shared.read(spark, sf_dir, "documents"), shared.read(spark, sf_dir, "benchmark"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(shared.read(spark, sf_dir, "documents"), tokenizer_path(), END_ID, 1024)
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup(shared.read(spark, sf_dir, "documents"), with_text=False)
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perplexity.judge(shared.read(spark, sf_dir, "documents"))
 
@@ -42,7 +73,11 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_url_filter": op1_url_filter,
+    "op2_license_scan": op2_license_scan,
+    "op3_decontamination": op3_decontamination,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op5_substring_dedup": op5_substring_dedup,
     "op6_quality_rules": op6_quality_rules,
     "op7_token_output": op7_token_output,
     "op10_language_id": op10_language_id,
