@@ -46,7 +46,7 @@ LINED[10] = False
 _powers = {}
 
 
-def _power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse, at least n of them."""
     if _powers.get("n", 0) < n:
         size = max(n, CHUNK_BYTES + (1 << 20))
@@ -117,7 +117,7 @@ def words(raw: np.ndarray, cut: np.ndarray, kind: np.ndarray = SPACED, lower: bo
 def spans(value: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """A 64-bit name of each value[start:end]."""
     n = len(value)
-    up, down = _power_table(n + 1)
+    up, down = powers(n + 1)
     total = np.zeros(n + 1, U64)
     np.cumsum(value * up[:n], out=total[1:])
     return mix((total[end] - total[start]) * down[start] + (end - start).astype(U64) * U64(0xA24BAED4963EE407))
@@ -143,7 +143,7 @@ def rolling(name: np.ndarray, k: int) -> np.ndarray:
     n = len(name)
     if n < k:
         return np.zeros(0, U64)
-    up, down = _power_table(n + 1)
+    up, down = powers(n + 1)
     total = np.zeros(n + 1, U64)
     np.cumsum(name * up[:n], out=total[1:])
     return mix((total[k:] - total[:-k]) * down[: n - k + 1] + U64(k))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, license_scan, packing, perplexity, shared, substring_dedup, token_output, url_filter
+from . import decontaminate, language_id, license_scan, line_dedup, packing, perplexity, shared, substring_dedup, token_output, url_filter
 
 END_ID = 2
 
@@ -72,6 +72,11 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "held_out", "lang_pred", "score", "unknown_share", "lang_shares")
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = line_dedup.dedup(shared.read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "n_lines", "n_removed", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_license_scan": op2_license_scan,
@@ -80,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_substring_dedup": op5_substring_dedup,
     "op6_quality_rules": op6_quality_rules,
     "op7_token_output": op7_token_output,
+    "op8_line_dedup": op8_line_dedup,
     "op10_language_id": op10_language_id,
 }
 ORACLE_SQL: dict[str, str] = {}
