@@ -26,7 +26,22 @@ def written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = shared_folder(spark)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[id(out)] = path
+    return out
+
+
+_paths: dict[int, str] = {}
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables from written() whose readers have all been written themselves."""
+    for df in tables:
+        path = _paths.pop(id(df), None)
+        if path is not None:
+            jvm, spark = df.sparkSession._jvm, df.sparkSession
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def shuffle_width(spark: SparkSession) -> int:
