@@ -17,9 +17,9 @@ other member to it is computed.  Members within the radius are linked to it.
 Level 2.  A region all of whose members are now in one component is finished.
 In others, members outside the region's main component meet the members that
 they could still be within the radius of: by the triangle inequality, those
-whose distance to the pivot differs by no more than the radius; sizes must
-match too.  These pairs are computed as well, so no link between components is
-missed.
+whose distance to the pivot differs by no more than the radius; and those that
+have enough shingles left from the region's own on.  These pairs are computed
+as well, so no link between components is missed.
 
 Sets that are equal are one class from the start.
 """
@@ -91,8 +91,11 @@ def _counts(rows: DataFrame) -> tuple[DataFrame, object]:
     spark, bits = rows.sparkSession, postings.bucket_bits(rows.sparkSession)
 
     def merged(parts):
-        values, back = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-        return values, np.bincount(back, np.concatenate([p[1] for p in parts])).astype(np.int64)
+        values, n = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+        order = np.argsort(values, kind="stable")
+        values, n = values[order], n[order]
+        first = np.flatnonzero(np.r_[True, values[1:] != values[:-1]])
+        return values[first], np.add.reduceat(n, first)
 
     names = ["bucket", "gaps", "more", "ids", "classes", "sizes"]
 
@@ -107,7 +110,7 @@ def _counts(rows: DataFrame) -> tuple[DataFrame, object]:
                 kinds = [pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.binary(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds)], names=names)
                 parts.append(np.unique((h >> U64(32)).astype(np.int64), return_counts=True))
-                if len(parts) > 8:
+                if sum(len(p[0]) for p in parts[1:]) > max(1 << 20, len(parts[0][0])):
                     parts = [merged(parts)]
         if not parts:
             return
@@ -177,19 +180,24 @@ def _level(table: np.ndarray, h: np.ndarray) -> np.ndarray:
     return table[at >> 2] >> (2 * (at & 3)).astype(np.uint8) & 3
 
 
-def prefix(h: np.ndarray, owner: np.ndarray, n: int, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The shingles of each text's prefix: rarest level first, then by hash."""
+def prefix(h: np.ndarray, owner: np.ndarray, n: int, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The shingles of each text's prefix (rarest level first, then by hash), their text and their place."""
     key = (_level(table, h).astype(U64) << U64(62)) | (h >> U64(2))
     order = np.lexsort((key, owner))
     size = np.bincount(owner, minlength=n)
     first = np.cumsum(size) - size
     most = size - (NUM * size + DEN - 1) // DEN + 1
-    take = np.arange(len(h)) - first[owner] < most[owner]
-    return h[order][take], owner[take]
+    place = np.arange(len(h)) - first[owner]
+    take = place < most[owner]
+    return h[order][take], owner[take], place[take]
 
 
 def _regions(rows: DataFrame, table) -> DataFrame:
-    """(region, class, n): the classes of every region that has two or more; equal regions once."""
+    """(region, class, n, place): the classes of every region that has two or more.
+
+    Regions with the same classes are one; `place` is the earliest of the
+    region's shingles in the class's order.
+    """
     spark, bits = rows.sparkSession, postings.bucket_bits(rows.sparkSession)
 
     def listed(batches):
@@ -198,14 +206,14 @@ def _regions(rows: DataFrame, table) -> DataFrame:
             for lo, hi, h, owner, _ in _texts(b, 1):
                 cls, size = _classes(h, owner, hi - lo)
                 _, first = np.unique(cls, return_index=True)  # equal sets once
-                h, owner = prefix(h, owner, hi - lo, table.value)
+                h, owner, place = prefix(h, owner, hi - lo, table.value)
                 keep = np.isin(owner, first)
-                parts.append((h[keep], cls[owner[keep]], size[owner[keep]]))
+                parts.append((h[keep], cls[owner[keep]], size[owner[keep]], place[keep].astype(np.uint32)))
         if not parts:
             return
-        h, cls, n = (np.concatenate(c) for c in zip(*parts))
+        h, cls, n, place = (np.concatenate(c) for c in zip(*parts))
         order = np.argsort(h, kind="stable")
-        h, cls, n = h[order], cls[order], n[order]
+        h, cls, n, place = h[order], cls[order], n[order], place[order]
         edges = np.r_[np.searchsorted(h, np.arange(1 << bits, dtype=U64) << U64(64 - bits)), len(h)]
         for k in range(1 << bits):
             a, z = edges[k], edges[k + 1]
@@ -213,34 +221,35 @@ def _regions(rows: DataFrame, table) -> DataFrame:
                 own, at = np.unique(cls[a:z], return_inverse=True)
                 sizes = np.zeros(len(own), np.int64)
                 sizes[at] = n[a:z]
-                row = [[k], [h[a:z].tobytes()], [at.astype(np.uint32).tobytes()], [signed(own).tobytes()], [sizes.tobytes()]]
-                kinds = [pa.int32(), *[pa.binary()] * 4]
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, kinds)], names=["bucket", "hash", "at", "classes", "sizes"])
+                row = [[k], [h[a:z].tobytes()], [at.astype(np.uint32).tobytes()], [place[a:z].tobytes()], [signed(own).tobytes()], [sizes.tobytes()]]
+                kinds = [pa.int32(), *[pa.binary()] * 5]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, kinds)], names=["bucket", "hash", "at", "places", "classes", "sizes"])
 
     def met(t: pa.Table) -> pa.Table:
         parts = []
         for r in t.to_pylist():
             at = np.frombuffer(r["at"], np.uint32)
-            parts.append((np.frombuffer(r["hash"], U64), np.frombuffer(r["classes"], np.int64)[at], np.frombuffer(r["sizes"], np.int64)[at]))
-        h, cls, n = (np.concatenate(c) for c in zip(*parts))
-        order = np.lexsort((cls, h))
-        h, cls, n = h[order], cls[order], n[order]
+            own, sizes = (np.frombuffer(r[c], np.int64)[at] for c in ("classes", "sizes"))
+            parts.append((np.frombuffer(r["hash"], U64), own, sizes, np.frombuffer(r["places"], np.uint32)))
+        h, cls, n, place = (np.concatenate(c) for c in zip(*parts))
+        order = np.lexsort((place, cls, h))
+        h, cls, n, place = h[order], cls[order], n[order], place[order]
         fresh = np.r_[True, (h[1:] != h[:-1]) | (cls[1:] != cls[:-1])]
-        h, cls, n = h[fresh], cls[fresh], n[fresh]
+        h, cls, n, place = h[fresh], cls[fresh], n[fresh], place[fresh]
         head = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
         count = np.diff(np.r_[head, len(h)])
         # A region is named by its members, so regions with the same ones are one.
         name = mix(np.add.reduceat(mix(cls.view(U64)), head) + count.astype(U64))
         keep = np.repeat(count > 1, count)
-        region, cls, n = np.repeat(signed(name), count)[keep], cls[keep], n[keep]
-        order = np.lexsort((cls, region))
-        region, cls, n = region[order], cls[order], n[order]
+        region, cls, n, place = np.repeat(signed(name), count)[keep], cls[keep], n[keep], place[keep]
+        order = np.lexsort((place, cls, region))
+        region, cls, n, place = region[order], cls[order], n[order], place[order]
         once = np.r_[True, (region[1:] != region[:-1]) | (cls[1:] != cls[:-1])] if len(region) else np.zeros(0, bool)
-        return pa.table({"region": region[once], "class": cls[once], "n": n[once]})
+        return pa.table({"region": region[once], "class": cls[once], "n": n[once], "place": place[once].astype(np.int64)})
 
-    sent = rows.mapInArrow(listed, "bucket int, hash binary, at binary, classes binary, sizes binary")
-    found = sent.groupBy("bucket").applyInArrow(met, "region long, class long, n long")
-    return shared.written(found.distinct())
+    sent = rows.mapInArrow(listed, "bucket int, hash binary, at binary, places binary, classes binary, sizes binary")
+    found = sent.groupBy("bucket").applyInArrow(met, "region long, class long, n long, place long")
+    return shared.written(found.groupBy("region", "class").agg(F.first("n").alias("n"), F.min("place").alias("place")))
 
 
 def _sets(rows: DataFrame, wanted: DataFrame, docs: DataFrame) -> DataFrame:
@@ -290,19 +299,29 @@ def _linked():
 
 
 def _fits(x: str, y: str):
-    """Sizes so far apart that no overlap is enough are ruled out."""
-    return (F.col(x) * DEN >= F.col(y) * NUM) & (F.col(y) * DEN >= F.col(x) * NUM)
+    """Whether members x and y of a region (prefixes of n and place) can still be linked.
+
+    A link needs an overlap of NUM / (NUM + DEN) of both sizes together.  If the
+    region's shingle is the first that the two share, no more than what stands
+    from its place on can be shared; a pair that is linked passes in the region
+    of that first shingle.
+    """
+    need = (F.col(f"{x}n") + F.col(f"{y}n")) * NUM
+    return ((F.col(f"{x}n") - F.col(f"{x}place")) * (NUM + DEN) >= need) & (
+        (F.col(f"{y}n") - F.col(f"{y}place")) * (NUM + DEN) >= need
+    )
 
 
 def linked_classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, class, n_shingles) of the rows and the links (a, b, both, either) between classes."""
     docs, order = _counts(rows)
     regions = _regions(rows, order)
-    pivots = regions.groupBy("region").agg(F.min(F.struct("class", "n")).alias("p"))
-    pivots = pivots.select("region", F.col("p.class").alias("pivot"), F.col("p.n").alias("pivot_n"))
+    # The pivot is the member that the region's shingle comes first in: it has the fewest shingles of its own.
+    pivots = regions.groupBy("region").agg(F.min(F.struct("place", "class", "n")).alias("p"))
+    pivots = pivots.select("region", F.col("p.class").alias("pivot"), F.col("p.n").alias("pivot_n"), F.col("p.place").alias("pivot_place"))
     members = shared.written(regions.join(pivots, "region"))
     shared.discard(regions)
-    star = members.where((F.col("class") != F.col("pivot")) & _fits("n", "pivot_n"))
+    star = members.where((F.col("class") != F.col("pivot")) & _fits("", "pivot_"))
     star = shared.written(star.select(F.col("pivot").alias("a"), F.col("class").alias("b")).distinct())
     wanted = star.select(F.col("a").alias("class")).union(star.select("b")).distinct()
     sets = _sets(rows, wanted, docs)
@@ -320,18 +339,18 @@ def linked_classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.col("a").alias("pivot"), F.col("b").alias("class"), (1 - F.col("both") / F.col("either")).alias("distance")
     )
     open_ = placed.join(main, "region").join(away, ["pivot", "class"], "left")
-    # The pivot is at 0 from itself; a member whose size ruled it out was not measured and has no window.
+    # The pivot is at 0 from itself; a member that was ruled out was not measured and has no window.
     open_ = open_.withColumn("distance", F.when(F.col("class") == F.col("pivot"), 0.0).otherwise(F.col("distance")))
-    open_ = shared.written(open_.select("region", "class", "n", "component", "main", "distance"))
+    open_ = shared.written(open_.select("region", "class", "n", "place", "component", "main", "distance"))
     shared.discard(members)
     x = open_.where(F.col("component") != F.col("main"))
-    x = x.select("region", *[F.col(c).alias(f"x_{c}") for c in ("class", "n", "component", "distance")])
-    y = open_.select("region", *[F.col(c).alias(f"y_{c}") for c in ("class", "n", "component", "main", "distance")])
+    x = x.select("region", *[F.col(c).alias(f"x_{c}") for c in ("class", "n", "place", "component", "distance")])
+    y = open_.select("region", *[F.col(c).alias(f"y_{c}") for c in ("class", "n", "place", "component", "main", "distance")])
     radius = 1 - NUM / DEN + 1e-9
     window = F.coalesce(F.abs(F.col("x_distance") - F.col("y_distance")) <= radius, F.lit(True))
     apart = F.col("x_component") != F.col("y_component")
     once = (F.col("y_component") == F.col("y_main")) | (F.col("x_class") < F.col("y_class"))
-    more = x.join(y, "region").where(apart & once & window & _fits("x_n", "y_n"))
+    more = x.join(y, "region").where(apart & once & window & _fits("x_", "y_"))
     ends = [F.least("x_class", "y_class").alias("a"), F.greatest("x_class", "y_class").alias("b")]
     more = more.select(*ends).distinct()
     known = measured.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))

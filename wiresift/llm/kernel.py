@@ -7,6 +7,7 @@ words or characters.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -14,8 +15,8 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-#: Texts of a batch are worked on in runs of about so many bytes, to bound memory.
-CHUNK_BYTES = 8 << 20
+#: Texts of a batch are worked on in runs of about so many bytes, to bound memory and stay in the cache.
+CHUNK_BYTES = 1 << 18
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -49,7 +50,7 @@ _powers = {}
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse, at least n of them."""
     if _powers.get("n", 0) < n:
-        size = max(n, CHUNK_BYTES + (1 << 20))
+        size = max(n, CHUNK_BYTES + (1 << 18))
         up, down = np.full(size, U64(_BASE)), np.full(size, U64(_INVERSE))
         up[0] = down[0] = 1
         _powers.update(n=size, up=np.multiply.accumulate(up), down=np.multiply.accumulate(down))
@@ -93,27 +94,35 @@ def runs(cut: np.ndarray, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
         at = to
 
 
+def segments(raw: np.ndarray, cut: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the maximal runs of bytes of `kind` in texts `raw[cut[i]:cut[i + 1]]`."""
+    inside = kind[raw]
+    full = np.diff(cut) > 0
+    first, last = inside.copy(), inside.copy()
+    first[1:] &= ~inside[:-1]
+    last[:-1] &= ~inside[1:]
+    heads, tails = cut[:-1][full], cut[1:][full] - 1  # a text's end ends a run
+    first[heads], last[tails] = inside[heads], inside[tails]
+    return np.flatnonzero(first), np.flatnonzero(last) + 1
+
+
 def words(raw: np.ndarray, cut: np.ndarray, kind: np.ndarray = SPACED, lower: bool = True) -> Words:
     """Words of texts `raw[cut[i]:cut[i + 1]]`: maximal runs of bytes of `kind`, cut where a text ends."""
-    n = len(raw)
     low = _LOWER[raw] if lower else raw
-    inside = np.zeros(n + 1, bool)
-    inside[1:] = kind[low]
-    inside[0] = False
-    # A text's first byte starts a word even after a word byte of the text before.
-    first = inside[1:] & ~inside[:-1]
-    heads = cut[:-1][np.diff(cut) > 0]
-    first[heads] = inside[1:][heads]
-    start = np.flatnonzero(first)
-    after = inside[1:].copy()
-    last = after.copy()
-    last[:-1] &= ~after[1:]
-    tails = cut[1:][np.diff(cut) > 0] - 1
-    last[tails] = after[tails]
-    end = np.flatnonzero(last) + 1
+    start, end = segments(low, cut, kind)
     return Words(spans(_BYTE_NAME[low], start, end), np.searchsorted(start, cut), start, end, raw, cut)
 
 
+def text_marks(raw: np.ndarray, cut: np.ndarray) -> np.ndarray:
+    """A checksum of each text's bytes and length: tells apart texts that stand under one id."""
+    ends = cut.tolist()
+    return np.array([text_mark(raw[a:z]) for a, z in zip(ends[:-1], ends[1:])], np.int64)
+
+
+def text_mark(data) -> int:
+    return zlib.crc32(data) | min(len(data), 0x7FFFFFFF) << 32
+
+
 def spans(value: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """A 64-bit name of each value[start:end]."""
     n = len(value)

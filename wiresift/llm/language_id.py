@@ -21,13 +21,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernel import CHUNK_BYTES, U64, mix, spans
+from .kernel import U64, mix, spans
 
 BUCKETS = 1 << 16
 #: n-grams of a word, with a mark before and after it
 ORDERS = (1, 2, 3)
 UNKNOWN = "und"
 ROUNDS = 9
+#: characters of text that are worked on at once
+SLICE = 1 << 20
 #: log-likelihood that one more language must bring, for each unit of log(words)
 PENALTY = 1.5
 #: a letter run of no known language: its n-grams are this much rarer than a uniform guess over those seen
@@ -91,7 +93,7 @@ def _slices(texts: list[str | None]):
     at, n = 0, 0
     for i, t in enumerate(texts):
         n += len(t or "")
-        if n * 4 > CHUNK_BYTES:
+        if n > SLICE:
             yield at, i + 1
             at, n = i + 1, 0
     if at < len(texts):

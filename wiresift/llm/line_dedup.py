@@ -22,7 +22,7 @@ are one after another in no order: their lines do not remove each other.
 
 from __future__ import annotations
 
-import hashlib
+from itertools import compress
 from typing import NamedTuple
 
 import numpy as np
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import postings
-from .kernel import LINED, SPACED, U64, buffers, mix, powers, runs, sequence_hash, signed, spans, words
+from .kernel import LINED, SPACED, U64, buffers, mix, powers, runs, segments, spans, text_mark, text_marks, words
 
 MIN_WORDS = 8
 
@@ -49,13 +49,13 @@ class Lines(NamedTuple):
 
 def lines(raw: np.ndarray, cut: np.ndarray) -> Lines:
     w = words(raw, cut, SPACED)
-    found = words(raw, cut, LINED)  # empty lines have no words and are not found
-    breaks = np.r_[0, np.cumsum(raw == 10)]
-    text = found.text_of()
-    number = breaks[found.start] - breaks[cut[text]]
-    start, end = np.searchsorted(w.start, found.start), np.searchsorted(w.start, found.end)
-    long = end - start >= MIN_WORDS
-    return Lines(text[long], number[long], start[long], end[long], w.name, signed(sequence_hash(w)))
+    first, last = segments(raw, cut, LINED)  # empty lines have no words and are not found
+    start, end = np.searchsorted(w.start, first), np.searchsorted(w.start, last)
+    long = np.flatnonzero(end - start >= MIN_WORDS)
+    text = np.searchsorted(cut, first[long], "right") - 1
+    breaks = np.flatnonzero(raw == 10)
+    number = np.searchsorted(breaks, first[long]) - np.searchsorted(breaks, cut[text])
+    return Lines(text, number, start[long], end[long], w.name, text_marks(raw, cut))
 
 
 def _halves(x: Lines) -> np.ndarray:
@@ -180,18 +180,19 @@ def dedup(docs: DataFrame) -> DataFrame:
         for b in batches:
             texts, total, removed = [], [], []
             for text, places in zip(b.column(at), b.column(b.num_columns - 1)):
-                text = text.as_py()
-                got = text.split("\n") if text is not None else []
-                gone: set[int] = set()
-                if places.is_valid and text:
-                    mark = int(signed(sequence_hash(words(*buffers(pa.array([text])), SPACED)))[0])
-                    for p in places.as_py():
-                        if p["mark"] == mark:
-                            gone.update(np.frombuffer(p["positions"], np.uint32).tolist())
-                texts.append(text if not gone else "\n".join(x for i, x in enumerate(got) if i not in gone))
-                total.append(len(got))
+                data = text.as_buffer().to_pybytes() if text.is_valid else None
+                gone: list[int] = []
+                if places.is_valid and data:
+                    mark = text_mark(data)
+                    gone = [i for p in places.as_py() if p["mark"] == mark for i in np.frombuffer(p["positions"], np.uint32)]
+                total.append(0 if data is None else data.count(b"\n") + 1)
                 removed.append(len(gone))
-            columns = [pa.array(texts, pa.string()) if i == at else b.column(i) for i in order]
+                if gone:
+                    keep = np.ones(total[-1], bool)
+                    keep[gone] = False
+                    data = b"\n".join(compress(data.split(b"\n"), keep))
+                texts.append(data)
+            columns = [pa.array(texts, pa.binary()).cast(pa.string()) if i == at else b.column(i) for i in order]
             columns += [pa.array(total, pa.int32()), pa.array(removed, pa.int32())]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 

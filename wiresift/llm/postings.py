@@ -19,22 +19,19 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from . import shared
-from .kernel import U64
+from .kernel import U64, mix
 
 #: bits of the table that goes to every task: 16 MB, for any corpus
 TABLE_BITS = 27
 #: bits of a hash that are told apart when sharing is found
 TOLD_BITS = 40
-#: buckets for each shuffle partition
-SPREAD = 4
 
 
 def bucket_bits(spark) -> int:
-    """log2 of the number of buckets."""
-    return min(12, max(3, (SPREAD * shared.shuffle_width(spark) - 1).bit_length()))
+    """log2 of the number of buckets: one for each shuffle partition at least, which the operator sizes to its input."""
+    return min(16, max(3, (shared.shuffle_width(spark) - 1).bit_length()))
 
 
 def _pack(values: np.ndarray) -> bytes:
@@ -48,6 +45,11 @@ def shared_bits(docs: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[tup
     """
     spark, bits = docs.sparkSession, bucket_bits(docs.sparkSession)
 
+    def settle(once, twice):
+        merged = np.sort(np.concatenate(once))
+        repeated = merged[1:][merged[1:] == merged[:-1]]
+        return [np.unique(merged)], [np.unique(np.concatenate([*twice, repeated]))]
+
     def listed(batches):
         once, twice = [], []
         for b in batches:
@@ -60,11 +62,11 @@ def shared_bits(docs: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[tup
                 again = h[1:] == h[:-1]
                 twice.append(np.unique(h[1:][again & (owner[1:] != owner[:-1])]))
                 once.append(h[np.r_[True, ~again]])
-                if len(once) > 8:
-                    once, twice = _settle(once, twice)
+                if sum(map(len, once[1:])) > max(1 << 20, len(once[0])):
+                    once, twice = settle(once, twice)
         if not once:
             return
-        (once,), (twice,) = _settle(once, twice)
+        (once,), (twice,) = settle(once, twice)
         edges = np.arange((1 << bits) + 1, dtype=np.int64) << (TOLD_BITS - bits)
         one, two = np.searchsorted(once, edges), np.searchsorted(twice, edges)
         low = (1 << (TOLD_BITS - bits)) - 1
@@ -76,11 +78,6 @@ def shared_bits(docs: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[tup
         ]
         yield pa.RecordBatch.from_arrays(columns, names=["bucket", "once", "twice"])
 
-    def _settle(once, twice):
-        merged = np.sort(np.concatenate(once))
-        repeated = merged[1:][merged[1:] == merged[:-1]]
-        return [np.unique(merged)], [np.unique(np.concatenate([*twice, repeated]))]
-
     def unpacked(column) -> np.ndarray:
         raw = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, 5)
         wide = np.zeros((len(raw), 8), np.uint8)
@@ -109,38 +106,49 @@ def is_shared(table: np.ndarray, h: np.ndarray) -> np.ndarray:
     return (table[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
 
 
-class Settled:
-    """Places (document, position) that a task found to be later ones, by document."""
-
-    def __init__(self, doc: np.ndarray, position: np.ndarray):
-        order = np.lexsort((position, doc))
-        self.doc, self.position = doc[order], position[order].astype(np.uint32)
-        edge = np.flatnonzero(np.r_[True, self.doc[1:] != self.doc[:-1]]) if len(doc) else np.zeros(0, int)
-        self.cut = np.r_[edge, len(self.doc)].astype(int)
-
-    def rows(self) -> Iterator[tuple[int, bytes]]:
-        for a, z in zip(self.cut[:-1], self.cut[1:]):
-            yield int(self.doc[a]), self.position[a:z].tobytes()
+def _grouped(ids: np.ndarray, marks: np.ndarray, position: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Places by document: (ids, marks, number of places of each, the places), sorted, each place once."""
+    order = np.lexsort((position, marks, ids))
+    ids, marks, position = ids[order], marks[order], position[order].astype(np.uint32)
+    new = np.r_[True, (ids[1:] != ids[:-1]) | (marks[1:] != marks[:-1])] if len(ids) else np.zeros(0, bool)
+    keep = new | np.r_[True, position[1:] != position[:-1]] if len(ids) else new
+    ids, marks, position, new = ids[keep], marks[keep], position[keep], new[keep]
+    head = np.flatnonzero(new)
+    return ids[head], marks[head], np.diff(np.r_[head, len(ids)]).astype(np.uint32), position
 
 
 SENT = "bucket int, hash binary, kind binary, owner binary, position binary, ids binary, marks binary"
-FOUND = "doc_id long, mark long, positions binary"
+PARTS = "part int, ids binary, marks binary, counts binary, positions binary"
+FOUND = "doc_id long, _places array<struct<mark:long,positions:binary>>"
 
 
 def later(
     docs: DataFrame,
     entries: Callable[[pa.RecordBatch], Iterator[tuple[np.ndarray, ...]]],
-    resolve: Callable[..., np.ndarray],
+    resolve: Callable[..., tuple[np.ndarray, np.ndarray]],
 ) -> DataFrame:
-    """Places whose hash stands in an earlier place too: (doc_id, mark, positions).
+    """Places whose hash stands in an earlier place too: one row (doc_id, _places) a document.
 
     entries(batch) yields (hash, kind, text, position, doc_id of each text,
     mark of each text): an entry is a hash at a position of a text, `kind` says
-    what may meet what.  resolve(hash, kind, id, position, order) gets entries
-    sorted by `order` columns and says which are later than a match.  `mark`
-    tells apart rows that carry the same doc_id.
+    what may meet what.  resolve(hash, kind, doc_id, position, mark) says which
+    entries are later than a match, and which of the others a task must send
+    for those of other tasks.  `mark` tells apart rows that carry the same doc_id.
     """
-    spark, bits = docs.sparkSession, bucket_bits(docs.sparkSession)
+    bits = bucket_bits(docs.sparkSession)
+    sent_names, part_names = ([x.split()[0] for x in t.split(", ")] for t in (SENT, PARTS))
+
+    def by_part(ids: np.ndarray, marks: np.ndarray, position: np.ndarray) -> Iterator[tuple]:
+        """(part, ids, marks, counts, positions): the places of the documents of each part."""
+        ids, marks, counts, position = _grouped(ids, marks, position)
+        part = (mix(ids.view(U64)) >> U64(64 - bits)).astype(np.int64)
+        of_place = np.repeat(part, counts)
+        by, at = np.argsort(part, kind="stable"), np.argsort(of_place, kind="stable")
+        edges = np.arange((1 << bits) + 1)
+        doc, place = np.searchsorted(part[by], edges), np.searchsorted(of_place[at], edges)
+        for k in np.unique(part):
+            own = by[doc[k] : doc[k + 1]]
+            yield int(k), _pack(ids[own]), _pack(marks[own]), _pack(counts[own]), _pack(position[at[place[k] : place[k + 1]]])
 
     def listed(batches):
         parts, ids, marks, texts = [], [], [], 0
@@ -156,50 +164,64 @@ def later(
         parts.clear()
         ids, marks = np.concatenate(ids), np.concatenate(marks)
         done, first = resolve(h, kind, ids[text], position, marks[text])
-        settled = Settled(text[done], position[done])
+        kinds = [pa.int32(), *[pa.binary()] * 6]
+
+        def row(*values):
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, kinds)], names=sent_names)
+
+        for k, i, m, counts, places in by_part(ids[text[done]], marks[text[done]], position[done]):
+            yield row(k, None, None, counts, places, i, m)  # settled here; passes through
         h, kind, text, position = h[first], kind[first], text[first], position[first]
         order = np.argsort(h, kind="stable")
         h, kind, text, position = h[order], kind[order], text[order], position[order]
-        edges = np.searchsorted(h, np.arange(1 << bits, dtype=U64) << U64(64 - bits))
-        edges = np.r_[edges, len(h)]
-        names = [x.split()[0] for x in SENT.split(", ")]
-        kinds = [pa.int32(), *[pa.binary()] * 6]
-        rows = []
+        edges = np.r_[np.searchsorted(h, np.arange(1 << bits, dtype=U64) << U64(64 - bits)), len(h)]
         for k in range(1 << bits):
             a, z = int(edges[k]), int(edges[k + 1])
             if z > a:
                 own, owner = np.unique(text[a:z], return_inverse=True)
-                rows.append((k, _pack(h[a:z]), _pack(kind[a:z].astype(np.int32)), _pack(owner.astype(np.uint32)), _pack(position[a:z].astype(np.uint32)), _pack(ids[own]), _pack(marks[own])))
-        for doc, positions in settled.rows():  # pass through, spread by document
-            rows.append((int(marks[doc]) & ((1 << bits) - 1), None, None, None, positions, _pack(ids[doc : doc + 1]), _pack(marks[doc : doc + 1])))
-        for at in range(0, len(rows), 2000):
-            columns = [pa.array(c, t) for c, t in zip(zip(*rows[at : at + 2000]), kinds)]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+                arrays = h[a:z], kind[a:z].astype(np.int32), owner.astype(np.uint32), position[a:z].astype(np.uint32), ids[own], marks[own]
+                yield row(k, *map(_pack, arrays))
 
     def met(table: pa.Table) -> pa.Table:
-        out, parts, ids, marks, n = [], [], [], [], 0
+        parts, ids, marks, n, out = [], [], [], 0, []
         for r in table.to_pylist():
-            own = np.frombuffer(r["ids"], np.int64)
+            own, mark = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["marks"], np.int64)
+            owner, position = np.frombuffer(r["owner"], np.uint32), np.frombuffer(r["position"], np.uint32)
             if r["hash"] is None:
-                out.append((int(own[0]), int(np.frombuffer(r["marks"], np.int64)[0]), r["position"]))
+                out.append((np.repeat(own, owner), np.repeat(mark, owner), position))
                 continue
-            parts.append((np.frombuffer(r["hash"], U64), np.frombuffer(r["kind"], np.int32), np.frombuffer(r["owner"], np.uint32).astype(np.int64) + n, np.frombuffer(r["position"], np.uint32)))
+            parts.append((np.frombuffer(r["hash"], U64), np.frombuffer(r["kind"], np.int32), owner.astype(np.int64) + n, position))
             ids.append(own)
-            marks.append(np.frombuffer(r["marks"], np.int64))
+            marks.append(mark)
             n += len(own)
         if parts:
             h, kind, text, position = (np.concatenate(c) for c in zip(*parts))
             ids, marks = np.concatenate(ids), np.concatenate(marks)
             done, _ = resolve(h, kind, ids[text], position, marks[text])
-            out += [(int(ids[d]), int(marks[d]), p) for d, p in Settled(text[done], position[done]).rows()]
-        columns = list(zip(*out)) if out else [[], [], []]
-        kinds = (pa.int64(), pa.int64(), pa.binary())
-        return pa.table([pa.array(c, t) for c, t in zip(columns, kinds)], names=["doc_id", "mark", "positions"])
+            out.append((ids[text[done]], marks[text[done]], position[done]))
+        rows = list(by_part(*(np.concatenate(c) for c in zip(*out)))) if out else []
+        columns = zip(*rows) if rows else [[]] * 5
+        return pa.table([pa.array(c, t) for c, t in zip(columns, [pa.int32(), *[pa.binary()] * 4])], names=part_names)
+
+    def gathered(table: pa.Table) -> pa.Table:
+        out = []
+        for r in table.to_pylist():
+            counts = np.frombuffer(r["counts"], np.uint32)
+            ids, marks = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["marks"], np.int64)
+            out.append((np.repeat(ids, counts), np.repeat(marks, counts), np.frombuffer(r["positions"], np.uint32)))
+        ids, marks, counts, position = _grouped(*(np.concatenate(c) for c in zip(*out)))
+        ends = np.cumsum(counts)
+        by_doc: dict[int, list] = {}
+        for i, m, a, z in zip(ids.tolist(), marks.tolist(), (ends - counts).tolist(), ends.tolist()):
+            by_doc.setdefault(i, []).append({"mark": m, "positions": position[a:z].tobytes()})
+        places = pa.array(list(by_doc.values()), pa.list_(pa.struct([("mark", pa.int64()), ("positions", pa.binary())])))
+        return pa.table([pa.array(list(by_doc), pa.int64()), places], names=["doc_id", "_places"])
 
-    return docs.mapInArrow(listed, SENT).groupBy("bucket").applyInArrow(met, FOUND)
+    sent = docs.mapInArrow(listed, SENT).groupBy("bucket").applyInArrow(met, PARTS)
+    return sent.groupBy("part").applyInArrow(gathered, FOUND)
 
 
 def with_places(docs: DataFrame, places: DataFrame) -> DataFrame:
     """`docs` with the column `_places`, a list of (mark, positions) of their doc_id, or null."""
-    by_doc = places.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("mark", "positions")).alias("_places"))
+    by_doc = places.withColumnRenamed("doc_id", "_id")
     return docs.join(by_doc.hint("shuffle_hash"), docs["doc_id"] == by_doc["_id"], "left").drop("_id")

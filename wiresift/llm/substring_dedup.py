@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import postings
-from .kernel import SPACED, U64, Words, buffers, mix, rolling, runs, sequence_hash, signed, words
+from .kernel import SPACED, U64, Words, buffers, mix, rolling, runs, text_mark, text_marks, words
 
 WINDOW = 50
 #: words a symbol may stand for, and rounds of pairs
@@ -120,7 +120,7 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
             h = rolling(w.name, WINDOW)
             h = h[at] if len(at) else np.zeros(0, U64)
             text = np.searchsorted(w.cut, at, "right") - 1
-            yield h, np.zeros(len(h), np.int32), text, at - w.cut[text], ids, signed(sequence_hash(w))
+            yield h, np.zeros(len(h), np.int32), text, at - w.cut[text], ids, text_marks(w.buffer, w.text_cut)
 
     return postings.later(rows, entries, _resolve)
 
@@ -141,8 +141,7 @@ def dedup(docs: DataFrame, with_text: bool = True) -> DataFrame:
                 got = own.to_pybytes().split() if own is not None else []
                 n = len(got)
                 if places.is_valid and n >= WINDOW:
-                    w = words(*buffers(pa.array([text.as_py()])), SPACED, lower=False)
-                    mark = int(signed(sequence_hash(w))[0])
+                    mark = text_mark(own)
                     start = [np.frombuffer(p["positions"], np.uint32) for p in places.as_py() if p["mark"] == mark]
                     if start:
                         step = np.zeros(n + 1, np.int64)
