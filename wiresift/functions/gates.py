@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import http
+
 # Fixed values.
 ASSET_PATH = r"\.(js|css|map|woff2?|ttf|otf|eot|svg|ico)$"
 OLD_ASSET_PATH = r"\.js$"
@@ -20,7 +22,7 @@ NOISY_PREFIXES = ("accept-", "sec-fetch")
 
 def is_asset(url: Column, old: bool = False) -> Column:
     """The path names a static file; false where there is no path."""
-    path = F.lower(F.try_parse_url(url, F.lit("PATH")))
+    path = F.lower(http.path(url))
     return F.coalesce(path.rlike(OLD_ASSET_PATH if old else ASSET_PATH), F.lit(False))
 
 

@@ -18,21 +18,26 @@ def content_type(headers: Column) -> Column:
     return F.lower(F.trim(F.split_part(header_value(headers, "Content-Type"), F.lit(";"), F.lit(1))))
 
 
+# Urls in stored traffic need not be well-formed, so their parts are cut by pattern and not by a url parser.
+_START = r"^[A-Za-z][A-Za-z0-9+.\-]*://"
+
+
 def path(url: Column) -> Column:
-    return F.try_parse_url(url, F.lit("PATH"))
+    return F.regexp_extract(url, _START + r"[^/?#]*([^?#]*)", 1)
 
 
 def query(url: Column) -> Column:
-    return F.try_parse_url(url, F.lit("QUERY"))
+    """Raw query; null where there is none or it is empty."""
+    return F.nullif(F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1), F.lit(""))
 
 
 def host(url: Column) -> Column:
-    return F.try_parse_url(url, F.lit("HOST"))
+    return F.nullif(F.regexp_extract(url, _START + r"(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:]*)", 1), F.lit(""))
 
 
 def port(url: Column) -> Column:
     """Port number, -1 where the url names none."""
-    digits = F.regexp_extract(F.try_parse_url(url, F.lit("AUTHORITY")), r":([0-9]+)$", 1)
+    digits = F.regexp_extract(url, _START + r"[^/?#]*:([0-9]+)(?:[/?#]|$)", 1)
     return F.coalesce(digits.try_cast("int"), F.lit(-1))
 
 
