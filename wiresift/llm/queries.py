@@ -93,4 +93,93 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_jaccard_join": op9_jaccard_join,
     "op10_language_id": op10_language_id,
 }
-ORACLE_SQL: dict[str, str] = {}
+
+
+def _rules_sql() -> str:
+    """The longest rule that fits, as nested CASE branches."""
+    branches = []
+    for text, _ in sorted(URL_RULES, key=lambda r: (-len(r[0]), r[0])):
+        name, _, prefix = text.partition("/")
+        branches.append(f"WHEN (host = '{name}' OR ends_with(host, '.{name}')) AND starts_with(path, '/{prefix}') THEN '{text}'")
+    return f"CASE {' '.join(branches)} END"
+
+
+_LOW = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_REST = "CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END"
+_TWO = ", ".join(f"'{x}'" for x in url_filter.SECOND_LEVEL)
+
+
+def _two(host: str) -> str:
+    return f"(length(split_part({host}, '.', -1)) = 2 AND split_part({host}, '.', -2) IN ({_TWO}) AND instr({host}, '.') > 0)"
+
+
+def _last(host: str, n: int) -> str:
+    return f"array_to_string(list_slice(string_split({host}, '.'), -{n}, -1), '.')"
+
+
+def _strength_sql(level: str, name: str) -> str:
+    return f"""{name} AS (SELECT round((1 - h) / h, 6) AS s FROM (SELECT least(0.5, greatest(0.001, coalesce(CASE WHEN total - m > 0 THEN (q - m) / (total - m) END, 0.05))) AS h
+  FROM (SELECT sum(n * (bad / n - rate) * (bad / n - rate) / (rate * (1 - rate))) AS q, count(*) AS m, sum(n) AS total FROM {level} WHERE rate * (1 - rate) > 0)))"""
+
+
+OP1_SQL = f"""WITH judged AS (SELECT page_id, url, coalesce({_LOW.format(f"regexp_extract({_REST}, '^([^/?#]*)', 1)")}, '') AS host,
+  coalesce(regexp_extract({_REST}, '^[^/?#]*(/[^?#]*)?', 1), '') AS path FROM pages),
+outcomes AS (SELECT host, CAST(toxic = 1 OR quality = 0 AS BIGINT) AS bad FROM judged JOIN labels ON page_id = doc_id),
+h0 AS (SELECT host, count(*) AS n, sum(bad) AS bad, CASE WHEN {_two('host')} THEN {_last('host', 3)} ELSE {_last('host', 2)} END AS domain FROM outcomes WHERE bad IS NOT NULL GROUP BY host),
+d0 AS (SELECT domain, sum(n) AS n, sum(bad) AS bad, CASE WHEN {_two('domain')} THEN {_last('domain', 2)} ELSE split_part(domain, '.', -1) END AS suffix FROM h0 GROUP BY domain),
+s0 AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM d0 GROUP BY suffix),
+g AS (SELECT (coalesce(sum(bad), 0) + 1) / (coalesce(sum(n), 0) + 2) AS rate FROM s0),
+s1 AS (SELECT s0.*, rate FROM s0, g), {_strength_sql('s1', 'ss')},
+s2 AS (SELECT suffix, s * rate + bad AS alpha, s * (1 - rate) + n - bad AS beta FROM s1, ss),
+d1 AS (SELECT d0.*, alpha / (alpha + beta) AS rate FROM d0 JOIN s2 USING (suffix)), {_strength_sql('d1', 'ds')},
+d2 AS (SELECT domain, s * rate + bad AS alpha, s * (1 - rate) + n - bad AS beta FROM d1, ds),
+h1 AS (SELECT h0.*, alpha / (alpha + beta) AS rate FROM h0 JOIN d2 USING (domain)), {_strength_sql('h1', 'hs')},
+h2 AS (SELECT host, s * rate + bad AS alpha, s * (1 - rate) + n - bad AS beta FROM h1, hs),
+named AS (SELECT DISTINCT host, CASE WHEN {_two('host')} THEN {_last('host', 3)} ELSE {_last('host', 2)} END AS domain,
+  CASE WHEN {_two('host')} THEN {_last('host', 2)} ELSE split_part(host, '.', -1) END AS suffix FROM judged),
+post AS (SELECT named.host, coalesce(h2.alpha, 10.0 * coalesce(d2.alpha / (d2.alpha + d2.beta), s2.alpha / (s2.alpha + s2.beta), g.rate)) AS a,
+  coalesce(h2.beta, 10.0 * (1 - coalesce(d2.alpha / (d2.alpha + d2.beta), s2.alpha / (s2.alpha + s2.beta), g.rate))) AS b
+  FROM named CROSS JOIN g LEFT JOIN h2 USING (host) LEFT JOIN d2 USING (domain) LEFT JOIN s2 USING (suffix)),
+scores AS (SELECT host, round(a / (a + b), 6) AS bad_rate, round(a / (a + b) - 1.645 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))), 6) AS bad_lower FROM post),
+ruled AS (SELECT judged.*, {_rules_sql()} AS rule, bad_rate, bad_lower FROM judged JOIN scores USING (host))
+SELECT page_id, host, path, rule, CASE {' '.join(f"WHEN rule = '{t}' THEN '{v}'" for t, v in URL_RULES)} WHEN bad_lower > 0.5 THEN 'block' ELSE 'allow' END AS verdict, bad_rate, bad_lower FROM ruled"""
+
+
+def _values(rows) -> str:
+    def text(v):
+        return "NULL" if v is None else str(v) if isinstance(v, (int, bool)) else f"'{v}'"
+
+    return ", ".join("(" + ", ".join(map(text, r)) + ")" for r in rows)
+
+
+_SQL_WORDS = r"[0-9a-z\x{80}-\x{10FFFF}]+"
+
+OP2_SQL = f"""WITH templates(template, label, whole, votes, place, t1, t2, t3) AS (VALUES {_values(license_scan.template_rows())}),
+docs AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all({_LOW.format("coalesce(text, '')")}, '{_SQL_WORDS}') AS w FROM documents),
+words AS (SELECT r, unnest(range(len(w))) AS pos, unnest(w) AS w1, unnest(w[2:]) AS w2, unnest(w[3:]) AS w3 FROM docs),
+hits AS (SELECT r, template, label, whole, votes, pos - place AS diagonal, count(*) AS got FROM words JOIN templates ON w1 = t1 AND w2 = t2 AND (whole OR w3 = t3) GROUP BY ALL),
+marked AS (SELECT *, CASE WHEN whole OR coalesce(diagonal - lag(diagonal) OVER (PARTITION BY r, template ORDER BY diagonal) > {license_scan.NEIGHBOURS}, true) THEN 1 ELSE 0 END AS fresh FROM hits),
+spans AS (SELECT *, sum(fresh) OVER (PARTITION BY r, template ORDER BY diagonal) AS span FROM marked),
+merged AS (SELECT r, label, whole, votes, sum(got) AS got, min(diagonal) AS first FROM spans GROUP BY r, template, label, whole, votes, span),
+sure AS (SELECT *, whole AND got >= votes AS base, least(1.0, got / votes) AS covered FROM merged),
+found AS (SELECT r, sum(CAST(base AS INT)) AS n_base, min(CASE WHEN base THEN first END) AS first_word, max(CASE WHEN base THEN first END) AS last_word,
+  string_agg(DISTINCT CASE WHEN base THEN label END, ',' ORDER BY CASE WHEN base THEN label END) AS base_labels,
+  string_agg(DISTINCT CASE WHEN base OR (NOT whole AND covered >= 0.75) THEN label END, ',' ORDER BY CASE WHEN base OR (NOT whole AND covered >= 0.75) THEN label END) AS labels,
+  max(CASE WHEN base OR (NOT whole AND covered >= 0.75) THEN covered END) AS score FROM sure GROUP BY r)
+SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels,
+  coalesce(labels, '') AS labels, round(CAST(coalesce(score, 0) AS DOUBLE), 6) AS score FROM docs LEFT JOIN found USING (r)"""
+
+OP5_SQL = r"""WITH docs AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM docs WHERE len(w) >= 50)),
+first AS (SELECT h, min(doc_id) AS least FROM windows GROUP BY h),
+late AS (SELECT doc_id, i FROM windows JOIN first USING (h) WHERE doc_id > least),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS pos FROM late),
+words AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS pos, unnest(w) AS word FROM docs WHERE len(w) > 0),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY pos) AS text, count(*) AS n FROM words ANTI JOIN gone USING (doc_id, pos) GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256 FROM docs LEFT JOIN kept USING (doc_id)"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_url_filter": OP1_SQL,
+    "op2_license_scan": OP2_SQL,
+    "op5_substring_dedup": OP5_SQL,
+}
