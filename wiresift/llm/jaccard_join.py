@@ -94,8 +94,8 @@ def _counts(rows: DataFrame) -> tuple[DataFrame, object]:
         values, n = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
         order = np.argsort(values, kind="stable")
         values, n = values[order], n[order]
-        first = np.flatnonzero(np.r_[True, values[1:] != values[:-1]])
-        return values[first], np.add.reduceat(n, first)
+        first = np.flatnonzero(np.r_[True, values[1:] != values[:-1]]) if len(values) else order
+        return values[first], np.add.reduceat(n, first) if len(values) else n
 
     names = ["bucket", "gaps", "more", "ids", "classes", "sizes"]
 
