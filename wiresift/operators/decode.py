@@ -91,32 +91,35 @@ def with_routes(tokens: DataFrame, options: DecodeOptions = DecodeOptions()) ->
     rows = rows.withColumns({f"_{c}": utf8(codecs.decompress_udf(c, cap)(F.col("_packed"))) for c in codecs.CODECS})
     # Base64: LZ-String first, whatever its quality; then text; then the decompressors' first accepted result.
     tries = F.array(*[_attempt(c, F.col(f"_{c}")) for c in codecs.CODECS])
-    first = F.get(F.filter(tries, lambda a: quality.accepted(a["decoded"], options)), F.lit(0))
+    first = first_accepted(tries, options)
     found = (
         F.when(F.col("_data").isNull(), F.lit(None))
         .when(F.length("_lz") > 0, _attempt("lz-base64", F.col("_lz")))
         .when(F.length("_text") > 0, _attempt("base64", F.col("_text")))
         .otherwise(first)
     )
-    rows = rows.withColumn("_found", found).withColumn("_found_text", F.col("_found.decoded"))
-    return rows.withColumns(
-        {
-            "_b64_ok": F.when(quality.accepted(F.col("_found_text"), options), F.col("_found")),
-            "_uri_ok": F.when(quality.accepted(F.col("_uri"), options), _attempt("lz-uri", F.col("_uri"))),
-            "_utf16_ok": F.when(quality.accepted(F.col("_utf16"), options), _attempt("lz-utf16", F.col("_utf16"))),
-        }
-    )
+    return rows.withColumn("_found", found)
+
+
+def first_accepted(attempts: Column, options: DecodeOptions) -> Column:
+    return F.get(F.filter(attempts, lambda a: quality.accepted(a["decoded"], options)), F.lit(0))
 
 
 def cascade(options: DecodeOptions = DecodeOptions()) -> Column:
-    """The first accepted route of a token, by what it looks like; null if there is none."""
-    token, b64, uri, wide = F.col("token"), F.col("_b64_ok"), F.col("_uri_ok"), F.col("_utf16_ok")
-    return (
-        F.when(looks_base64(token, options.min_token), F.coalesce(b64, uri, wide))
-        .when(looks_uri_safe(token, options), F.coalesce(uri, b64))
-        .when(token.rlike(BASE64_SHAPE), F.coalesce(b64, uri))
-        .otherwise(wide)
+    """The first accepted route of a token, by what it looks like; null if there is none.
+
+    Whole layers are tried as URI-safe LZ-String only.
+    """
+    token, b64 = F.col("token"), F.col("_found")
+    uri, wide = _attempt("lz-uri", F.col("_uri")), _attempt("lz-utf16", F.col("_utf16"))
+    tries = (
+        F.when(F.col("whole"), F.array(uri))
+        .when(looks_base64(token, options.min_token), F.array(b64, uri, wide))
+        .when(looks_uri_safe(token, options), F.array(uri, b64))
+        .when(token.rlike(BASE64_SHAPE), F.array(b64, uri))
+        .otherwise(F.array(wide))
     )
+    return first_accepted(tries, options)
 
 
 def tokens_of(surfaces: DataFrame, options: DecodeOptions = DecodeOptions()) -> DataFrame:
@@ -138,8 +141,7 @@ def tokens_of(surfaces: DataFrame, options: DecodeOptions = DecodeOptions()) ->
 def decoded_tokens(tokens: DataFrame, options: DecodeOptions = DecodeOptions()) -> DataFrame:
     """(token, whole, route, decoded) of distinct tokens: each is decoded once however often it occurs."""
     rows = with_routes(tokens.select("token", "whole").distinct(), options)
-    found = F.when(F.col("whole"), F.col("_uri_ok")).otherwise(cascade(options))
-    return rows.select("token", "whole", found.alias("f")).where(F.col("f").isNotNull()).select("token", "whole", "f.*")
+    return rows.select("token", "whole", cascade(options).alias("f")).where(F.col("f").isNotNull()).select("token", "whole", "f.*")
 
 
 def first_hits(surfaces: DataFrame, options: DecodeOptions = DecodeOptions()) -> DataFrame:

@@ -535,7 +535,8 @@ def t11_repair(spark, sf_dir):
 @query()
 def t12_base64_route(spark, sf_dir):
     rows = decode.with_routes(planted_tokens(spark, sf_dir))
-    return rows.select("token_id", "_b64_ok.route", "_b64_ok.decoded").where("route IS NOT NULL")
+    found = decode.first_accepted(F.array("_found"), DECODE)
+    return rows.select("token_id", found.alias("f")).select("token_id", "f.*").where("route IS NOT NULL")
 
 
 @query()

@@ -27,8 +27,7 @@ def live_tokens(stream: DataFrame, options: DecodeOptions = DecodeOptions()) ->
     """
     tokens = decode.tokens_of(surfaces.decoding(stream, options), options)
     rows = decode.with_routes(tokens, options)
-    found = F.when(F.col("whole"), F.col("_uri_ok")).otherwise(decode.cascade(options))
-    return rows.withColumn("f", found).where(F.col("f").isNotNull()).select(
+    return rows.withColumn("f", decode.cascade(options)).where(F.col("f").isNotNull()).select(
         "exchange_id", "ts", "url", "tool", "direction", "ordinal", "location", "rank", "token", "whole", "f.route", "f.decoded"
     )
 
