@@ -27,7 +27,7 @@ def matches(surfaces: DataFrame, options: DetectOptions = DetectOptions()) -> Da
         found.append(F.transform(digests.mcf_strings(text), lambda v: _find("mcf", v, text)))
     found.append(F.transform(digests.labelled(text), lambda p: _find("label", p["value"], text, label=p["label"])))
     if options.strict and options.strict_local_context:
-        runs = digests.runs_with_context(text)
+        runs = digests.runs_with_context(text, options.min_hex_len)
         found.append(F.transform(runs, lambda r: _find("hex", r["value"], text, around=r["around"])))
     else:
         found.append(F.transform(digests.hex_runs(text), lambda v: _find("hex", v, text)))

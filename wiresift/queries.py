@@ -373,8 +373,8 @@ placed AS (SELECT exchange_id, text, runs[i] AS value, length(list_aggregate(gap
 SELECT exchange_id, value, regexp_matches(lower(substr(text, greatest(0, start - 50) + 1, start + length(value) + 50 - greatest(0, start - 50))), '{KEYWORDS}') AS near FROM placed""")
 def d10_local_context(spark, sf_dir):
     rows = surfaces.detection(ex(spark, sf_dir)).where((F.col("location") == "response-body") & F.col("text").rlike("[0-9A-Fa-f]{24}"))
-    rows = rows.select("exchange_id", F.explode(digests.runs_with_context(F.col("text"))).alias("r"))
-    return rows.where(F.length("r.value") >= 24).select("exchange_id", "r.value", F.col("r.around").rlike(KEYWORDS).alias("near"))
+    rows = rows.select("exchange_id", F.explode(digests.runs_with_context(F.col("text"), 24)).alias("r"))
+    return rows.select("exchange_id", "r.value", F.col("r.around").rlike(KEYWORDS).alias("near"))
 
 
 @query(SURFACES_SQL + f" SELECT exchange_id, location, CASE WHEN regexp_matches(lower(text), '{'|'.join(digests.CONTEXT_KEYWORDS)}') THEN 'Firm' ELSE 'Tentative' END AS confidence FROM surf")
