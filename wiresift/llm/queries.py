@@ -65,8 +65,9 @@ def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = shared.read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    docs = docs.withColumn("held_out", F.crc32(F.col("doc_id").cast("string")) % 4 == 2)
-    learn = docs.where(~F.coalesce("held_out", F.lit(False))).select("text", "lang")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))  # a null id is not held out
+    docs = docs.withColumn("held_out", held_out)
+    learn = docs.where(~F.col("held_out")).select("text", "lang")
     langs, table = language_id.train(learn)
     judged = language_id.predict(docs.select("doc_id", "text", "held_out"), langs, table)
     return judged.select("doc_id", "held_out", "lang_pred", "score", "unknown_share", "lang_shares")
