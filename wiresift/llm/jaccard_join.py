@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from . import postings, shared
 from .components import components
-from .kernel import SPACED, U64, buffers, distinct_by_text, grams, mix, runs, signed, spans, words
+from .kernel import SPACED, U64, buffers, distinct_by_text, grams, mix, release, runs, signed, spans, words
 
 K = 5
 #: similarity as a fraction: links need intersection * DEN >= union * NUM
@@ -125,6 +125,8 @@ def _counts(rows: DataFrame) -> tuple[DataFrame, object]:
             row = [k, _gaps(value[a:z] - (k << (32 - bits))), more.tobytes(), None, None, None]
             kinds = [pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.binary(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds)], names=names)
+        del parts, value, n
+        release()
 
     def told(table: pa.Table) -> pa.Table:
         parts, ids, classes, sizes = [], [], [], []
@@ -224,6 +226,8 @@ def _regions(rows: DataFrame, table) -> DataFrame:
                 row = [[k], [h[a:z].tobytes()], [at.astype(np.uint32).tobytes()], [place[a:z].tobytes()], [signed(own).tobytes()], [sizes.tobytes()]]
                 kinds = [pa.int32(), *[pa.binary()] * 5]
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, kinds)], names=["bucket", "hash", "at", "places", "classes", "sizes"])
+        del parts, h, cls, n, place, order
+        release()
 
     def met(t: pa.Table) -> pa.Table:
         parts = []

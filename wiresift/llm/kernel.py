@@ -7,6 +7,8 @@ words or characters.
 
 from __future__ import annotations
 
+import ctypes
+import ctypes.util
 import zlib
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -179,3 +181,12 @@ def distinct_by_text(h: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.n
 def signed(x: np.ndarray) -> np.ndarray:
     """The same 64 bits as Spark's LongType."""
     return x.view(np.int64)
+
+
+def release() -> None:
+    """Gives freed memory back to the system: a worker that waits for its next task then holds little."""
+    pa.default_memory_pool().release_unused()
+    name = ctypes.util.find_library("c")
+    trim = getattr(ctypes.CDLL(name), "malloc_trim", None) if name else None
+    if trim is not None:
+        trim(0)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import shared
-from .kernel import U64, mix
+from .kernel import U64, mix, release
 
 #: bits of the table that goes to every task: 16 MB, for any corpus
 TABLE_BITS = 27
@@ -77,6 +77,8 @@ def shared_bits(docs: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[tup
             pa.array([_pack((twice[two[k] : two[k + 1]] & low).astype(np.uint64).view(np.uint8).reshape(-1, 8)[:, :5]) for k in rows], pa.binary()),
         ]
         yield pa.RecordBatch.from_arrays(columns, names=["bucket", "once", "twice"])
+        del once, twice, columns
+        release()
 
     def unpacked(column) -> np.ndarray:
         raw = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, 5)
@@ -181,6 +183,8 @@ def later(
                 own, owner = np.unique(text[a:z], return_inverse=True)
                 arrays = h[a:z], kind[a:z].astype(np.int32), owner.astype(np.uint32), position[a:z].astype(np.uint32), ids[own], marks[own]
                 yield row(k, *map(_pack, arrays))
+        del h, kind, text, position, done, first, order
+        release()
 
     def met(table: pa.Table) -> pa.Table:
         parts, ids, marks, n, out = [], [], [], 0, []
