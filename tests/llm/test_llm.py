@@ -420,3 +420,40 @@ def test_quality_rules(spark):
     assert sum(got[i]["kept"] for i in range(60)) >= 55 and not got[60]["kept"]
     assert not got[61]["kept"] and got[61]["n_words"] == 0 and got[61]["base_failed"]
     assert perplexity.judge(docs(spark, ["a"]).where("false")).count() == 0
+
+
+def test_quality_band_is_the_stated_one(spark):
+    sf = "/root/testdata/sf0.01"
+    columns = (spark.read.parquet(f"{sf}/{t}.parquet").select("doc_id", c) for t, c in (("documents", "lang"), ("labels", "quality")))
+    got = queries.op6_quality_rules(spark, sf)
+    for c in columns:
+        got = got.join(c, "doc_id", "left")
+    rows = [r for r in got.collect() if r["n_words"] >= 50]
+    for lang in {r["lang"] for r in rows}:
+        nats = np.array([r["log_perplexity"] for r in rows if r["lang"] == lang])
+        middle = np.sort(nats)[(len(nats) - 1) // 2]
+        width = 6 * 1.4826 * np.sort(abs(nats - middle))[(len(nats) - 1) // 2]
+        row = next(r for r in rows if r["lang"] == lang)
+        assert abs(row["lower"] - (middle - width)) < 1e-4 and abs(row["upper"] - (middle + width)) < 1e-4
+    english = [(r["quality"], r["lower"] <= r["log_perplexity"] <= r["upper"]) for r in rows if r["lang"] == "en"]
+    assert np.mean([inside for q, inside in english if q == 0]) < 0.7 and np.mean([inside for q, inside in english if q == 1]) > 0.98
+
+
+def test_quality_band_against_graded_junk(spark):
+    rng = random.Random(19)
+    names = ["river", "stone", "light", "walks", "under", "garden", "seven", "paper", "green", "water", "comes", "north"]
+    texts, share = [], []
+    for i in range(400):
+        share.append([0.1, 0.3, 0.6][i % 3] if i < 30 else 0)
+        texts.append(" ".join("|#%$"[rng.randrange(4)] * 5 if rng.random() < share[-1] else rng.choice(names) for _ in range(120)))
+    got = {r["doc_id"]: r for r in perplexity.judge(docs(spark, texts)).collect()}
+    inside = [got[i]["lower"] <= got[i]["log_perplexity"] <= got[i]["upper"] for i in range(400)]
+    assert np.mean(inside[30:]) > 0.98
+    assert not any(x for x, s in zip(inside, share) if s >= 0.3)
+
+
+def test_quality_band_of_equal_scores(spark):
+    same, other = "the river runs under the old stone bridge " * 12, "green paper comes seven north light walks water " * 12
+    for texts in ([same] * 9, [same] * 9 + [other]):
+        got = [r for r in perplexity.judge(docs(spark, texts)).collect() if r["doc_id"] < 9]
+        assert all(r["lower"] <= r["log_perplexity"] <= r["upper"] for r in got)

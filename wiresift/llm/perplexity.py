@@ -8,7 +8,10 @@ all texts, derives continuation counts, discounts and interpolated
 probabilities, and the model is read as arrays sorted by packed n-gram.  Each
 language's texts are scored by its own model (a null language is a language of
 its own), and documents outside its band of log-perplexity (median plus or
-minus a number of robust deviations) are rejected.
+minus a number of robust deviations) are rejected.  The robust deviation is the
+median absolute deviation scaled to the normal one; where more than half of a
+language's texts score the same it is 0, and the scaled mean absolute deviation
+stands in.
 
 A null text is an empty one: no words, base rules fail, not kept.  Rows are
 judged one by one, so repeated or null ids do no harm.
@@ -281,7 +284,11 @@ def scored(docs: DataFrame, models: dict[str, Model]) -> DataFrame:
     return rows.mapInArrow(score, f"doc_id long, lang string, {', '.join(f'{c} long' for c in BASE)}, log_perplexity double")
 
 
-def judge(docs: DataFrame, deviations: float = 6.0, least_width: float = 0.25, least_words: int = 50) -> DataFrame:
+#: scores closer than this, in nats, differ by rounding only
+ROUNDING = 1e-6
+
+
+def judge(docs: DataFrame, deviations: float = 6.0, least_words: int = 50) -> DataFrame:
     """The rules' verdict on every row of `docs`."""
     counts = shared.written(counted(docs))
     table = shared.written(scored(docs, load(*model_tables(counts))))
@@ -291,9 +298,10 @@ def judge(docs: DataFrame, deviations: float = 6.0, least_width: float = 0.25, l
     same = F.col("t.lang").eqNullSafe(F.col("m.lang"))
     spread = usable.alias("t").join(F.broadcast(middle).alias("m"), same).select("t.lang", "middle", off.alias("off"))
     band = spread.groupBy("lang").agg(
-        F.first("middle").alias("middle"), F.percentile_approx("off", 0.5, 10_000).alias("deviation")
+        F.first("middle").alias("middle"), F.percentile_approx("off", 0.5, 10_000).alias("median_off"), F.avg("off").alias("mean_off")
     )
-    width = F.greatest(F.lit(least_width), F.lit(deviations * 1.4826) * F.col("deviation"))
+    deviation = F.when(F.col("median_off") > ROUNDING, 1.4826 * F.col("median_off")).otherwise(1.2533 * F.col("mean_off"))
+    width = deviations * deviation + ROUNDING
     band = band.select(
         F.col("lang").alias("band_lang"), (F.col("middle") - width).alias("lower"), (F.col("middle") + width).alias("upper")
     )
