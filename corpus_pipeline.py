@@ -19,8 +19,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes lines with an earlier near copy; a document that loses all its text goes."""
-    done = line_dedup.dedup(docs)
+    """Removes lines with an earlier near copy, short ones with an exact copy; a document that loses all its text goes."""
+    done = line_dedup.dedup(docs, short=True)
     emptied = (F.col("n_removed") > 0) & (F.length(F.trim(F.regexp_replace("text", r"\s", " "))) == 0)
     done = done.where(~F.coalesce(emptied, F.lit(False)))
     if "n_chars" in docs.columns:

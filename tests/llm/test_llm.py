@@ -457,3 +457,41 @@ def test_quality_band_of_equal_scores(spark):
     for texts in ([same] * 9, [same] * 9 + [other]):
         got = [r for r in perplexity.judge(docs(spark, texts)).collect() if r["doc_id"] < 9]
         assert all(r["lower"] <= r["log_perplexity"] <= r["upper"] for r in got)
+
+
+def test_line_dedup_of_short_lines_equals_brute_force(spark):
+    rng = random.Random(23)
+    bases = [[rng.choice("abcdefgh") + str(rng.randrange(3)) for _ in range(rng.randint(1, 10))] for _ in range(30)]
+    texts = list(ODD)
+    for _ in range(80):
+        out = []
+        for _ in range(rng.randint(0, 6)):
+            words = list(rng.choice(bases))
+            if rng.random() < 0.4:
+                at = rng.randrange(len(words))
+                words[at : at + rng.randint(0, 1)] = [rng.choice("abcdefgh")] * rng.randint(0, 1)
+            out.append(rng.choice([" ", "\t "]).join(words).upper() if rng.random() < 0.2 else " ".join(words))
+        texts.append("\n".join(out))
+    seen, want, gone = [], {}, Counter()
+    for d, t in enumerate(texts):
+        kept = []
+        for line in (t or "").split("\n"):
+            w = spaced(line.translate(LOW))
+            late = any(w == o or (min(len(w), len(o)) >= 8 and within_one(w, o)) for o in seen)
+            if w:
+                seen.append(w)
+            gone[len(w)] += late
+            if not late:
+                kept.append(line)
+        want[d] = None if t is None else "\n".join(kept)
+    assert all(gone[n] for n in range(1, 10)) and not gone[0]
+    assert {r["doc_id"]: r["text"] for r in line_dedup.dedup(docs(spark, texts), short=True).collect()} == want
+
+
+def test_no_short_line_is_left_twice(spark):
+    sf = "/root/testdata/sf0.01"
+    rows = line_dedup.dedup(shared.read(spark, sf, "documents").select("doc_id", "text"), short=True).collect()
+    left = Counter(tuple(spaced(line.translate(LOW))) for r in rows for line in (r["text"] or "").split("\n"))
+    assert max(n for line, n in left.items() if line) == 1
+    got = {(r["doc_id"], r["n_removed"]) for r in queries.op8_line_dedup(spark, sf).collect()}
+    assert got == {(r["doc_id"], r["n_removed"]) for r in rows}

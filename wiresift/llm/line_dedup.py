@@ -15,7 +15,9 @@ near copy and list no variant, and where only one half is shared the lost word
 lies in the other.
 
 Words are split at white space and compared with A-Z lower-cased.  Lines of
-fewer than MIN_WORDS words stay.  Null texts stay as they are; rows with a null
+fewer than MIN_WORDS words have no near copies, since one word is much of
+them: with `short` they go where an earlier line has the same words, otherwise
+they stay.  Null texts stay as they are; rows with a null
 doc_id have no place in the order and stay whole.  Rows with an equal doc_id
 are one after another in no order: their lines do not remove each other.
 """
@@ -37,7 +39,7 @@ MIN_WORDS = 8
 
 
 class Lines(NamedTuple):
-    """Lines of enough words in several texts."""
+    """Lines in several texts."""
 
     text: np.ndarray
     number: np.ndarray  # of the line in its text, counting all
@@ -46,12 +48,16 @@ class Lines(NamedTuple):
     name: np.ndarray  # of all words
     mark: np.ndarray  # of each text
 
+    def where(self, own: np.ndarray) -> Lines:
+        return self._replace(text=self.text[own], number=self.number[own], start=self.start[own], end=self.end[own])
 
-def lines(raw: np.ndarray, cut: np.ndarray) -> Lines:
+
+def lines(raw: np.ndarray, cut: np.ndarray, least: int = MIN_WORDS) -> Lines:
+    """The lines of `least` words or more."""
     w = words(raw, cut, SPACED)
     first, last = segments(raw, cut, LINED)  # empty lines have no words and are not found
     start, end = np.searchsorted(w.start, first), np.searchsorted(w.start, last)
-    long = np.flatnonzero(end - start >= MIN_WORDS)
+    long = np.flatnonzero(end - start >= least)
     text = np.searchsorted(cut, first[long], "right") - 1
     breaks = np.flatnonzero(raw == 10)
     number = np.searchsorted(breaks, first[long]) - np.searchsorted(breaks, cut[text])
@@ -70,17 +76,26 @@ def _halves(x: Lines) -> np.ndarray:
     return np.stack(out, axis=1)
 
 
-def _texts(batch: pa.RecordBatch):
+def _exact(x: Lines) -> np.ndarray:
+    """A key of each line that only lines of the same words have; no variant of a longer line has it."""
+    return mix(spans(x.name, x.start, x.end) + mix((x.end - x.start).astype(U64) * U64(4)) + U64(2))
+
+
+def _texts(batch: pa.RecordBatch, short: bool):
+    """(doc_ids, lines that may have near copies, shorter lines) of some texts at a time."""
     ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
     raw, cut = buffers(batch.column(1))
     for lo, hi in runs(cut):
-        yield ids[lo:hi], lines(raw[cut[lo] : cut[hi]], cut[lo : hi + 1] - cut[lo])
+        x = lines(raw[cut[lo] : cut[hi]], cut[lo : hi + 1] - cut[lo], 1 if short else MIN_WORDS)
+        near = x.end - x.start >= MIN_WORDS
+        yield ids[lo:hi], x.where(near), x.where(~near)
 
 
-def _listed(batch: pa.RecordBatch):
-    for _, x in _texts(batch):
-        keys = _halves(x)
-        yield keys.ravel(), np.repeat(np.arange(len(keys)), 4)
+def _listed(batch: pa.RecordBatch, short: bool):
+    for _, x, brief in _texts(batch, short):
+        keys, whole = _halves(x), _exact(brief)
+        owner = np.repeat(np.arange(len(keys)), 4), np.arange(len(whole)) + len(keys)
+        yield np.concatenate([keys.ravel(), whole]), np.concatenate(owner)
 
 
 def variants(x: Lines, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -151,26 +166,33 @@ def _resolve(h, kind, ids, position, mark):
     return order[late], order[i == i[head(new_place)]]
 
 
-def late_lines(docs: DataFrame) -> DataFrame:
+def late_lines(docs: DataFrame, short: bool = False) -> DataFrame:
     """(doc_id, mark, positions): numbers of the lines with an earlier near copy."""
     rows = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    table = postings.shared_bits(rows, _listed)
+    table = postings.shared_bits(rows, lambda batch: _listed(batch, short))
 
     def entries(batch):
-        for ids, x in _texts(batch):
+        for ids, x, brief in _texts(batch, short):
             key, place, line = variants(x, table.value)
-            yield key, place, x.text[line], x.number[line], ids, x.mark
+            whole = _exact(brief)
+            met = np.flatnonzero(postings.is_shared(table.value, whole))
+            key, place = np.concatenate([key, whole[met]]), np.concatenate([place, np.full(len(met), -1, np.int32)])
+            text, number = (np.concatenate([a[line], b[met]]) for a, b in ((x.text, brief.text), (x.number, brief.number)))
+            yield key, place, text, number, ids, x.mark
 
     return postings.later(rows, entries, _resolve)
 
 
-def dedup(docs: DataFrame) -> DataFrame:
-    """`docs` with `text` less its late lines, and the columns n_lines and n_removed (0 for null texts)."""
+def dedup(docs: DataFrame, short: bool = False) -> DataFrame:
+    """`docs` with `text` less its late lines, and the columns n_lines and n_removed (0 for null texts).
+
+    `short`: exact repeats of lines under MIN_WORDS words go too.
+    """
     renamed = docs.select([F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(docs.columns)])
     keys = {"doc_id": docs.columns.index("doc_id"), "text": docs.columns.index("text")}
     rows = renamed.withColumns({"doc_id": F.col(f"_{keys['doc_id']}").cast("long")})
-    placed = postings.with_places(rows, late_lines(docs)).drop("doc_id")
+    placed = postings.with_places(rows, late_lines(docs, short)).drop("doc_id")
     plain = docs.select([F.col(f"`{c}`") for c in docs.columns if c not in ("n_lines", "n_removed")])
     schema = plain.withColumns({"n_lines": F.lit(0), "n_removed": F.lit(0)}).schema
     order = [docs.columns.index(c) for c in plain.columns]

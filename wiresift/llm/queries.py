@@ -74,7 +74,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = line_dedup.dedup(shared.read(spark, sf_dir, "documents").select("doc_id", "text"))
+    done = line_dedup.dedup(shared.read(spark, sf_dir, "documents").select("doc_id", "text"), short=True)
     return done.select("doc_id", "n_lines", "n_removed", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
 
 
