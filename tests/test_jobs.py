@@ -136,3 +136,41 @@ def test_sinks(spark, tmp_path):
 def test_surfaces_keep_duplicates_apart(spark):
     got = surfaces.decoding(exchanges.planted(spark, SF)).groupBy("exchange_id", "ordinal").count().where("count > 1")
     assert got.isEmpty()
+
+
+@pytest.mark.parametrize("name", ["d7_english_whole", "p5_path_layers", "d10_context_everywhere"])
+def test_whole_query_equals_sql(spark, name):
+    test_query_equals_sql(spark, name)
+
+
+def test_english_is_judged_over_the_whole_text(spark):
+    prose, junk = "the old river runs under the stone bridge ", "\x01\x02#$|9 "
+    texts = [prose * 9, prose * 3 + junk * 90, junk * 9 + prose * 300, "a b", "abc", "", None, "\n" * 30]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["english"] for r in queries.whole_english(rows).collect()}
+    assert [got[i] for i in range(len(texts))] == [True, False, True, True, False, False, False, False]
+
+
+def test_all_path_layers_are_segmented(spark):
+    got = {(r["location"], r["text"]) for r in queries.p5_path_layers(spark, SF).where("exchange_id % 12 = 9").collect()}
+    assert {("path-seg[1]", "%2541dmin%252Fpanel"), ("path-seg[1]", "%41dmin%2Fpanel"), ("path-seg[1]", "Admin"), ("path-seg[2]", "panel")} <= got
+
+
+def test_context_of_all_surfaces_and_lengths(spark):
+    rows = queries.d10_context_everywhere(spark, SF).collect()
+    assert len({r["location"] for r in rows}) > 3 and min(len(r["value"]) for r in rows) == 8
+
+
+def test_captured_hashes_match_captured_inputs(spark):
+    made = {(a, v): hashlib.new(a, v.encode()).hexdigest() for a in capture.DIGESTS for v in ("secret one", "x-2", "never sent")}
+    body = " ".join(f"k {h.upper() if i % 2 else h}" for i, h in enumerate(made.values())).encode()
+    rows = exchange(spark, dict(resp_headers=["Content-Type: text/html"], resp_body=body), dict(url="https://a.example/x?a=secret+one&b=x-2&c=other"))
+    found = capture.distinct_hashes(detect.findings(surfaces.detection(rows)))
+    got = {(r["hash"].lower(), r["algorithm"], r["plain"]) for r in capture.matched(found, capture.distinct_inputs(capture.inputs(rows))).collect()}
+    assert got == {(h, a, v) for (a, v), h in made.items() if v != "never sent"}
+
+
+def test_planted_captures_are_matched_whole(spark):
+    hashes, inputs = ([r["value"] for r in queries.QUERIES[q](spark, SF).collect()] for q in ("j1_distinct_hashes", "j2_distinct_inputs"))
+    want = {(h, a, v) for a in capture.DIGESTS for v in inputs for h in hashes if h.lower() == hashlib.new(a, v.encode()).hexdigest()}
+    assert {tuple(r) for r in queries.j4_match_captured(spark, SF).select("hash", "algorithm", "plain").collect()} == want

@@ -210,6 +210,16 @@ def p5_path_segments(spark, sf_dir):
     return first.unionByName(odd.where("text <> ''").select("exchange_id", F.concat(F.lit("path-seg["), F.col("i").cast("string"), F.lit("]")).alias("location"), "text"))
 
 
+@query(EX + f", a AS (SELECT exchange_id, {PATH} AS x0 FROM ex), b AS (SELECT *, {DECODED.format('x0')} AS x1 FROM a), c AS (SELECT *, {DECODED.format('x1')} AS x2 FROM b), "
+  "l AS (SELECT exchange_id, x0 AS layer FROM c UNION SELECT exchange_id, x1 FROM c UNION SELECT exchange_id, x2 FROM c), "
+  "s AS (SELECT exchange_id, string_split(regexp_replace(layer, '^/|/$', '', 'g'), '/') AS parts FROM l), i AS (SELECT exchange_id, parts, unnest(range(len(parts))) AS i FROM s) "
+  "SELECT DISTINCT exchange_id, concat('path-seg[', i, ']') AS location, parts[i + 1] AS text FROM i WHERE parts[i + 1] <> ''")
+def p5_path_layers(spark, sf_dir):
+    """Segments of every decode layer of every path, as the decode job sees them."""
+    rows = surfaces.decoding(ex(spark, sf_dir))
+    return rows.where(F.col("location").startswith("path-seg[")).select("exchange_id", "location", "text")
+
+
 @query(EX + f", s AS (SELECT exchange_id, unnest(string_split(regexp_replace({PATH}, '^/|/$', '', 'g'), '/')) AS seg FROM ex) SELECT exchange_id, 'path-seg-main' AS location, split_part(seg, ';', 1) AS text FROM s WHERE contains(seg, ';') UNION ALL SELECT exchange_id, 'path-seg-semi', substr(seg, instr(seg, ';') + 1) FROM s WHERE contains(seg, ';')")
 def p6_semicolon_parts(spark, sf_dir):
     rows = ex(spark, sf_dir).select("exchange_id", F.explode(surfaces.semicolon_parts(http.path(F.col("url")))).alias("s"))
@@ -354,6 +364,21 @@ def d7_english(spark, sf_dir):
     return rows.select("doc_id", digests.looks_like_english(F.col("p")).alias("english"))
 
 
+def whole_english(docs: DataFrame) -> DataFrame:
+    """Every row's verdict over all bytes of its text; an empty or null text is not English."""
+    # byte_pairs() looks each pair up from the start, which suits runs of 256 digits but not texts
+    pairs = F.regexp_extract_all(F.lower(F.hex(F.col("text").cast("binary"))), F.lit(".."), F.lit(0))
+    rows = docs.select("doc_id", F.when(F.length("text") > 0, pairs).alias("p"))
+    return rows.select("doc_id", F.coalesce(digests.looks_like_english(F.col("p")), F.lit(False)).alias("english"))
+
+
+@query("""WITH q AS (SELECT doc_id, regexp_extract_all(lower(hex(encode(text))), '..') AS p FROM documents)
+SELECT doc_id, coalesce(len(list_filter(p, lambda x: (x BETWEEN '20' AND '7e') OR x IN ('09', '0a', '0d'))) / len(p) >= 0.9
+ AND len(list_filter(p, lambda x: (x BETWEEN '41' AND '5a') OR (x BETWEEN '61' AND '7a'))) / len(p) >= 0.6 AND len(list_filter(p, lambda x: x = '20')) / len(p) >= 0.02, false) AS english FROM q""")
+def d7_english_whole(spark, sf_dir):
+    return whole_english(table(spark, sf_dir, "documents"))
+
+
 @query(TEXTS + " SELECT location, exchange_id, value FROM sized WHERE hex_len IN (32, 40, 56, 64, 96, 128)")
 def d8_exact_lengths(spark, sf_dir):
     return sized_runs(spark, sf_dir).where(digests.is_exact_length(F.col("value"))).select("location", "exchange_id", "value")
@@ -377,6 +402,17 @@ def d10_local_context(spark, sf_dir):
     return rows.select("exchange_id", "r.value", F.col("r.around").rlike(KEYWORDS).alias("near"))
 
 
+@query(SURFACES_SQL + f""", parts AS (SELECT exchange_id, location, text, regexp_extract_all(text, '[0-9A-Fa-f]+') AS runs, regexp_split_to_array(text, '[0-9A-Fa-f]+') AS gaps FROM surf),
+numbered AS (SELECT *, unnest(range(1, len(runs) + 1)) AS i FROM parts),
+placed AS (SELECT exchange_id, location, text, runs[i] AS value, length(list_aggregate(gaps[:i], 'string_agg', '')) + coalesce(length(list_aggregate(runs[:i - 1], 'string_agg', '')), 0) AS start FROM numbered WHERE length(runs[i]) >= {DETECT.min_hex_len})
+SELECT exchange_id, location, value, regexp_matches(lower(substr(text, greatest(0, start - 50) + 1, start + length(value) + 50 - greatest(0, start - 50))), '{KEYWORDS}') AS near FROM placed""")
+def d10_context_everywhere(spark, sf_dir):
+    """Every surface and every run that the detect job looks at."""
+    rows = surfaces.detection(ex(spark, sf_dir), DETECT)
+    rows = rows.select("exchange_id", "location", F.explode(digests.runs_with_context(F.col("text"), DETECT.min_hex_len)).alias("r"))
+    return rows.select("exchange_id", "location", "r.value", F.col("r.around").rlike(KEYWORDS).alias("near"))
+
+
 @query(SURFACES_SQL + f" SELECT exchange_id, location, CASE WHEN regexp_matches(lower(text), '{'|'.join(digests.CONTEXT_KEYWORDS)}') THEN 'Firm' ELSE 'Tentative' END AS confidence FROM surf")
 def d11_confidence(spark, sf_dir):
     sure = F.when(digests.has_keyword(F.col("text")), "Firm").otherwise("Tentative")
@@ -455,6 +491,14 @@ def j4_match_hashes(spark, sf_dir):
     return capture.matched(hashes, pages.select(plain.alias("value")))
 
 
+@query()
+def j4_match_captured(spark, sf_dir):
+    """All captured hashes against all captured inputs, by all six digests."""
+    rows = ex(spark, sf_dir)
+    hashes = capture.distinct_hashes(detect.findings(surfaces.detection(rows, DETECT), DETECT))
+    return capture.matched(hashes, capture.distinct_inputs(capture.inputs(rows)))
+
+
 def planted_tokens(spark, sf_dir):
     """Tokens to decode: words of the pages' planted exchanges, and encodings of their urls."""
     pages = table(spark, sf_dir, "pages")
