@@ -12,6 +12,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from wiresift.llm import (
     components, decontaminate, encoding, jaccard_join, kernel, language_id, license_scan, line_dedup, packing, perplexity,
@@ -20,6 +21,7 @@ from wiresift.llm import (
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+LIBRARY = []
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
@@ -33,7 +35,7 @@ def docs(spark, texts, ids=None):
 
 
 #: null, empty, white space, one word, ties, a very long text, odd characters
-ODD = [None, "", " \t\n", "word", "same text here", "same text here", "x " * 60_000, "é\u3000猫\x00\x1c a\r\nb", "\n\n\n"]
+ODD = [None, "", " \t\n", "word", "same text here", "same text here", "x " * 60_000, "é\u3000猫\x00\x1c a\r\nb", "\n\n\n", "a <|endoftext|> b"]
 
 
 def clash(df):
@@ -69,7 +71,14 @@ def test_words_equal_regex(texts):
 @given(st.lists(st.sampled_from(["a", "B", " ", "\n", "\t", "'s", "1", ".", ",", "é", "猫", "<|endoftext|>", "_", "²", "\u3000", "\x1c"]), max_size=14))
 def test_encoder_equals_library(parts):
     text, e = "".join(parts), encoding.encoder(queries.tokenizer_path())
-    assert e.ids(text) == e.whole(text)
+    assert e.ids(text) == plain_ids(text)
+
+
+def plain_ids(text):
+    """Ids by the library alone."""
+    if not LIBRARY:
+        LIBRARY.append(Tokenizer.from_file(queries.tokenizer_path()))
+    return np.array(LIBRARY[0].encode(text or "", add_special_tokens=False).ids, np.uint32).tobytes()
 
 
 def test_token_files_round_trip(spark):
@@ -78,8 +87,7 @@ def test_token_files_round_trip(spark):
     folder = shared.shared_folder(spark)
     index = token_output.write(table, folder, queries.tokenizer_path(), 2, length=64, batch_sequences=3)
     got = token_output.read_back(index, folder).collect()
-    e = encoding.encoder(queries.tokenizer_path())
-    want = Counter((r["doc_id"], len(ids := e.whole(r["text"] or "") + b"\2\0\0\0") // 4, zlib.crc32(ids)) for r in table.collect())
+    want = Counter((r["doc_id"], len(ids := plain_ids(r["text"]) + b"\2\0\0\0") // 4, zlib.crc32(ids)) for r in table.collect())
     assert Counter((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in got) == want
     at = 0
     for r in sorted(got, key=lambda r: r["start"]):
@@ -109,12 +117,11 @@ def test_packing(spark):
     texts = [*ODD, *[" ".join(rng.choice(["the", "of", "zebra", "qx"]) for _ in range(rng.randint(0, 400))) for _ in range(300)]]
     table = clash(docs(spark, texts))
     rows = packing.pack(table, queries.tokenizer_path(), 2, 128).collect()
-    e = encoding.encoder(queries.tokenizer_path())
     by = defaultdict(list)
     for r in rows:
         by[r["doc_id"]].append(r)
     for doc, text in enumerate(texts):
-        ids = e.whole(text or "") + b"\2\0\0\0"
+        ids = plain_ids(text) + b"\2\0\0\0"
         at = 0
         for i, r in enumerate(sorted(by[doc], key=lambda r: r["piece"])):
             assert (r["piece"], r["start"]) == (i, at)
@@ -132,14 +139,44 @@ def test_packing(spark):
 def test_configurations_cover_the_histogram(counts):
     lengths = np.array(sorted(counts))
     number = np.array([counts[x] for x in sorted(counts)])
-    configs = packing.configurations(lengths, number, 40, rounds=20)
-    used = Counter()
+    made = packing.configurations(lengths, number, 40)
+    configs, used = made.all, Counter()
+    assert all(k <= configs[c] for c, k in made.rounded.items())
     for config, k in configs.items():
         assert sum(lengths[list(config)]) <= 40
         for j in config:
             used[j] += k
     assert [used[j] for j in range(len(lengths))] == number.tolist()
-    assert sum(configs.values()) <= sum(packing.best_fit(lengths, number, 40).values())
+    least = -(-int((lengths * number).sum()) // 40)
+    assert least <= sum(configs.values()) <= 1.7 * least + 1  # best-fit's own bound
+
+
+@settings(max_examples=25, deadline=None)
+@given(st.dictionaries(st.integers(1, 40), st.integers(1, 30), min_size=1, max_size=12))
+def test_fractional_solution_covers_and_is_bounded(counts):
+    lengths = np.array(sorted(counts))
+    number = np.array([float(counts[x]) for x in sorted(counts)])
+    found, got = packing.fractional(lengths, number, 40), np.zeros(len(lengths))
+    for config, x in found.use.items():
+        assert sum(lengths[list(config)]) <= 40
+        for j in config:
+            got[j] += x
+    assert (got >= number - 1e-6).all() and abs(sum(found.use.values()) - found.value) < 1e-6
+    assert found.bound <= found.value + 1e-6 and found.bound >= (lengths * number).sum() / 40 - 1e-6
+
+
+def test_the_program_places_the_pieces(spark):
+    """Of the pieces shorter than a sequence, nearly all stand in rounded configurations, and no sequence is wasted."""
+    pieces = packing.cut_pieces(shared.read(spark, "/root/testdata/sf0.1", "documents"), queries.tokenizer_path(), 2, 1024)
+    rows = sorted(pieces.groupBy("length").count().collect())
+    lengths, count = np.array([r["length"] for r in rows]), np.array([r["count"] for r in rows])
+    short = lengths < 1024
+    for times in (1, 10):
+        made = packing.configurations(lengths, count * times, 1024)
+        placed = sum(k * sum(bool(short[j]) for j in c) for c, k in made.rounded.items())
+        assert placed >= 0.9 * count[short].sum() * times
+        assert 0 <= made.gap <= 0.03
+        assert sum(made.all.values()) <= 1.0006 * (lengths * count).sum() * times / 1024 + 2
 
 
 # --- de-duplication --------------------------------------------------------

@@ -41,7 +41,6 @@ class Pieces(dict):
 class Encoder:
     def __init__(self, path: str):
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True  # text that spells a special token is ordinary text
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         split = spec.get("pre_tokenizer") or {}
@@ -52,6 +51,8 @@ class Encoder:
             and split.get("use_regex", True)
             and not split.get("add_prefix_space", False)
         )
+        #: a text that spells a special token goes to the library whole
+        self.special = [t["content"] for t in spec.get("added_tokens") or []]
         self.known = Pieces(self.whole)
 
     def whole(self, text: str) -> bytes:
@@ -61,7 +62,7 @@ class Encoder:
         """Ids of a text as little-endian unsigned 32-bit integers; null is an empty text."""
         if not text:
             return b""
-        if not self.cuts or _PAIR.search(text):
+        if not self.cuts or _PAIR.search(text) or any(map(text.__contains__, self.special)):
             return self.whole(text)
         marked = text.replace(" ", "\x00 ").replace("\n", "\x00\n\x00")
         if not _LONE.search(text):

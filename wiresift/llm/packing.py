@@ -3,9 +3,10 @@
 A configuration is a multiset of lengths that fits one sequence.  The linear
 program (fewest sequences that cover every length's count) is solved by
 multiplicative weights: each round prices the lengths, a knapsack dynamic
-program finds the configurations of most value, and lengths that are ahead
-of their demand lose weight.  The fractional solution is rounded down, and
-what is left of the histogram goes best-fit, longest first.  All of this
+program finds the configurations of most value, and lengths lose weight as
+they are covered.  The fractional solution is rounded to whole sequences, the
+program is solved again for what is left of the histogram, and the little that
+no full sequence takes goes best-fit, longest first.  All of this
 works on one count per length, so it takes the same time for any corpus;
 which document takes which place is then arithmetic on its rank among the
 pieces of its length.
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter, defaultdict
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -35,14 +37,11 @@ PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, seque
 def knapsack(value: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
     """best[c]: the most value that fits c tokens; item[c]: the index of a length to take there, or -1."""
     best, item = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-    for c in range(1, capacity + 1):
-        best[c], item[c] = best[c - 1], -1
-        k = np.searchsorted(lengths, c, "right")
-        if k:
-            total = best[c - lengths[:k]] + value[:k]
-            j = int(total.argmax())
-            if total[j] > best[c] + 1e-12:
-                best[c], item[c] = total[j], j
+    known = np.searchsorted(lengths, np.arange(capacity + 1), "right")
+    for c in range(int(lengths[0]), capacity + 1):
+        total = best[c - lengths[: known[c]]] + value[: known[c]]
+        j = int(total.argmax())
+        best[c], item[c] = (total[j], j) if total[j] > best[c - 1] else (best[c - 1], -1)
     return best, item
 
 
@@ -58,31 +57,55 @@ def filled(item: np.ndarray, lengths: np.ndarray, c: int) -> list[int]:
     return out
 
 
-def fractional(lengths: np.ndarray, count: np.ndarray, capacity: int, rounds: int, rate: float) -> Counter:
-    """Configurations (sorted tuples of indices) with how often to use each, by multiplicative weights."""
-    use: Counter = Counter()
-    got = np.zeros(len(lengths))
-    weight = np.ones(len(lengths))
+class Solution(NamedTuple):
+    """A fractional solution that covers every length, its value, and a value that no solution is below."""
+
+    use: dict[tuple[int, ...], float]
+    value: float
+    bound: float
+
+
+def fractional(
+    lengths: np.ndarray, count: np.ndarray, capacity: int, rounds: int = 60, rate: float = 0.6, slack: float = 0.003
+) -> Solution:
+    """Multiplicative weights for the covering program: a weight a length, which falls as the length is covered.
+
+    A round prices the lengths once.  For each length, least covered first, the best configuration that
+    holds it is used where its value at the weights of the moment is within `slack` of the round's best;
+    weights only fall, so it is as near to the best of the moment.  Each round's prices also bound the optimum.
+    """
+    weight, got, use, bound = np.ones(len(lengths)), np.zeros(len(lengths)), {}, 0.0
     for _ in range(rounds):
-        value = lengths * weight
-        best, item = knapsack(value, lengths, capacity)
-        with_item = value + best[capacity - lengths]
-        good = np.flatnonzero(with_item >= (1 - rate) * with_item.max())
-        step = np.zeros(len(lengths))
-        for j in good:
-            config = tuple(sorted([int(j), *filled(item, lengths, capacity - int(lengths[j]))]))
+        price = lengths * weight
+        best, item = knapsack(price, lengths, capacity)
+        bound = max(bound, float((count * price).sum() / best[capacity]))
+        good = np.flatnonzero(price + best[capacity - lengths] >= (1 - slack) * best[capacity])
+        for j in good[np.argsort((got / count)[good], kind="stable")].tolist():
+            config = tuple(sorted([j, *filled(item, lengths, capacity - int(lengths[j]))]))
             parts = Counter(config)
-            amount = min(count[i] / n for i, n in parts.items()) / rounds
-            use[config] += amount
+            if sum(n * price[i] for i, n in parts.items()) < (1 - slack) * best[capacity]:
+                continue
+            amount = min(count[i] / n for i, n in parts.items())
+            use[config] = use.get(config, 0.0) + amount
             for i, n in parts.items():
-                step[i] += n * amount
-        got += step
-        weight *= np.exp(-rate * rounds * step / count / max(1.0, (rounds * step / count).max()))
-        weight /= weight.max()
-    if not use:
-        return use
-    scale = 1 / max((got / count).max(), 1e-12)  # no length beyond its demand
-    return Counter({c: x * scale for c, x in use.items()})
+                got[i] += n * amount
+                weight[i] *= np.exp(-rate * n * amount / count[i])
+                price[i] = lengths[i] * weight[i]
+    # Scaled so that few lengths lack cover; those get sequences of their own.
+    alone = capacity // lengths
+    most = None
+    for scale in np.unique(np.quantile(got / count, np.linspace(0, 1, 101))):
+        if scale > 0:
+            lack = np.maximum(count - got / scale, 0)
+            value = sum(use.values()) / scale + (lack / alone).sum()
+            if most is None or value < most[0]:
+                most = value, scale, lack
+    value, scale, lack = most
+    scaled = {c: x / scale for c, x in use.items()}
+    for i in np.flatnonzero(lack > 0).tolist():
+        own = (i,) * int(alone[i])
+        scaled[own] = scaled.get(own, 0.0) + lack[i] / alone[i]
+    return Solution(scaled, float(value), bound)
 
 
 def best_fit(lengths: np.ndarray, count: np.ndarray, capacity: int) -> Counter:
@@ -117,21 +140,41 @@ def best_fit(lengths: np.ndarray, count: np.ndarray, capacity: int) -> Counter:
     return out
 
 
-def configurations(
-    lengths: np.ndarray, count: np.ndarray, capacity: int, rounds: int = 150, rate: float = 0.05
-) -> Counter:
-    """Whole multiplicities that use every piece exactly once; never more sequences than best-fit alone."""
-    plain = best_fit(lengths, count, capacity)
-    left, out = count.copy(), Counter()
-    for config, x in fractional(lengths, count.astype(float), capacity, rounds, rate).most_common():
-        parts = Counter(config)
-        k = min(int(x), *(left[i] // n for i, n in parts.items()))
-        if k > 0:
-            out[config] += k
-            for i, n in parts.items():
-                left[i] -= n * k
-    out += best_fit(lengths, left, capacity)
-    return min(out, plain, key=lambda c: sum(c.values()))
+class Packing(NamedTuple):
+    """Whole multiplicities of configurations; `rounded` says which of them come from the program."""
+
+    all: Counter
+    rounded: Counter
+    gap: float  # of the first turn's fractional solution to its bound
+
+
+def configurations(lengths: np.ndarray, count: np.ndarray, capacity: int, turns: int = 3, least: float = 0.25) -> Packing:
+    """Whole multiplicities that use every piece exactly once.
+
+    The program is solved and rounded in turns.  Rounding goes from configurations of few pieces to
+    those of many, as small pieces fill what is left best, and takes each up to twice its share of
+    the solution while its pieces last; only full sequences are taken, and what is left is the next
+    turn's histogram.  A turn that places less than `least` of it is the last.  The rest goes best-fit.
+    """
+    left, rounded, gap = count.copy(), Counter(), 0.0
+    for turn in range(turns):
+        own = np.flatnonzero(left)
+        if not len(own):
+            break
+        before, found = int(left.sum()), fractional(lengths[own], left[own].astype(float), capacity)
+        gap = gap if turn else found.value / found.bound - 1
+        full = [(tuple(own[list(c)].tolist()), x) for c, x in found.use.items() if lengths[own[list(c)]].sum() == capacity]
+        full.sort(key=lambda e: (len(e[0]), -e[1], e[0]))
+        for config, x in full:
+            parts = Counter(config)
+            k = min(int(np.ceil(2 * x)), *(int(left[i]) // n for i, n in parts.items()))
+            if k > 0:
+                rounded[config] += k
+                for i, n in parts.items():
+                    left[i] -= n * k
+        if before - left.sum() < least * before:
+            break
+    return Packing(rounded + best_fit(lengths, left, capacity), rounded, gap)
 
 
 def layout(configs: Counter, lengths: np.ndarray) -> dict[int, np.ndarray]:
@@ -182,7 +225,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 1024) ->
     counts = sorted((r["size"], r["n"]) for r in by_task.groupBy("size").agg(F.sum("n").alias("n")).collect())
     lengths = np.array([c[0] for c in counts], np.int64)
     number = np.array([c[1] for c in counts], np.int64)
-    places = spark.sparkContext.broadcast(layout(configurations(lengths, number, capacity), lengths) if counts else {})
+    places = spark.sparkContext.broadcast(layout(configurations(lengths, number, capacity).all, lengths) if counts else {})
 
     order = Window.partitionBy("size").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     base = by_task.select("task", "size", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("base"))

@@ -72,7 +72,10 @@ class ShardWriter:
             self._batch(padded, filled)
         self.out.close()
         self.sink.close()
-        self.fs.move(self.temporary, self.final)  # a repeated task replaces the file with an equal one
+        # A repeated task replaces the file with an equal one; not every store lets a move do that.
+        if self.fs.get_file_info(self.final).type != pyarrow.fs.FileType.NotFound:
+            self.fs.delete_file(self.final)
+        self.fs.move(self.temporary, self.final)
 
 
 class ShardReader:
