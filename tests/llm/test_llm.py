@@ -370,17 +370,22 @@ def test_leaks(spark, monkeypatch):
 
 def test_license_scan(spark):
     texts = [*ODD, "Under the MIT License, or the GNU General Public License. MIT license!", "licensed under cc by nc 4.0",
-             "Permission is hereby granted, free of charge, to every person obtaining one copy of this software and associated documentation files"]
+             "Permission is hereby granted, free of charge, to every person obtaining one copy of this software and associated documentation files",
+             "released under the released under the released under the",  # one place of the template thrice
+             "associated documentation files obtaining a copy of this software and permission is hereby granted free of charge to any person",  # out of order
+             "this program is free software and you can redistribute it and or modify it under terms of the"]
     got = {r["doc_id"]: r for r in license_scan.scan(clash(docs(spark, texts))).collect()}
     n = len(ODD)
     assert len(got) == len(texts)
     a = got[n]
     assert (a["n_words"], a["n_base"], a["first_word"], a["last_word"], a["base_labels"], a["score"]) == (12, 3, 2, 10, "gpl,mit", 1.0)
     assert (got[n + 1]["base_labels"], got[n + 1]["labels"]) == ("cc-by", "cc-by,cc-by-nc")
-    assert got[n + 2]["n_base"] == 0 and got[n + 2]["labels"] == "" or got[n + 2]["labels"] == "mit"
+    assert got[n + 2]["n_base"] == 0 and got[n + 2]["labels"] == "mit" and got[n + 2]["score"] == round(1 - 4 / 20, 6)  # two words changed, and two that no hit confirms
+    assert got[n + 3]["labels"] == got[n + 4]["labels"] == "" and got[n + 3]["score"] == got[n + 4]["score"] == 0
+    assert got[n + 5]["labels"] == "gpl" and 0.75 <= got[n + 5]["score"] < 1
     for i in range(n):
         assert (got[i]["n_base"], got[i]["first_word"], got[i]["labels"]) == (0, None, "")
-    assert license_scan.scan(docs(spark, []) if False else docs(spark, texts).where("false")).count() == 0
+    assert license_scan.scan(docs(spark, texts).where("false")).count() == 0
 
 
 def test_url_filter(spark):

@@ -4,8 +4,11 @@ Every pair of neighbouring words of a document is joined, by hash, to the
 places of the same pair in license templates; the words themselves (for a
 notice, three in a row) confirm the hash.  A hit votes for its diagonal, the
 document place less the template place.  A phrase stands where its diagonal
-has all its votes.  A notice may have words changed: neighbouring diagonals
-are merged and their votes together must reach a share of the template.
+has all its votes.  A notice may have words changed: from each diagonal on,
+those up to NEIGHBOURS further are merged, and where half of the template's
+places have a vote the span is verified: the words between its first and last
+hit, in their order, are held against the template by edit distance, words
+that no hit confirms counting as changed.
 
 Rows are judged one by one, so repeated or null ids do no harm; a null text
 is an empty one and gives zero counts, null places and no labels.
@@ -13,7 +16,7 @@ is an empty one and gives zero counts, null places and no labels.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import shared
@@ -44,29 +47,62 @@ NOTICES = (
 )
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: diagonals at most so far apart are one span
+#: diagonals at most so far apart are one span: what a notice may gain or lose in words overall
 NEIGHBOURS = 3
+#: words of a text that no hit confirms
+UNCONFIRMED = "?"
 
 
 def template_rows(phrases=PHRASES, notices=NOTICES) -> list[tuple]:
-    """(template, label, whole, votes it has in all, place, word, next word, word after or null)."""
+    """(template, label, whole, votes it has in all, pattern, place, word, next word, word after or null).
+
+    The pattern has one letter for each of the template's words, equal ones alike.
+    """
     rows = []
     for t, (label, text, whole) in enumerate([(*p, True) for p in phrases] + [(*n, False) for n in notices]):
         w = text.split()
-        votes = len(w) - (1 if whole else 2)
+        votes, letter = len(w) - (1 if whole else 2), {x: chr(65 + i) for i, x in enumerate(dict.fromkeys(w))}
         for i in range(votes):
-            rows.append((t, label, whole, votes, i, w[i], w[i + 1], None if whole else w[i + 2]))
+            rows.append((t, label, whole, votes, "".join(map(letter.get, w)), i, w[i], w[i + 1], None if whole else w[i + 2]))
     return rows
 
 
 def templates(spark: SparkSession, phrases=PHRASES, notices=NOTICES) -> DataFrame:
-    schema = "template int, label string, whole boolean, votes int, place int, t1 string, t2 string, t3 string"
+    schema = "template int, label string, whole boolean, votes int, pattern string, place int, t1 string, t2 string, t3 string"
     table = spark.createDataFrame(template_rows(phrases, notices), schema)
     return table.withColumn("key", F.xxhash64("t1", "t2"))
 
 
+def _span_words(near: Column, pattern: Column) -> Column:
+    """The words from the first to the last hit of [(diagonal, places)], as letters of the pattern."""
+    letters = F.flatten(
+        F.transform(
+            near,
+            lambda d: F.flatten(
+                F.transform(
+                    d["places"],
+                    lambda p: F.array(
+                        *[
+                            F.struct((d["diagonal"] + p + i).alias("at"), F.substring(pattern, p + 1 + i, F.lit(1)).alias("letter"))
+                            for i in range(3)
+                        ]
+                    ),
+                )
+            ),
+        )
+    )
+    known = F.map_from_entries(F.array_distinct(letters))  # a place has one word, so one letter
+    places = F.map_keys(known)
+    every = F.sequence(F.array_min(places), F.array_max(places))
+    return F.array_join(F.transform(every, lambda at: F.coalesce(F.try_element_at(known, at), F.lit(UNCONFIRMED))), "")
+
+
 def scan(docs: DataFrame, phrases=PHRASES, notices=NOTICES, share: float = 0.75) -> DataFrame:
-    """Per row of `docs`: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
+    """Per row of `docs`: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
+
+    `share`: of a notice's words that must stand, by edit distance.  `score` is the largest such share,
+    1 where a phrase stands, 0 without a label.
+    """
     text = shared.lower_ascii(F.coalesce(F.col("text").cast("string"), F.lit("")))
     words = docs.select(
         F.col("doc_id"),
@@ -83,34 +119,30 @@ def scan(docs: DataFrame, phrases=PHRASES, notices=NOTICES, share: float = 0.75)
     joined = placed.join(known, "key", "left")
     same = (F.col("w1") == F.col("t1")) & (F.col("w2") == F.col("t2")) & (F.col("whole") | (F.col("w3") == F.col("t3")))
     hit = F.coalesce(same, F.lit(False))
+    of_hit = [F.first(F.when(hit, F.col(c))).alias(c) for c in ("label", "whole", "votes", "pattern")]
     diagonal = F.when(hit, F.col("at") - F.col("place"))
     votes = (
         joined.where(hit | F.col("at").isNull() | (F.col("at") == 0))
         .groupBy("row", "doc_id", "n_words", F.when(hit, F.col("template")).alias("template"), diagonal.alias("diagonal"))
-        .agg(
-            F.count("*").alias("got"),
-            F.first(F.when(hit, F.col("label"))).alias("label"),
-            F.first(F.when(hit, F.col("whole"))).alias("whole"),
-            F.first(F.when(hit, F.col("votes"))).alias("votes"),
-        )
+        .agg(F.collect_list(F.when(hit, F.col("place"))).alias("places"), *of_hit)  # as many as the template has
     )
-    # Phrases keep their own diagonals; a notice's neighbouring diagonals become one span.
-    order = Window.partitionBy("row", "template").orderBy("diagonal")
-    apart = (F.col("diagonal") - F.lag("diagonal").over(order) > NEIGHBOURS) | F.lag("diagonal").over(order).isNull()
-    fresh = F.when(F.coalesce("whole", F.lit(True)) | apart, 1).otherwise(0)
-    span = votes.withColumn("fresh", fresh).withColumn("span", F.sum("fresh").over(order))
-    keys = ["row", "doc_id", "n_words", "template", "label", "whole", "votes", "span"]
-    spans = span.groupBy(*keys).agg(F.sum("got").alias("got"), F.min("diagonal").alias("start"))
-    covered = F.least(F.lit(1.0), F.col("got") / F.col("votes"))
-    base = F.col("whole") & (F.col("got") >= F.col("votes"))
-    noticed = ~F.col("whole") & (covered >= share)
+    # Phrases keep their own diagonals; a notice's span is at most NEIGHBOURS + 1 diagonals from its first on.
+    close = Window.partitionBy("row", "template").orderBy("diagonal").rangeBetween(0, NEIGHBOURS)
+    spans = votes.withColumn("near", F.collect_list(F.struct("diagonal", "places")).over(close))
+    voted = F.size(F.array_distinct(F.flatten(F.transform("near", lambda d: d["places"]))))
+    length = F.length("pattern")
+    kept = 1 - F.levenshtein("pattern", _span_words(F.col("near"), F.col("pattern"))) / length
+    verified = F.when(~F.col("whole") & (2 * voted >= F.col("votes")), kept)
+    base = F.coalesce(F.col("whole") & (F.size("places") >= F.col("votes")), F.lit(False))
+    spans = spans.select("row", "doc_id", "n_words", "label", "diagonal", base.alias("base"), verified.alias("kept"))
+    noticed = F.coalesce(F.col("kept") >= share, F.lit(False))
     rows = spans.groupBy("row", "doc_id", "n_words").agg(
-        F.sum(F.when(base, 1).otherwise(0)).cast("long").alias("n_base"),
-        F.min(F.when(base, F.col("start"))).cast("long").alias("first_word"),
-        F.max(F.when(base, F.col("start"))).cast("long").alias("last_word"),
-        F.array_sort(F.collect_set(F.when(base, F.col("label")))).alias("base"),
-        F.array_sort(F.collect_set(F.when(base | noticed, F.col("label")))).alias("all"),
-        F.coalesce(F.max(F.when(base | noticed, covered)), F.lit(0.0)).alias("score"),
+        F.sum(F.when(F.col("base"), 1).otherwise(0)).cast("long").alias("n_base"),
+        F.min(F.when(F.col("base"), F.col("diagonal"))).cast("long").alias("first_word"),
+        F.max(F.when(F.col("base"), F.col("diagonal"))).cast("long").alias("last_word"),
+        F.array_sort(F.collect_set(F.when(F.col("base"), F.col("label")))).alias("base"),
+        F.array_sort(F.collect_set(F.when(F.col("base") | noticed, F.col("label")))).alias("all"),
+        F.coalesce(F.max(F.when(F.col("base"), 1.0).when(noticed, F.col("kept"))), F.lit(0.0)).alias("score"),
     )
     labels = [F.concat_ws(",", c).alias(x) for c, x in (("base", "base_labels"), ("all", "labels"))]
     return rows.select("doc_id", "n_words", "n_base", "first_word", "last_word", *labels, F.round("score", 6).alias("score"))

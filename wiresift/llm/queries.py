@@ -155,20 +155,26 @@ def _values(rows) -> str:
 
 _SQL_WORDS = r"[0-9a-z\x{80}-\x{10FFFF}]+"
 
-OP2_SQL = f"""WITH templates(template, label, whole, votes, place, t1, t2, t3) AS (VALUES {_values(license_scan.template_rows())}),
+OP2_SQL = f"""WITH templates(template, label, whole, votes, pattern, place, t1, t2, t3) AS (VALUES {_values(license_scan.template_rows())}),
 docs AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all({_LOW.format("coalesce(text, '')")}, '{_SQL_WORDS}') AS w FROM documents),
 words AS (SELECT r, unnest(range(len(w))) AS pos, unnest(w) AS w1, unnest(w[2:]) AS w2, unnest(w[3:]) AS w3 FROM docs),
-hits AS (SELECT r, template, label, whole, votes, pos - place AS diagonal, count(*) AS got FROM words JOIN templates ON w1 = t1 AND w2 = t2 AND (whole OR w3 = t3) GROUP BY ALL),
-marked AS (SELECT *, CASE WHEN whole OR coalesce(diagonal - lag(diagonal) OVER (PARTITION BY r, template ORDER BY diagonal) > {license_scan.NEIGHBOURS}, true) THEN 1 ELSE 0 END AS fresh FROM hits),
-spans AS (SELECT *, sum(fresh) OVER (PARTITION BY r, template ORDER BY diagonal) AS span FROM marked),
-merged AS (SELECT r, label, whole, votes, sum(got) AS got, min(diagonal) AS first FROM spans GROUP BY r, template, label, whole, votes, span),
-sure AS (SELECT *, whole AND got >= votes AS base, least(1.0, got / votes) AS covered FROM merged),
-found AS (SELECT r, sum(CAST(base AS INT)) AS n_base, min(CASE WHEN base THEN first END) AS first_word, max(CASE WHEN base THEN first END) AS last_word,
-  string_agg(DISTINCT CASE WHEN base THEN label END, ',' ORDER BY CASE WHEN base THEN label END) AS base_labels,
-  string_agg(DISTINCT CASE WHEN base OR (NOT whole AND covered >= 0.75) THEN label END, ',' ORDER BY CASE WHEN base OR (NOT whole AND covered >= 0.75) THEN label END) AS labels,
-  max(CASE WHEN base OR (NOT whole AND covered >= 0.75) THEN covered END) AS score FROM sure GROUP BY r)
+hits AS (SELECT r, template, label, whole, votes, pattern, place, pos, pos - place AS diagonal FROM words JOIN templates ON w1 = t1 AND w2 = t2 AND (whole OR w3 = t3)),
+base AS (SELECT r, label, diagonal AS start FROM hits WHERE whole GROUP BY r, template, label, votes, diagonal HAVING count(*) >= votes),
+spans AS (SELECT a.r, a.template, a.label, a.pattern, a.diagonal, min(h.pos) AS lo, max(h.pos) + 2 AS hi
+  FROM (SELECT DISTINCT r, template, label, votes, pattern, diagonal FROM hits WHERE NOT whole) a
+  JOIN hits h ON h.r = a.r AND h.template = a.template AND h.diagonal BETWEEN a.diagonal AND a.diagonal + {license_scan.NEIGHBOURS}
+  GROUP BY a.r, a.template, a.label, a.votes, a.pattern, a.diagonal HAVING 2 * count(DISTINCT h.place) >= a.votes),
+places AS (SELECT *, unnest(range(lo, hi + 1)) AS p FROM spans),
+letters AS (SELECT s.r, s.template, s.label, s.pattern, s.diagonal, s.p, max(substr(s.pattern, CAST(h.place + 1 + s.p - h.pos AS BIGINT), 1)) AS c
+  FROM places s LEFT JOIN hits h ON h.r = s.r AND h.template = s.template AND h.diagonal BETWEEN s.diagonal AND s.diagonal + {license_scan.NEIGHBOURS} AND s.p BETWEEN h.pos AND h.pos + 2
+  GROUP BY ALL),
+read AS (SELECT r, label, pattern, string_agg(coalesce(c, '{license_scan.UNCONFIRMED}'), '' ORDER BY p) AS span FROM letters GROUP BY r, template, label, pattern, diagonal),
+notices AS (SELECT r, label, 1 - levenshtein(pattern, span) / length(pattern) AS kept FROM read),
+every AS (SELECT r, label, 1.0 AS kept FROM base UNION ALL SELECT r, label, kept FROM notices WHERE kept >= 0.75),
+based AS (SELECT r, count(*) AS n_base, min(start) AS first_word, max(start) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM base GROUP BY r),
+labelled AS (SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(kept) AS score FROM every GROUP BY r)
 SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels,
-  coalesce(labels, '') AS labels, round(CAST(coalesce(score, 0) AS DOUBLE), 6) AS score FROM docs LEFT JOIN found USING (r)"""
+  coalesce(labels, '') AS labels, round(CAST(coalesce(score, 0) AS DOUBLE), 6) AS score FROM docs LEFT JOIN based USING (r) LEFT JOIN labelled USING (r)"""
 
 OP5_SQL = r"""WITH docs AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 windows AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM docs WHERE len(w) >= 50)),
