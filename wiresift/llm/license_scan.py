@@ -8,7 +8,8 @@ has all its votes.  A notice may have words changed: from each diagonal on,
 those up to NEIGHBOURS further are merged, and where half of the template's
 places have a vote the span is verified: the words between its first and last
 hit, in their order, are held against the template by edit distance, words
-that no hit confirms counting as changed.
+that no hit confirms counting as changed.  Of overlapping spans the nearest to
+its template stays, so that a notice isn't taken for one that differs in a word.
 
 Rows are judged one by one, so repeated or null ids do no harm; a null text
 is an empty one and gives zero counts, null places and no labels.
@@ -74,7 +75,7 @@ def templates(spark: SparkSession, phrases=PHRASES, notices=NOTICES) -> DataFram
 
 
 def _span_words(near: Column, pattern: Column) -> Column:
-    """The words from the first to the last hit of [(diagonal, places)], as letters of the pattern."""
+    """(first, last, read): the words from the first to the last hit of [(diagonal, places)], as letters of the pattern."""
     letters = F.flatten(
         F.transform(
             near,
@@ -92,9 +93,9 @@ def _span_words(near: Column, pattern: Column) -> Column:
         )
     )
     known = F.map_from_entries(F.array_distinct(letters))  # a place has one word, so one letter
-    places = F.map_keys(known)
-    every = F.sequence(F.array_min(places), F.array_max(places))
-    return F.array_join(F.transform(every, lambda at: F.coalesce(F.try_element_at(known, at), F.lit(UNCONFIRMED))), "")
+    first, last = F.array_min(F.map_keys(known)), F.array_max(F.map_keys(known))
+    read = F.transform(F.sequence(first, last), lambda at: F.coalesce(F.try_element_at(known, at), F.lit(UNCONFIRMED)))
+    return F.struct(first.alias("first"), last.alias("last"), F.array_join(read, "").alias("read"))
 
 
 def scan(docs: DataFrame, phrases=PHRASES, notices=NOTICES, share: float = 0.75) -> DataFrame:
@@ -130,12 +131,22 @@ def scan(docs: DataFrame, phrases=PHRASES, notices=NOTICES, share: float = 0.75)
     close = Window.partitionBy("row", "template").orderBy("diagonal").rangeBetween(0, NEIGHBOURS)
     spans = votes.withColumn("near", F.collect_list(F.struct("diagonal", "places")).over(close))
     voted = F.size(F.array_distinct(F.flatten(F.transform("near", lambda d: d["places"]))))
-    length = F.length("pattern")
-    kept = 1 - F.levenshtein("pattern", _span_words(F.col("near"), F.col("pattern"))) / length
-    verified = F.when(~F.col("whole") & (2 * voted >= F.col("votes")), kept)
+    likely = F.when(~F.col("whole") & (2 * voted >= F.col("votes")), _span_words(F.col("near"), F.col("pattern")))
     base = F.coalesce(F.col("whole") & (F.size("places") >= F.col("votes")), F.lit(False))
-    spans = spans.select("row", "doc_id", "n_words", "label", "diagonal", base.alias("base"), verified.alias("kept"))
-    noticed = F.coalesce(F.col("kept") >= share, F.lit(False))
+    spans = spans.withColumns({"base": base, "span": likely})
+    share_kept = 1 - F.levenshtein("pattern", "span.read") / F.length("pattern")
+    spans = spans.withColumns({"kept": F.when(share_kept >= share, share_kept), "first": F.col("span.first"), "last": F.col("span.last")})
+    # No span is longer than its template and the drift; so many words hold a bounded number of spans.
+    longest = max([len(text.split()) for _, text in notices], default=0) + NEIGHBOURS
+    around = Window.partitionBy("row").orderBy("first").rangeBetween(-longest, longest)
+    others = F.collect_list(F.when(F.col("kept").isNotNull(), F.struct("first", "last", "kept"))).over(around)
+    spans = spans.withColumn("others", others)
+    better = F.exists(
+        "others", lambda o: (o["first"] <= F.col("last")) & (o["last"] >= F.col("first")) & (o["kept"] > F.col("kept"))
+    )
+    noticed = F.coalesce(F.col("kept").isNotNull() & ~better, F.lit(False))
+    spans = spans.select("row", "doc_id", "n_words", "label", "diagonal", "base", "kept", noticed.alias("noticed"))
+    noticed = F.col("noticed")
     rows = spans.groupBy("row", "doc_id", "n_words").agg(
         F.sum(F.when(F.col("base"), 1).otherwise(0)).cast("long").alias("n_base"),
         F.min(F.when(F.col("base"), F.col("diagonal"))).cast("long").alias("first_word"),

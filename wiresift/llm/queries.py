@@ -168,8 +168,9 @@ places AS (SELECT *, unnest(range(lo, hi + 1)) AS p FROM spans),
 letters AS (SELECT s.r, s.template, s.label, s.pattern, s.diagonal, s.p, max(substr(s.pattern, CAST(h.place + 1 + s.p - h.pos AS BIGINT), 1)) AS c
   FROM places s LEFT JOIN hits h ON h.r = s.r AND h.template = s.template AND h.diagonal BETWEEN s.diagonal AND s.diagonal + {license_scan.NEIGHBOURS} AND s.p BETWEEN h.pos AND h.pos + 2
   GROUP BY ALL),
-read AS (SELECT r, label, pattern, string_agg(coalesce(c, '{license_scan.UNCONFIRMED}'), '' ORDER BY p) AS span FROM letters GROUP BY r, template, label, pattern, diagonal),
-notices AS (SELECT r, label, 1 - levenshtein(pattern, span) / length(pattern) AS kept FROM read),
+read AS (SELECT r, label, pattern, min(p) AS lo, max(p) AS hi, string_agg(coalesce(c, '{license_scan.UNCONFIRMED}'), '' ORDER BY p) AS span FROM letters GROUP BY r, template, label, pattern, diagonal),
+near AS (SELECT r, label, lo, hi, 1 - levenshtein(pattern, span) / length(pattern) AS kept FROM read),
+notices AS (SELECT r, label, kept FROM near a WHERE NOT EXISTS (SELECT 1 FROM near b WHERE b.r = a.r AND b.lo <= a.hi AND b.hi >= a.lo AND b.kept >= 0.75 AND b.kept > a.kept)),
 every AS (SELECT r, label, 1.0 AS kept FROM base UNION ALL SELECT r, label, kept FROM notices WHERE kept >= 0.75),
 based AS (SELECT r, count(*) AS n_base, min(start) AS first_word, max(start) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM base GROUP BY r),
 labelled AS (SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(kept) AS score FROM every GROUP BY r)
