@@ -229,6 +229,41 @@ def test_jaccard_join_equals_brute_force(spark, monkeypatch, seed, levels):
     assert kept == {i for i, (_, c) in brute_components(texts).items() if i == c}
 
 
+def test_jaccard_join_of_null_and_repeated_ids(spark):
+    words = [f"w{i}" for i in range(60)]
+    tail, head = [f"x{i}" for i in range(5)], [f"y{i}" for i in range(5)]
+    texts = [" ".join(x) for x in (words, words[:55] + tail, head + words[5:55] + tail)]  # each is near the next alone
+    got = [(r["doc_id"], r["component_id"]) for r in jaccard_join.groups(docs(spark, texts, [1, None, 3])).collect()]
+    assert sorted(got, key=str) == [(1, 1), (3, 1), (None, 1)]
+    got = [(r["doc_id"], r["component_id"]) for r in jaccard_join.groups(docs(spark, [*texts, "one two"], [7, 5, 7, None])).collect()]
+    assert sorted(got, key=str) == [(5, 5), (7, 5), (7, 5), (None, None)]
+
+
+def crowded(seed, n):
+    """Sets that share many shingles without being near, in clusters, with chains of near ones between."""
+    rng = random.Random(seed)
+    common = [f"c{i}" for i in range(40)]
+    out = []
+    for i in range(n):
+        if out and rng.random() < 0.4:
+            words = out[rng.randrange(len(out))].split()
+            for _ in range(rng.randint(1, 3)):
+                words[rng.randrange(len(words))] = f"y{rng.randrange(4)}"
+        else:
+            words = common[rng.randrange(3) * 5 :] + [f"u{rng.randrange(60)}" for _ in range(rng.randint(5, 25))]
+        out.append(" ".join(words))
+    return out
+
+
+@pytest.mark.parametrize("few,pivots,block", [(32, 8, 256), (2, 3, 4), (0, 1, 2)])
+def test_voronoi_cells_lose_no_link(spark, monkeypatch, few, pivots, block):
+    for name, value in (("FEW", few), ("PIVOTS", pivots), ("BLOCK", block), ("LEVELS", (10_000, 20_000, 30_000))):
+        monkeypatch.setattr(jaccard_join, name, value)
+    texts = crowded(3, 150)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.groups(docs(spark, texts)).collect()}
+    assert got == brute_components(texts)
+
+
 def test_components(spark):
     rng = random.Random(5)
     edges = [(rng.randrange(80), rng.randrange(80)) for _ in range(60)] + [(200 + i, 201 + i) for i in range(25)]

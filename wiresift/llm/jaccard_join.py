@@ -14,12 +14,17 @@ no number of them splits the corpus.
 Level 1.  In each region one document is the pivot and the distance of every
 other member to it is computed.  Members within the radius are linked to it.
 
-Level 2.  A region all of whose members are now in one component is finished.
-In others, members outside the region's main component meet the members that
-they could still be within the radius of: by the triangle inequality, those
-whose distance to the pivot differs by no more than the radius; and those that
-have enough shingles left from the region's own on.  These pairs are computed
-as well, so no link between components is missed.
+Further levels.  A region all of whose members are now in one component is
+finished.  In an open one, members outside its main component become pivots;
+the distance of every member to them is computed, members within the radius
+are linked, and the rest of the region is cut into the pivots' Voronoi cells.
+A member x also goes to the cell of any pivot p that is no more than twice the
+radius further than its nearest one: of two documents within the radius of
+each other, by the triangle inequality, both stand in the cell of the one's
+nearest pivot.  Cells join recursively.  A cell with few members outside its
+main component, or one that pivots don't cut, is compared directly, in blocks
+of bounded size; there too the triangle inequality holds pairs back whose
+distances to the cell's pivot differ by more than the radius.
 
 Sets that are equal are one class from the start.
 """
@@ -83,7 +88,7 @@ def _texts(batch: pa.RecordBatch, at: int):
 
 
 def _counts(rows: DataFrame) -> tuple[DataFrame, object]:
-    """The documents (doc_id, class, n_shingles), written, and the order's table, broadcast.
+    """The documents (doc_id, mark, class, n_shingles), written, and the order's table, broadcast.
 
     One pass over the texts: each task counts its shingles, the counts meet in buckets of
     hash ranges, and a bucket gives its part of the table.
@@ -97,17 +102,18 @@ def _counts(rows: DataFrame) -> tuple[DataFrame, object]:
         first = np.flatnonzero(np.r_[True, values[1:] != values[:-1]]) if len(values) else order
         return values[first], np.add.reduceat(n, first) if len(values) else n
 
-    names = ["bucket", "gaps", "more", "ids", "classes", "sizes"]
+    names = ["bucket", "gaps", "more", "ids", "marks", "classes", "sizes"]
 
     def listed(batches):
         parts, docs = [], 0
         for b in batches:
-            ids = b.column(0)
+            ids, marks = b.column(0), b.column(2)
             for lo, hi, h, owner, _ in _texts(b, 1):
                 cls, size = _classes(h, owner, hi - lo)
                 docs += 1
-                row = [docs & ((1 << bits) - 1), None, None, ids.slice(lo, hi - lo).to_pylist(), signed(cls).tobytes(), size.astype(np.int64).tobytes()]
-                kinds = [pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.binary(), pa.binary()]
+                row = [docs & ((1 << bits) - 1), None, None, ids.slice(lo, hi - lo).to_pylist(), marks.slice(lo, hi - lo).to_numpy().tobytes()]
+                row += [signed(cls).tobytes(), size.astype(np.int64).tobytes()]
+                kinds = [pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds)], names=names)
                 parts.append(np.unique((h >> U64(32)).astype(np.int64), return_counts=True))
                 if sum(len(p[0]) for p in parts[1:]) > max(1 << 20, len(parts[0][0])):
@@ -122,17 +128,18 @@ def _counts(rows: DataFrame) -> tuple[DataFrame, object]:
                 continue
             many = np.flatnonzero(n[a:z] > 1)
             more = np.stack([many, n[a:z][many]]).astype(np.uint32)
-            row = [k, _gaps(value[a:z] - (k << (32 - bits))), more.tobytes(), None, None, None]
-            kinds = [pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.binary(), pa.binary()]
+            row = [k, _gaps(value[a:z] - (k << (32 - bits))), more.tobytes(), None, None, None, None]
+            kinds = [pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds)], names=names)
         del parts, value, n
         release()
 
     def told(table: pa.Table) -> pa.Table:
-        parts, ids, classes, sizes = [], [], [], []
+        parts, ids, marks, classes, sizes = [], [], [], [], []
         for r in table.to_pylist():
             if r["gaps"] is None:
                 ids += r["ids"]
+                marks.append(np.frombuffer(r["marks"], np.int64))
                 classes.append(np.frombuffer(r["classes"], np.int64))
                 sizes.append(np.frombuffer(r["sizes"], np.int64))
                 continue
@@ -141,7 +148,7 @@ def _counts(rows: DataFrame) -> tuple[DataFrame, object]:
             at, more = np.frombuffer(r["more"], np.uint32).reshape(2, -1)
             n[at] = more
             parts.append((value, n))
-        columns = [pa.array(ids, pa.int64()), pa.array(np.concatenate(classes) if ids else [], pa.int64()), pa.array(np.concatenate(sizes) if ids else [], pa.int64())]
+        columns = [pa.array(ids, pa.int64()), *[pa.array(np.concatenate(x) if ids else [], pa.int64()) for x in (marks, classes, sizes)]]
         columns += [pa.nulls(len(ids), pa.int32()), pa.nulls(len(ids), pa.binary())]
         if parts:
             value, n = merged(parts)
@@ -149,17 +156,18 @@ def _counts(rows: DataFrame) -> tuple[DataFrame, object]:
             np.maximum.at(level, value >> (32 - ORDER_BITS), np.searchsorted(LEVELS, n, "right").astype(np.uint8))
             four = level.reshape(-1, 4)
             packed = (four[:, 0] | four[:, 1] << 2 | four[:, 2] << 4 | four[:, 3] << 6).astype(np.uint8)
-            extra = [[None], [None], [None], table.column("bucket").slice(0, 1).to_pylist(), [packed.tobytes()]]
+            extra = [[None], [None], [None], [None], table.column("bucket").slice(0, 1).to_pylist(), [packed.tobytes()]]
             columns = [pa.concat_arrays([c, pa.array(x, c.type)]) for c, x in zip(columns, extra)]
-        return pa.table(columns, names=["doc_id", "class", "n_shingles", "bucket", "levels"])
+        return pa.table(columns, names=["doc_id", "mark", "class", "n_shingles", "bucket", "levels"])
 
-    sent = rows.mapInArrow(listed, "bucket int, gaps binary, more binary, ids array<long>, classes binary, sizes binary")
-    table = shared.written(sent.groupBy("bucket").applyInArrow(told, "doc_id long, class long, n_shingles long, bucket int, levels binary"))
+    sent = rows.mapInArrow(listed, "bucket int, gaps binary, more binary, ids array<long>, marks binary, classes binary, sizes binary")
+    kept = "doc_id long, mark long, class long, n_shingles long, bucket int, levels binary"
+    table = shared.written(sent.groupBy("bucket").applyInArrow(told, kept))
     size = (1 << ORDER_BITS - bits) // 4
     levels = np.zeros((1 << ORDER_BITS) // 4, np.uint8)
     for r in table.where(F.col("levels").isNotNull()).select("bucket", "levels").toLocalIterator():  # 16 MB in all
         levels[r["bucket"] * size : (r["bucket"] + 1) * size] = np.frombuffer(r["levels"], np.uint8)
-    docs = table.where(F.col("levels").isNull()).select("doc_id", "class", "n_shingles")
+    docs = table.where(F.col("levels").isNull()).select("doc_id", "mark", "class", "n_shingles")
     return docs, spark.sparkContext.broadcast(levels)
 
 
@@ -257,35 +265,34 @@ def _regions(rows: DataFrame, table) -> DataFrame:
 
 
 def _sets(rows: DataFrame, wanted: DataFrame, docs: DataFrame) -> DataFrame:
-    """(class, shingles) of the wanted classes, each from its document of the smallest id.
+    """(class, shingles) of the wanted classes, each from one of its texts.
 
-    A bit table of fixed size says which documents to look at, so that texts stay where they are.
+    A bit table of fixed size says which texts to look at, so that texts stay where they are.
     """
     spark = rows.sparkSession
-    first = docs.join(wanted, "class").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
-    slot = F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - postings.TABLE_BITS)
+    first = docs.join(wanted, "class").groupBy("class").agg(F.min("mark").alias("mark"))
+    slot = F.shiftrightunsigned(F.xxhash64("mark"), 64 - postings.TABLE_BITS)
     marked = first.select(slot.alias("slot")).selectExpr("slot >> 5 AS word", "1L << cast(slot & 31 AS int) AS bit")
     marked = marked.groupBy("word").agg(F.bit_or("bit").alias("bits"))
     table = np.zeros(1 << (postings.TABLE_BITS - 5), np.uint32)
     for b in marked.toArrow().to_batches():  # as many rows as the table has words, at most
         table[b.column(0).to_numpy()] = b.column(1).to_numpy().astype(np.uint32)
     held = spark.sparkContext.broadcast(table)
-    slotted = rows.withColumn("slot", slot)
+    slotted = rows.select("text", slot.alias("slot"))
 
     def listed(batches):
         for b in batches:
-            at = b.column(2).to_numpy()
+            at = b.column(1).to_numpy()
             keep = (held.value[at >> 5] >> (at & 31).astype(np.uint32) & 1).astype(bool)
             b = b.filter(pa.array(keep))
-            for lo, hi, h, owner, _ in _texts(b, 1):
+            for lo, hi, h, owner, _ in _texts(b, 0):
                 cls, _ = _classes(h, owner, hi - lo)
                 cut = np.searchsorted(owner, np.arange(hi - lo + 1)).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(cut), pa.array(signed(h)))
-                columns = [b.column(0).slice(lo, hi - lo), pa.array(signed(cls)), lists]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "class", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array(signed(cls)), lists], names=["class", "shingles"])
 
-    found = slotted.mapInArrow(listed, "doc_id long, class long, shingles array<long>")
-    return shared.written(found.join(first, ["doc_id", "class"]).dropDuplicates(["class"]).select("class", "shingles"))
+    found = slotted.mapInArrow(listed, "class long, shingles array<long>")
+    return shared.written(found.join(first.select("class"), "class").dropDuplicates(["class"]))
 
 
 def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -317,7 +324,10 @@ def _fits(x: str, y: str):
 
 
 def linked_classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, class, n_shingles) of the rows and the links (a, b, both, either) between classes."""
+    """(doc_id, class, n_shingles) of the rows and the links (a, b, both, either) between classes.
+
+    Rows need the columns doc_id, text and mark, a hash of the text.
+    """
     docs, order = _counts(rows)
     regions = _regions(rows, order)
     # The pivot is the member that the region's shingle comes first in: it has the fewest shingles of its own.
@@ -333,49 +343,96 @@ def linked_classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     shared.discard(star, sets)
     near = components(measured.where(_linked()))
 
-    # Level 2: what lies outside a region's main component meets the rest of the region.
+    away = measured.select(F.col("a").alias("pivot"), F.col("b").alias("class"), (1 - F.col("both") / F.col("either")).alias("distance"))
+    # The pivot is at 0 from itself; a member that was ruled out was not measured and has no window.
+    cells = members.join(away, ["pivot", "class"], "left")
+    cells = cells.withColumn("distance", F.when(F.col("class") == F.col("pivot"), 0.0).otherwise(F.col("distance")))
+    cells = _open(cells.select("region", "class", "n", "place", "distance", F.lit(False).alias("stuck")), near)
+    shared.discard(members)
+    while not cells.isEmpty():
+        found, inner = _cut(cells, rows, docs)
+        measured = measured.unionByName(found)
+        near = components(measured.where(_linked()))
+        last, cells = cells, _open(inner, near)
+        shared.discard(last, inner)
+    return docs, measured.where(_linked())
+
+
+#: members outside the main component up to which a cell is compared directly, a block of such a cell, pivots of others
+FEW, BLOCK, PIVOTS = 32, 256, 8
+RADIUS = 1 - NUM / DEN + 1e-9
+CELL = ("region", "class", "n", "place", "distance", "stuck")
+
+
+def _open(cells: DataFrame, near: DataFrame) -> DataFrame:
+    """Members (CELL and component, main) of the cells that are not in one component yet, written."""
     label = near.select(F.col("node").alias("class"), "component")
-    placed = members.join(label, "class", "left").withColumn("component", F.coalesce("component", "class"))
+    placed = cells.join(label, "class", "left").withColumn("component", F.coalesce("component", "class"))
     sizes = placed.groupBy("region", "component").agg(F.count("*").alias("members"))
-    main = sizes.groupBy("region").agg(F.max(F.struct("members", "component")).alias("m"), F.count("*").alias("parts"))
-    main = main.where(F.col("parts") > 1).select("region", F.col("m.component").alias("main"))
-    away = measured.select(
-        F.col("a").alias("pivot"), F.col("b").alias("class"), (1 - F.col("both") / F.col("either")).alias("distance")
+    main = sizes.groupBy("region").agg(
+        F.max(F.struct("members", "component")).alias("m"), F.count("*").alias("parts"), F.sum("members").alias("all")
     )
-    open_ = placed.join(main, "region").join(away, ["pivot", "class"], "left")
-    # The pivot is at 0 from itself; a member that was ruled out was not measured and has no window.
-    open_ = open_.withColumn("distance", F.when(F.col("class") == F.col("pivot"), 0.0).otherwise(F.col("distance")))
-    open_ = shared.written(open_.select("region", "class", "n", "place", "component", "main", "distance"))
-    shared.discard(members)
-    x = open_.where(F.col("component") != F.col("main"))
-    x = x.select("region", *[F.col(c).alias(f"x_{c}") for c in ("class", "n", "place", "component", "distance")])
-    y = open_.select("region", *[F.col(c).alias(f"y_{c}") for c in ("class", "n", "place", "component", "main", "distance")])
-    radius = 1 - NUM / DEN + 1e-9
-    window = F.coalesce(F.abs(F.col("x_distance") - F.col("y_distance")) <= radius, F.lit(True))
+    main = main.where(F.col("parts") > 1)
+    main = main.select("region", F.col("m.component").alias("main"), "all", (F.col("all") - F.col("m.members")).alias("outside"))
+    return shared.written(placed.join(main, "region").select(*CELL, "component", "main", "all", "outside"))
+
+
+def _cut(cells: DataFrame, rows: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What is measured in open cells, and the cells (CELL) inside them that are left."""
+    direct = F.col("stuck") | (F.col("outside") <= FEW)
+    small, large = cells.where(direct), cells.where(~direct)
+    # Pivots: of the members outside the main component those with the smallest hashes, each by another hash.
+    chosen = [F.min_by("class", F.xxhash64("class", F.lit(i))) for i in range(PIVOTS)]
+    pivots = large.where(F.col("component") != F.col("main")).groupBy("region").agg(F.array_distinct(F.array(*chosen)).alias("p"))
+    pivots = pivots.select("region", F.explode("p").alias("pivot"))
+    dealt = large.join(pivots, "region")
+    ends = [F.least("class", "pivot").alias("a"), F.greatest("class", "pivot").alias("b")]
+    pairs = shared.written(_direct(small).unionByName(dealt.where(F.col("class") != F.col("pivot")).select(*ends)).distinct())
+    wanted = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
+    sets = _sets(rows, wanted, docs)
+    found = _measured(pairs, sets)
+    shared.discard(pairs, sets)
+    # Pivots have met every member of their cell and are done; the others go to their nearest pivot and, near a border, to more.
+    apart = found.select("a", "b", (1 - F.col("both") / F.col("either")).alias("d"))
+    others = dealt.select("region", "pivot", "class", "n", "place", "all", *ends)
+    met = pivots.withColumnRenamed("pivot", "class")
+    others = others.join(met, ["region", "class"], "left_anti").join(apart, ["a", "b"])
+    nearest = others.groupBy("region", "class").agg(F.min("d").alias("nearest"))
+    inner = others.join(nearest, ["region", "class"]).where(F.col("d") <= F.col("nearest") + 2 * RADIUS)
+    inner = inner.withColumns({"outer": F.col("all"), "region": F.xxhash64("region", "pivot"), "distance": F.col("d")})
+    size = inner.groupBy("region").agg(F.count("*").alias("left"))
+    inner = inner.join(size, "region").withColumn("stuck", F.col("left") > 0.5 * F.col("outer"))
+    return found, shared.written(inner.select(*CELL))
+
+
+def _direct(cells: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components within cells that the windows let through.
+
+    One end lies outside the main component.  A cell is dealt in blocks, so that a task gets at
+    most BLOCK members of either side at once.
+    """
+    blocks = F.ceil(F.col("all") / BLOCK).cast("int")
+    dealt = cells.withColumns({"block": F.pmod(F.xxhash64("class"), blocks).cast("int"), "other": F.explode(F.sequence(F.lit(0), blocks - 1))})
+    names = ("class", "n", "place", "component", "main", "distance")
+    x = dealt.where(F.col("component") != F.col("main"))
+    x = x.select("region", F.col("block").alias("i"), F.col("other").alias("j"), *[F.col(c).alias(f"x_{c}") for c in names])
+    y = dealt.select("region", F.col("other").alias("i"), F.col("block").alias("j"), *[F.col(c).alias(f"y_{c}") for c in names])
+    window = F.coalesce(F.abs(F.col("x_distance") - F.col("y_distance")) <= RADIUS, F.lit(True))
     apart = F.col("x_component") != F.col("y_component")
     once = (F.col("y_component") == F.col("y_main")) | (F.col("x_class") < F.col("y_class"))
-    more = x.join(y, "region").where(apart & once & window & _fits("x_", "y_"))
-    ends = [F.least("x_class", "y_class").alias("a"), F.greatest("x_class", "y_class").alias("b")]
-    more = more.select(*ends).distinct()
-    known = measured.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = shared.written(more.join(known, ["a", "b"], "left_anti"))
-    shared.discard(open_)
-    if not more.isEmpty():
-        wanted = more.select(F.col("a").alias("class")).union(more.select("b")).distinct()
-        sets = _sets(rows, wanted, docs)
-        measured = measured.unionByName(_measured(more, sets))
-        shared.discard(sets)
-    return docs, measured.where(_linked())
+    met = x.join(y, ["region", "i", "j"]).where(apart & once & window & _fits("x_", "y_"))
+    return met.select(F.least("x_class", "y_class").alias("a"), F.greatest("x_class", "y_class").alias("b"))
 
 
 def groups(docs: DataFrame) -> DataFrame:
     """Per row of `docs`: doc_id, n_shingles, component_id (the smallest doc_id reachable by links).
 
     Null and empty texts have no shingles and are linked with nothing: their
-    component is their own doc_id.  Rows with a null doc_id are left out of the
-    links' names: their component is the smallest id of their group, or null.
+    component is their own doc_id.  Rows with a null doc_id link like any other;
+    their component is the smallest id of their group, or null where it has none.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    text = F.col("text").cast("string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("mark"))
     found, links = linked_classes(rows)
     label = components(links).select(F.col("node").alias("class"), "component")
     least = found.where(F.col("n_shingles") > 0).groupBy("class").agg(F.min("doc_id").alias("least"))
