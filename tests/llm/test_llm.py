@@ -479,14 +479,60 @@ def test_base_statistics():
         assert tuple(int(got[k][i]) for k in perplexity.BASE) == want
 
 
+def brute_model(texts):
+    """Modified Kneser-Ney of code-point 4-grams, by dictionaries: the probability of a symbol after three."""
+    sequences = [[0, 0, 0, *map(ord, re.sub(r"[\x20\x09-\x0D\x00]+", "\0", t))] for t in texts if t]
+    counts = {4: Counter(tuple(x[i : i + 4]) for x in sequences for i in range(len(x) - 3))}
+    for n in (3, 2, 1):
+        counts[n] = Counter(g[1:] for g in counts[n + 1])
+    taken, after, freed = {}, defaultdict(Counter), defaultdict(Counter)
+    for n, table in counts.items():
+        of = Counter(table.values())
+        y = of[1] / (of[1] + 2 * of[2])
+        taken[n] = [0] + [min(k - 0.1, max(0.1, k - (k + 1) * y * of[k + 1] / of[k])) if of[1] and of[k] else 0.5 * k for k in (1, 2, 3)]
+        for g, c in table.items():
+            after[n][g[:-1]] += c
+            freed[n][g[:-1]] += taken[n][min(c, 3)]
+
+    def probability(g):
+        n = len(g)
+        below = probability(g[1:]) if n > 1 else 1 / 65536
+        if not after[n][g[:-1]]:
+            return below
+        c = counts[n][g]
+        return (c - taken[n][min(c, 3)] + freed[n][g[:-1]] * below) / after[n][g[:-1]]
+
+    return lambda t: [probability(tuple(x[i : i + 4])) for x in [[0, 0, 0, *map(ord, re.sub(r"[\x20\x09-\x0D\x00]+", "\0", t))]] for i in range(len(x) - 3)]
+
+
+def test_model_equals_brute_force(spark):
+    texts = ["the cat sat on the mat. The dog sat too,  and the cat ran\taway from the dog 42.", "猫は the 猫で é", "the cat sat on the hat"]
+    counts = perplexity.counted(docs(spark, [*texts, None, ""]))
+    model = perplexity.load(*perplexity.model_tables(counts))["en"]
+    brute = brute_model(texts)
+    for t in [*texts, "the cat zzz 99 猫", "quite other words", " x", "the"]:
+        got = model.score(*kernel.buffers(pa.array([t])))[0]
+        assert abs(got - np.mean(np.log(brute(t)))) < 1e-5
+
+
 def test_model_probabilities_sum_to_one(spark):
     table = docs(spark, ["the cat sat on the mat. the dog sat too, and the cat ran away from the dog."] * 3 + [None, ""])
     models = perplexity.load(*perplexity.model_tables(perplexity.counted(table)))
     model = models["en"]
-    ids, _ = perplexity.packed(*kernel.buffers(pa.array(["the cat zzz 99"])))
+    ids, _ = perplexity.packed(*kernel.buffers(pa.array(["the cat zzz 99 猫"])))
     for context in ids.tolist():
-        keys = ((context << perplexity.BITS) & ((1 << perplexity.BITS * perplexity.ORDER) - 1)) + np.arange(perplexity.SYMBOLS)
-        assert abs(np.exp(model.backed_off(keys.astype(np.uint32)).astype(float)).sum() - 1) < 1e-3
+        first = (context << perplexity.BITS) & ((1 << perplexity.BITS * perplexity.ORDER) - 1)
+        keys = np.uint64(first) + np.arange(perplexity.SYMBOLS, dtype=np.uint64)
+        assert abs(np.exp(model.log_probability(keys).astype(float)).sum() - 1) < 1e-3
+
+
+def test_quality_blocks_of_languages(spark, monkeypatch):
+    rows = [(i, t * 30, x, "s", 0) for i, (t, x) in enumerate([("the old house ", "en"), ("la maison ", "fr"), ("das haus ", "de"), ("", "it"), ("x y ", None), ("x z ", "")])]
+    table = spark.createDataFrame([*rows, (6, None, "pt", "s", 0), (6, "the house ", "en", "s", 0), (None, "der hof ", "de", "s", 0)], SCHEMA)
+    want = sorted(map(str, perplexity.judge(table).collect()))
+    monkeypatch.setattr(perplexity, "BLOCK_GRAMS", 20)
+    assert len(perplexity.blocks(perplexity.counted(table))) > 2
+    assert sorted(map(str, perplexity.judge(table).collect())) == want and len(want) == 9
 
 
 def test_quality_rules(spark):
