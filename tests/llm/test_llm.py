@@ -383,8 +383,7 @@ def test_tiling_equals_brute_force():
         k = rng.randint(2, 4)
         seeds = [(a, b) for a in range(len(d) - k + 1) for b in range(len(t) - k + 1) if d[a : a + k] == t[b : b + k]]
         got = decontaminate.tiling(*(np.array(x) for x in zip(*seeds)), k, len(t)) if seeds else []
-        assert got[:1] == brute_tiles(d, t, k)[:1]
-        assert sum(got) <= len(t) and all(n >= k for n in got)
+        assert [n for n, _, _ in got] == brute_tiles(d, t, k)
 
 
 def test_leaks(spark, monkeypatch):
@@ -393,14 +392,44 @@ def test_leaks(spark, monkeypatch):
     table = clash(docs(spark, [*ODD, f"start {item.upper()} end", moved, "alpha beta gamma delta only", f"{item} " * 300]))
     bench = spark.createDataFrame([(1, item), (2, None), (3, "two words"), (4, item), (5, "")], "item_id long, text string")
     n = len(ODD)
-    for size in (decontaminate.BLOCK_BYTES, 40):
-        monkeypatch.setattr(decontaminate, "BLOCK_BYTES", size)
+    for size in (decontaminate.ITEMS_A_ROW, 1):
+        monkeypatch.setattr(decontaminate, "ITEMS_A_ROW", size)
         got = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(table, bench).collect()}
         assert got == {(d, i) for d in (n, n + 1, n + 3) for i in (1, 4)}
         kept = decontaminate.clean(table, bench)
         assert {r["doc_id"] for r in kept.collect()} == {*range(n), n + 2} and kept.columns == table.columns
     assert decontaminate.leaks(table, bench.where("false")).count() == 0
     assert decontaminate.leaks(table.where("false"), bench).count() == 0
+    twice = docs(spark, [item, "other words", item, item], [None, None, 7, 7])
+    assert sorted(str(r["doc_id"]) for r in decontaminate.leaks(twice, bench.limit(1)).collect()) == ["7", "7", "None"]
+    assert [r["text"] for r in decontaminate.clean(twice, bench).collect()] == ["other words"]
+
+
+@pytest.mark.parametrize("bits", [24, 5])
+def test_leaks_equal_brute_force(spark, monkeypatch, bits):
+    """Items that share phrases, in documents made of their parts: every pair is tiled by brute force."""
+    monkeypatch.setattr(decontaminate, "FILTER_BITS", bits)
+    rng = random.Random(31)
+    phrases = [[rng.choice("abcdefg") + str(rng.randrange(2)) for _ in range(rng.randint(3, 7))] for _ in range(9)]
+    items = [[w for _ in range(rng.randint(1, 4)) for w in rng.choice(phrases)] for _ in range(25)]
+    texts = [[w for _ in range(rng.randint(1, 5)) for w in rng.choice([*phrases, ["z"], ["y", "x"]])] for _ in range(40)]
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")
+    want = {}
+    for i, d in enumerate(texts):
+        for j, t in enumerate(items):
+            tiles = brute_tiles(d, t, 4)
+            if tiles and sum(tiles) >= 0.6 * len(t):
+                want[i, j] = (len(t), sum(tiles), len(tiles), max(tiles))
+    rows = decontaminate.leaks(docs(spark, [", ".join(t) for t in texts]), bench).collect()
+    assert {(r["doc_id"], r["item_id"]): tuple(r)[2:] for r in rows} == want and len(rows) == len(want) > 50
+
+
+def test_leaks_of_a_phrase_in_every_item(spark):
+    rng = random.Random(5)
+    items = [(i, "we the people of " + " ".join(f"{i}w{rng.randrange(999)}" for _ in range(16))) for i in range(3000)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    table = docs(spark, ["we the people of " * 2000, f"so {items[7][1]}", "we the people of the town"])
+    assert [(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(table, bench).collect()] == [(1, 7)]
 
 
 def test_license_scan(spark):

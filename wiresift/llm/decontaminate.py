@@ -1,17 +1,23 @@
 """Benchmark decontamination by greedy string tiling.
 
 Benchmark items and documents are word sequences (ASCII lower-cased, letters,
-digits and non-ASCII).  Rolling hashes of MIN_MATCH words join the documents
-with the items; the seeds of a document and an item, merged along their
-diagonals, are maximal common runs.  Tiling takes the longest run first,
-marks its words on both sides, cuts what is left of overlapping runs, and goes
-on until no run of MIN_MATCH words is unmarked.  An item is leaked by a
-document whose tiles cover enough of the item, in whatever order they stand.
-
-The benchmark is the query set: it is read in blocks of bounded size and every
-block is held against all documents.  Null or empty texts match nothing; an
-item of fewer than MIN_MATCH words can't be told from chance and never counts.
-Rows with the same or a null id are judged each.
+digits and non-ASCII).  Hashes of MIN_MATCH words, Karp-Rabin style, are the
+seeds that join documents with items; the seeds of a document and an item,
+merged along their diagonals, are maximal common runs.  Tiling takes the
+longest run first, marks its words on both sides, cuts what is left of
+overlapping runs, and goes on until no run of MIN_MATCH words is unmarked.  An
+item is leaked by a document whose tiles cover enough of the item, in whatever
+order they stand; the words of a tile are compared themselves.
+
+To cover an item, a document must hold so many of its seeds that it holds one
+of the rarest of them, all but that number less one.  So only an item's rarer
+seeds join, and a phrase that many items share pairs nothing by itself.  A bit
+table of fixed size, made from those seeds, tells which documents to look at:
+one pass over the documents serves a benchmark of any size.
+
+Null or empty texts match nothing; an item of fewer than MIN_MATCH words can't
+be told from chance and never counts.  Rows with the same or a null id are
+judged each; an item row counts for itself.
 """
 
 from __future__ import annotations
@@ -20,50 +26,27 @@ import heapq
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .kernel import WORDY, U64, buffers, grams, runs, words
+from . import shared
+from .kernel import WORDY, U64, Words, buffers, grams, runs, signed, words
 
 MIN_MATCH = 4
-#: bytes of benchmark text held against the documents at a time
-BLOCK_BYTES = 32 << 20
-FOUND = "doc_id long, item_id long, item_words int, covered_words int, tiles int, longest_tile int"
-
-
-class Block:
-    """Seeds of some items: sorted hashes, each with its (item, place) entries."""
-
-    def __init__(self, items: list[tuple[int, str]], k: int):
-        raw, cut = buffers(pa.array([t for _, t in items], pa.string()))
-        w = words(raw, cut, WORDY)
-        h, ok = grams(w, k)
-        at = np.flatnonzero(ok)
-        order = np.argsort(h[at], kind="stable")
-        at = at[order]
-        self.ids, self.k, self.size = [i for i, _ in items], k, np.diff(w.cut)
-        self.item = w.text_of()[at]
-        self.place = at - w.cut[self.item]
-        self.hashes, first = np.unique(h[at], return_index=True)
-        self.first = np.r_[first, len(at)]
-        self.filter = np.zeros(1 << 22, bool)
-        self.filter[(self.hashes >> U64(42)).astype(np.int64)] = True
-
-    def seeds(self, h: np.ndarray, ok: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(word place, item, place in the item) of every seed that h shares with the items."""
-        at = np.flatnonzero(ok & self.filter[(h >> U64(42)).astype(np.int64)])
-        if not len(at) or not len(self.hashes):
-            return (np.zeros(0, np.int64),) * 3
-        row = np.minimum(np.searchsorted(self.hashes, h[at]), len(self.hashes) - 1)
-        hit = self.hashes[row] == h[at]
-        at, row = at[hit], row[hit]
-        n = self.first[row + 1] - self.first[row]
-        entry = np.repeat(self.first[row] - np.cumsum(n) + n, n) + np.arange(n.sum())
-        return np.repeat(at, n), self.item[entry], self.place[entry]
-
-
-def tiling(doc_at: np.ndarray, item_at: np.ndarray, k: int, size: int) -> list[int]:
-    """Lengths of the greedy tiles, given the seeds of one document and one item of `size` words."""
+#: bits of the table that tells which documents to look at (2 MB)
+FILTER_BITS = 24
+#: items of one row that a document meets
+ITEMS_A_ROW = 1024
+FOUND = "doc_id long, mark long, size int, item_id long, item_words int, covered_words int, tiles int, longest_tile int"
+_KINDS = {"long": pa.int64(), "int": pa.int32()}
+
+
+def tiling(doc_at: np.ndarray, item_at: np.ndarray, k: int, size: int) -> list[tuple[int, int, int]]:
+    """The greedy tiles (length, place in the document, place in the item), given the seeds of both.
+
+    `size`: words of the item.  Of equally long matches the first in the document, then in the item, is taken.
+    """
     order = np.lexsort((doc_at, doc_at - item_at))
     d, t = doc_at[order], item_at[order]
     first = np.r_[True, (np.diff(d) != 1) | (np.diff(d - t) != 0)]
@@ -76,7 +59,7 @@ def tiling(doc_at: np.ndarray, item_at: np.ndarray, k: int, size: int) -> list[i
         n, a, b = heapq.heappop(heap)
         free = [not done_item[b + i] and a + i not in done_doc for i in range(-n)]
         if all(free):
-            tiles.append(-n)
+            tiles.append((-n, a, b))
             done_item[b : b - n] = True
             done_doc.update(range(a, a - n))
             continue
@@ -91,82 +74,137 @@ def tiling(doc_at: np.ndarray, item_at: np.ndarray, k: int, size: int) -> list[i
     return tiles
 
 
-def found(block: Block, texts: pa.Array, coverage: float) -> list[tuple]:
-    """(row, item id, item words, covered words, tiles, longest tile) of every item that a text covers."""
-    k, out = block.k, []
-    raw, cut = buffers(texts)
-    for lo, hi in runs(cut):
-        w = words(raw[cut[lo] : cut[hi]], cut[lo : hi + 1] - cut[lo], WORDY)
-        at, item, place = block.seeds(*grams(w, k))
-        if not len(at):
-            continue
-        doc = np.searchsorted(w.cut, at, "right") - 1
-        order = np.lexsort((place, item, doc))
-        doc, item, place, at = doc[order], item[order], place[order], at[order]
-        edge = np.flatnonzero(np.r_[True, (np.diff(doc) != 0) | (np.diff(item) != 0)])
-        # Words of the item that any seed covers: no tiling covers more.
-        fresh = np.r_[k, np.minimum(np.diff(place), k)]
-        fresh[edge] = k
-        most = np.add.reduceat(fresh, edge)
-        ends = np.r_[edge[1:], len(doc)]
-        for g in np.flatnonzero(most >= coverage * block.size[item[edge]]):
-            s, e, size = edge[g], ends[g], int(block.size[item[edge[g]]])
-            tiles = tiling(at[s:e], place[s:e], k, size)
-            if tiles and sum(tiles) >= coverage * size:
-                out.append((lo + int(doc[s]), block.ids[item[s]], size, sum(tiles), len(tiles), max(tiles)))
-    return out
+def _seeds(benchmark: DataFrame, k: int) -> DataFrame:
+    """(hash, item, words): the seeds of every item at all of its places; `item` numbers the rows."""
 
+    def each(batches):
+        for b in batches:
+            raw, cut = buffers(b.column(1))
+            w = words(raw, cut, WORDY)
+            h, ok = grams(w, k)
+            at = np.flatnonzero(ok)
+            owner = w.text_of()[at]
+            size = np.diff(w.cut).astype(np.int32)[owner]
+            yield pa.RecordBatch.from_arrays([pa.array(signed(h[at])), b.column(0).take(pa.array(owner)), pa.array(size)], names=["hash", "item", "words"])
 
-def blocks(benchmark: DataFrame, k: int):
-    """The items in blocks of about BLOCK_BYTES of text."""
-    items = benchmark.where(F.col("text").isNotNull()).select(F.col("item_id").cast("long"), F.col("text").cast("string"))
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, -(-total // BLOCK_BYTES))
-    for i in range(n):
-        own = items if n == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i)
-        yield benchmark.sparkSession.sparkContext.broadcast(
-            Block([(r["item_id"], r["text"]) for r in own.toLocalIterator()], k)
-        )
+    return benchmark.select("item", "text").mapInArrow(each, "hash long, item long, words int")
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.6, k: int = MIN_MATCH) -> DataFrame:
-    """One row for each document and item that it covers to `coverage` at least."""
-    rows = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32()]
-    names = [x.split()[0] for x in FOUND.split(", ")]
-
-    def search(held):
-        def each(batches):
-            for b in batches:
-                out = found(held.value, b.column(1), coverage)
-                if out:
-                    columns = list(zip(*out))
-                    ids = b.column(0).take(pa.array(columns[0]))
-                    rest = [pa.array(c, t) for c, t in zip(columns[1:], kinds[1:])]
-                    yield pa.RecordBatch.from_arrays([ids, *rest], names=names)
-
-        return each
-
-    parts = [rows.mapInArrow(search(held), FOUND) for held in blocks(benchmark, k)]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
+def _rare_seeds(seeds: DataFrame, coverage: float, k: int) -> DataFrame:
+    """(hash, item): the rarest seeds of every item, one of which any document that covers it has.
+
+    Tiles of k words cover most for the seeds they need: coverage * words / k seeds at least are shared.
+    """
+    held = seeds.groupBy("hash").agg(F.count_distinct("item").alias("items"))
+    needed = F.greatest(F.lit(1), F.ceil(coverage * F.col("words") / k - 1e-9))
+    rank = F.row_number().over(Window.partitionBy("item").orderBy("items", "hash"))
+    ranked = seeds.join(held, "hash").withColumn("rank", rank)
+    return ranked.where(F.col("rank") <= F.col("words") - k + 1 - needed + 1).select("hash", "item").distinct()
+
+
+def _filter(rare: DataFrame) -> np.ndarray:
+    """A bit for each hash value that a rare seed has, as 32-bit words."""
+    slot = F.shiftrightunsigned("hash", 64 - FILTER_BITS)
+    bits = rare.select(slot.alias("slot")).selectExpr("slot >> 5 AS word", "1L << cast(slot & 31 AS int) AS bit")
+    out = np.zeros(1 << (FILTER_BITS - 5), np.uint32)
+    for b in bits.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow().to_batches():  # as many rows as `out`, at most
+        out[b.column(0).to_numpy()] = b.column(1).to_numpy().astype(np.uint32)
     return out
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.6, k: int = MIN_MATCH) -> DataFrame:
-    """Rows that leak no item; columns unchanged.  A row is judged where it lies, so nothing is shuffled."""
-    at = docs.columns.index("text")
+def _hit_documents(docs: DataFrame, table: np.ndarray, k: int) -> DataFrame:
+    """(row, doc_id, text, hashes) of the documents with a seed in the table; `row` numbers them."""
+    held = docs.sparkSession.sparkContext.broadcast(table)
+
+    def each(batches):
+        row = TaskContext.get().partitionId() << 40
+        for b in batches:
+            raw, cut = buffers(b.column(1))
+            for lo, hi in runs(cut):
+                w = words(raw[cut[lo] : cut[hi]], cut[lo : hi + 1] - cut[lo], WORDY)
+                h, ok = grams(w, k)
+                slot = (h >> U64(64 - FILTER_BITS)).astype(np.int64)
+                at = np.flatnonzero(ok & (held.value[slot >> 5] >> (slot & 31).astype(np.uint32) & 1).astype(bool))
+                if not len(at):
+                    continue
+                owner = np.searchsorted(w.cut, at, "right") - 1
+                hit, first = np.unique(owner, return_index=True)
+                own = [np.unique(x) for x in np.split(h[at], first[1:])]
+                edges = np.cumsum([0, *map(len, own)]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(edges), pa.array(signed(np.concatenate(own))))
+                rows = pa.array(row + np.arange(len(hit)))
+                row += len(hit)
+                part = b.slice(lo, hi - lo).take(pa.array(hit))
+                yield pa.RecordBatch.from_arrays([rows, part.column(0), part.column(1), lists], names=["row", "doc_id", "text", "hashes"])
+
+    return docs.mapInArrow(each, "row long, doc_id long, text string, hashes array<long>")
+
+
+def _spelled(w: Words, start: int, n: int) -> list[bytes]:
+    return [w.buffer[a:z].tobytes().lower() for a, z in zip(w.start[start : start + n], w.end[start : start + n])]
+
+
+def tiles_of(d: Words, seeds: np.ndarray, t: Words, k: int) -> list[tuple[int, int, int]]:
+    """Greedy tiles of a document, whose seeds are given, and an item; colliding hashes make none."""
+    own, ok = grams(t, k)
+    own = own[ok]
+    order = np.argsort(own, kind="stable")
+    first, last = np.searchsorted(own[order], seeds, "left"), np.searchsorted(own[order], seeds, "right")
+    n = last - first
+    doc_at = np.repeat(np.arange(len(seeds)), n)
+    item_at = order[np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())]
+    found = tiling(doc_at, item_at, k, len(t.name)) if len(doc_at) else []
+    return [x for x in found if _spelled(d, x[1], x[0]) == _spelled(t, x[2], x[0])]
+
+
+def _judged(coverage: float, k: int):
+    def each(batches):
+        for b in batches:
+            out = []
+            for doc, mark, text, items in zip(*(b.column(c) for c in ("doc_id", "mark", "text", "items"))):
+                d = words(*buffers(pa.array([text.as_py()])), WORDY)
+                seeds, ok = grams(d, k)
+                # A word's last places have no seed; the value that stands there meets nothing.
+                seeds = seeds[: int(ok.sum())]
+                for item in items.as_py():
+                    t = words(*buffers(pa.array([item["text"]])), WORDY)
+                    size, tiles = len(t.name), [x[0] for x in tiles_of(d, seeds, t, k)]
+                    if tiles and sum(tiles) >= coverage * size:
+                        out.append((doc.as_py(), mark.as_py(), len(d.buffer), item["item_id"], size, sum(tiles), len(tiles), max(tiles)))
+            names, kinds = zip(*(x.split() for x in FOUND.split(", ")))
+            columns = zip(*out) if out else [[]] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, _KINDS[t]) for c, t in zip(columns, kinds)], names=names)
+
+    return each
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, coverage: float, k: int) -> DataFrame:
+    """FOUND: a row for each document row and item row that it covers; mark and size are the text's hash and bytes."""
+    items = benchmark.where(F.col("text").isNotNull())
+    items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+    items = shared.written(items.withColumn("item", F.monotonically_increasing_id()))
+    rare = shared.written(_rare_seeds(_seeds(items, k), coverage, k))
+    rows = docs.where(F.col("text").isNotNull())
+    rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    hits = shared.written(_hit_documents(rows, _filter(rare), k))
+    pairs = hits.select("row", F.explode("hashes").alias("hash")).join(rare, "hash").select("row", "item").distinct()
+    # A document's items come to it in rows of about ITEMS_A_ROW at most, so none grows with the benchmark.
+    parts = -(-items.count() // ITEMS_A_ROW) or 1
+    met = pairs.join(items, "item").withColumn("part", F.pmod(F.xxhash64("item"), F.lit(parts)))
+    met = met.groupBy("row", "part").agg(F.collect_list(F.struct("item_id", "text")).alias("items")).drop("part")
+    joined = hits.select("row", "doc_id", "text", F.xxhash64("text").alias("mark")).join(met, "row")
+    return joined.select("doc_id", "mark", "text", "items").mapInArrow(_judged(coverage, k), FOUND)
 
-    def keep(held):
-        def each(batches):
-            for b in batches:
-                good = np.ones(b.num_rows, bool)
-                good[[row for row, *_ in found(held.value, b.column(at), coverage)]] = False
-                yield b.filter(pa.array(good))
 
-        return each
+def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.6, k: int = MIN_MATCH) -> DataFrame:
+    """One row for each document and item that it covers to `coverage` at least."""
+    return _found(docs, benchmark, coverage, k).drop("mark", "size")
+
 
-    for held in blocks(benchmark, k):
-        docs = docs.mapInArrow(keep(held), docs.schema)
-    return docs
+def clean(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.6, k: int = MIN_MATCH) -> DataFrame:
+    """Rows that leak no item; columns unchanged."""
+    gone = shared.written(_found(docs, benchmark, coverage, k).select("doc_id", "mark", "size").distinct())
+    gone = gone.select(*[F.col(c).alias(f"_gone_{c}") for c in gone.columns])
+    text = docs["text"].cast("string")
+    same = docs["doc_id"].cast("long").eqNullSafe(gone["_gone_doc_id"]) & (F.xxhash64(text) == gone["_gone_mark"])
+    return docs.join(gone, same & (F.octet_length(text) == gone["_gone_size"]), "left_anti")
