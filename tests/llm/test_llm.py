@@ -495,6 +495,56 @@ def test_mixture_finds_both_languages(spark):
     assert langs == ["en", "fr"] and size[0] == 2 and abs(share[0][0] - 0.5) < 0.15
 
 
+VOCABULARY = {
+    "en": "the house and garden of king who would have thought that night", "fr": "le roi est dans la maison avec une reine pour vous",
+    "de": "der hund und die katze sind nicht im haus aber ich schon", "es": "el perro y los gatos de mi casa no quieren comer nada",
+    "pl": "pies i koty nie są w domu ale ja tak bardzo chcę", "fi": "koira ja kissat eivät ole talossa mutta minä olen täällä",
+}
+
+
+def test_mixture_of_six_languages(spark):
+    rows = [(i, f"{t} " * 40, x) for i, (x, t) in enumerate(VOCABULARY.items())]
+    langs, model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    share, size, _ = language_id.mixtures([" ".join(f"{t} " * 12 for t in VOCABULARY.values())], language_id.WordScores(model))
+    assert size[0] == 6 and share[0][:-1].min() > 0.1
+
+
+def test_mixture_equals_brute_force(spark):
+    """Expectation-maximisation and the choice of the set in plain loops."""
+    rows = [(i, f"{t} " * 5, x) for i, (x, t) in enumerate(VOCABULARY.items())]
+    langs, model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice(rng.choice(list(VOCABULARY.values())[:m]).split()) for _ in range(rng.randint(1, 60))) for m in (1, 2, 3, 6) * 4]
+    scores = language_id.WordScores(model)
+    share, size, _ = language_id.mixtures(texts, scores)
+
+    def em(likes, members):
+        p = {m: 1 / len(members) for m in members}
+        for _ in range(3000):
+            total = dict.fromkeys(members, 0.0)
+            for x in likes:
+                s = sum(p[m] * x[m] for m in members)
+                for m in members:
+                    total[m] += p[m] * x[m] / s
+            p = {m: v / len(likes) for m, v in total.items()}
+        return p, sum(np.log(sum(p[m] * x[m] for m in members)) for x in likes)
+
+    for i, t in enumerate(texts):
+        likes = scores.of(language_id.Letters([t])).T.astype(float)
+        cost = language_id.PENALTY * np.log(max(len(likes), 2))
+        ones = [np.log(likes[:, m]).sum() for m in range(len(langs) + 1)]
+        worth, want = max(ones), {int(np.argmax(ones)): 1.0}
+        whole, _ = em(likes, range(len(langs) + 1))
+        order = sorted(whole, key=lambda m: -whole[m])
+        for k in range(2, len(order) + 1):
+            p, fit = em(likes, order[:k])
+            if fit - (k - 1) * cost <= worth:
+                break
+            worth, want = fit - (k - 1) * cost, p
+        got = share[i]
+        assert size[i] == len(want) and all(abs(got[m] - want.get(m, 0)) < 0.05 for m in range(len(langs) + 1))
+
+
 def test_base_statistics():
     rng = random.Random(4)
     texts = ["".join(rng.choice(["a ", "b ", "cc ", "\n", "#", "é", "a b c "]) for _ in range(rng.randint(0, 60))) for _ in range(80)] + ["", "\n\n", "x"]

@@ -27,7 +27,8 @@ BUCKETS = 1 << 16
 #: n-grams of a word, with a mark before and after it
 ORDERS = (1, 2, 3)
 UNKNOWN = "und"
-ROUNDS = 9
+#: EM of a text ends when no share moves by more in STEPS rounds
+TOLERANCE, STEPS = 0.002, 4
 #: characters of text that are worked on at once
 SLICE = 1 << 20
 #: log-likelihood that one more language must bring, for each unit of log(words)
@@ -166,15 +167,24 @@ class WordScores:
         return self.likes[:, place[back]]
 
 
-def _mixture(like: np.ndarray, n: np.ndarray, share: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
-    """Proportions (languages, texts) and log-likelihood of texts of n words each, all with a word."""
-    head = np.cumsum(n) - n
-    for _ in range(rounds):
-        weighted = [x * np.repeat(p, n) for x, p in zip(like, share)]
-        scale = 1 / (sum(weighted) + np.float32(1e-30))
-        share = np.stack([np.add.reduceat(w * scale, head) for w in weighted]) / n.astype(np.float32)
+def _mixture(like: np.ndarray, n: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Proportions (languages, texts) and log-likelihood of texts of n words each, all with a word.
+
+    Expectation and maximisation alternate until a text's shares rest; texts that rest are left out of further rounds.
+    """
+    share, open_, words, own = share.copy(), np.arange(len(n)), like, n
+    while len(open_):
+        head, now = np.cumsum(own) - own, share[:, open_]
+        for _ in range(STEPS):
+            weighted = [x * np.repeat(p, own) for x, p in zip(words, now)]
+            scale = 1 / (sum(weighted) + np.float32(1e-30))
+            now = np.stack([np.add.reduceat(w * scale, head) for w in weighted]) / own.astype(np.float32)
+        moved = np.abs(now - share[:, open_]).max(axis=0) > TOLERANCE
+        share[:, open_] = now
+        if not moved.all():
+            words, own, open_ = words[:, np.repeat(moved, own)], own[moved], open_[moved]
     total = sum(x * np.repeat(p, n) for x, p in zip(like, share))
-    return share, np.add.reduceat(np.log(total + 1e-30), head)
+    return share, np.add.reduceat(np.log(total + 1e-30), np.cumsum(n) - n)
 
 
 def mixtures(texts: list[str | None], scores: WordScores) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -200,18 +210,24 @@ def mixtures(texts: list[str | None], scores: WordScores) -> tuple[np.ndarray, n
         take = np.repeat(np.isin(np.arange(len(full)), open_), n)
         like, n = like[:, take], n[open_]
         start = np.full((kinds, len(open_)), 1 / kinds, np.float32)
-        whole, _ = _mixture(like, n, start, ROUNDS)
+        whole, _ = _mixture(like, n, start)
         order = np.argsort(-whole, axis=0, kind="stable")
-        for k in range(2, min(kinds, 4) + 1):  # nested sets: the k languages of largest share
+        for k in range(2, kinds + 1):  # nested sets: the k languages of largest share, while they are worth it
             allowed = np.zeros_like(whole)
             np.put_along_axis(allowed, order[:k], 1, axis=0)
             begin = (whole + np.float32(1e-6)) * allowed
-            found, fit = _mixture(like, n, begin / begin.sum(axis=0), ROUNDS // 3)
+            found, fit = _mixture(like, n, begin / begin.sum(axis=0))
             worth = fit - (k - 1) * cost[open_]
             better = worth > value[open_]
             best[:, open_[better]] = found[:, better]
             chosen[open_[better]] = k
             value[open_[better]] = worth[better]
+            # No larger set's likelihood is above that of all languages or 0; most texts can't gain any more.
+            going = better & (value[open_] < -k * cost[open_])
+            if not going.any():
+                break
+            like, n, open_ = like[:, np.repeat(going, n)], n[going], open_[going]
+            whole, order = whole[:, going], order[:, going]
     share[full], size[full] = best.T, chosen
     return share, size, words
 
