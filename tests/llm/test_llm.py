@@ -463,11 +463,30 @@ def test_url_filter(spark):
     assert got[4][2:] == ("example.com/en/", "block") and got[5][2:] == ("com/", "allow")
     assert got[6][2:] == ("net/es/", "block") and got[7][2:] == ("net/fr/", "block")
     assert got[8] == ("bad.co.uk", "/x", None, "block") and got[10] == ("com", "", None, "allow")
+    # User and port are no part of a name; labelled urls without a host teach nothing; no label, no domain: spread as learned.
+    more = spark.createDataFrame([(1, "http://me:pw@bad.co.uk:8080/"), (2, "http://other.bad.co.uk/"), (3, "no scheme"), (4, "http://new.zz/")], "page_id long, url string")
+    taught = outcomes.union(spark.createDataFrame([(None, 1), ("no scheme", 1)] * 50, outcomes.schema))
+    rows = {r["page_id"]: r for r in url_filter.judge(more, taught, queries.URL_RULES).collect()}
+    assert rows[1]["host"] == "me:pw@bad.co.uk:8080" and rows[1]["verdict"] == "block" and rows[1]["bad_rate"] > 0.9
+    assert rows[2]["bad_rate"] > 0.5 > rows[3]["bad_rate"] - 0.1 and rows[3]["bad_rate"] == rows[4]["bad_rate"]
+    assert rows[3]["verdict"] == "allow" and rows[4]["bad_lower"] < rows[4]["bad_rate"]
+    assert url_filter.judge(pages.union(pages), outcomes, queries.URL_RULES).count() == 2 * len(urls)
     none = url_filter.judge(pages, outcomes.where("false"), queries.URL_RULES)
     assert none.count() == len(urls)
     assert url_filter.judge(pages.where("false"), outcomes, queries.URL_RULES).count() == 0
 
 
+def test_beta_quantile(spark):
+    """Against sums of the density over the rate itself."""
+    cases = [(2.0, 3.0), (40.5, 1.7), (1.2, 30.0), (300.0, 450.0), (0.4, 0.6), (0.02, 5.0)]
+    rows = spark.createDataFrame(cases, "a double, b double").select("a", "b", url_filter.beta_quantile(F.col("a"), F.col("b"), 0.05).alias("q")).collect()
+    for r in rows:
+        y = np.linspace(-60 - 9 / r["a"], 60 + 9 / r["b"], 2_000_001)
+        w = np.exp(r["a"] * -np.logaddexp(0, -y) + r["b"] * -np.logaddexp(0, y) + 100)
+        cumulative = np.cumsum(w) / w.sum()
+        assert abs(r["q"] - 1 / (1 + np.exp(-y[np.searchsorted(cumulative, 0.05)]))) < 2e-4
+
+
 # --- models ----------------------------------------------------------------
 
 

@@ -123,11 +123,22 @@ def _strength_sql(level: str, name: str) -> str:
   FROM (SELECT sum(n * (bad / n - rate) * (bad / n - rate) / (rate * (1 - rate))) AS q, count(*) AS m, sum(n) AS total FROM {level} WHERE rate * (1 - rate) > 0)))"""
 
 
+def _domain_sql(name: str) -> str:
+    return f"CASE WHEN {_two(name)} THEN {_last(name, 3)} ELSE {_last(name, 2)} END"
+
+
+def _suffix_sql(name: str) -> str:
+    return f"CASE WHEN {_two(name)} THEN {_last(name, 2)} ELSE split_part({name}, '.', -1) END"
+
+
+_NAME = "regexp_replace(split_part(host, '@', -1), ':[0-9]*$', '')"
+_DENSITY = "alpha * least({0}, 0) + beta * least(-({0}), 0) - (alpha + beta) * ln(1 + exp(-abs({0})))"
+
 OP1_SQL = f"""WITH judged AS (SELECT page_id, url, coalesce({_LOW.format(f"regexp_extract({_REST}, '^([^/?#]*)', 1)")}, '') AS host,
   coalesce(regexp_extract({_REST}, '^[^/?#]*(/[^?#]*)?', 1), '') AS path FROM pages),
-outcomes AS (SELECT host, CAST(toxic = 1 OR quality = 0 AS BIGINT) AS bad FROM judged JOIN labels ON page_id = doc_id),
-h0 AS (SELECT host, count(*) AS n, sum(bad) AS bad, CASE WHEN {_two('host')} THEN {_last('host', 3)} ELSE {_last('host', 2)} END AS domain FROM outcomes WHERE bad IS NOT NULL GROUP BY host),
-d0 AS (SELECT domain, sum(n) AS n, sum(bad) AS bad, CASE WHEN {_two('domain')} THEN {_last('domain', 2)} ELSE split_part(domain, '.', -1) END AS suffix FROM h0 GROUP BY domain),
+outcomes AS (SELECT {_NAME} AS name, CAST(toxic = 1 OR quality = 0 AS BIGINT) AS bad FROM judged JOIN labels ON page_id = doc_id WHERE {_NAME} <> ''),
+h0 AS (SELECT name, count(*) AS n, sum(bad) AS bad, {_domain_sql('name')} AS domain FROM outcomes WHERE bad IS NOT NULL GROUP BY name),
+d0 AS (SELECT domain, sum(n) AS n, sum(bad) AS bad, {_suffix_sql('domain')} AS suffix FROM h0 GROUP BY domain),
 s0 AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM d0 GROUP BY suffix),
 g AS (SELECT (coalesce(sum(bad), 0) + 1) / (coalesce(sum(n), 0) + 2) AS rate FROM s0),
 s1 AS (SELECT s0.*, rate FROM s0, g), {_strength_sql('s1', 'ss')},
@@ -135,13 +146,19 @@ s2 AS (SELECT suffix, s * rate + bad AS alpha, s * (1 - rate) + n - bad AS beta
 d1 AS (SELECT d0.*, alpha / (alpha + beta) AS rate FROM d0 JOIN s2 USING (suffix)), {_strength_sql('d1', 'ds')},
 d2 AS (SELECT domain, s * rate + bad AS alpha, s * (1 - rate) + n - bad AS beta FROM d1, ds),
 h1 AS (SELECT h0.*, alpha / (alpha + beta) AS rate FROM h0 JOIN d2 USING (domain)), {_strength_sql('h1', 'hs')},
-h2 AS (SELECT host, s * rate + bad AS alpha, s * (1 - rate) + n - bad AS beta FROM h1, hs),
-named AS (SELECT DISTINCT host, CASE WHEN {_two('host')} THEN {_last('host', 3)} ELSE {_last('host', 2)} END AS domain,
-  CASE WHEN {_two('host')} THEN {_last('host', 2)} ELSE split_part(host, '.', -1) END AS suffix FROM judged),
-post AS (SELECT named.host, coalesce(h2.alpha, 10.0 * coalesce(d2.alpha / (d2.alpha + d2.beta), s2.alpha / (s2.alpha + s2.beta), g.rate)) AS a,
-  coalesce(h2.beta, 10.0 * (1 - coalesce(d2.alpha / (d2.alpha + d2.beta), s2.alpha / (s2.alpha + s2.beta), g.rate))) AS b
-  FROM named CROSS JOIN g LEFT JOIN h2 USING (host) LEFT JOIN d2 USING (domain) LEFT JOIN s2 USING (suffix)),
-scores AS (SELECT host, round(a / (a + b), 6) AS bad_rate, round(a / (a + b) - 1.645 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))), 6) AS bad_lower FROM post),
+h2 AS (SELECT name, s * rate + bad AS alpha, s * (1 - rate) + n - bad AS beta FROM h1, hs),
+named AS (SELECT *, {_domain_sql('name')} AS domain, {_suffix_sql('name')} AS suffix FROM (SELECT DISTINCT host, {_NAME} AS name FROM judged)),
+kept AS (SELECT host, h2.alpha AS ha, h2.beta AS hb, coalesce(d2.alpha / (d2.alpha + d2.beta), s2.alpha / (s2.alpha + s2.beta), g.rate) AS rate,
+  hs.s / (hs.s + 1) * CASE WHEN d2.alpha IS NOT NULL THEN (d2.alpha + d2.beta) / (d2.alpha + d2.beta + 1)
+    WHEN s2.alpha IS NOT NULL THEN ds.s / (ds.s + 1) * (s2.alpha + s2.beta) / (s2.alpha + s2.beta + 1) ELSE ds.s / (ds.s + 1) * ss.s / (ss.s + 1) END AS rest
+  FROM named CROSS JOIN g CROSS JOIN hs CROSS JOIN ds CROSS JOIN ss LEFT JOIN h2 USING (name) LEFT JOIN d2 USING (domain) LEFT JOIN s2 USING (suffix)),
+post AS (SELECT host, coalesce(ha, rest / (1 - rest) * rate) AS alpha, coalesce(hb, rest / (1 - rest) * (1 - rate)) AS beta FROM kept),
+edges AS (SELECT *, ln(alpha / beta) AS peak, sqrt(1 / alpha + 1 / beta) AS wide FROM post),
+grid AS (SELECT *, peak - 9 / alpha - 8 * wide AS low, (9 / beta + 9 / alpha + 16 * wide) / {url_filter.GRID - 1} AS step FROM edges),
+density AS (SELECT host, low, step, i, exp({_DENSITY.format('(low + step * i)')} - ({_DENSITY.format('peak')})) AS w FROM grid, range({url_filter.GRID}) AS r(i)),
+summed AS (SELECT *, sum(w) OVER (PARTITION BY host ORDER BY i) AS upto, 0.05 * sum(w) OVER (PARTITION BY host) AS wanted FROM density),
+found AS (SELECT host, low + step * (i + 1 - (upto - wanted) / w - 0.5) AS y FROM summed WHERE upto > wanted QUALIFY row_number() OVER (PARTITION BY host ORDER BY i) = 1),
+scores AS (SELECT host, round(alpha / (alpha + beta), 6) AS bad_rate, round(exp(least(y, 0)) / (1 + exp(-abs(y))), 6) AS bad_lower FROM post JOIN found USING (host)),
 ruled AS (SELECT judged.*, {_rules_sql()} AS rule, bad_rate, bad_lower FROM judged JOIN scores USING (host))
 SELECT page_id, host, path, rule, CASE {' '.join(f"WHEN rule = '{t}' THEN '{v}'" for t, v in URL_RULES)} WHEN bad_lower > 0.5 THEN 'block' ELSE 'allow' END AS verdict, bad_rate, bad_lower FROM ruled"""
 

@@ -45,6 +45,11 @@ def matched_rule(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -
     return rule, verdict
 
 
+def name_of(host: Column) -> Column:
+    """A host less user and port."""
+    return F.regexp_replace(F.substring_index(host, "@", -1), ":[0-9]*$", "")
+
+
 def suffix_of(host: Column) -> Column:
     last, before = F.substring_index(host, ".", -1), F.substring_index(F.substring_index(host, ".", -2), ".", 1)
     two = (F.length(last) == 2) & before.isin(*SECOND_LEVEL) & (F.instr(host, ".") > 0)
@@ -77,35 +82,85 @@ def _strength(children: DataFrame, name: str) -> DataFrame:
 
 
 def reputation(outcomes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Posterior (alpha, beta) of the bad rate by host, domain and suffix, and the global row.
+    """Posterior (alpha, beta) of the bad rate by name, domain and suffix, and a row of what holds for all.
 
-    outcomes: (host, bad 0/1); aggregation by host comes first, so one hot
+    outcomes: (name, bad 0/1); aggregation by name comes first, so one hot
     host is one row after each task's own sums.
     """
-    by_host = outcomes.groupBy("host").agg(F.count("*").alias("n"), F.sum("bad").alias("bad"))
-    by_host = by_host.select("host", domain_of(F.col("host")).alias("domain"), "n", "bad")
-    by_domain = by_host.groupBy("domain").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    by_domain = by_domain.select("domain", suffix_of(F.col("domain")).alias("suffix"), "n", "bad")
+    by_name = outcomes.groupBy("name").agg(F.count("*").alias("n"), F.sum("bad").alias("bad"))
+    by_name = shared.written(by_name.select("name", domain_of(F.col("name")).alias("domain"), "n", "bad"))
+    by_domain = by_name.groupBy("domain").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    by_domain = shared.written(by_domain.select("domain", suffix_of(F.col("domain")).alias("suffix"), "n", "bad"))
     by_suffix = by_domain.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     # One pseudo-page each way keeps the global rate inside (0, 1), and defined without labels.
     everything = by_suffix.agg(F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
     everything = everything.select(((F.col("bad") + 1) / (F.col("n") + 2)).alias("rate"))
 
-    def shrunk(level: DataFrame, key: str, strength: str) -> DataFrame:
-        """level: key, n, bad, rate (its parent's); one row joins, so both joins are with a single row."""
-        s = _strength(level, strength)
+    def shrunk(level: DataFrame, key: str, strength: str) -> tuple[DataFrame, DataFrame]:
+        """level: key, n, bad, rate (its parent's)."""
+        s = shared.written(_strength(level, strength))
         joined = level.crossJoin(F.broadcast(s))  # one row
         alpha = F.col(strength) * F.col("rate") + F.col("bad")
         beta = F.col(strength) * (1 - F.col("rate")) + F.col("n") - F.col("bad")
-        return joined.select(key, alpha.alias("alpha"), beta.alias("beta"))
+        return shared.written(joined.select(key, alpha.alias("alpha"), beta.alias("beta"))), s
 
     rate = F.col("alpha") / (F.col("alpha") + F.col("beta"))
-    suffixes = shrunk(by_suffix.crossJoin(F.broadcast(everything)), "suffix", "suffix_strength")
+    suffixes, of_suffixes = shrunk(by_suffix.crossJoin(F.broadcast(everything)), "suffix", "suffix_strength")
     parents = suffixes.select("suffix", rate.alias("rate"))
-    domains = shrunk(by_domain.join(parents, "suffix"), "domain", "domain_strength")
+    domains, of_domains = shrunk(by_domain.join(parents, "suffix"), "domain", "domain_strength")
     parents = domains.select("domain", rate.alias("rate"))
-    hosts = shrunk(by_host.join(parents, "domain"), "host", "host_strength")
-    return hosts, domains, suffixes, everything
+    names, of_names = shrunk(by_name.join(parents, "domain"), "name", "name_strength")
+    for one in (of_suffixes, of_domains, of_names):
+        everything = everything.crossJoin(F.broadcast(one))  # single rows
+    return names, domains, suffixes, shared.written(everything)
+
+
+def _spread(rate: Column, *strengths: Column) -> Column:
+    """(alpha, beta) of a rate below levels of such strengths: each leaves s / (s + 1) of rate * (1 - rate) to those below."""
+    left = F.lit(1.0)
+    for s in strengths:
+        left = left * s / (s + 1)
+    return F.struct((left / (1 - left) * rate).alias("alpha"), (left / (1 - left) * (1 - rate)).alias("beta"))
+
+
+#: places at which a beta distribution is summed up
+GRID = 512
+
+
+def _given(value: Column, then) -> Column:
+    """then(value), with the value worked out once however often it is used."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def beta_quantile(a: Column, b: Column, share: float) -> Column:
+    """The value that a beta variable is below with probability `share`.
+
+    The density over the log-odds has no poles; it is summed up on a grid around its peak.
+    """
+    peak, wide = F.ln(a / b), F.sqrt(1 / a + 1 / b)
+    low = peak - 9 / a - 8 * wide
+    step = (9 / b + 9 / a + 16 * wide) / (GRID - 1)
+
+    def log_density(y: Column) -> Column:
+        return a * F.least(y, F.lit(0.0)) + b * F.least(-y, F.lit(0.0)) - (a + b) * F.ln(1 + F.exp(-F.abs(y)))
+
+    def weighed(g: Column) -> Column:
+        places = F.sequence(F.lit(0), F.lit(GRID - 1))
+        weights = F.transform(places, lambda i: F.exp(log_density(g["low"] + g["step"] * i) - g["top"]))
+        return _given(weights, lambda w: _given(F.aggregate(w, F.lit(0.0), lambda t, x: t + x) * share, lambda wanted: walked(g, w, wanted)))
+
+    def walked(g: Column, weights: Column, wanted: Column) -> Column:
+        def walk(t: Column, w: Column) -> Column:
+            """`place`: grid steps until the sum is as wanted, the last one in part."""
+            part = F.when(t["sum"] + w <= wanted, 1.0).when(t["sum"] < wanted, (wanted - t["sum"]) / w).otherwise(0.0)
+            return F.struct((t["sum"] + w).alias("sum"), (t["place"] + part).alias("place"))
+
+        start = F.struct(F.lit(0.0).alias("sum"), F.lit(0.0).alias("place"))
+        place = F.aggregate(weights, start, walk)["place"]
+        return g["low"] + g["step"] * (place - 0.5)  # a weight stands for half a step on either side
+
+    grid = F.struct(low.alias("low"), step.alias("step"), log_density(peak).alias("top"))
+    return _given(_given(grid, weighed), lambda y: F.exp(F.least(y, F.lit(0.0))) / (1 + F.exp(-F.abs(y))))
 
 
 def judge(
@@ -113,45 +168,39 @@ def judge(
     outcomes: DataFrame,
     rules: Sequence[tuple[str, str]],
     threshold: float = 0.5,
-    z: float = 1.645,
-    unseen: float = 10.0,
+    share: float = 0.05,
 ) -> DataFrame:
     """Per page: page_id, host, path, rule, verdict, bad_rate, bad_lower.
 
-    pages (page_id, url); outcomes (url, bad).  `unseen` is what the prior of
-    a host, domain or suffix without labels is worth in pages.
+    pages (page_id, url); outcomes (url, bad).  A host's rate of bad pages is
+    below `bad_lower` with probability `share`.
     """
-    labelled = outcomes.where(F.col("bad").isNotNull()).select(parts(F.col("url"))[0].alias("host"), F.col("bad").cast("long"))
-    hosts, domains, suffixes, everything = reputation(labelled)
-    out = pages.select(F.col("page_id"), F.col("url"))
+    name = name_of(parts(F.col("url"))[0])
+    labelled = outcomes.where(F.col("bad").isNotNull()).select(name.alias("name"), F.col("bad").cast("long"))
+    names, domains, suffixes, everything = reputation(labelled.where(F.col("name") != ""))
     host, path = parts(F.col("url"))
-    out = out.select("page_id", host.alias("host"), path.alias("path"))
-    out = out.withColumns({"domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host"))})
+    out = pages.select("page_id", host.alias("host"), path.alias("path"))
     # Hosts are many and pages skewed: reputation is worked out per distinct host, then joined once.
-    seen = out.select("host", "domain", "suffix").distinct()
-    for table, key in ((hosts, "host"), (domains, "domain"), (suffixes, "suffix")):
+    seen = out.select("host").distinct().withColumn("name", name_of(F.col("host")))
+    seen = seen.withColumn("domain", domain_of(F.col("name"))).withColumn("suffix", suffix_of(F.col("name")))
+    for table, key in ((names, "name"), (domains, "domain"), (suffixes, "suffix")):
         seen = seen.join(table.select(key, F.struct("alpha", "beta").alias(f"{key}_post")), key, "left")
     seen = seen.crossJoin(F.broadcast(everything))  # one row
-    weaker = [
-        F.struct((F.lit(unseen) * r).alias("alpha"), (F.lit(unseen) * (1 - r)).alias("beta"))
-        for r in (
-            F.col("domain_post.alpha") / (F.col("domain_post.alpha") + F.col("domain_post.beta")),
-            F.col("suffix_post.alpha") / (F.col("suffix_post.alpha") + F.col("suffix_post.beta")),
-            F.col("rate"),
-        )
-    ]
+    by_name, by_domain, by_suffix = (F.col(f"{k}_strength") for k in ("name", "domain", "suffix"))
+
+    def pages_of(post: str) -> Column:
+        return F.col(f"{post}.alpha") + F.col(f"{post}.beta")
+
     post = (
-        F.when(F.col("host_post").isNotNull(), F.col("host_post"))
-        .when(F.col("domain_post").isNotNull(), weaker[0])
-        .when(F.col("suffix_post").isNotNull(), weaker[1])
-        .otherwise(weaker[2])
+        F.when(F.col("name_post").isNotNull(), F.col("name_post"))
+        .when(F.col("domain_post").isNotNull(), _spread(F.col("domain_post.alpha") / pages_of("domain_post"), pages_of("domain_post"), by_name))
+        .when(F.col("suffix_post").isNotNull(), _spread(F.col("suffix_post.alpha") / pages_of("suffix_post"), pages_of("suffix_post"), by_domain, by_name))
+        .otherwise(_spread(F.col("rate"), by_suffix, by_domain, by_name))
     )
-    seen = seen.select("host", post.alias("post"))
-    a, b = F.col("post.alpha"), F.col("post.beta")
-    mean = a / (a + b)
-    deviation = F.sqrt(a * b / ((a + b) * (a + b) * (a + b + 1)))
-    scores = seen.select("host", F.round(mean, 6).alias("bad_rate"), F.round(mean - F.lit(z) * deviation, 6).alias("bad_lower"))
-    out = out.join(scores, "host", "left")
+    seen = seen.select("host", post.alias("post")).select("host", "post.alpha", "post.beta")
+    a, b = F.col("alpha"), F.col("beta")
+    scores = seen.select("host", F.round(a / (a + b), 6).alias("bad_rate"), F.round(beta_quantile(a, b, share), 6).alias("bad_lower"))
+    out = out.join(shared.written(scores), "host", "left")
     rule, said = matched_rule(F.col("host"), F.col("path"), rules)
     method = F.when(F.col("bad_lower") > threshold, F.lit("block")).otherwise(F.lit("allow"))
     return out.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(said, method).alias("verdict"), "bad_rate", "bad_lower")
