@@ -408,15 +408,17 @@ def _cut(cells: DataFrame, rows: DataFrame, docs: DataFrame) -> tuple[DataFrame,
 def _direct(cells: DataFrame) -> DataFrame:
     """Pairs (a, b) of different components within cells that the windows let through.
 
-    One end lies outside the main component.  A cell is dealt in blocks, so that a task gets at
-    most BLOCK members of either side at once.
+    One end lies outside the main component.  Both sides of a cell are dealt in blocks of about BLOCK
+    members, so that a task gets no more of either at once.
     """
-    blocks = F.ceil(F.col("all") / BLOCK).cast("int")
-    dealt = cells.withColumns({"block": F.pmod(F.xxhash64("class"), blocks).cast("int"), "other": F.explode(F.sequence(F.lit(0), blocks - 1))})
     names = ("class", "n", "place", "component", "main", "distance")
-    x = dealt.where(F.col("component") != F.col("main"))
-    x = x.select("region", F.col("block").alias("i"), F.col("other").alias("j"), *[F.col(c).alias(f"x_{c}") for c in names])
-    y = dealt.select("region", F.col("other").alias("i"), F.col("block").alias("j"), *[F.col(c).alias(f"y_{c}") for c in names])
+    sides = []
+    for side, own, size, other, count in (("x_", "i", "outside", "j", "all"), ("y_", "j", "all", "i", "outside")):
+        blocks, copies = (F.ceil(F.col(c) / BLOCK).cast("int") for c in (size, count))
+        number = F.pmod(F.xxhash64("class"), blocks).cast("int").alias(own)
+        dealt = cells.withColumn(other, F.explode(F.sequence(F.lit(0), copies - 1)))
+        sides.append(dealt.select("region", number, other, *[F.col(c).alias(side + c) for c in names]))
+    x, y = sides[0].where(F.col("x_component") != F.col("x_main")), sides[1]
     window = F.coalesce(F.abs(F.col("x_distance") - F.col("y_distance")) <= RADIUS, F.lit(True))
     apart = F.col("x_component") != F.col("y_component")
     once = (F.col("y_component") == F.col("y_main")) | (F.col("x_class") < F.col("y_class"))
