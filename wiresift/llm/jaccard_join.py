@@ -87,13 +87,13 @@ def _texts(batch: pa.RecordBatch, at: int):
         yield lo, hi, *shingles(raw[cut[lo] : cut[hi]], cut[lo : hi + 1] - cut[lo])
 
 
-def _counts(rows: DataFrame) -> tuple[DataFrame, object]:
+def _counts(rows: DataFrame, bits: int) -> tuple[DataFrame, object]:
     """The documents (doc_id, mark, class, n_shingles), written, and the order's table, broadcast.
 
     One pass over the texts: each task counts its shingles, the counts meet in buckets of
     hash ranges, and a bucket gives its part of the table.
     """
-    spark, bits = rows.sparkSession, postings.bucket_bits(rows.sparkSession)
+    spark = rows.sparkSession
 
     def merged(parts):
         values, n = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
@@ -202,13 +202,13 @@ def prefix(h: np.ndarray, owner: np.ndarray, n: int, table: np.ndarray) -> tuple
     return h[order][take], owner[take], place[take]
 
 
-def _regions(rows: DataFrame, table) -> DataFrame:
+def _regions(rows: DataFrame, table, bits: int) -> DataFrame:
     """(region, class, n, place): the classes of every region that has two or more.
 
     Regions with the same classes are one; `place` is the earliest of the
     region's shingles in the class's order.
     """
-    spark, bits = rows.sparkSession, postings.bucket_bits(rows.sparkSession)
+    spark = rows.sparkSession
 
     def listed(batches):
         parts = []
@@ -328,8 +328,9 @@ def linked_classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     Rows need the columns doc_id, text and mark, a hash of the text.
     """
-    docs, order = _counts(rows)
-    regions = _regions(rows, order)
+    bits = postings.bucket_bits(rows)
+    docs, order = _counts(rows, bits)
+    regions = _regions(rows, order, bits)
     # The pivot is the member that the region's shingle comes first in: it has the fewest shingles of its own.
     pivots = regions.groupBy("region").agg(F.min(F.struct("place", "class", "n")).alias("p"))
     pivots = pivots.select("region", F.col("p.class").alias("pivot"), F.col("p.n").alias("pivot_n"), F.col("p.place").alias("pivot_place"))
@@ -361,6 +362,7 @@ def linked_classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 #: members outside the main component up to which a cell is compared directly, a block of such a cell, pivots of others
 FEW, BLOCK, PIVOTS = 32, 256, 8
 RADIUS = 1 - NUM / DEN + 1e-9
+#: columns of a member of a cell
 CELL = ("region", "class", "n", "place", "distance", "stuck")
 
 

@@ -6,7 +6,7 @@ Lines of equal length at distance one agree after both lose the word at the
 same place; lines whose lengths differ by one agree when the longer loses a
 word.  So the hashed key of a variant, with the place of the word it lost,
 meets exactly the lines within the bound: that the places agree is the check
-of the edit distance.  A line goes if an earlier line (by doc_id, then line
+of the edit distance, and a second hash of the same words confirms the key.  A line goes if an earlier line (by doc_id, then line
 number) is within the bound; the earliest stays.
 
 Before variants are made, each line lists its halves: of two lines within the
@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import postings
-from .kernel import LINED, SPACED, U64, buffers, mix, powers, runs, segments, spans, text_mark, text_marks, words
+from .kernel import LINED, SPACED, U64, buffers, mix, powers, runs, segments, signed, spans, text_mark, text_marks, words
 
 MIN_WORDS = 8
 
@@ -81,6 +81,16 @@ def _exact(x: Lines) -> np.ndarray:
     return mix(spans(x.name, x.start, x.end) + mix((x.end - x.start).astype(U64) * U64(4)) + U64(2))
 
 
+def _again(name: np.ndarray) -> np.ndarray:
+    """Second names of words, for the hash that confirms a key."""
+    return mix(name ^ U64(0xC2B2AE3D27D4EB4F))
+
+
+def _kind(place: np.ndarray, again: np.ndarray) -> np.ndarray:
+    """The place of the lost word (-1: none) and 32 bits of the second hash, in one number."""
+    return (signed(again) >> 32 << 32) | (place & 0xFFFFFFFF)
+
+
 def _texts(batch: pa.RecordBatch, short: bool):
     """(doc_ids, lines that may have near copies, shorter lines) of some texts at a time."""
     ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -99,9 +109,9 @@ def _listed(batch: pa.RecordBatch, short: bool):
 
 
 def variants(x: Lines, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(key, place of the lost word or -1, line) of the variants that could meet another line's."""
+    """(key, kind, line) of the variants that could meet another line's."""
     if not len(x.start):
-        return np.zeros(0, U64), np.zeros(0, np.int32), np.zeros(0, np.int64)
+        return np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     n = x.end - x.start
     met = postings.is_shared(table, _halves(x).ravel()).reshape(-1, 4)
     # A word may be lost in the first half if the second is shared, and the other way round; the halves
@@ -115,32 +125,36 @@ def variants(x: Lines, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nd
     line = np.repeat(np.arange(len(n)), count)
     place = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + lo[line]
     own = np.flatnonzero(some)
-    n = len(x.name)
-    up, down = powers(n + 1)
-    total = np.zeros(n + 1, U64)
-    np.cumsum(x.name * up[:n], out=total[1:])
-    # Behind the lost word every word stands one place further left.
-    start, end, at = x.start[line], x.end[line], x.start[line] + place
-    less = (total[at] - total[start]) * down[start] + (total[end] - total[at + 1]) * down[start + 1]
-    less = mix(less + mix((end - start - 1).astype(U64)))
-    start, end = x.start[own], x.end[own]
-    whole = mix((total[end] - total[start]) * down[start] + mix((end - start).astype(U64)))
-    places = np.concatenate([place, np.full(len(own), -1)]).astype(np.int32)
-    return np.concatenate([less, whole]), places, np.concatenate([line, own])
+
+    def keys(name: np.ndarray) -> np.ndarray:
+        up, down = powers(len(name) + 1)
+        total = np.zeros(len(name) + 1, U64)
+        np.cumsum(name * up[: len(name)], out=total[1:])
+        # Behind the lost word every word stands one place further left.
+        start, end, at = x.start[line], x.end[line], x.start[line] + place
+        less = (total[at] - total[start]) * down[start] + (total[end] - total[at + 1]) * down[start + 1]
+        less = mix(less + mix((end - start - 1).astype(U64)))
+        start, end = x.start[own], x.end[own]
+        return np.concatenate([less, mix((total[end] - total[start]) * down[start] + mix((end - start).astype(U64)))])
+
+    places = np.concatenate([place, np.full(len(own), -1)])
+    return keys(x.name), _kind(places, keys(_again(x.name))), np.concatenate([line, own])
 
 
 def _resolve(h, kind, ids, position, mark):
     """(entries with an earlier line within the bound, the entries of each key and place that others must know).
 
-    Entries of equal key are lines that agree when they lose the word at
-    place `kind` (-1: none).  Those meet that lost none, and those at the same
-    place.  Only lines of a smaller doc_id, or of the same row, are earlier.
+    Entries of equal key, confirmed by the second hash in `kind`, are lines that
+    agree when they lose the word at the place in `kind` (-1: none).  Those meet
+    that lost none, and those at the same place.  Only lines of a smaller doc_id,
+    or of the same row, are earlier.
     """
     if not len(h):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    order = np.lexsort((position, mark, ids, kind, h))
-    hs, ks, i, m, p = h[order], kind[order], ids[order], mark[order], position[order]
-    new_key = np.r_[True, hs[1:] != hs[:-1]]
+    place, again = kind.astype(np.int32), kind >> 32
+    order = np.lexsort((position, mark, ids, place, again, h))
+    hs, ag, ks, i, m, p = h[order], again[order], place[order], ids[order], mark[order], position[order]
+    new_key = np.r_[True, (hs[1:] != hs[:-1]) | (ag[1:] != ag[:-1])]
     new_place = new_key | np.r_[True, ks[1:] != ks[:-1]]
     new_row = new_place | np.r_[True, (i[1:] != i[:-1]) | (m[1:] != m[:-1])]
     key, all_ = np.cumsum(new_key) - 1, np.arange(len(order))
@@ -170,18 +184,20 @@ def late_lines(docs: DataFrame, short: bool = False) -> DataFrame:
     """(doc_id, mark, positions): numbers of the lines with an earlier near copy."""
     rows = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    table = postings.shared_bits(rows, lambda batch: _listed(batch, short))
+    bits = postings.bucket_bits(rows)
+    table = postings.shared_bits(rows, bits, lambda batch: _listed(batch, short))
 
     def entries(batch):
         for ids, x, brief in _texts(batch, short):
-            key, place, line = variants(x, table.value)
+            key, kind, line = variants(x, table.value)
             whole = _exact(brief)
             met = np.flatnonzero(postings.is_shared(table.value, whole))
-            key, place = np.concatenate([key, whole[met]]), np.concatenate([place, np.full(len(met), -1, np.int32)])
+            confirmed = _kind(np.full(len(met), -1), _exact(brief._replace(name=_again(brief.name)))[met])
+            key, kind = np.concatenate([key, whole[met]]), np.concatenate([kind, confirmed])
             text, number = (np.concatenate([a[line], b[met]]) for a, b in ((x.text, brief.text), (x.number, brief.number)))
-            yield key, place, text, number, ids, x.mark
+            yield key, kind, text, number, ids, x.mark
 
-    return postings.later(rows, entries, _resolve)
+    return postings.later(rows, bits, entries, _resolve)
 
 
 def dedup(docs: DataFrame, short: bool = False) -> DataFrame:

@@ -4,8 +4,8 @@ A map task lists the hashes of its documents; a bucket is a range of hash
 values, and a row of the exchange is all that one task has for one bucket.
 Each task first settles what it can by itself and sends one document for a
 hash, so a hash that a third of all documents share costs one entry a task.
-There are enough buckets for each to be small; Spark shuffles and retries
-them like any rows.
+The number of buckets grows with the text, so that each stays small; Spark
+shuffles and retries them like any rows.
 
 `shared_bits` marks, in a bit table of fixed size, the hashes that at least
 two documents have.  `later` finds the places whose hash stands in an earlier
@@ -19,31 +19,36 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import shared
 from .kernel import U64, mix, release
 
-#: bits of the table that goes to every task: 16 MB, for any corpus
+#: bits of the table that goes to every task: 16 MB
 TABLE_BITS = 27
 #: bits of a hash that are told apart when sharing is found
 TOLD_BITS = 40
+#: text of a bucket
+BUCKET_BYTES = 8 << 20
 
 
-def bucket_bits(spark) -> int:
-    """log2 of the number of buckets: one for each shuffle partition at least, which the operator sizes to its input."""
-    return min(16, max(3, (shared.shuffle_width(spark) - 1).bit_length()))
+def bucket_bits(docs: DataFrame, column: str = "text") -> int:
+    """log2 of the number of buckets: one for so much text and one for each shuffle partition, at least."""
+    size = docs.agg(F.sum(F.octet_length(column))).first()[0] or 0
+    wanted = max(size // BUCKET_BYTES, shared.shuffle_width(docs.sparkSession) - 1)
+    return min(24, max(3, int(wanted).bit_length()))
 
 
 def _pack(values: np.ndarray) -> bytes:
     return np.ascontiguousarray(values).tobytes()
 
 
-def shared_bits(docs: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[tuple[np.ndarray, np.ndarray]]]):
+def shared_bits(docs: DataFrame, bits: int, hashes: Callable[[pa.RecordBatch], Iterator[tuple[np.ndarray, np.ndarray]]]):
     """A broadcast bit table of the hashes that two documents (or two `owners`) have.
 
     hashes(batch) yields (hash, owner) arrays, owners ascending within each.
     """
-    spark, bits = docs.sparkSession, bucket_bits(docs.sparkSession)
+    spark = docs.sparkSession
 
     def settle(once, twice):
         merged = np.sort(np.concatenate(once))
@@ -126,18 +131,18 @@ FOUND = "doc_id long, _places array<struct<mark:long,positions:binary>>"
 
 def later(
     docs: DataFrame,
+    bits: int,
     entries: Callable[[pa.RecordBatch], Iterator[tuple[np.ndarray, ...]]],
     resolve: Callable[..., tuple[np.ndarray, np.ndarray]],
 ) -> DataFrame:
     """Places whose hash stands in an earlier place too: one row (doc_id, _places) a document.
 
     entries(batch) yields (hash, kind, text, position, doc_id of each text,
-    mark of each text): an entry is a hash at a position of a text, `kind` says
-    what may meet what.  resolve(hash, kind, doc_id, position, mark) says which
+    mark of each text): an entry is a hash at a position of a text, `kind` (64
+    bits) says what may meet what.  resolve(hash, kind, doc_id, position, mark) says which
     entries are later than a match, and which of the others a task must send
     for those of other tasks.  `mark` tells apart rows that carry the same doc_id.
     """
-    bits = bucket_bits(docs.sparkSession)
     sent_names, part_names = ([x.split()[0] for x in t.split(", ")] for t in (SENT, PARTS))
 
     def by_part(ids: np.ndarray, marks: np.ndarray, position: np.ndarray) -> Iterator[tuple]:
@@ -181,7 +186,7 @@ def later(
             a, z = int(edges[k]), int(edges[k + 1])
             if z > a:
                 own, owner = np.unique(text[a:z], return_inverse=True)
-                arrays = h[a:z], kind[a:z].astype(np.int32), owner.astype(np.uint32), position[a:z].astype(np.uint32), ids[own], marks[own]
+                arrays = h[a:z], kind[a:z].astype(np.int64), owner.astype(np.uint32), position[a:z].astype(np.uint32), ids[own], marks[own]
                 yield row(k, *map(_pack, arrays))
         del h, kind, text, position, done, first, order
         release()
@@ -194,7 +199,7 @@ def later(
             if r["hash"] is None:
                 out.append((np.repeat(own, owner), np.repeat(mark, owner), position))
                 continue
-            parts.append((np.frombuffer(r["hash"], U64), np.frombuffer(r["kind"], np.int32), owner.astype(np.int64) + n, position))
+            parts.append((np.frombuffer(r["hash"], U64), np.frombuffer(r["kind"], np.int64), owner.astype(np.int64) + n, position))
             ids.append(own)
             marks.append(mark)
             n += len(own)

@@ -7,7 +7,7 @@ are 64-bit hashes of what they stand for, so all tasks agree on them without a
 table, and equal passages get equal symbols but for EDGE words at their ends.
 Symbols of the last round that two documents share are marked in a bit table.
 A window of WINDOW words can repeat only if all symbols in its interior are
-shared; windows that pass are then compared themselves, by hash of all their
+shared; windows that pass are then verified by 128 bits of hash over all their
 words, and every window that also starts in a document with a smaller id is
 removed.
 
@@ -27,9 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import postings
-from .kernel import SPACED, U64, Words, buffers, mix, rolling, runs, text_mark, text_marks, words
+from .kernel import SPACED, U64, Words, buffers, mix, rolling, runs, signed, text_mark, text_marks, words
 
 WINDOW = 50
+#: what makes the second hash of a word
+SECOND = U64(0xC2B2AE3D27D4EB4F)
 #: words a symbol may stand for, and rounds of pairs
 WIDEST, ROUNDS = 6, 4
 #: Words at each end of an equal passage whose symbols may differ: a run may begin outside (2), and each
@@ -98,12 +100,12 @@ def candidates(w: Words, table: np.ndarray) -> np.ndarray:
 
 
 def _resolve(h, kind, ids, position, mark):
-    """(entries with the same hash in a smaller id, entries of the smallest id)."""
+    """(entries with the same hashes in a smaller id, entries of the smallest id)."""
     if not len(h):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    order = np.lexsort((ids, h))
-    hs, i = h[order], ids[order]
-    fresh = np.r_[True, hs[1:] != hs[:-1]]
+    order = np.lexsort((ids, kind, h))
+    hs, ks, i = h[order], kind[order], ids[order]
+    fresh = np.r_[True, (hs[1:] != hs[:-1]) | (ks[1:] != ks[:-1])]
     least = i[np.flatnonzero(fresh)][np.cumsum(fresh) - 1]
     return order[i > least], order[i == least]
 
@@ -112,17 +114,18 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     """(doc_id, mark, positions): first words of windows that also start in a document with a smaller id."""
     rows = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    table = postings.shared_bits(rows, _symbols)
+    bits = postings.bucket_bits(rows)
+    table = postings.shared_bits(rows, bits, _symbols)
 
     def entries(batch):
         for ids, w in _texts(batch):
             at = candidates(w, table.value)
-            h = rolling(w.name, WINDOW)
-            h = h[at] if len(at) else np.zeros(0, U64)
+            # All words of a window, by two hashes of 64 bits that have nothing in common.
+            h, again = (rolling(x, WINDOW)[at] if len(at) else np.zeros(0, U64) for x in (w.name, mix(w.name ^ SECOND)))
             text = np.searchsorted(w.cut, at, "right") - 1
-            yield h, np.zeros(len(h), np.int32), text, at - w.cut[text], ids, text_marks(w.buffer, w.text_cut)
+            yield h, signed(again), text, at - w.cut[text], ids, text_marks(w.buffer, w.text_cut)
 
-    return postings.later(rows, entries, _resolve)
+    return postings.later(rows, bits, entries, _resolve)
 
 
 KEPT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string"
