@@ -152,12 +152,12 @@ def test_english_is_judged_over_the_whole_text(spark):
 
 
 def test_all_path_layers_are_segmented(spark):
-    got = {(r["location"], r["text"]) for r in queries.p5_path_layers(spark, SF).where("exchange_id % 12 = 9").collect()}
+    got = {(r["location"], r["text"]) for r in queries.p5_path_segments(spark, SF).where("exchange_id % 12 = 9").collect()}
     assert {("path-seg[1]", "%2541dmin%252Fpanel"), ("path-seg[1]", "%41dmin%2Fpanel"), ("path-seg[1]", "Admin"), ("path-seg[2]", "panel")} <= got
 
 
 def test_context_of_all_surfaces_and_lengths(spark):
-    rows = queries.d10_context_everywhere(spark, SF).collect()
+    rows = queries.d10_local_context(spark, SF).collect()
     assert len({r["location"] for r in rows}) > 3 and min(len(r["value"]) for r in rows) == 8
 
 
@@ -173,4 +173,20 @@ def test_captured_hashes_match_captured_inputs(spark):
 def test_planted_captures_are_matched_whole(spark):
     hashes, inputs = ([r["value"] for r in queries.QUERIES[q](spark, SF).collect()] for q in ("j1_distinct_hashes", "j2_distinct_inputs"))
     want = {(h, a, v) for a in capture.DIGESTS for v in inputs for h in hashes if h.lower() == hashlib.new(a, v.encode()).hexdigest()}
-    assert {tuple(r) for r in queries.j4_match_captured(spark, SF).select("hash", "algorithm", "plain").collect()} == want
+    assert {tuple(r) for r in queries.j4_match_hashes(spark, SF).select("hash", "algorithm", "plain").collect()} == want
+    assert want
+
+
+def test_live_tokens_equal_batch(spark):
+    live, batch = (queries.QUERIES[q](spark, SF) for q in ("st2_live_tokens", "t15_first_hits"))
+    columns = sorted(set(batch.columns) - {"batch"})
+    got, want = (sorted(map(repr, map(tuple, d.select(*columns).collect()))) for d in (live, batch))
+    assert got == want and want
+
+
+def test_repair_expression_equals_helper(spark):
+    from wiresift.functions import codecs
+
+    texts = ["plain", "Ã©\ufffd", "\ufffdÃ\x28 é猫", "a 😀 \ufffd", "é", "", None, "\ufffd"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", codecs.repaired_text(F.col("t")).alias("r"))
+    assert {r["i"]: r["r"] for r in rows.collect()} == {i: codecs.repaired(t) for i, t in enumerate(texts)}

@@ -307,6 +307,12 @@ def repaired(text: str | None) -> str | None:
     return text.encode("latin-1", "replace").decode("utf-8", "replace")
 
 
+def repaired_text(text: Column) -> Column:
+    """repaired() of a column, as an expression."""
+    single = F.encode(F.regexp_replace(text, r"[^\x00-\xFF]", "?"), "ISO-8859-1")
+    return F.when(F.contains(text, F.lit("\ufffd")), F.make_valid_utf8(single.cast("string"))).otherwise(text)
+
+
 def json_leaves(body: str | None, origin: str) -> list[dict]:
     """Strings that stand under a key of a JSON body, depth first, as `key=value` with their path."""
     try:

@@ -42,7 +42,7 @@ def main(job: str, source_path: str, out: str) -> None:
     if job == "detect":
         sinks.write_findings(detect_job(rows), out)
     elif job == "capture":
-        hashes, inputs = capture_job(rows)
+        hashes, inputs = (d.persist() for d in capture_job(rows))  # each goes to two sinks
         sinks.write_values(hashes, f"{out}/hashes")
         sinks.write_values(inputs, f"{out}/inputs")
         sinks.write_csv(hashes, f"{out}/hashes_csv", "value")

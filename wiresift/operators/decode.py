@@ -67,20 +67,22 @@ def _attempt(route: str, text: Column) -> Column:
     return F.struct(F.lit(route).alias("route"), text.alias("decoded"))
 
 
-def with_routes(tokens: DataFrame, options: DecodeOptions = DecodeOptions()) -> DataFrame:
+def with_routes(tokens: DataFrame, options: DecodeOptions = DecodeOptions(), every: bool = False) -> DataFrame:
     """`tokens` (token, ...) and what each decode route makes of them, as columns.
 
-    Helpers see only the tokens that the built-in class tests let through.
+    Helpers see only the tokens that the built-in class tests let through; the UTF-16 one
+    sees those that the cascade asks it for, or with `every` all.
     """
     token, cap = F.col("token"), options.max_decoded
     uri = looks_uri_safe(token, options)
     shape = token.rlike(BASE64_SHAPE)
+    wide = F.lit(True) if every else looks_base64(token, options.min_token) | ~(uri | shape)
     rows = tokens.withColumns(
         {
             "_uri": F.when(uri, codecs.lz_decode_udf("uri", cap)(F.when(uri, token))),
             "_data": F.when(shape, base64_bytes(token, options)),
             "_lz": F.when(shape, codecs.lz_decode_udf("base64", cap)(F.when(shape, base64_normal(token)))),
-            "_utf16": codecs.lz_decode_udf("utf16", cap)(token) if options.try_utf16 else F.lit(None).cast("string"),
+            "_utf16": F.when(wide, codecs.lz_decode_udf("utf16", cap)(F.when(wide, token))) if options.try_utf16 else F.lit(None).cast("string"),
         }
     )
     text = utf8(F.col("_data"))
@@ -198,7 +200,7 @@ def variants(tokens: DataFrame, options: DecodeOptions = DecodeOptions()) -> Dat
         "Base32": utf8(codecs.bytes_udf(codecs.base32_bytes)(F.col("token"))),
         "Quoted-Printable": F.when(F.contains("token", F.lit("=")), utf8(codecs.bytes_udf(codecs.quoted_printable_bytes)(F.col("token")))),
     }
-    rows = with_routes(tokens, options)
+    rows = with_routes(tokens, options, every=True)
     rows = rows.withColumns({f"_all_{c}": utf8(codecs.decompress_udf(c, options.max_decoded)(F.col("_data"))) for c in codecs.CODECS})
     rows = rows.withColumns({f"_v{i}": t for i, t in enumerate(text.values())})
     tries = F.array(*[F.struct(F.lit(n).alias("variant"), F.col(f"_v{i}").alias("value")) for i, n in enumerate(text)])

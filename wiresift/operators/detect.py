@@ -30,7 +30,7 @@ def matches(surfaces: DataFrame, options: DetectOptions = DetectOptions()) -> Da
         runs = digests.runs_with_context(text, options.min_hex_len)
         found.append(F.transform(runs, lambda r: _find("hex", r["value"], text, around=r["around"])))
     else:
-        found.append(F.transform(digests.hex_runs(text), lambda v: _find("hex", v, text)))
+        found.append(F.transform(digests.hex_runs(text, options.min_hex_len), lambda v: _find("hex", v, text)))
     # A surface without a run of the least length and without a `$` sign can't match anything.
     likely = text.rlike(f"[0-9A-Fa-f]{{{max(1, options.min_hex_len)}}}") | F.contains(text, F.lit("$"))
     rows = surfaces.where(likely).withColumn("m", F.explode(F.concat(*found)))
@@ -41,7 +41,7 @@ def gate(options: DetectOptions = DetectOptions()) -> Column:
     """Which matches are findings."""
     o, value = options, F.col("value")
     hexed = ~digests.is_skipped(value, o.min_hex_len) & digests.likely_digest(value, o)
-    plain = hexed & (F.length(value) <= o.max_hex_len)
+    plain = (F.length(value) <= o.max_hex_len) & hexed
     if o.strict:
         if o.strict_exact_lengths:
             plain = plain & digests.is_exact_length(value)

@@ -36,6 +36,13 @@ def query(sql: str | None = None):
     return add
 
 
+def also(name: str, known: str) -> None:
+    """A second name of a query."""
+    QUERIES[name] = QUERIES[known]
+    if known in SQL:
+        SQL[name] = SQL[known]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -201,25 +208,19 @@ def p4_decode_chain(spark, sf_dir):
     return ex(spark, sf_dir).select("exchange_id", F.explode(http.decode_chain(http.path(F.col("url")), 3)).alias("layer"))
 
 
-@query(EX + f", s AS (SELECT exchange_id, string_split(regexp_replace({PATH}, '^/|/$', '', 'g'), '/') AS parts FROM ex), i AS (SELECT exchange_id, parts, unnest(range(len(parts))) AS i FROM s) "
-  "SELECT exchange_id, concat('path-seg[', i, ']') AS location, parts[i + 1] AS text FROM i WHERE parts[i + 1] <> ''")
-def p5_path_segments(spark, sf_dir):
-    rows = surfaces.decoding(ex(spark, sf_dir).where(~F.col("url").contains("%")))
-    first = rows.where(F.col("location").startswith("path-seg")).select("exchange_id", "location", "text")
-    odd = ex(spark, sf_dir).where(F.col("url").contains("%")).select("exchange_id", F.posexplode(F.split(F.regexp_replace(http.path(F.col("url")), "^/|/$", ""), "/")).alias("i", "text"))
-    return first.unionByName(odd.where("text <> ''").select("exchange_id", F.concat(F.lit("path-seg["), F.col("i").cast("string"), F.lit("]")).alias("location"), "text"))
-
-
 @query(EX + f", a AS (SELECT exchange_id, {PATH} AS x0 FROM ex), b AS (SELECT *, {DECODED.format('x0')} AS x1 FROM a), c AS (SELECT *, {DECODED.format('x1')} AS x2 FROM b), "
   "l AS (SELECT exchange_id, x0 AS layer FROM c UNION SELECT exchange_id, x1 FROM c UNION SELECT exchange_id, x2 FROM c), "
   "s AS (SELECT exchange_id, string_split(regexp_replace(layer, '^/|/$', '', 'g'), '/') AS parts FROM l), i AS (SELECT exchange_id, parts, unnest(range(len(parts))) AS i FROM s) "
   "SELECT DISTINCT exchange_id, concat('path-seg[', i, ']') AS location, parts[i + 1] AS text FROM i WHERE parts[i + 1] <> ''")
-def p5_path_layers(spark, sf_dir):
+def p5_path_segments(spark, sf_dir):
     """Segments of every decode layer of every path, as the decode job sees them."""
     rows = surfaces.decoding(ex(spark, sf_dir))
     return rows.where(F.col("location").startswith("path-seg[")).select("exchange_id", "location", "text")
 
 
+also("p5_path_layers", "p5_path_segments")
+
+
 @query(EX + f", s AS (SELECT exchange_id, unnest(string_split(regexp_replace({PATH}, '^/|/$', '', 'g'), '/')) AS seg FROM ex) SELECT exchange_id, 'path-seg-main' AS location, split_part(seg, ';', 1) AS text FROM s WHERE contains(seg, ';') UNION ALL SELECT exchange_id, 'path-seg-semi', substr(seg, instr(seg, ';') + 1) FROM s WHERE contains(seg, ';')")
 def p6_semicolon_parts(spark, sf_dir):
     rows = ex(spark, sf_dir).select("exchange_id", F.explode(surfaces.semicolon_parts(http.path(F.col("url")))).alias("s"))
@@ -301,16 +302,22 @@ def p13_surface_union(spark, sf_dir):
     return surfaces.detection(ex(spark, sf_dir)).groupBy("exchange_id", "location").agg(F.count("*").alias("n"))
 
 
+ALLOWED = "(kind IS NULL OR kind = '' OR " + " OR ".join(f"contains(kind, '{t}')" for t in gates.ALLOWED_TYPES) + ")"
+
+
 @query(EX + r""", h AS (SELECT exchange_id, unnest(req_headers) AS header FROM ex), n AS (SELECT *, lower(split_part(header, ':', 1)) AS name FROM h)
-SELECT exchange_id, concat('header:', split_part(header, ':', 1)) AS location, trim(substr(header, instr(header, ':') + 1)) AS text FROM n WHERE name NOT IN ('cookie', 'user-agent', 'accept-language')""")
+SELECT exchange_id, concat('header:', split_part(header, ':', 1)) AS location, trim(substr(header, instr(header, ':') + 1)) AS text FROM n WHERE name NOT IN ('cookie', 'user-agent', 'accept-language')
+UNION ALL """ + f"SELECT exchange_id, 'query', {QUERY} FROM ex WHERE {QUERY} IS NOT NULL UNION ALL SELECT exchange_id, 'body', req_body FROM ex WHERE req_body <> '' "
+  f"UNION ALL SELECT exchange_id, 'resp-body', resp_body FROM (SELECT *, {TYPE} AS kind FROM ex) WHERE resp_body <> '' AND {ALLOWED}")
 def p14_whole_texts(spark, sf_dir):
     rows = surfaces.decoding(ex(spark, sf_dir))
-    return rows.where(F.col("location").startswith("header:")).select("exchange_id", "location", "text")
+    whole = F.col("location").startswith("header:") | F.col("location").isin("query", "body", "resp-body")
+    return rows.where(whole).select("exchange_id", "location", "text")
 
 
 # --- detection -------------------------------------------------------------
 
-MCF_SQL = r"unnest(regexp_extract_all(text, '\$(?:1|2a|2b|2y|5|6)\$\S{1,100}'))"
+MCF_SQL = r"unnest(regexp_extract_all(text, '\$(?:1|2a|2b|2y|5|6)\$\S{1,100}|\$apr1\$\S{1,100}|\$pbkdf2-sha(?:1|256)\$\S{1,200}|\$argon2(?:id|i|d)\$\S{1,300}'))"
 
 
 @query(SURFACES_SQL + f" SELECT exchange_id, location, {MCF_SQL} AS value FROM surf")
@@ -354,16 +361,6 @@ def d6_printable(spark, sf_dir):
     return rows.select("location", "exchange_id", "value", share.alias("printable"), digests.looks_like_text(F.col("p"), 0.85).alias("is_text"))
 
 
-@query("""WITH t AS (SELECT doc_id, lower(hex(encode(left(text, 60)))) AS value FROM documents WHERE length(text) >= 20),
-q AS (SELECT doc_id, list_transform(range(1, length(value), 2), lambda i: substr(value, i, 2)) AS p FROM t)
-SELECT doc_id, len(list_filter(p, lambda x: (x BETWEEN '20' AND '7e') OR x IN ('09', '0a', '0d'))) / len(p) >= 0.9
- AND len(list_filter(p, lambda x: (x BETWEEN '41' AND '5a') OR (x BETWEEN '61' AND '7a'))) / len(p) >= 0.6 AND len(list_filter(p, lambda x: x = '20')) / len(p) >= 0.02 AS english FROM q""")
-def d7_english(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where(F.length("text") >= 20)
-    rows = docs.select("doc_id", digests.byte_pairs(F.hex(F.left("text", F.lit(60)).cast("binary"))).alias("p"))
-    return rows.select("doc_id", digests.looks_like_english(F.col("p")).alias("english"))
-
-
 def whole_english(docs: DataFrame) -> DataFrame:
     """Every row's verdict over all bytes of its text; an empty or null text is not English."""
     # byte_pairs() looks each pair up from the start, which suits runs of 256 digits but not texts
@@ -375,10 +372,13 @@ def whole_english(docs: DataFrame) -> DataFrame:
 @query("""WITH q AS (SELECT doc_id, regexp_extract_all(lower(hex(encode(text))), '..') AS p FROM documents)
 SELECT doc_id, coalesce(len(list_filter(p, lambda x: (x BETWEEN '20' AND '7e') OR x IN ('09', '0a', '0d'))) / len(p) >= 0.9
  AND len(list_filter(p, lambda x: (x BETWEEN '41' AND '5a') OR (x BETWEEN '61' AND '7a'))) / len(p) >= 0.6 AND len(list_filter(p, lambda x: x = '20')) / len(p) >= 0.02, false) AS english FROM q""")
-def d7_english_whole(spark, sf_dir):
+def d7_english(spark, sf_dir):
     return whole_english(table(spark, sf_dir, "documents"))
 
 
+also("d7_english_whole", "d7_english")
+
+
 @query(TEXTS + " SELECT location, exchange_id, value FROM sized WHERE hex_len IN (32, 40, 56, 64, 96, 128)")
 def d8_exact_lengths(spark, sf_dir):
     return sized_runs(spark, sf_dir).where(digests.is_exact_length(F.col("value"))).select("location", "exchange_id", "value")
@@ -392,27 +392,24 @@ def d9_digit_share(spark, sf_dir):
 KEYWORDS = "|".join(digests.LOCAL_KEYWORDS)
 
 
-@query(SURFACES_SQL + f""", parts AS (SELECT exchange_id, location, text, regexp_extract_all(text, '[0-9A-Fa-f]+') AS runs, regexp_split_to_array(text, '[0-9A-Fa-f]+') AS gaps FROM surf WHERE location = 'response-body' AND regexp_matches(text, '[0-9A-Fa-f]{{24}}')),
+#: hex runs with their place: what stands before a run, runs and gaps, is as long as its start
+PLACED = f""", parts AS (SELECT exchange_id, ts, url, location, text, regexp_extract_all(text, '[0-9A-Fa-f]+') AS runs, regexp_split_to_array(text, '[0-9A-Fa-f]+') AS gaps FROM surf),
 numbered AS (SELECT *, unnest(range(1, len(runs) + 1)) AS i FROM parts),
-placed AS (SELECT exchange_id, text, runs[i] AS value, length(list_aggregate(gaps[:i], 'string_agg', '')) + coalesce(length(list_aggregate(runs[:i - 1], 'string_agg', '')), 0) AS start FROM numbered WHERE length(runs[i]) >= 24)
-SELECT exchange_id, value, regexp_matches(lower(substr(text, greatest(0, start - 50) + 1, start + length(value) + 50 - greatest(0, start - 50))), '{KEYWORDS}') AS near FROM placed""")
-def d10_local_context(spark, sf_dir):
-    rows = surfaces.detection(ex(spark, sf_dir)).where((F.col("location") == "response-body") & F.col("text").rlike("[0-9A-Fa-f]{24}"))
-    rows = rows.select("exchange_id", F.explode(digests.runs_with_context(F.col("text"), 24)).alias("r"))
-    return rows.select("exchange_id", "r.value", F.col("r.around").rlike(KEYWORDS).alias("near"))
+placed AS (SELECT exchange_id, ts, url, location, text, runs[i] AS value, length(list_aggregate(gaps[:i], 'string_agg', '')) + coalesce(length(list_aggregate(runs[:i - 1], 'string_agg', '')), 0) AS start FROM numbered WHERE length(runs[i]) >= {DETECT.min_hex_len}),
+near AS (SELECT exchange_id, ts, url, location, value, regexp_matches(lower(substr(text, greatest(0, start - 50) + 1, start + length(value) + 50 - greatest(0, start - 50))), '{KEYWORDS}') AS near FROM placed)"""
 
 
-@query(SURFACES_SQL + f""", parts AS (SELECT exchange_id, location, text, regexp_extract_all(text, '[0-9A-Fa-f]+') AS runs, regexp_split_to_array(text, '[0-9A-Fa-f]+') AS gaps FROM surf),
-numbered AS (SELECT *, unnest(range(1, len(runs) + 1)) AS i FROM parts),
-placed AS (SELECT exchange_id, location, text, runs[i] AS value, length(list_aggregate(gaps[:i], 'string_agg', '')) + coalesce(length(list_aggregate(runs[:i - 1], 'string_agg', '')), 0) AS start FROM numbered WHERE length(runs[i]) >= {DETECT.min_hex_len})
-SELECT exchange_id, location, value, regexp_matches(lower(substr(text, greatest(0, start - 50) + 1, start + length(value) + 50 - greatest(0, start - 50))), '{KEYWORDS}') AS near FROM placed""")
-def d10_context_everywhere(spark, sf_dir):
+@query(SURFACES_SQL + PLACED + " SELECT exchange_id, location, value, near FROM near")
+def d10_local_context(spark, sf_dir):
     """Every surface and every run that the detect job looks at."""
     rows = surfaces.detection(ex(spark, sf_dir), DETECT)
     rows = rows.select("exchange_id", "location", F.explode(digests.runs_with_context(F.col("text"), DETECT.min_hex_len)).alias("r"))
     return rows.select("exchange_id", "location", "r.value", F.col("r.around").rlike(KEYWORDS).alias("near"))
 
 
+also("d10_context_everywhere", "d10_local_context")
+
+
 @query(SURFACES_SQL + f" SELECT exchange_id, location, CASE WHEN regexp_matches(lower(text), '{'|'.join(digests.CONTEXT_KEYWORDS)}') THEN 'Firm' ELSE 'Tentative' END AS confidence FROM surf")
 def d11_confidence(spark, sf_dir):
     sure = F.when(digests.has_keyword(F.col("text")), "Firm").otherwise("Tentative")
@@ -425,21 +422,32 @@ def d12_candidates(spark, sf_dir):
     return sized_runs(spark, sf_dir).select("location", "exchange_id", "value", names.alias("candidates"))
 
 
-FIND_SQL = LABEL_SQL + f""", hexes AS (SELECT exchange_id, ts, url, location, NULL AS label, unnest(regexp_extract_all(text, '[0-9A-Fa-f]+')) AS value, 'hex' AS kind FROM surf
-  UNION ALL SELECT exchange_id, ts, url, location, label, value, 'label' FROM labelled),
-g1 AS (SELECT *, length(value) AS hex_len, lower(value) AS low FROM hexes WHERE length(value) BETWEEN 8 AND 256),
+def find_sql(hexes: str, strict: str = "") -> str:
+    """Findings from the CTE of hex runs (exchange_id, ts, url, location, value, near) and `surf`."""
+    return LABEL_SQL + hexes + f""", matches AS (SELECT exchange_id, ts, url, location, NULL AS label, value, 'hex' AS kind, near FROM hexes
+  UNION ALL SELECT exchange_id, ts, url, location, label, value, 'label', true FROM labelled),
+g1 AS (SELECT *, length(value) AS hex_len, lower(value) AS low FROM matches WHERE length(value) BETWEEN 8 AND 256),
 g2 AS (SELECT *, CASE WHEN hex_len % 2 = 0 THEN list_transform(range(1, hex_len, 2), lambda i: substr(low, i, 2)) END AS p FROM g1),
 g3 AS (SELECT *, round(list_aggregate(p, 'entropy'), 9) AS entropy,
   round(len(list_filter(p, lambda x: (x BETWEEN '20' AND '7e') OR x IN ('09', '0a', '0d'))) / len(p), 9) AS printable,
   round(len(list_filter(p, lambda x: (x BETWEEN '41' AND '5a') OR (x BETWEEN '61' AND '7a'))) / len(p), 9) AS letters,
   round(len(list_filter(p, lambda x: x = '20')) / len(p), 9) AS spaces, len(list_filter(p, lambda x: x IN ('20', '0a', '09'))) > 0 AS spaced FROM g2),
-kept AS (SELECT * FROM g3 WHERE NOT {SKIP} AND {LIKELY}),
+kept AS (SELECT * FROM g3 WHERE NOT {SKIP} AND {LIKELY}{strict}),
 mcf AS (SELECT exchange_id, ts, url, location, {MCF_SQL} AS value FROM surf),
 found AS (SELECT exchange_id, ts, url, kind, value, CASE kind WHEN 'hex' THEN 'Hash/token (hex)' ELSE concat('Hash/token (label:', label, ')') END AS title,
   concat('Location: ', location, '<br>Value: <b>', value, '</b><br>', CASE kind WHEN 'hex' THEN concat('Len: ', hex_len, '<br>Candidates: ', {CANDIDATES}) ELSE concat('Label: ', label) END) AS detail FROM kept
   UNION ALL SELECT exchange_id, ts, url, 'mcf', value, 'Hash/token (MCF)', concat('Location: ', location, '<br>Value: <b>', value, '</b><br>Type: MCF') FROM mcf)"""
 
 
+FIND_SQL = find_sql(", hexes AS (SELECT exchange_id, ts, url, location, unnest(regexp_extract_all(text, '[0-9A-Fa-f]+')) AS value, true AS near FROM surf)")
+EXEMPT = " OR ".join(f"starts_with(location, '{x}')" for x in digests.EXEMPT_LOCATIONS)
+STRICT_SQL = find_sql(
+    PLACED + ", hexes AS (SELECT * FROM near)",
+    f""" AND (kind = 'label' OR (length(regexp_replace(value, '[^0-9]', '', 'g')) / hex_len >= 0.10
+  AND (hex_len IN ({', '.join(map(str, digests.EXACT_LENGTHS))}) OR near OR {EXEMPT})))""",
+)
+
+
 @query(FIND_SQL + " SELECT exchange_id, kind, title, value, detail FROM found")
 def d13_findings(spark, sf_dir):
     found = detect.findings(surfaces.detection(ex(spark, sf_dir), DETECT), DETECT)
@@ -451,7 +459,7 @@ def d14_distinct_findings(spark, sf_dir):
     return audit.detect_job(ex(spark, sf_dir)).select("url", "title", "detail")
 
 
-@query()
+@query(STRICT_SQL + " SELECT exchange_id, kind, title, value, detail FROM found")
 def d15_strict_findings(spark, sf_dir):
     found = detect.findings(surfaces.detection(ex(spark, sf_dir), STRICT), STRICT)
     return found.select("exchange_id", "kind", "title", "value", "detail")
@@ -482,23 +490,19 @@ def j3_inputs_of_findings(spark, sf_dir):
     return capture.inputs_of_findings(capture.inputs(rows), found).select("exchange_id", "name", "value")
 
 
-@query("""WITH v AS (SELECT DISTINCT concat('k', page_id) AS value FROM pages), h AS (SELECT upper(sha1(concat('k', page_id))) AS hash FROM pages WHERE page_id % 3 = 0)
-SELECT hash, 'sha1' AS algorithm, value AS plain FROM h JOIN v ON lower(hash) = sha1(value)""")
+@query(FIND_SQL + INPUTS_SQL + """, h AS (SELECT DISTINCT value AS hash FROM found), v AS (SELECT DISTINCT value AS plain FROM inputs),
+d AS (SELECT plain, 'md5' AS algorithm, md5(plain) AS digest FROM v UNION ALL SELECT plain, 'sha1', sha1(plain) FROM v UNION ALL SELECT plain, 'sha256', sha256(plain) FROM v)
+SELECT hash, algorithm, plain FROM h JOIN d ON lower(hash) = digest""")
 def j4_match_hashes(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages")
-    plain = F.concat(F.lit("k"), F.col("page_id").cast("string"))
-    hashes = pages.where(F.col("page_id") % 3 == 0).select(F.upper(F.sha1(plain)).alias("value"))
-    return capture.matched(hashes, pages.select(plain.alias("value")))
-
-
-@query()
-def j4_match_captured(spark, sf_dir):
-    """All captured hashes against all captured inputs, by all six digests."""
+    """All captured hashes against all captured inputs, by all six digests; three of them are planted."""
     rows = ex(spark, sf_dir)
     hashes = capture.distinct_hashes(detect.findings(surfaces.detection(rows, DETECT), DETECT))
     return capture.matched(hashes, capture.distinct_inputs(capture.inputs(rows)))
 
 
+also("j4_match_captured", "j4_match_hashes")
+
+
 def planted_tokens(spark, sf_dir):
     """Tokens to decode: words of the pages' planted exchanges, and encodings of their urls."""
     pages = table(spark, sf_dir, "pages")
@@ -507,6 +511,22 @@ def planted_tokens(spark, sf_dir):
     return made.select(F.concat(F.col("id").cast("string"), F.lit("/"), F.col("variant")).alias("token_id"), F.col("value").alias("token"))
 
 
+# Tokens that SQL can make, and what the text routes make of them.
+PLAIN = "WITH pl AS (SELECT page_id, concat('user=', page_id, '&note=hello world') AS x FROM pages)"
+TEXT_TOKENS = PLAIN + """, tk AS (SELECT concat(page_id, '/Base64') AS token_id, to_base64(encode(x)) AS token, x, 'Base64 text' AS variant FROM pl
+  UNION ALL SELECT concat(page_id, '/Base64URL'), translate(to_base64(encode(x)), '+/=', '-_'), x, 'Base64 text' FROM pl
+  UNION ALL SELECT concat(page_id, '/HEX'), hex(encode(x)), x, 'HEX' FROM pl
+  UNION ALL SELECT concat(page_id, '/Quoted-Printable'), replace(x, '=', '=3D'), replace(replace(x, '=', '=3D'), '+', ' '), 'none' FROM pl)"""
+TEXT_ROUTES = ("URL-decoded", "Base64 text", "HEX")
+
+
+@query(TEXT_TOKENS + " SELECT token_id, variant, x AS value FROM tk WHERE variant <> 'none'")
+def j5_text_variants(spark, sf_dir):
+    """The union over the routes that give text without a codec."""
+    tokens = planted_tokens(spark, sf_dir).where(F.split("token_id", "/")[1].isin("Base64", "Base64URL", "HEX", "Quoted-Printable"))
+    return decode.variants(tokens).where(F.col("variant").isin(*TEXT_ROUTES))
+
+
 @query()
 def j5_variant_union(spark, sf_dir):
     return decode.variants(planted_tokens(spark, sf_dir)).groupBy("variant").agg(F.count("*").alias("n"))
@@ -568,12 +588,12 @@ for _a in ("base64", "uri", "utf16"):
     round_trip(f"t10_lz_{_a}", f"lz-{_a}", lambda t, a=_a: codecs.lz_decode_udf(a)(t))
 
 
-@query(TOK + """ SELECT token, CASE WHEN contains(token, '=') THEN 'padded' ELSE 'plain' END AS kind FROM t""")
+@query("SELECT doc_id, concat('?', text) AS repaired, text AS untouched FROM documents WHERE NOT contains(text, chr(65533))")
 def t11_repair(spark, sf_dir):
-    """Tokens without replacement characters come back unchanged from the repair."""
-    rows = t1_candidates(spark, sf_dir).select("token").distinct()
-    fixed = F.pandas_udf(lambda s: s.map(codecs.repaired), "string")(F.col("token"))
-    return rows.select(fixed.alias("token"), F.when(F.contains("token", F.lit("=")), "padded").otherwise("plain").alias("kind"))
+    """Texts whose UTF-8 bytes were read as Latin-1 behind a replacement character, repaired; and texts that need none."""
+    docs = table(spark, sf_dir, "documents").where(~F.contains("text", F.lit("\ufffd")))
+    wrong = F.concat(F.lit("\ufffd"), F.decode(F.col("text").cast("binary"), "ISO-8859-1"))
+    return docs.select("doc_id", codecs.repaired_text(wrong).alias("repaired"), codecs.repaired_text(F.col("text")).alias("untouched"))
 
 
 @query()
@@ -583,23 +603,100 @@ def t12_base64_route(spark, sf_dir):
     return rows.select("token_id", found.alias("f")).select("token_id", "f.*").where("route IS NOT NULL")
 
 
+@query(PLAIN + """ SELECT concat(page_id, '/', variant) AS token_id, route, x AS decoded FROM pl,
+  (VALUES ('Base64', 'base64'), ('Base64URL', 'base64'), ('gzip+Base64', 'gzip'), ('zlib+Base64', 'zlib'), ('deflate+Base64', 'deflate'), ('zstd+Base64', 'zstd'),
+  ('LZ-Base64', 'lz-base64')) AS v(variant, route)""")
+def t12_base64_texts(spark, sf_dir):
+    """The Base64 route of tokens that only it can read: route and text of each."""
+    kinds = ("Base64", "Base64URL", "gzip+Base64", "zlib+Base64", "deflate+Base64", "zstd+Base64", "LZ-Base64")
+    rows = decode.with_routes(planted_tokens(spark, sf_dir).where(F.split("token_id", "/")[1].isin(*kinds)))
+    found = decode.first_accepted(F.array("_found"), DECODE)
+    return rows.select("token_id", found.alias("f")).select("token_id", "f.*").where("route IS NOT NULL")
+
+
+@query(PLAIN + " SELECT DISTINCT route, x AS decoded FROM pl, (VALUES ('base64'), ('gzip'), ('zlib'), ('deflate'), ('zstd'), ('lz-base64')) AS v(route)")
+def t13_cascade_texts(spark, sf_dir):
+    """What the cascade reads from such tokens, of unknown kind."""
+    kinds = ("Base64", "Base64URL", "gzip+Base64", "zlib+Base64", "deflate+Base64", "zstd+Base64", "LZ-Base64")
+    tokens = planted_tokens(spark, sf_dir).where(F.split("token_id", "/")[1].isin(*kinds))
+    return decode.decoded_tokens(tokens.select("token", F.lit(False).alias("whole"))).select("route", "decoded").distinct()
+
+
 @query()
 def t13_token_cascade(spark, sf_dir):
     tokens = planted_tokens(spark, sf_dir).select("token", F.lit(False).alias("whole"))
     return decode.decoded_tokens(tokens).groupBy("route").agg(F.count("*").alias("n"))
 
 
+@query(PLAIN + " SELECT x AS decoded, 'lz-uri' AS route FROM pl")
+def t14_whole_texts(spark, sf_dir):
+    """Whole texts that look URI-safe come back as what they were made of."""
+    return t14_whole_surfaces(spark, sf_dir).select("decoded", "route")
+
+
 @query()
 def t14_whole_surfaces(spark, sf_dir):
     rows = planted_tokens(spark, sf_dir).where(F.col("token_id").endswith("/LZ-URI"))
     return decode.decoded_tokens(rows.select("token", F.lit(True).alias("whole"))).select("token", "route", "decoded")
 
 
+# The Base64-text route over all request surfaces: layers of the url's path, parameters, headers, whole query and body.
+REQUESTS = DecodeOptions(min_decoded=4, scan_responses=False)
+HITS_SQL = EX + rf""", lay AS (SELECT exchange_id, {PATH} AS x0 FROM ex), l1 AS (SELECT *, {DECODED.format('x0')} AS x1 FROM lay), l2 AS (SELECT *, {DECODED.format('x1')} AS x2 FROM l1),
+ly AS (SELECT exchange_id, x0 AS layer FROM l2 UNION SELECT exchange_id, x1 FROM l2 UNION SELECT exchange_id, x2 FROM l2),
+sg AS (SELECT exchange_id, string_split(regexp_replace(layer, '^/|/$', '', 'g'), '/') AS parts FROM ly),
+pr AS (SELECT exchange_id, 'param-url:' AS pre, unnest(string_split({QUERY}, '&')) AS p FROM ex UNION ALL SELECT exchange_id, 'param-body:', unnest(string_split(req_body, '&')) FROM ex WHERE req_body IS NOT NULL AND contains(req_headers[6], 'form')),
+hd AS (SELECT exchange_id, unnest(req_headers) AS h FROM ex),
+sf AS (SELECT DISTINCT exchange_id, concat('path-seg[', i, ']') AS origin, parts[i + 1] AS text FROM (SELECT *, unnest(range(len(parts))) AS i FROM sg)
+  UNION ALL SELECT exchange_id, concat(pre, {DECODED.format('split_part(p, chr(61), 1)')}), {DECODED.format('substr(p, instr(p, chr(61)) + 1)')} FROM pr WHERE contains(p, '=')
+  UNION ALL SELECT exchange_id, concat('raw-query:', left(p, 20)), substr(p, instr(p, '=') + 1) FROM pr WHERE pre = 'param-url:' AND contains(p, '=')
+  UNION ALL SELECT exchange_id, concat('param-cookie:', trim(split_part(c, '=', 1))), substr(c, instr(c, '=') + 1) FROM (SELECT exchange_id, unnest(string_split(substr(h, 9), ';')) AS c FROM hd WHERE starts_with(h, 'Cookie:'))
+  UNION ALL SELECT exchange_id, 'query', {QUERY} FROM ex UNION ALL SELECT exchange_id, 'body', req_body FROM ex
+  UNION ALL SELECT exchange_id, concat('header:', split_part(h, ':', 1)), trim(substr(h, instr(h, ':') + 1)) FROM hd WHERE lower(split_part(h, ':', 1)) NOT IN ('cookie', 'user-agent', 'accept-language')),
+ch AS (SELECT *, text AS y0, {DECODED.format('text')} AS y1 FROM sf WHERE text <> ''), ch2 AS (SELECT *, {DECODED.format('y1')} AS y2 FROM ch), ch3 AS (SELECT *, {DECODED.format('y2')} AS y3 FROM ch2),
+tk AS (SELECT exchange_id, origin, text, unnest(list_concat(list_concat(regexp_extract_all(y0, '{TOKENS}'), regexp_extract_all(y1, '{TOKENS}')), list_concat(regexp_extract_all(y2, '{TOKENS}'), regexp_extract_all(y3, '{TOKENS}')))) AS token,
+  unnest(range(len(list_concat(list_concat(regexp_extract_all(y0, '{TOKENS}'), regexp_extract_all(y1, '{TOKENS}')), list_concat(regexp_extract_all(y2, '{TOKENS}'), regexp_extract_all(y3, '{TOKENS}')))))) AS rank FROM ch3),
+nm AS (SELECT *, translate(token, '-_=', '+/') AS bare FROM tk WHERE regexp_matches(token, '^[A-Za-z0-9_\-+/=]{{8,}}$') AND regexp_matches(token, '^[^=]*=*$')),
+by64 AS (SELECT *, try(from_base64(rpad(bare, CAST(ceil(length(bare) / 4.0) * 4 AS INT), '='))) AS b FROM nm WHERE length(bare) % 4 <> 1),
+tx AS (SELECT *, try(decode(b)) AS decoded FROM by64 WHERE rtrim(to_base64(b), '=') = bare),
+sh AS (SELECT *, length(decoded) AS n, length(regexp_replace(decoded, '[^\x20-\x7E\t\n\r]', '', 'g')) / length(decoded) AS p FROM tx WHERE length(decoded) >= 4),
+ok AS (SELECT * FROM sh WHERE p >= 0.94 OR (p >= 0.90 AND (starts_with(decoded, 'http') OR (instr(decoded, ':') > 1 AND instr(decoded, ',') > 1)))),
+hit AS (SELECT DISTINCT exchange_id, origin, token, decoded FROM ok QUALIFY row_number() OVER (PARTITION BY exchange_id, origin, text ORDER BY rank) = 1)"""
+
+
+@query(HITS_SQL + " SELECT exchange_id, origin, token, 'base64' AS route, decoded FROM hit")
+def t15_request_hits(spark, sf_dir):
+    """The decode job over requests: the first accepted token of every surface."""
+    return audit.decode_job(ex(spark, sf_dir), REQUESTS).select("exchange_id", "origin", "token", "route", "decoded")
+
+
+@query(HITS_SQL + ' SELECT row_number() OVER (ORDER BY exchange_id, origin, token, decoded) AS "row", origin, length(token) AS token_len, decoded, token FROM hit')
+def s5_request_export(spark, sf_dir):
+    rows = sinks.export(audit.decode_job(ex(spark, sf_dir), REQUESTS))
+    return rows.select("row", "origin", "token_len", "decoded", "token")
+
+
+@query(HITS_SQL + " SELECT exchange_id, origin, token, 'base64' AS route, decoded FROM hit")
+def st2_live_requests(spark, sf_dir):
+    """The decode job over requests as they arrive: what the batch job finds."""
+    out = folder(spark)
+    live.write_live_tokens(stream(spark, sf_dir), f"{out}/rows", f"{out}/state", REQUESTS).awaitTermination()
+    return spark.read.parquet(f"{out}/rows").select("exchange_id", "origin", "token", "route", "decoded")
+
+
 @query()
 def t15_first_hits(spark, sf_dir):
     return audit.decode_job(ex(spark, sf_dir), DecodeOptions(min_decoded=4))
 
 
+@query(TEXT_TOKENS + """ SELECT token_id, variant, x AS value FROM tk WHERE variant = 'HEX' UNION ALL SELECT concat('page ', page_id), 'No decode', '' FROM pages""")
+def t16_hex_or_none(spark, sf_dir):
+    """Tokens with one reading, and tokens that no route can read."""
+    rows = planted_tokens(spark, sf_dir).where(F.split("token_id", "/")[1] == "HEX")
+    dull = table(spark, sf_dir, "pages").select(F.concat(F.lit("page "), F.col("page_id").cast("string")).alias("token_id"), F.lit("\x01\x02").alias("token"))
+    return decode.variants(rows.unionByName(dull)).where(F.col("variant").isin("HEX", "No decode"))
+
+
 @query()
 def t16_all_variants(spark, sf_dir):
     return decode.variants(planted_tokens(spark, sf_dir))

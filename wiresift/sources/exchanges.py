@@ -52,7 +52,7 @@ def planted_sql(dialect: dict) -> str:
 
     url = pick(
         {
-            1: f"concat('https://shop.example.com/item/', {pid}, '?sig=', {md5}, '&page=2')",
+            1: f"concat('https://shop.example.com/item/', {pid}, '?sig=', {md5}, '&page=2&key=k', {pid})",
             6: f"concat('https://cdn.example.com/static/', {md5}, '.', CASE WHEN page_id % 24 = 6 THEN 'js' ELSE 'woff2' END)",
             9: "'https://example.net:8443/go/%2541dmin%252Fpanel/a;b=1?next=%252Fhome%253Fx%253D1&flag&q=a+b'",
             10: f"concat('https://example.org/t/', {safe}, '/view')",
@@ -77,7 +77,9 @@ def planted_sql(dialect: dict) -> str:
     response = pick(
         {
             2: f"concat('<p>sha256=', {sha256}, ' end</p>')",
-            3: f"concat('x $2y$10$', substring(concat({md5}, {md5}), 1, 53), ' y $6$', {md5}, ' z')",
+            3: f"concat('x $2y$10$', substring(concat({md5}, {md5}), 1, 53), ' y $6$', {md5}, ' z $1$', {md5}, ' $2a$10$', {md5}, ' $2b$12$', {md5},"
+            f" ' $5$', {md5}, ' $apr1$', {md5}, ' $pbkdf2-sha1$', {sha1}, ' $pbkdf2-sha256$', {sha256}, ' $argon2id$v=19$m=65536,t=3,p=4$', {md5},"
+            f" ' $argon2i$v=19$', {md5}, ' $argon2d$v=19$', {md5}, ' .')",
             7: f"concat('etag ', {sha1})",
             8: f"concat('crc deadbeef run ', repeat('a', 40), ' odd ', substring({md5}, 1, 31), ' low ', repeat('0123', 12),"
             f" ' long ', repeat({sha256}, 5), ' text 48656c6c6f20776f726c64206f6620706c61696e20656e676c69736820746578742e')",

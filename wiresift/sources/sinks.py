@@ -40,11 +40,14 @@ def write_findings(findings: DataFrame, path: str) -> None:
     issues(findings).write.mode("append").partitionBy("kind").parquet(path)
 
 
-def export(decoded: DataFrame) -> DataFrame:
-    """Decoded rows of a bounded report, numbered; rows without text are left out."""
-    rows = decoded.where(F.col("decoded") != "")
-    order = Window.orderBy("exchange_id", "origin", "token", "decoded")
-    number = F.row_number().over(order).alias("row")
+def export(decoded: DataFrame, most: int = 100_000) -> DataFrame:
+    """Decoded rows of a report of at most so many, numbered; rows without text are left out.
+
+    The bound is the report's; write_decoded() writes any number.
+    """
+    order = ("exchange_id", "origin", "token", "decoded")
+    rows = decoded.where(F.col("decoded") != "").orderBy(*order).limit(most)
+    number = F.row_number().over(Window.orderBy(*order)).alias("row")
     return rows.select(number, "ts", "host", "port", "origin", "token_len", "decoded", "token")
 
 
