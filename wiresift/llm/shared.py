@@ -27,17 +27,14 @@ def written(df: DataFrame) -> DataFrame:
     path = shared_folder(spark)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
-    _paths[id(out)] = path
+    out._written_to = path
     return out
 
 
-_paths: dict[int, str] = {}
-
-
 def discard(*tables: DataFrame) -> None:
     """Deletes tables from written() whose readers have all been written themselves."""
     for df in tables:
-        path = _paths.pop(id(df), None)
+        path = df.__dict__.pop("_written_to", None)
         if path is not None:
             jvm, spark = df.sparkSession._jvm, df.sparkSession
             place = jvm.org.apache.hadoop.fs.Path(path)
