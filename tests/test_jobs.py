@@ -8,7 +8,7 @@ from wiresift import queries, schema
 from wiresift.functions import digests, gates, quality
 from wiresift.jobs import audit
 from wiresift.operators import capture, decode, detect, surfaces
-from wiresift.options import DecodeOptions, DetectOptions
+from wiresift.options import OLDER_DECODE, DecodeOptions, DetectOptions
 from wiresift.sources import exchanges, sinks
 
 SF = "/root/testdata/sf0.001"
@@ -24,7 +24,7 @@ def value(v):
 #: One query of each kind; the driver compares all of them.
 SAMPLE = ["s2_value_lines", "f1_skip_assets", "f6_scope", "f7_noisy_headers", "p2_url_parts", "p4_decode_chain", "p13_surface_union",
           "d5_entropy", "d10_local_context", "d13_findings", "d14_distinct_findings", "j2_distinct_inputs", "j4_match_hashes",
-          "t4_base64_decode", "t10_lz_uri", "q1_quality", "st1_live_findings", "w2_capture"]
+          "t4_base64_decode", "t10_lz_uri", "t13_older_texts", "t16_first_readings", "q1_quality", "st1_live_findings", "w2_capture"]
 
 
 @pytest.mark.parametrize("name", SAMPLE)
@@ -190,3 +190,45 @@ def test_repair_expression_equals_helper(spark):
     texts = ["plain", "Ã©\ufffd", "\ufffdÃ\x28 é猫", "a 😀 \ufffd", "é", "", None, "\ufffd"]
     rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", codecs.repaired_text(F.col("t")).alias("r"))
     assert {r["i"]: r["r"] for r in rows.collect()} == {i: codecs.repaired(t) for i, t in enumerate(texts)}
+
+
+def test_older_version(spark):
+    from wiresift.functions import codecs
+
+    plain = "user=admin; role=operator"
+    token, wide = codecs.lz_encode(plain, "uri"), codecs.lz_encode(plain, "utf16")
+    escaped = "".join(f"%{ord(c):02x}" for c in token)
+    rows = exchange(
+        spark,
+        dict(req_headers=[f"X-A: {token}", f"X-B: {escaped}", f"X-C: <<<<!!!!>>>> {escaped}", f"X-D: (((!!!! {token}", "X-E: dXNlcj1hZG1pbiZyb2xlPW9w"]),
+        dict(resp_headers=["Content-Type: text/html"], resp_body=token.encode()),
+        dict(method="POST", req_headers=["Content-Type: text/plain"], req_body=token.encode()),
+    )
+    older = audit.decode_job(rows, OLDER_DECODE)
+    got = {(r["exchange_id"], r["origin"], r["token"], r["route"]) for r in older.where(F.col("decoded") == plain).collect()}
+    origins = ("header:X-A-EU-fast", "header:X-B-EU-fast-dec1", "header:X-C-dec1", "header:X-D")
+    assert got == {(0, o, token, "lz-uri") for o in origins} | {(2, "body-EU-fast", token, "lz-uri")}
+    assert older.where("origin LIKE 'header:X-E%' OR direction = 'response'").isEmpty()
+    newer = {(r["exchange_id"], r["origin"]) for r in audit.decode_job(rows).where(F.col("decoded") == plain).collect()}
+    assert newer == {(0, o.removesuffix("-dec1")) for o in origins} | {(1, "resp-body-EU-fast")}
+
+    tokens = spark.createDataFrame([("u", f" {token} "), ("w", wide), ("n", "\x01\x02"), ("e", ""), ("0", None)], "token_id string, token string")
+    readings = {r["token_id"]: (r["route"], r["value"]) for r in decode.first_readings(tokens).collect()}
+    none = ("No decode", "")
+    assert readings == {"u": ("lz-uri", plain), "w": ("lz-utf16", plain), "n": none, "e": none, "0": none}
+
+
+def test_older_routes_by_class(spark):
+    from wiresift.functions import codecs
+
+    notes = [f"item={i}&state=open; owner=team {i * 7919}" for i in range(60)]
+    made = {codecs.lz_encode(t, a): t for t in notes for a in ("uri", "base64")}
+    tokens = spark.createDataFrame([(t, False) for t in made], "token string, whole boolean")
+    got = {r["token"]: (r["route"], r["decoded"]) for r in decode.decoded_tokens(tokens, OLDER_DECODE).collect()}
+    assert {t: d for t, (_, d) in got.items()} == made
+
+    def first(t):  # `/` is no URI-safe character and reads as nothing; with too many of `/` and `=` that route is not tried
+        return "lz-base64" if "/" in t or sum(map(t.count, "/=")) > 0.05 * len(t) else "lz-uri"
+
+    assert all(r == first(t) for t, (r, _) in got.items())
+    assert {r for r, _ in got.values()} == {"lz-uri", "lz-base64"}

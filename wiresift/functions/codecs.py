@@ -23,45 +23,35 @@ URI_SAFE = BASE64[:-1] + "-$"
 # --- LZ-String -------------------------------------------------------------
 
 
-class _End(Exception):
-    pass
+def _bit_texts(alphabet: str) -> dict[str, str]:
+    return {c: format(i, "06b") for i, c in enumerate(alphabet)}
 
 
-def _bits(codes, width: int):
-    """Reader of little-endian bit groups from codes of `width` bits, most significant bit first."""
-    state = {"at": 0, "bit": width}
-
-    def read(n: int) -> int:
-        out = 0
-        for power in range(n):
-            if state["bit"] == 0:
-                state["at"] += 1
-                state["bit"] = width
-            if state["at"] >= len(codes):
-                raise _End
-            state["bit"] -= 1
-            out |= (codes[state["at"]] >> state["bit"] & 1) << power
-        return out
-
-    return read
+_BITS = {"base64": _bit_texts(BASE64), "uri": _bit_texts(URI_SAFE) | {" ": format(URI_SAFE.index("+"), "06b")}}
 
 
-def lz_codes(text: str, alphabet: str) -> tuple[list[int], int]:
-    """Codes and bits per code of a token; `alphabet` is base64, uri or utf16.  Unknown characters are 0."""
+def lz_bits(text: str, alphabet: str) -> str:
+    """A token's bits as a text of 0 and 1; `alphabet` is base64, uri or utf16.  Unknown characters are 0."""
     if alphabet == "utf16":
-        return [max(ord(c) - 32, 0) & 0x7FFF for c in text], 15
-    table = {c: i for i, c in enumerate(BASE64 if alphabet == "base64" else URI_SAFE)}
-    if alphabet == "uri":
-        text = text.replace(" ", "+")
-    return [table.get(c, 0) for c in text], 6
+        return "".join([format(max(ord(c) - 32, 0) & 0x7FFF, "015b") for c in text])
+    table = _BITS[alphabet]
+    return "".join([table.get(c, "000000") for c in text])
 
 
 def lz_decode(text: str | None, alphabet: str, cap: int = CAP) -> str | None:
     """Decoded text; empty for an empty stream; null for one that is malformed, truncated or over the cap."""
     if not text:
         return None
-    codes, width = lz_codes(text, alphabet)
-    read = _bits(codes, width)
+    bits, at = lz_bits(text, alphabet), 0
+
+    def read(n: int) -> int:
+        """The next n bits, the least significant first."""
+        nonlocal at
+        at += n
+        if at > len(bits):
+            raise EOFError
+        return int(bits[at - n : at][::-1], 2)
+
     try:
         kind = read(2)
         if kind == 2:
@@ -94,7 +84,7 @@ def lz_decode(text: str | None, alphabet: str, cap: int = CAP) -> str | None:
             nxt, left, phrase = nxt + 1, left - 1, entry
             if left == 0:
                 left, size = 1 << size, size + 1
-    except (_End, ValueError):
+    except (EOFError, ValueError):
         return None
 
 

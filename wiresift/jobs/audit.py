@@ -33,7 +33,7 @@ def capture_job(
 
 def decode_job(exchanges: DataFrame, options: DecodeOptions = DecodeOptions(), scope: DataFrame | None = None) -> DataFrame:
     rows = exchanges if scope is None or not options.scope_only else decode.in_scope(exchanges, scope)
-    return decode.records(decode.first_hits(surfaces.decoding(rows, options), options))
+    return decode.records(decode.first_hits(surfaces.decoding(rows, options), options), options)
 
 
 def main(job: str, source_path: str, out: str) -> None:

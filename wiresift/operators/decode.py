@@ -6,10 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import codecs, gates, http, quality
-from ..options import DecodeOptions
+from ..options import OLDER_DECODE, DecodeOptions
 
 URI_SAFE_CLASS = r"[^A-Za-z0-9+\-$_.]"
-BASE64_SHAPE = r"^[A-Za-z0-9_\-+/=]{8,}$"
+BASE64_CLASS = r"[A-Za-z0-9_\-+/=]"
+TOKEN_CLASS = r"[A-Za-z0-9_\-+$/=.]"
+OLDER_TOKEN_CLASS = r"[A-Za-z0-9_\-+$]"
 BASE64_TOKEN = r"^[A-Za-z0-9_\-+/]*=*$"
 
 
@@ -20,9 +22,9 @@ def in_scope(exchanges: DataFrame, scope: DataFrame) -> DataFrame:
     return rows.join(scope, inside, "left_semi").drop("_host", "_path")
 
 
-def candidate_tokens(text: Column, least: int = 8) -> Column:
+def candidate_tokens(text: Column, least: int = 8, older: bool = False) -> Column:
     """Maximal runs of token characters of at least so many, in order."""
-    return F.regexp_extract_all(text, F.lit(rf"[A-Za-z0-9_\-+$/=.]{{{least},}}"), F.lit(0))
+    return F.regexp_extract_all(text, F.lit(f"{OLDER_TOKEN_CLASS if older else TOKEN_CLASS}{{{least},}}"), F.lit(0))
 
 
 def looks_uri_safe(text: Column, options: DecodeOptions = DecodeOptions()) -> Column:
@@ -34,6 +36,10 @@ def looks_base64(text: Column, least: int = 8) -> Column:
     return text.rlike(BASE64_TOKEN) & (F.length(text) >= least)
 
 
+def base64_shape(text: Column, options: DecodeOptions) -> Column:
+    return text.rlike(f"^{BASE64_CLASS}{{{options.min_base64},}}$")
+
+
 def base64_normal(text: Column) -> Column:
     """The plain alphabet, padded to a multiple of four."""
     plain = F.translate(text, "-_", "+/")
@@ -71,12 +77,14 @@ def with_routes(tokens: DataFrame, options: DecodeOptions = DecodeOptions(), eve
     """`tokens` (token, ...) and what each decode route makes of them, as columns.
 
     Helpers see only the tokens that the built-in class tests let through; the UTF-16 one
-    sees those that the cascade asks it for, or with `every` all.
+    sees those that the cascade asks it for, or with `every` all.  The older routes
+    know LZ-String alone.
     """
     token, cap = F.col("token"), options.max_decoded
     uri = looks_uri_safe(token, options)
-    shape = token.rlike(BASE64_SHAPE)
-    wide = F.lit(True) if every else looks_base64(token, options.min_token) | ~(uri | shape)
+    shape = base64_shape(token, options)
+    wide = ~(uri | shape) if options.older_routes else looks_base64(token, options.min_token) | ~(uri | shape)
+    wide = F.lit(True) if every else wide
     rows = tokens.withColumns(
         {
             "_uri": F.when(uri, codecs.lz_decode_udf("uri", cap)(F.when(uri, token))),
@@ -85,6 +93,8 @@ def with_routes(tokens: DataFrame, options: DecodeOptions = DecodeOptions(), eve
             "_utf16": F.when(wide, codecs.lz_decode_udf("utf16", cap)(F.when(wide, token))) if options.try_utf16 else F.lit(None).cast("string"),
         }
     )
+    if options.older_routes:
+        return rows.withColumn("_found", _attempt("lz-base64", F.col("_lz")))
     text = utf8(F.col("_data"))
     rows = rows.withColumn("_text", F.when(quality.passes(text, options), text))
     # Only bytes that are neither an LZ-String nor text are worth the decompressors.
@@ -114,35 +124,47 @@ def cascade(options: DecodeOptions = DecodeOptions()) -> Column:
     """
     token, b64 = F.col("token"), F.col("_found")
     uri, wide = _attempt("lz-uri", F.col("_uri")), _attempt("lz-utf16", F.col("_utf16"))
+    if options.older_routes:  # a route that a token's class rules out is null
+        known = looks_uri_safe(token, options) | base64_shape(token, options)
+        tries = F.when(F.col("whole"), F.array(uri)).when(known, F.array(uri, b64)).otherwise(F.array(wide))
+        return first_accepted(tries, options)
     tries = (
         F.when(F.col("whole"), F.array(uri))
         .when(looks_base64(token, options.min_token), F.array(b64, uri, wide))
         .when(looks_uri_safe(token, options), F.array(uri, b64))
-        .when(token.rlike(BASE64_SHAPE), F.array(b64, uri))
+        .when(base64_shape(token, options), F.array(b64, uri))
         .otherwise(F.array(wide))
     )
     return first_accepted(tries, options)
 
 
 def tokens_of(surfaces: DataFrame, options: DecodeOptions = DecodeOptions()) -> DataFrame:
-    """`surfaces` and rank, token, whole: whole layers that look URI-safe first, then tokens by layer and place."""
+    """`surfaces` and rank, token, whole, layer: whole layers that look URI-safe first, then tokens by layer and place."""
     layers = http.decode_chain(F.col("text"), options.depth)
-    whole = F.transform(
-        F.filter(layers, lambda x: looks_uri_safe(x, options)), lambda x: F.struct(x.alias("token"), F.lit(True).alias("whole"))
-    )
-    parts = F.transform(
-        F.flatten(F.transform(layers, lambda x: candidate_tokens(x, options.min_token))),
-        lambda x: F.struct(x.alias("token"), F.lit(False).alias("whole")),
-    )
-    rows = surfaces.withColumn("_all", F.concat(whole, parts))
-    return rows.select(*surfaces.columns, F.posexplode("_all").alias("rank", "t")).select(
-        *surfaces.columns, "rank", "t.token", "t.whole"
-    )
+
+    # Whole or not and the layer are one number: with a field of its own that not all readers use, the cut texts are made twice.
+    def whole(layer: Column, i: Column) -> Column:
+        return F.filter(F.array(F.struct(layer.alias("token"), (2 * i + 1).alias("place"))), lambda p: looks_uri_safe(p["token"], options))
+
+    def cut(layer: Column, i: Column) -> Column:
+        found = candidate_tokens(layer, options.min_token, options.older_routes)
+        return F.transform(found, lambda x: F.struct(x.alias("token"), (2 * i).alias("place")))
+
+    rows = surfaces.withColumn("_all", F.concat(F.flatten(F.transform(layers, whole)), F.flatten(F.transform(layers, cut))))
+    rows = rows.select(*surfaces.columns, F.posexplode("_all").alias("rank", "t"))
+    parts = (F.col("t.token").alias("token"), (F.col("t.place") % 2 == 1).alias("whole"), F.floor(F.col("t.place") / 2).cast("int").alias("layer"))
+    return rows.select(*surfaces.columns, "rank", *parts)
 
 
 def decoded_tokens(tokens: DataFrame, options: DecodeOptions = DecodeOptions()) -> DataFrame:
-    """(token, whole, route, decoded) of distinct tokens: each is decoded once however often it occurs."""
-    rows = with_routes(tokens.select("token", "whole").distinct(), options)
+    """(token, whole, route, decoded) of distinct tokens: each is decoded once however often it occurs.
+
+    Distinct tokens are few bytes but much work, so they are dealt to all tasks again:
+    adaptive execution, which goes by bytes, would leave them in a handful.
+    """
+    width = int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    some = tokens.select("token", "whole").distinct().repartition(width, "token", "whole")
+    rows = with_routes(some, options)
     return rows.select("token", "whole", cascade(options).alias("f")).where(F.col("f").isNotNull()).select("token", "whole", "f.*")
 
 
@@ -152,15 +174,17 @@ def first_hits(surfaces: DataFrame, options: DecodeOptions = DecodeOptions()) ->
     found = decoded_tokens(tokens, options)
     hits = tokens.join(found, ["token", "whole"])
     keys = ["exchange_id", "direction", "ordinal"]
-    rest = [c for c in (*surfaces.columns, "token", "whole", "route", "decoded") if c not in keys and c != "text"]
+    rest = [c for c in (*surfaces.columns, "token", "whole", "layer", "route", "decoded") if c not in keys and c != "text"]
     best = hits.groupBy(*keys).agg(F.min_by(F.struct(*rest), "rank").alias("b"))
     return best.select(*keys, "b.*")
 
 
-def records(hits: DataFrame) -> DataFrame:
+def records(hits: DataFrame, options: DecodeOptions = DecodeOptions()) -> DataFrame:
     """Result rows (DECODED): one for each exchange, origin, token and decoded text."""
     url = F.col("url")
     origin = F.concat(F.col("location"), F.when(F.col("whole"), F.lit("-EU-fast")).otherwise(F.lit("")))
+    if options.layer_tags:
+        origin = F.concat(origin, F.when(F.col("layer") > 0, F.concat(F.lit("-dec"), F.col("layer").cast("string"))).otherwise(F.lit("")))
     rows = hits.select(
         "exchange_id", "ts", "direction", F.coalesce(http.host(url), F.lit("")).alias("host"), http.port(url).alias("port"), "tool",
         origin.alias("origin"), F.length("token").alias("token_len"), "token", "route", "decoded",
@@ -209,6 +233,25 @@ def variants(tokens: DataFrame, options: DecodeOptions = DecodeOptions()) -> Dat
     return rows.select("token_id", F.coalesce("a.variant", F.lit("No decode")).alias("variant"), F.coalesce("a.value", F.lit("")).alias("value"))
 
 
+def first_readings(tokens: DataFrame, options: DecodeOptions = OLDER_DECODE) -> DataFrame:
+    """The older report on tokens (token_id, token), blanks around them ignored: one row each (token_id, route, value).
+
+    The first accepted of URI-safe and Base64, else what UTF-16 makes of it, whatever
+    its quality; `No decode` where that is nothing.  All routes see every token.
+    """
+    rows = tokens.select("token_id", F.trim("token").alias("_t"))
+    made = {
+        "lz-uri": codecs.lz_decode_udf("uri", options.max_decoded)(F.col("_t")),
+        "lz-base64": codecs.lz_decode_udf("base64", options.max_decoded)(base64_normal(F.col("_t"))),
+        "lz-utf16": codecs.lz_decode_udf("utf16", options.max_decoded)(F.col("_t")),
+    }
+    rows = rows.withColumns({f"_v{i}": v for i, v in enumerate(made.values())})
+    uri, b64, wide = (_attempt(r, F.col(f"_v{i}")) for i, r in enumerate(made))
+    last = F.when(F.col("_v2").isNotNull(), wide).otherwise(_attempt("No decode", F.lit("")))
+    found = F.coalesce(first_accepted(F.array(uri, b64), options), last)
+    return rows.select("token_id", found.alias("f")).select("token_id", "f.route", F.col("f.decoded").alias("value"))
+
+
 def encoded(plain: DataFrame) -> DataFrame:
     """Every encoding of texts (id, text) as (id, variant, value)."""
     data, text = F.col("text").cast("binary"), F.col("text")

@@ -169,7 +169,7 @@ def decoding(exchanges: DataFrame, options: DecodeOptions = DecodeOptions()) ->
     out.append(one("query", F.col("query")))
     out.append(kept_headers(F.col("req_headers")))
     typed = gates.is_allowed_type(http.content_type(F.col("req_headers"))) | is_form(F.col("req_headers"))
-    out.append(one("body", utf8(F.col("req_body")), typed))
+    out.append(one("body", utf8(F.col("req_body")), typed if options.typed_bodies else None))
     if options.scan_responses:
         out.append(one("resp-body", utf8(F.col("resp_body")), gates.is_allowed_type(http.content_type(F.col("resp_headers")))))
     found = exploded(rows, out, "exchange_id", "ts", "url", "tool")

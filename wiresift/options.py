@@ -42,6 +42,7 @@ class CaptureOptions:
 @dataclass(frozen=True)
 class DecodeOptions:
     min_token: int = 8
+    min_base64: int = 8
     max_decoded: int = 16_384
     min_decoded: int = 1
     depth: int = 3
@@ -52,3 +53,13 @@ class DecodeOptions:
     brace_balance: bool = False  # the older gate's test
     split_semicolons: bool = False
     scan_responses: bool = True
+    typed_bodies: bool = True  # request bodies of the allowed types only
+    older_routes: bool = False  # LZ-String only: URI-safe, Base64, UTF-16, on a narrower class of tokens
+    layer_tags: bool = False  # origins name the decode layer
+
+
+#: The older version: longer tokens, its own routes and gate, requests only, origins with their layer.
+OLDER_DECODE = DecodeOptions(
+    min_token=10, min_base64=12, brace_balance=True, split_semicolons=True, scan_responses=False, typed_bodies=False,
+    older_routes=True, layer_tags=True,
+)

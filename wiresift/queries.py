@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .functions import codecs, digests, gates, http, quality
 from .jobs import audit
 from .operators import capture, decode, detect, surfaces
-from .options import CaptureOptions, DecodeOptions, DetectOptions
+from .options import OLDER_DECODE, CaptureOptions, DecodeOptions, DetectOptions
 from .sources import exchanges as source
 from .sources import sinks
 from .streaming import live
@@ -702,6 +702,29 @@ def t16_all_variants(spark, sf_dir):
     return decode.variants(planted_tokens(spark, sf_dir))
 
 
+@query(PLAIN + " SELECT concat(page_id, '/', variant) AS token_id, x AS decoded FROM pl, (VALUES ('LZ-Base64'), ('LZ-URI')) AS v(variant)")
+def t13_older_texts(spark, sf_dir):
+    """What the older routes read from LZ-String tokens: URI-safe first, so most Base64 ones go that way too."""
+    tokens = planted_tokens(spark, sf_dir).where(F.split("token_id", "/")[1].isin("LZ-Base64", "LZ-URI"))
+    found = decode.decoded_tokens(tokens.select("token", F.lit(False).alias("whole")), OLDER_DECODE)
+    return tokens.join(found, "token").select("token_id", "decoded")
+
+
+@query()
+def t15_older_hits(spark, sf_dir):
+    """The decode job as the older version runs it: requests only, origins with their layer."""
+    return audit.decode_job(ex(spark, sf_dir), OLDER_DECODE)
+
+
+@query(PLAIN + """ SELECT concat(page_id, '/LZ-URI') AS token_id, 'lz-uri' AS route, x AS value FROM pl
+  UNION ALL SELECT concat('page ', page_id), 'No decode', '' FROM pages""")
+def t16_first_readings(spark, sf_dir):
+    """The older report on LZ-String tokens and on tokens without any reading."""
+    rows = planted_tokens(spark, sf_dir).where(F.split("token_id", "/")[1] == "LZ-URI")
+    dull = table(spark, sf_dir, "pages").select(F.concat(F.lit("page "), F.col("page_id").cast("string")).alias("token_id"), F.lit("\x01\x02").alias("token"))
+    return decode.first_readings(rows.unionByName(dull))
+
+
 @query("""WITH p AS (SELECT page_id AS id, url AS text FROM pages) SELECT id, 'Base64' AS variant, to_base64(encode(text)) AS value FROM p UNION ALL
 SELECT id, 'Base64URL', translate(to_base64(encode(text)), '+/=', '-_') FROM p UNION ALL SELECT id, 'HEX', hex(encode(text)) FROM p""")
 def t17_encode(spark, sf_dir):

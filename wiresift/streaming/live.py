@@ -28,16 +28,16 @@ def live_tokens(stream: DataFrame, options: DecodeOptions = DecodeOptions()) ->
     tokens = decode.tokens_of(surfaces.decoding(stream, options), options)
     rows = decode.with_routes(tokens, options)
     return rows.withColumn("f", decode.cascade(options)).where(F.col("f").isNotNull()).select(
-        "exchange_id", "ts", "url", "tool", "direction", "ordinal", "location", "rank", "token", "whole", "f.route", "f.decoded"
+        "exchange_id", "ts", "url", "tool", "direction", "ordinal", "location", "rank", "token", "whole", "layer", "f.route", "f.decoded"
     )
 
 
-def first_of_batch(tokens: DataFrame) -> DataFrame:
+def first_of_batch(tokens: DataFrame, options: DecodeOptions = DecodeOptions()) -> DataFrame:
     """The first accepted token of each surface of a micro-batch, as result rows."""
     keys = ["exchange_id", "direction", "ordinal"]
     rest = [c for c in tokens.columns if c not in keys]
     best = tokens.groupBy(*keys).agg(F.min_by(F.struct(*rest), "rank").alias("b")).select(*keys, "b.*")
-    return decode.records(best)
+    return decode.records(best, options)
 
 
 def distinct_values(found: DataFrame, late: str = "1 hour") -> DataFrame:
@@ -53,7 +53,7 @@ def write_live_findings(stream: DataFrame, out: str, checkpoint: str, options: D
 
 def write_live_tokens(stream: DataFrame, out: str, checkpoint: str, options: DecodeOptions = DecodeOptions()) -> StreamingQuery:
     def batch(df: DataFrame, number: int) -> None:
-        first_of_batch(df).write.mode("overwrite").parquet(f"{out}/batch={number}")  # a repeated batch replaces itself
+        first_of_batch(df, options).write.mode("overwrite").parquet(f"{out}/batch={number}")  # a repeated batch replaces itself
 
     writer = live_tokens(stream, options).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return writer.trigger(availableNow=True).start()
