@@ -165,7 +165,9 @@ def decoded_tokens(tokens: DataFrame, options: DecodeOptions = DecodeOptions())
     width = int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     some = tokens.select("token", "whole").distinct().repartition(width, "token", "whole")
     rows = with_routes(some, options)
-    return rows.select("token", "whole", cascade(options).alias("f")).where(F.col("f").isNotNull()).select("token", "whole", "f.*")
+    # Exploded, as a filter on the result would work out the cascade several times.
+    hit = F.filter(F.array(cascade(options)), lambda f: f.isNotNull())
+    return rows.select("token", "whole", F.explode(hit).alias("f")).select("token", "whole", "f.*")
 
 
 def first_hits(surfaces: DataFrame, options: DecodeOptions = DecodeOptions()) -> DataFrame:
