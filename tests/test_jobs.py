@@ -24,7 +24,7 @@ def value(v):
 #: One query of each kind; the driver compares all of them.
 SAMPLE = ["s2_value_lines", "f1_skip_assets", "f6_scope", "f7_noisy_headers", "p2_url_parts", "p4_decode_chain", "p13_surface_union",
           "d5_entropy", "d10_local_context", "d13_findings", "d14_distinct_findings", "j2_distinct_inputs", "j4_match_hashes",
-          "t4_base64_decode", "t10_lz_uri", "t13_older_texts", "t16_first_readings", "q1_quality", "st1_live_findings", "w2_capture"]
+          "t4_base64_decode", "t10_lz_uri", "t13_older_texts", "t15_older_hits", "t16_first_readings", "q1_quality", "st1_live_findings", "w2_capture"]
 
 
 @pytest.mark.parametrize("name", SAMPLE)

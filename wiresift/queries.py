@@ -710,10 +710,16 @@ def t13_older_texts(spark, sf_dir):
     return tokens.join(found, "token").select("token_id", "decoded")
 
 
-@query()
+@query(EX + """ SELECT exchange_id, origin, 'lz-uri' AS route, concat('user=', exchange_id, '&note=hello world') AS decoded
+  FROM ex, (VALUES ('header:X-State-EU-fast'), ('header:X-Escaped-EU-fast-dec1')) AS v(origin)""")
 def t15_older_hits(spark, sf_dir):
-    """The decode job as the older version runs it: requests only, origins with their layer."""
-    return audit.decode_job(ex(spark, sf_dir), OLDER_DECODE)
+    """The decode job as the older version runs it, over exchanges with two more headers: a token, and the same token escaped."""
+    plain = F.concat(F.lit("user="), F.col("exchange_id").cast("string"), F.lit("&note=hello world"))
+    rows = ex(spark, sf_dir).withColumn("_token", codecs.encode_udf("lz-uri")(plain))
+    escaped = F.regexp_replace(F.hex(F.col("_token").cast("binary")), "(..)", "%$1")
+    more = F.array(F.concat(F.lit("X-State: "), F.col("_token")), F.concat(F.lit("X-Escaped: "), escaped))
+    rows = rows.withColumn("req_headers", F.concat("req_headers", more)).drop("_token")
+    return audit.decode_job(rows, OLDER_DECODE).select("exchange_id", "origin", "route", "decoded")
 
 
 @query(PLAIN + """ SELECT concat(page_id, '/LZ-URI') AS token_id, 'lz-uri' AS route, x AS value FROM pl
