@@ -138,6 +138,15 @@ def cascade(options: DecodeOptions = DecodeOptions()) -> Column:
     return first_accepted(tries, options)
 
 
+def accepted_rows(rows: DataFrame, options: DecodeOptions = DecodeOptions()) -> DataFrame:
+    """Rows of with_routes() that the cascade accepts, with its result as `f`.
+
+    Exploded, as a filter on the result would work out the cascade several times.
+    """
+    hit = F.filter(F.array(cascade(options)), lambda f: f.isNotNull())
+    return rows.select("*", F.explode(hit).alias("f"))
+
+
 def tokens_of(surfaces: DataFrame, options: DecodeOptions = DecodeOptions()) -> DataFrame:
     """`surfaces` and rank, token, whole, layer: whole layers that look URI-safe first, then tokens by layer and place."""
     layers = http.decode_chain(F.col("text"), options.depth)
@@ -165,9 +174,7 @@ def decoded_tokens(tokens: DataFrame, options: DecodeOptions = DecodeOptions())
     width = int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     some = tokens.select("token", "whole").distinct().repartition(width, "token", "whole")
     rows = with_routes(some, options)
-    # Exploded, as a filter on the result would work out the cascade several times.
-    hit = F.filter(F.array(cascade(options)), lambda f: f.isNotNull())
-    return rows.select("token", "whole", F.explode(hit).alias("f")).select("token", "whole", "f.*")
+    return accepted_rows(rows, options).select("token", "whole", "f.*")
 
 
 def first_hits(surfaces: DataFrame, options: DecodeOptions = DecodeOptions()) -> DataFrame:

@@ -27,7 +27,7 @@ def live_tokens(stream: DataFrame, options: DecodeOptions = DecodeOptions()) ->
     """
     tokens = decode.tokens_of(surfaces.decoding(stream, options), options)
     rows = decode.with_routes(tokens, options)
-    return rows.withColumn("f", decode.cascade(options)).where(F.col("f").isNotNull()).select(
+    return decode.accepted_rows(rows, options).select(
         "exchange_id", "ts", "url", "tool", "direction", "ordinal", "location", "rank", "token", "whole", "layer", "f.route", "f.decoded"
     )
 
