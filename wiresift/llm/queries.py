@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard_join, language_id, license_scan, line_dedup, packing, perplexity, shared, substring_dedup, token_output, url_filter
+from . import (
+    decontaminate, jaccard_join, language_id, license_scan, line_dedup, packing, perplexity, prefix_trie, shared, substring_dedup, token_output,
+    url_filter, warc, whitening,
+)
 
 END_ID = 2
 
@@ -82,6 +85,23 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.groups(shared.read(spark, sf_dir, "documents"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = whitening.whiten(shared.read(spark, sf_dir, "embeddings"), most=8)
+    return rows.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = prefix_trie.build(shared.read(spark, sf_dir, "conversations"))
+    return nodes.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared.shared_folder(spark)
+    made = warc.write(shared.read(spark, sf_dir, "pages"), folder)
+    files = warc.archives(spark, folder) if made.head(1) else made.select("path", "bytes")
+    return warc.read(files).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_license_scan": op2_license_scan,
@@ -93,6 +113,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_language_id": op10_language_id,
+    "op11_embedding_whitening": op11_embedding_whitening,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_warc": op13_warc,
 }
 
 
@@ -203,8 +226,34 @@ words AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS pos, unnest(w) AS word
 kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY pos) AS text, count(*) AS n FROM words ANTI JOIN gone USING (doc_id, pos) GROUP BY doc_id)
 SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256 FROM docs LEFT JOIN kept USING (doc_id)"""
 
+# crc32 by a table of the 256 bytes; prefixes as digests of the chained turns.
+OP12_SQL = r"""WITH tb AS (SELECT list(list_reduce([i]::BIGINT[] || range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) AS r(i)),
+said AS (SELECT conv_id, sha256(concat(length(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, ''))) AS turn, length(coalesce(text, '')) AS chars,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(concat(length(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, '')))) AS k FROM conversations WHERE conv_id IS NOT NULL),
+ids AS (SELECT conv_id, xor(list_reduce([4294967295]::BIGINT[] || list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT)),
+  lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) % 6 AS h FROM (SELECT DISTINCT conv_id FROM said), tb),
+built AS (SELECT i.conv_id, turn, chars, k FROM ids i JOIN said s ON s.conv_id = i.conv_id - i.conv_id % 100 WHERE k <= h
+  UNION ALL SELECT i.conv_id, turn, chars, k FROM ids i JOIN said s ON s.conv_id = i.conv_id WHERE k > h),
+ranked AS (SELECT conv_id, turn, chars, row_number() OVER (PARTITION BY conv_id ORDER BY k) AS depth FROM built),
+paths AS (SELECT conv_id, chars, depth, sha256(string_agg(turn, '/') OVER w) AS node FROM ranked WINDOW w AS (PARTITION BY conv_id ORDER BY depth)
+  UNION ALL SELECT conv_id, 0, 0, 'root' FROM ids),
+nodes AS (SELECT node, depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(chars) AS chars FROM paths GROUP BY node, depth),
+links AS (SELECT DISTINCT p.node AS parent, c.node FROM paths p JOIN paths c ON c.conv_id = p.conv_id AND c.depth = p.depth + 1),
+below AS (SELECT DISTINCT a.node AS top, b.node FROM paths a JOIN paths b ON b.conv_id = a.conv_id AND b.depth >= a.depth),
+sums AS (SELECT top AS node, sum((n_convs - 1) * chars) AS saved_tokens, count(*) FILTER (WHERE b.node NOT IN (SELECT parent FROM links)) AS n_leaves FROM below b JOIN nodes n ON n.node = b.node GROUP BY top),
+ends AS (SELECT node, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) AS ids FROM paths WHERE (conv_id, depth) IN (SELECT (conv_id, max(depth)) FROM paths GROUP BY conv_id) GROUP BY node)
+SELECT n.conv_id, n.depth, u.conv_id AS parent_conv_id, n.n_convs, (SELECT count(*) FROM links k WHERE k.parent = n.node) AS n_children, n_leaves,
+  CAST(saved_tokens AS BIGINT) AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM nodes n JOIN sums USING (node) LEFT JOIN ends USING (node) LEFT JOIN links l ON l.node = n.node LEFT JOIN nodes u ON u.node = l.parent"""
+
+OP13_SQL = """WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages), g AS (SELECT *, strlen(html) AS payload_bytes, min(page_id) OVER (PARTITION BY html) AS least FROM p),
+r AS (SELECT *, payload_bytes >= 100 AND least IS NOT NULL AND page_id IS DISTINCT FROM least AS again FROM g)
+SELECT page_id, payload_bytes, sha256(html) AS payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN least END AS refers_to FROM r"""
+
 ORACLE_SQL: dict[str, str] = {
     "op1_url_filter": OP1_SQL,
     "op2_license_scan": OP2_SQL,
     "op5_substring_dedup": OP5_SQL,
+    "op12_prefix_trie": OP12_SQL,
+    "op13_warc": OP13_SQL,
 }

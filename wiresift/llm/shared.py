@@ -52,3 +52,25 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def lower_ascii(column):
     """A-Z to a-z and nothing else, whatever the locale."""
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def looked_up(rows: DataFrame, table: DataFrame, key: str, weight: str, spread) -> DataFrame:
+    """`rows` left-joined with `table` (key, weight, ...) on `key`, which is unique there; `weight` is left out.
+
+    `weight` is how many rows will ask for a key.  Keys that a thousandth of all weights
+    or more asks for are fewer than 1001, so they are broadcast; the rest are joined by
+    shuffle, where no key is that heavy.  `spread` is a column of `rows` of the key's
+    type that deals out the rows that are already answered.
+    """
+    total = table.agg(F.sum(weight)).first()[0] or 0
+    heavy = F.col(weight) * 1000 >= max(1, total)
+    rest = [c for c in table.columns if c not in (key, weight)]
+
+    def part(which, mark: str) -> DataFrame:
+        return table.where(which).select(F.col(key).alias(f"_{mark}_key"), F.struct(F.lit(1), *rest).alias(f"_{mark}"))
+
+    out = rows.join(F.broadcast(part(heavy, "hot")), F.col(key) == F.col("_hot_key"), "left")
+    out = out.withColumn("_key", F.when(F.col("_hot_key").isNull(), F.col(key)).otherwise(F.concat(F.col(key), spread)))
+    out = out.join(part(~heavy, "cold"), F.col("_key") == F.col("_cold_key"), "left")
+    found = [F.coalesce(F.col(f"_hot.{c}"), F.col(f"_cold.{c}")).alias(c) for c in rest]
+    return out.select(*rows.columns, *found)
