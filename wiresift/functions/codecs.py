@@ -24,7 +24,7 @@ URI_SAFE = BASE64[:-1] + "-$"
 
 
 def _bit_texts(alphabet: str) -> dict[str, str]:
-    return {c: format(i, "06b") for i, c in enumerate(alphabet)}
+    return {c: format(i & 63, "06b") for i, c in enumerate(alphabet)}  # the 65th character, which pads, is 0
 
 
 _BITS = {"base64": _bit_texts(BASE64), "uri": _bit_texts(URI_SAFE) | {" ": format(URI_SAFE.index("+"), "06b")}}
@@ -212,8 +212,20 @@ DECOMPRESSORS = {
 }
 
 
+def may_be(data: bytes, codec: str) -> bool:
+    """Could the data be of this codec, by its first bytes?"""
+    start = data[:4]
+    if codec == "gzip":
+        return start[:3] == b"\x1f\x8b\x08"
+    if codec == "zlib":
+        return len(data) > 1 and data[0] & 15 == 8 and (data[0] << 8 | data[1]) % 31 == 0
+    if codec in ("lz4", "zstd"):  # a frame, or one that is skipped
+        return start == (b"\x04\x22\x4d\x18" if codec == "lz4" else b"\x28\xb5\x2f\xfd") or (start[1:] == b"\x2a\x4d\x18" and 0x50 <= start[0] < 0x60)
+    return True
+
+
 def decompress(data: bytes | None, codec: str, cap: int = CAP) -> bytes | None:
-    return None if data is None else DECOMPRESSORS[codec](data, cap)
+    return DECOMPRESSORS[codec](data, cap) if data is not None and may_be(data, codec) else None
 
 
 def compress(data: bytes, codec: str) -> bytes:
@@ -244,6 +256,12 @@ def inflate(body: bytes | None, encoding: str | None, cap: int) -> bytes | None:
     return body
 
 
+def base64_normal(text: str) -> str:
+    """The plain alphabet, padded to a multiple of four."""
+    plain = text.translate({45: "+", 95: "/"})
+    return plain + "=" * (-len(plain) % 4)
+
+
 # --- text encodings --------------------------------------------------------
 
 
@@ -342,7 +360,9 @@ def json_leaves_udf():
 
 def lz_decode_udf(alphabet: str, cap: int = CAP):
     def run(text: pd.Series) -> pd.Series:
-        return pd.Series([repaired(lz_decode(t, alphabet, cap)) for t in text], dtype=object)
+        from . import lzbatch
+
+        return pd.Series([repaired(t) for t in lzbatch.decode(list(text), alphabet, cap)], dtype=object)
 
     return F.pandas_udf(run, "string").asNondeterministic()  # no filter is worked out twice below it
 

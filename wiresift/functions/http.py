@@ -48,10 +48,13 @@ def form_decoded(text: Column) -> Column:
 
 def decode_chain(text: Column, depth: int) -> Column:
     """[text, decoded once, decoded twice, ...]: at most `depth` decodings, each distinct text once."""
-    layers = [text]
-    for _ in range(depth):
-        layers.append(form_decoded(layers[-1]))
-    return F.array_distinct(F.array(*layers))
+
+    def deeper(layers: Column, _: Column) -> Column:
+        last = F.element_at(layers, -1)
+        return F.concat(layers, F.array(F.when(last.contains("%") | last.contains("+"), form_decoded(last)).otherwise(last)))
+
+    # Step by step, as nested decodings would be worked out again and again.
+    return F.array_distinct(F.aggregate(F.sequence(F.lit(1), F.lit(depth)), F.array(text), deeper))
 
 
 def pairs(text: Column, separator: str) -> Column:

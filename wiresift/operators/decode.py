@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from ..functions import codecs, gates, http, quality
+from ..functions import codecs, gates, http, quality, routes
 from ..options import OLDER_DECODE, DecodeOptions
 
+#: What a hit adds to its surface.
+HIT = StructType().add("token", "string").add("whole", "boolean").add("layer", "integer").add("route", "string").add("decoded", "string")
+
 URI_SAFE_CLASS = r"[^A-Za-z0-9+\-$_.]"
 BASE64_CLASS = r"[A-Za-z0-9_\-+/=]"
 TOKEN_CLASS = r"[A-Za-z0-9_\-+$/=.]"
@@ -117,41 +123,15 @@ def first_accepted(attempts: Column, options: DecodeOptions) -> Column:
     return F.get(F.filter(attempts, lambda a: quality.accepted(a["decoded"], options)), F.lit(0))
 
 
-def cascade(options: DecodeOptions = DecodeOptions()) -> Column:
-    """The first accepted route of a token, by what it looks like; null if there is none.
-
-    Whole layers are tried as URI-safe LZ-String only.
-    """
-    token, b64 = F.col("token"), F.col("_found")
-    uri, wide = _attempt("lz-uri", F.col("_uri")), _attempt("lz-utf16", F.col("_utf16"))
-    if options.older_routes:  # a route that a token's class rules out is null
-        known = looks_uri_safe(token, options) | base64_shape(token, options)
-        tries = F.when(F.col("whole"), F.array(uri)).when(known, F.array(uri, b64)).otherwise(F.array(wide))
-        return first_accepted(tries, options)
-    tries = (
-        F.when(F.col("whole"), F.array(uri))
-        .when(looks_base64(token, options.min_token), F.array(b64, uri, wide))
-        .when(looks_uri_safe(token, options), F.array(uri, b64))
-        .when(base64_shape(token, options), F.array(b64, uri))
-        .otherwise(F.array(wide))
-    )
-    return first_accepted(tries, options)
-
-
-def accepted_rows(rows: DataFrame, options: DecodeOptions = DecodeOptions()) -> DataFrame:
-    """Rows of with_routes() that the cascade accepts, with its result as `f`.
-
-    Exploded, as a filter on the result would work out the cascade several times.
-    """
-    hit = F.filter(F.array(cascade(options)), lambda f: f.isNotNull())
-    return rows.select("*", F.explode(hit).alias("f"))
-
-
 def tokens_of(surfaces: DataFrame, options: DecodeOptions = DecodeOptions()) -> DataFrame:
     """`surfaces` and rank, token, whole, layer: whole layers that look URI-safe first, then tokens by layer and place."""
-    layers = http.decode_chain(F.col("text"), options.depth)
+    rows = placed_tokens(surfaces, options)
+    return rows.select(*surfaces.columns, "rank", "token", (F.col("place") % 2 == 1).alias("whole"), F.floor(F.col("place") / 2).cast("int").alias("layer"))
+
+
+def placed_tokens(surfaces: DataFrame, options: DecodeOptions) -> DataFrame:
+    """`surfaces` and rank, token, place; place is twice the layer, and one more for whole layers."""
 
-    # Whole or not and the layer are one number: with a field of its own that not all readers use, the cut texts are made twice.
     def whole(layer: Column, i: Column) -> Column:
         return F.filter(F.array(F.struct(layer.alias("token"), (2 * i + 1).alias("place"))), lambda p: looks_uri_safe(p["token"], options))
 
@@ -159,33 +139,70 @@ def tokens_of(surfaces: DataFrame, options: DecodeOptions = DecodeOptions()) ->
         found = candidate_tokens(layer, options.min_token, options.older_routes)
         return F.transform(found, lambda x: F.struct(x.alias("token"), (2 * i).alias("place")))
 
-    rows = surfaces.withColumn("_all", F.concat(F.flatten(F.transform(layers, whole)), F.flatten(F.transform(layers, cut))))
-    rows = rows.select(*surfaces.columns, F.posexplode("_all").alias("rank", "t"))
-    parts = (F.col("t.token").alias("token"), (F.col("t.place") % 2 == 1).alias("whole"), F.floor(F.col("t.place") / 2).cast("int").alias("layer"))
-    return rows.select(*surfaces.columns, "rank", *parts)
+    def both(layers: Column) -> Column:
+        return F.concat(F.flatten(F.transform(layers, whole)), F.flatten(F.transform(layers, cut)))
+
+    # As the one element of a list, the layers are worked out once for both.
+    found = F.get(F.transform(F.array(http.decode_chain(F.col("text"), options.depth)), both), F.lit(0))
+    return surfaces.select(*surfaces.columns, F.posexplode(found).alias("rank", "t")).select(*surfaces.columns, "rank", "t.token", "t.place")
+
+
+READ = "token string, whole boolean, route string, decoded string"
 
 
 def decoded_tokens(tokens: DataFrame, options: DecodeOptions = DecodeOptions()) -> DataFrame:
-    """(token, whole, route, decoded) of distinct tokens: each is decoded once however often it occurs.
+    """(token, whole, route, decoded) of distinct tokens that the cascade reads."""
 
-    Distinct tokens are few bytes but much work, so they are dealt to all tasks again:
-    adaptive execution, which goes by bytes, would leave them in a handful.
-    """
-    width = int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    some = tokens.select("token", "whole").distinct().repartition(width, "token", "whole")
-    rows = with_routes(some, options)
-    return accepted_rows(rows, options).select("token", "whole", "f.*")
+    def run(batches):
+        reader = routes.reader(options)
+        for b in batches:
+            keys = list(zip(b.column("token").to_pylist(), b.column("whole").to_pylist()))
+            found = reader.read(keys)
+            rows = [(*k, *found[k]) for k in keys if found[k] is not None]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=["token", "whole", "route", "decoded"])
+
+    return tokens.select("token", "whole").where("token IS NOT NULL").distinct().mapInArrow(run, READ)
 
 
 def first_hits(surfaces: DataFrame, options: DecodeOptions = DecodeOptions()) -> DataFrame:
-    """The first accepted token of every surface: `surfaces`' columns, token, whole, route, decoded."""
-    tokens = tokens_of(surfaces, options)
-    found = decoded_tokens(tokens, options)
-    hits = tokens.join(found, ["token", "whole"])
-    keys = ["exchange_id", "direction", "ordinal"]
-    rest = [c for c in (*surfaces.columns, "token", "whole", "layer", "route", "decoded") if c not in keys and c != "text"]
-    best = hits.groupBy(*keys).agg(F.min_by(F.struct(*rest), "rank").alias("b"))
-    return best.select(*keys, "b.*")
+    """The first accepted token of every surface: `surfaces`' columns but the text, token, whole, layer, route, decoded.
+
+    A surface's tokens follow one another, so one pass over them in order ends it: nothing is
+    shuffled or grouped, and a stream is read like a table.  Only a surface's first token
+    carries the surface's columns along.
+    """
+    keep = [c for c in surfaces.columns if c != "text"]
+    head = F.when(F.col("rank") == 0, F.struct(*keep)).alias("head")
+    rows = placed_tokens(surfaces, options).select(head, "token", "place")
+    out = StructType([*[f for f in surfaces.schema if f.name in keep], *HIT])
+
+    def run(batches):
+        reader, last, ended = routes.reader(options), None, True
+        for b in batches:
+            heads, tokens, places = b.column("head"), b.column("token").to_pylist(), b.column("place").to_pylist()
+            starts = np.flatnonzero(heads.is_valid().to_numpy(zero_copy_only=False))
+            keys = [(t, p % 2 == 1) for t, p in zip(tokens, places)]
+            found = reader.read(keys)
+            accepted = np.flatnonzero([found[k] is not None for k in keys])
+            # Which surface a hit belongs to: -1 is the one that began in an earlier batch.
+            owner = np.searchsorted(starts, accepted, side="right") - 1
+            owner, first = np.unique(owner, return_index=True)
+            hits = accepted[first]
+            if len(owner) and owner[0] < 0 and ended:
+                owner, hits = owner[1:], hits[1:]
+            of = [last if o < 0 else heads.slice(starts[o], 1) for o in owner]
+            if len(starts):
+                last, ended = heads.slice(starts[-1], 1), len(owner) > 0 and owner[-1] == len(starts) - 1
+            else:
+                ended = ended or len(owner) > 0
+            if len(hits):
+                surfaces_of = pa.concat_arrays(of).flatten()
+                made = [(tokens[h], places[h] % 2 == 1, places[h] // 2, *found[keys[h]]) for h in hits]
+                columns = [pa.array(c, t) for c, t in zip(zip(*made), (pa.string(), pa.bool_(), pa.int32(), pa.string(), pa.string()))]
+                yield pa.RecordBatch.from_arrays([*surfaces_of, *columns], names=[*keep, *[f.name for f in HIT]])
+
+    return rows.mapInArrow(run, out)
 
 
 def records(hits: DataFrame, options: DecodeOptions = DecodeOptions()) -> DataFrame:

@@ -20,24 +20,8 @@ def live_findings(stream: DataFrame, options: DetectOptions = DetectOptions()) -
 
 
 def live_tokens(stream: DataFrame, options: DecodeOptions = DecodeOptions()) -> DataFrame:
-    """Accepted tokens of every surface, with their rank.
-
-    A stream can't join its own tokens by batch, so each row decodes its own; the
-    first hit of a surface is the lowest rank, taken per micro-batch by the sink.
-    """
-    tokens = decode.tokens_of(surfaces.decoding(stream, options), options)
-    rows = decode.with_routes(tokens, options)
-    return decode.accepted_rows(rows, options).select(
-        "exchange_id", "ts", "url", "tool", "direction", "ordinal", "location", "rank", "token", "whole", "layer", "f.route", "f.decoded"
-    )
-
-
-def first_of_batch(tokens: DataFrame, options: DecodeOptions = DecodeOptions()) -> DataFrame:
-    """The first accepted token of each surface of a micro-batch, as result rows."""
-    keys = ["exchange_id", "direction", "ordinal"]
-    rest = [c for c in tokens.columns if c not in keys]
-    best = tokens.groupBy(*keys).agg(F.min_by(F.struct(*rest), "rank").alias("b")).select(*keys, "b.*")
-    return decode.records(best, options)
+    """The first accepted token of every surface."""
+    return decode.first_hits(surfaces.decoding(stream, options), options)
 
 
 def distinct_values(found: DataFrame, late: str = "1 hour") -> DataFrame:
@@ -53,7 +37,7 @@ def write_live_findings(stream: DataFrame, out: str, checkpoint: str, options: D
 
 def write_live_tokens(stream: DataFrame, out: str, checkpoint: str, options: DecodeOptions = DecodeOptions()) -> StreamingQuery:
     def batch(df: DataFrame, number: int) -> None:
-        first_of_batch(df, options).write.mode("overwrite").parquet(f"{out}/batch={number}")  # a repeated batch replaces itself
+        decode.records(df, options).write.mode("overwrite").parquet(f"{out}/batch={number}")  # a repeated batch replaces itself
 
     writer = live_tokens(stream, options).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return writer.trigger(availableNow=True).start()
