@@ -24,11 +24,8 @@ def capture_job(
     exchanges: DataFrame, options: DetectOptions = DetectOptions(), keep: CaptureOptions = CaptureOptions()
 ) -> tuple[DataFrame, DataFrame]:
     """(captured hashes, captured inputs)."""
-    found = detect.findings(surfaces.detection(exchanges, options), options)
-    hashes = capture.distinct_hashes(found) if keep.distinct_hashes else found.select("ts", "value")
-    params = capture.inputs_of_findings(capture.inputs(exchanges), found, keep)
-    inputs = capture.distinct_inputs(params) if keep.distinct_inputs else params.selectExpr("ts", "name AS param_name", "value")
-    return hashes, inputs
+    rows = capture.captured(exchanges, options)
+    return capture.hashes_of(rows, keep), capture.inputs_of(rows, keep)
 
 
 def decode_job(exchanges: DataFrame, options: DecodeOptions = DecodeOptions(), scope: DataFrame | None = None) -> DataFrame:
@@ -42,11 +39,13 @@ def main(job: str, source_path: str, out: str) -> None:
     if job == "detect":
         sinks.write_findings(detect_job(rows), out)
     elif job == "capture":
-        hashes, inputs = (d.persist() for d in capture_job(rows))  # each goes to two sinks
-        sinks.write_values(hashes, f"{out}/hashes")
-        sinks.write_values(inputs, f"{out}/inputs")
-        sinks.write_csv(hashes, f"{out}/hashes_csv", "value")
-        sinks.write_csv(inputs, f"{out}/inputs_csv", "param_name", "value")
+        found = capture.captured(rows).persist()  # bodies are read once
+        for name, part, columns in (("hashes", capture.hashes_of(found), ("value",)), ("inputs", capture.inputs_of(found), ("param_name", "value"))):
+            part = part.persist()  # each goes to two sinks
+            sinks.write_values(part, f"{out}/{name}")
+            sinks.write_csv(part, f"{out}/{name}_csv", *columns)
+            part.unpersist()
+        found.unpersist()
     else:
         sinks.write_decoded(decode_job(rows), out)
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import codecs, gates, http
-from ..options import CaptureOptions
+from ..options import CaptureOptions, DetectOptions
+from . import detect, surfaces
 from .surfaces import fields_type, is_form, multipart_fields, utf8
 
 
@@ -20,6 +21,12 @@ def distinct_hashes(found: DataFrame) -> DataFrame:
 
 def inputs(exchanges: DataFrame) -> DataFrame:
     """(exchange_id, ts, ptype, name, value): request parameters, cookies left out, empty values dropped."""
+    rows = exchanges.select("exchange_id", "ts", F.explode(input_list()).alias("p"))
+    return rows.select("exchange_id", "ts", "p.ptype", "p.name", "p.value")
+
+
+def input_list() -> Column:
+    """[(ptype, name, value)]: an exchange's request parameters, cookies left out, empty values dropped."""
     text = utf8(F.col("req_body"))
     form = F.when(is_form(F.col("req_headers")), text)
 
@@ -46,9 +53,39 @@ def inputs(exchanges: DataFrame) -> DataFrame:
         typed("multipart", F.coalesce(multipart_fields(F.coalesce(text, F.lit("")), F.col("req_headers")), F.array().cast(fields_type())), False),
         typed("json", F.coalesce(F.transform(leaves, leaf), F.array().cast(fields_type())), False),
     ]
-    rows = exchanges.select("exchange_id", "ts", F.explode(F.concat(*parts)).alias("p"))
-    rows = rows.select("exchange_id", "ts", "p.ptype", "p.name", "p.value")
-    return rows.where(F.coalesce(F.col("value") != "", F.lit(False)))
+    return F.filter(F.concat(*parts), lambda p: F.coalesce(p["value"] != "", F.lit(False)))
+
+
+def captured(exchanges: DataFrame, options: DetectOptions = DetectOptions()) -> DataFrame:
+    """(exchange_id, ts, url, found, params) of the exchanges with a finding: their findings and their inputs.
+
+    All of it is worked out in the exchange's own row, so bodies are read once and nothing is joined.
+    """
+    rows, parts = surfaces.detection_parts(exchanges, options)
+    some = F.filter(F.concat(*parts), lambda s: F.coalesce(F.length(s["text"]) > 0, F.lit(False)))
+    one = F.array(F.struct(detect.gated_matches(some, options).alias("found"), input_list().alias("params")))
+    # Exploded, as a filter on the findings would work them out twice.
+    hit = F.explode(F.filter(one, lambda x: F.size(x["found"]) > 0)).alias("x")
+    return rows.select("exchange_id", "ts", "url", hit).select("exchange_id", "ts", "url", "x.found", "x.params")
+
+
+def findings_of(rows: DataFrame) -> DataFrame:
+    """Findings (FINDINGS) of captured()."""
+    return detect.described(rows.select("exchange_id", "ts", "url", F.explode("found").alias("f")).select("exchange_id", "ts", "url", "f.*"))
+
+
+def hashes_of(rows: DataFrame, options: CaptureOptions = CaptureOptions()) -> DataFrame:
+    """(ts, value) of captured()."""
+    found = rows.select("ts", F.explode("found").alias("f")).select("ts", "f.value")
+    return distinct_hashes(found) if options.distinct_hashes else found
+
+
+def inputs_of(rows: DataFrame, options: CaptureOptions = CaptureOptions()) -> DataFrame:
+    """(ts, param_name, value) of captured(), within bounds; once for each finding if repeats are kept."""
+    times = F.lit(1) if options.distinct_inputs else F.size("found")
+    params = rows.select("ts", F.explode(F.flatten(F.array_repeat(F.col("params"), times))).alias("p")).select("ts", "p.name", "p.value")
+    params = params.where(gates.input_fits(F.col("value"), options.min_input, options.max_input))
+    return distinct_inputs(params) if options.distinct_inputs else params.selectExpr("ts", "name AS param_name", "value")
 
 
 def inputs_of_findings(params: DataFrame, found: DataFrame, options: CaptureOptions = CaptureOptions()) -> DataFrame:

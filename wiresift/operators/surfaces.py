@@ -84,6 +84,14 @@ def exploded(df: DataFrame, surfaces: list[Column], *keep: str) -> DataFrame:
 
 def detection(exchanges: DataFrame, options: DetectOptions = DetectOptions()) -> DataFrame:
     """Surfaces of the detection job: exchange_id, ts, url, ordinal, direction, location, text."""
+    rows, out = detection_parts(exchanges, options)
+    found = exploded(rows, out, "exchange_id", "ts", "url")
+    direction = F.when(F.col("location").startswith("response-"), "response").otherwise("request")
+    return found.withColumn("direction", direction)
+
+
+def detection_parts(exchanges: DataFrame, options: DetectOptions) -> tuple[DataFrame, list[Column]]:
+    """Exchanges that the detection job looks at, with their parts as columns, and the surfaces as lists made of those."""
     o = options
     gate = ~gates.is_asset(F.col("url")) if o.skip_assets else F.lit(True)
     rows = exchanges.where(gate).withColumns(
@@ -133,9 +141,7 @@ def detection(exchanges: DataFrame, options: DetectOptions = DetectOptions()) ->
         if o.scan_json:
             json = F.coalesce(F.col("resp_type").contains("json"), F.lit(False)) & F.col("resp_text").isNotNull()
             out.append(F.coalesce(leaves(F.when(json, utf8(body)), F.lit("response-body")), F.array().cast(surfaces_type())))
-    found = exploded(rows, out, "exchange_id", "ts", "url")
-    direction = F.when(F.col("location").startswith("response-"), "response").otherwise("request")
-    return found.withColumn("direction", direction)
+    return rows, out
 
 
 def fields_type() -> str:
