@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,13 +37,6 @@ def query(sql: str | None = None):
     return add
 
 
-def also(name: str, known: str) -> None:
-    """A second name of a query."""
-    QUERIES[name] = QUERIES[known]
-    if known in SQL:
-        SQL[name] = SQL[known]
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -218,9 +212,6 @@ def p5_path_segments(spark, sf_dir):
     return rows.where(F.col("location").startswith("path-seg[")).select("exchange_id", "location", "text")
 
 
-also("p5_path_layers", "p5_path_segments")
-
-
 @query(EX + f", s AS (SELECT exchange_id, unnest(string_split(regexp_replace({PATH}, '^/|/$', '', 'g'), '/')) AS seg FROM ex) SELECT exchange_id, 'path-seg-main' AS location, split_part(seg, ';', 1) AS text FROM s WHERE contains(seg, ';') UNION ALL SELECT exchange_id, 'path-seg-semi', substr(seg, instr(seg, ';') + 1) FROM s WHERE contains(seg, ';')")
 def p6_semicolon_parts(spark, sf_dir):
     rows = ex(spark, sf_dir).select("exchange_id", F.explode(surfaces.semicolon_parts(http.path(F.col("url")))).alias("s"))
@@ -376,9 +367,6 @@ def d7_english(spark, sf_dir):
     return whole_english(table(spark, sf_dir, "documents"))
 
 
-also("d7_english_whole", "d7_english")
-
-
 @query(TEXTS + " SELECT location, exchange_id, value FROM sized WHERE hex_len IN (32, 40, 56, 64, 96, 128)")
 def d8_exact_lengths(spark, sf_dir):
     return sized_runs(spark, sf_dir).where(digests.is_exact_length(F.col("value"))).select("location", "exchange_id", "value")
@@ -407,9 +395,6 @@ def d10_local_context(spark, sf_dir):
     return rows.select("exchange_id", "location", "r.value", F.col("r.around").rlike(KEYWORDS).alias("near"))
 
 
-also("d10_context_everywhere", "d10_local_context")
-
-
 @query(SURFACES_SQL + f" SELECT exchange_id, location, CASE WHEN regexp_matches(lower(text), '{'|'.join(digests.CONTEXT_KEYWORDS)}') THEN 'Firm' ELSE 'Tentative' END AS confidence FROM surf")
 def d11_confidence(spark, sf_dir):
     sure = F.when(digests.has_keyword(F.col("text")), "Firm").otherwise("Tentative")
@@ -500,9 +485,6 @@ def j4_match_hashes(spark, sf_dir):
     return capture.matched(hashes, capture.distinct_inputs(capture.inputs(rows)))
 
 
-also("j4_match_captured", "j4_match_hashes")
-
-
 def planted_tokens(spark, sf_dir):
     """Tokens to decode: words of the pages' planted exchanges, and encodings of their urls."""
     pages = table(spark, sf_dir, "pages")
@@ -787,7 +769,10 @@ def stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def folder(spark: SparkSession) -> str:
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    """A fresh folder below spark.checkpoint.dir, which all executors reach."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{top.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
@@ -814,6 +799,31 @@ def st3_live_distinct(spark, sf_dir):
     return spark.read.parquet(f"{out}/rows").select("value")
 
 
+HIT_INPUTS = "inputs WHERE exchange_id IN (SELECT exchange_id FROM found) AND length(value) BETWEEN 1 AND 4096"
+
+
+@query(FIND_SQL + INPUTS_SQL + f" SELECT DISTINCT 'hash' AS what, '' AS name, value FROM found UNION ALL SELECT DISTINCT 'input', name, value FROM {HIT_INPUTS}")
+def st3_live_memory(spark, sf_dir):
+    """First sightings of hashes and inputs, by keyed state."""
+    out = folder(spark)
+    live.write_live_captures(stream(spark, sf_dir), out, f"{out}/state", ttl=timedelta(days=3650)).awaitTermination()
+    hashes = live.committed(spark, out, "hashes").select(F.lit("hash").alias("what"), F.lit("").alias("name"), "value")
+    return hashes.unionByName(live.committed(spark, out, "inputs").select(F.lit("input").alias("what"), F.col("param_name").alias("name"), "value"))
+
+
+@query(FIND_SQL + INPUTS_SQL + f""" SELECT 'finding' AS what, title AS name, value, detail, NULL::TIMESTAMP AS ts FROM found
+UNION ALL SELECT 'hash', NULL, value, NULL, min(ts) FROM found GROUP BY value UNION ALL SELECT 'input', name, value, NULL, min(ts) FROM {HIT_INPUTS} GROUP BY name, value""")
+def w2_live_capture(spark, sf_dir):
+    """Capture as exchanges arrive: what the batch job gives, from committed micro-batches."""
+    out = folder(spark)
+    live.write_live_captures(stream(spark, sf_dir), out, f"{out}/state").awaitTermination()
+    none, never = F.lit(None).cast("string"), F.lit(None).cast("timestamp").alias("ts")
+    found = live.committed(spark, out, "findings").select(F.lit("finding").alias("what"), F.col("title").alias("name"), "value", "detail", never)
+    hashes = live.committed_hashes(spark, out).select(F.lit("hash").alias("what"), none.alias("name"), "value", none.alias("detail"), "ts")
+    inputs = live.committed_inputs(spark, out).select(F.lit("input").alias("what"), F.col("param_name").alias("name"), "value", none.alias("detail"), "ts")
+    return found.unionByName(hashes).unionByName(inputs)
+
+
 @query(FIND_SQL + INPUTS_SQL + " SELECT name AS param_name, value, min(ts) AS ts FROM inputs WHERE exchange_id IN (SELECT exchange_id FROM found) GROUP BY 1, 2")
 def w2_capture(spark, sf_dir):
     return audit.capture_job(ex(spark, sf_dir), DETECT, CaptureOptions())[1]
