@@ -43,8 +43,35 @@ def test_truncated_and_malformed_streams_give_nothing():
 def test_output_is_capped():
     bomb = gzip.compress(b"a" * 1_000_000)
     assert codecs.decompress(bomb, "gzip", 1000) is None
-    assert codecs.inflate(bomb, "gzip", 1000) == bomb
-    assert len(codecs.inflate(bomb, "GZIP", 2_000_000)) == 1_000_000
+    assert [len(b) for b in codecs.inflate(bomb, "GZIP", 2_000_000)] == [1_000_000]
+    assert codecs.inflate(gzip.compress(b"no digest " * 200_000), "gzip", 1000) == []
+    assert codecs.inflate(b"plain", "gzip", 1000) == [b"plain"] and codecs.inflate(b"x", None, 1000) == [b"x"]
+    assert codecs.inflate(bomb[:-9], "gzip", 1000) == [bomb[:-9]] and codecs.inflate(b"", "gzip", 1000) == [b""]
+
+
+def test_members_and_broken_streams():
+    two = gzip.compress(b"first ") + gzip.compress(b"second")
+    assert codecs.decompress(two, "gzip") == b"first second"
+    assert codecs.decompress(two + b"what follows", "gzip") == b"first second"
+    assert codecs.decompress(two[:-3], "gzip") is None
+    assert codecs.inflate(two + b"\0\0", "gzip", 1000) == [b"first second"]
+    for codec in ("zlib", "deflate"):  # what comes before the break counts
+        whole = codecs.compress(b"some words that repeat, some words that end", codec)
+        assert b"some words that repeat".startswith(codecs.decompress(whole[:15], codec)[:9])
+        assert codecs.decompress(b"", codec) is None
+
+
+def test_segments_of_large_bodies_lose_no_digest():
+    import hashlib
+    import re
+
+    digests = [hashlib.sha256(str(i).encode()).hexdigest() for i in range(30)]
+    parts = [b"sha256:  " + d.encode() + b"\n" + b"plain words, nothing else \n" * 40_000 for d in digests]
+    body = b"".join(parts)
+    for kind, packed in (("gzip", gzip.compress(body)), ("deflate", codecs.compress(body, "zlib")), ("deflate", codecs.compress(body, "deflate")), ("br", codecs.compress(body, "brotli"))):
+        got = codecs.inflate(packed, kind, 20_000_000)
+        assert sum(map(len, got)) < len(body) and max(map(len, got)) <= codecs.SEGMENT
+        assert [m.decode() for b in got for m in re.findall(rb"sha256:\s*([0-9a-f]+)", b)] == digests
 
 
 def test_json_leaves():

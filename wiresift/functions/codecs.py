@@ -9,6 +9,7 @@ from __future__ import annotations
 import gzip
 import json
 import quopri
+import re
 import zlib
 
 import pandas as pd
@@ -157,13 +158,32 @@ def lz_encode(text: str, alphabet: str = "base64") -> str:
 # --- compression -----------------------------------------------------------
 
 
-def _zlib(data: bytes, window: int, cap: int) -> bytes | None:
+GZIP = b"\x1f\x8b\x08"
+
+
+def _gunzip(data: bytes, cap: int) -> bytes | None:
+    """All members; what follows the last one is ignored."""
+    out = b""
+    try:
+        while data.startswith(GZIP):
+            reader = zlib.decompressobj(31)
+            out += reader.decompress(data, cap + 1 - len(out))
+            if not reader.eof or len(out) > cap:
+                return None
+            data = reader.unused_data
+    except zlib.error:
+        return None
+    return out
+
+
+def _zlib(data: bytes, window: int, cap: int, partial: bool = True) -> bytes | None:
+    """Unpacked bytes; those of a stream that breaks off too, if `partial`."""
     try:
         reader = zlib.decompressobj(window)
         out = reader.decompress(data, cap + 1)
-        return out if reader.eof and len(out) <= cap else None
     except zlib.error:
         return None
+    return out if len(out) <= cap and (reader.eof or (partial and out)) else None
 
 
 def _arrow(data: bytes, codec: str, cap: int) -> bytes | None:
@@ -202,7 +222,7 @@ def _snappy_frames(data: bytes, cap: int) -> bytes | None:
 
 
 DECOMPRESSORS = {
-    "gzip": lambda b, cap: _zlib(b, 31, cap),
+    "gzip": _gunzip,
     "zlib": lambda b, cap: _zlib(b, 15, cap),
     "deflate": lambda b, cap: _zlib(b, -15, cap),
     "brotli": lambda b, cap: _arrow(b, "brotli", cap),
@@ -216,7 +236,7 @@ def may_be(data: bytes, codec: str) -> bool:
     """Could the data be of this codec, by its first bytes?"""
     start = data[:4]
     if codec == "gzip":
-        return start[:3] == b"\x1f\x8b\x08"
+        return start[:3] == GZIP
     if codec == "zlib":
         return len(data) > 1 and data[0] & 15 == 8 and (data[0] << 8 | data[1]) % 31 == 0
     if codec in ("lz4", "zstd"):  # a frame, or one that is skipped
@@ -243,17 +263,64 @@ def compress(data: bytes, codec: str) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
-def inflate(body: bytes | None, encoding: str | None, cap: int) -> bytes | None:
-    """A body less its content encoding; the body itself where that fails or none is known."""
+#: Unpacked at once, looked at once, and searched for a place to cut.
+PIECE, SEGMENT, SEAM = 1 << 18, 1 << 20, 1 << 16
+_CUT = re.compile(rb"[^\s:=]\s+(?=[^\s:=])")
+
+
+def _pieces(data: bytes, codec: str):
+    """Unpacked bytes, piece by piece; an error where the data breaks off."""
+    if codec == "brotli":
+        reader = pa.CompressedInputStream(pa.BufferReader(data), codec)
+        while out := reader.read(PIECE):
+            yield out
+        return
+    window = {"gzip": 31, "zlib": 15, "deflate": -15}[codec]
+    while data:
+        reader, fed = zlib.decompressobj(window), data
+        while not reader.eof:
+            out = reader.decompress(fed, PIECE)
+            fed = reader.unconsumed_tail
+            if out:
+                yield out
+            elif not reader.eof and not fed:
+                raise EOFError
+        data = reader.unused_data if codec == "gzip" and reader.unused_data.startswith(GZIP) else b""
+
+
+def inflate(body: bytes | None, encoding: str | None, cap: int, least: int = 8) -> list[bytes] | None:
+    """A body less its content encoding; the body itself where that fails or none is known.
+
+    What unpacks to more than `cap` bytes comes in segments, and only those in which a digest can
+    stand, with a run of `least` hex digits or a `$`: whatever the size, what is held is one
+    segment and those.  Segments are cut at blanks that part words, if there are any in SEAM bytes.
+    """
     if body is None:
         return None
     kind = (encoding or "").strip().lower()
     tries = {"gzip": ["gzip"], "x-gzip": ["gzip"], "deflate": ["zlib", "deflate"], "br": ["brotli"]}.get(kind, [])
     for codec in tries:
-        out = decompress(body, codec, cap)
-        if out is not None:
-            return out
-    return body
+        try:
+            if body:
+                return _segments(_pieces(body, codec), cap, re.compile(rb"[0-9A-Fa-f]{%d}|\$" % max(1, least)))
+        except (zlib.error, pa.ArrowException, OSError, ValueError, EOFError):
+            continue
+    return [body]
+
+
+def _segments(pieces, cap: int, likely: re.Pattern) -> list[bytes]:
+    held, kept, over = bytearray(), [], False
+    for piece in pieces:
+        held += piece
+        over = over or len(held) > cap
+        while over and len(held) > SEGMENT:
+            cut = max((m.end() for m in _CUT.finditer(held, SEGMENT - SEAM, SEGMENT)), default=SEGMENT)
+            if likely.search(held, 0, cut):
+                kept.append(bytes(held[:cut]))
+            del held[:cut]
+    if not over or likely.search(held):
+        kept.append(bytes(held))
+    return kept
 
 
 def base64_normal(text: str) -> str:
@@ -344,11 +411,11 @@ def json_leaves(body: str | None, origin: str) -> list[dict]:
 CODECS = ("gzip", "zlib", "deflate", "brotli", "lz4", "zstd", "snappy")
 
 
-def inflate_udf(cap: int):
+def inflate_udf(cap: int, least: int = 8):
     def run(body: pd.Series, encoding: pd.Series) -> pd.Series:
-        return pd.Series([inflate(b, e, cap) for b, e in zip(body, encoding)])
+        return pd.Series([inflate(b, e, cap, least) for b, e in zip(body, encoding)], dtype=object)
 
-    return F.pandas_udf(run, "binary").asNondeterministic()
+    return F.pandas_udf(run, "array<binary>").asNondeterministic()
 
 
 def json_leaves_udf():

@@ -1,6 +1,8 @@
 """The three jobs over a table of stored exchanges.
 
-    python -m wiresift.jobs.audit detect|capture|decode IN OUT
+    python -m wiresift.jobs.audit detect|capture|decode IN OUT [parquet|json]
+
+Damaged records go to OUT/damaged as they are stored.
 """
 
 from __future__ import annotations
@@ -33,11 +35,12 @@ def decode_job(exchanges: DataFrame, options: DecodeOptions = DecodeOptions(), s
     return decode.records(decode.first_hits(surfaces.decoding(rows, options), options), options)
 
 
-def main(job: str, source_path: str, out: str) -> None:
+def main(job: str, source_path: str, out: str, kind: str = "parquet") -> None:
     spark = SparkSession.builder.getOrCreate()
-    rows = source.read(spark, source_path)
+    source.damaged(spark, source_path, kind).write.mode("append").text(f"{out}/damaged")
+    rows = source.read(spark, source_path, kind)
     if job == "detect":
-        sinks.write_findings(detect_job(rows), out)
+        sinks.write_findings(detect_job(rows), f"{out}/findings")
     elif job == "capture":
         found = capture.captured(rows).persist()  # bodies are read once
         for name, part, columns in (("hashes", capture.hashes_of(found), ("value",)), ("inputs", capture.inputs_of(found), ("param_name", "value"))):
@@ -47,8 +50,8 @@ def main(job: str, source_path: str, out: str) -> None:
             part.unpersist()
         found.unpersist()
     else:
-        sinks.write_decoded(decode_job(rows), out)
+        sinks.write_decoded(decode_job(rows), f"{out}/decoded")
 
 
 if __name__ == "__main__":
-    main(*sys.argv[1:4])
+    main(*sys.argv[1:5])

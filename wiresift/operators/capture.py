@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import codecs, gates, http
 from ..options import CaptureOptions, DetectOptions
+from ..sources import tables
 from . import detect, surfaces
 from .surfaces import fields_type, is_form, multipart_fields, utf8
 
@@ -116,7 +117,39 @@ def digested(values: DataFrame) -> DataFrame:
     return values.select("value").distinct().select("value", F.explode(pairs).alias("d")).select("value", "d.*")
 
 
+#: Bits of the table that sorts out digests nobody captured: so many for each hash, up to a bound (16 MB of bits, 2^21 words).
+BITS_A_HASH, MOST_BITS = 64, 1 << 27
+
+
+def bit_words(digests: DataFrame, bits: int) -> DataFrame:
+    """(word, mask): the words of the bit table in which digests have a bit; at most bits / 64."""
+    at = bit_place("digest", bits)
+    return digests.select(word_of(at).alias("word"), bit_of(at).alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("mask"))
+
+
+def bit_place(digest: str, bits: int) -> Column:
+    return F.xxhash64(digest).bitwiseAND(bits - 1)
+
+
+def word_of(at: Column) -> Column:
+    return F.shiftright(at, 6).cast("int")
+
+
+def bit_of(at: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(63).cast("int"))
+
+
 def matched(hashes: DataFrame, values: DataFrame) -> DataFrame:
-    """(hash, algorithm, plain): captured hashes that are the digest of a captured input."""
-    left = hashes.select(F.col("value").alias("hash"), F.lower("value").alias("digest")).distinct()
-    return left.join(digested(values), "digest").select("hash", "algorithm", F.col("value").alias("plain"))
+    """(hash, algorithm, plain): captured hashes that are the digest of a captured input.
+
+    A table of bits, sized to the hashes and of bounded size, goes to all tasks, so of the six
+    digests of an input only those are shuffled that may have been captured.
+    """
+    left = tables.written(hashes.select(F.col("value").alias("hash"), F.lower("value").alias("digest")).distinct())
+    bits = min(MOST_BITS, 1 << max(12, (BITS_A_HASH * left.count()).bit_length()))
+    made = digested(values)
+    at = bit_place("digest", bits)
+    words = F.broadcast(bit_words(left, bits))
+    some = made.withColumn("_word", word_of(at)).join(words, F.col("_word") == F.col("word"))
+    some = some.where(F.col("mask").bitwiseAND(bit_of(at)) != 0).select(*made.columns)
+    return left.join(some, "digest").select("hash", "algorithm", F.col("value").alias("plain"))

@@ -109,8 +109,8 @@ def detection_parts(exchanges: DataFrame, options: DetectOptions) -> tuple[DataF
     packed = http.header_value(F.col("resp_headers"), "Content-Encoding")
     plain = ~F.coalesce(F.lower(packed).isin("gzip", "x-gzip", "deflate", "br"), F.lit(False))
     # Only encoded bodies visit Python.
-    body = F.when(plain, F.col("resp_body")).otherwise(codecs.inflate_udf(o.inflate_cap)(F.when(~plain, F.col("resp_body")), packed))
-    rows = rows.withColumn("resp_text", F.when(answers, latin1(body)))
+    unpacked = codecs.inflate_udf(o.inflate_cap, o.min_hex_len)(F.when(~plain, F.col("resp_body")), packed)
+    rows = rows.withColumn("bodies", F.when(answers, F.when(plain, F.array("resp_body")).otherwise(unpacked)))
 
     path, query = F.col("path"), F.col("query")
     out = []
@@ -137,10 +137,11 @@ def detection_parts(exchanges: DataFrame, options: DetectOptions) -> tuple[DataF
     if o.scan_headers:
         out.append(one("response-headers", F.concat_ws("\n", "resp_headers"), typed))
     if o.scan_response_body:
-        out.append(one("response-body", F.col("resp_text")))
+        texts = F.transform("bodies", lambda b: surface("response-body", latin1(b)))
+        out.append(F.coalesce(F.filter(texts, lambda s: s["text"] != ""), F.array().cast(surfaces_type())))
         if o.scan_json:
-            json = F.coalesce(F.col("resp_type").contains("json"), F.lit(False)) & F.col("resp_text").isNotNull()
-            out.append(F.coalesce(leaves(F.when(json, utf8(body)), F.lit("response-body")), F.array().cast(surfaces_type())))
+            json = F.coalesce(F.col("resp_type").contains("json"), F.lit(False)) & (F.size("bodies") == 1)
+            out.append(F.coalesce(leaves(F.when(json, utf8(F.get("bodies", F.lit(0)))), F.lit("response-body")), F.array().cast(surfaces_type())))
     return rows, out
 
 

@@ -28,7 +28,7 @@ class DetectOptions:
     scan_request_body: bool = True
     scan_response_body: bool = True
     scan_json: bool = True
-    inflate_cap: int = 20_000_000
+    inflate_cap: int = 20_000_000  # larger unpacked bodies are looked through in segments
 
 
 @dataclass(frozen=True)

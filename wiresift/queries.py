@@ -5,7 +5,6 @@ Exchanges are the planted ones of sources.exchanges, one for each page.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from datetime import timedelta
 
@@ -17,7 +16,7 @@ from .jobs import audit
 from .operators import capture, decode, detect, surfaces
 from .options import OLDER_DECODE, CaptureOptions, DecodeOptions, DetectOptions
 from .sources import exchanges as source
-from .sources import sinks
+from .sources import sinks, tables
 from .streaming import live
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,10 +79,23 @@ def sized_runs(spark, sf_dir):
 # --- sources and sinks -----------------------------------------------------
 
 
-@query(EX + " SELECT exchange_id, tool, method, url, len(req_headers) AS n_headers, strlen(req_body) AS req_bytes, strlen(resp_body) AS resp_bytes FROM ex")
+READ_SQL = """SELECT '{0}' AS kind, exchange_id, ts, tool, method, url, len(req_headers) AS n_headers, len(resp_headers) AS n_resp_headers, md5(req_body) AS req_body, md5(resp_body) AS resp_body, NULL AS raw FROM ex"""
+BROKEN = """concat('{{"exchange_id": ', page_id, ', "url": "cut off')"""
+
+
+@query(EX + f" {READ_SQL.format('parquet')} UNION ALL {READ_SQL.format('json')} UNION ALL SELECT 'damaged', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, {BROKEN.format()} FROM pages")
 def s1_read_exchanges(spark, sf_dir):
-    sizes = [F.octet_length(f"{s}_body").alias(f"{s}_bytes") for s in ("req", "resp")]
-    return ex(spark, sf_dir).select("exchange_id", "tool", "method", "url", F.size("req_headers").alias("n_headers"), *sizes)
+    """Exchanges written and read as Parquet and as JSON, the latter with a line that breaks off for each page."""
+    rows, top = ex(spark, sf_dir), tables.shared_folder(spark, "stored")
+    for kind in ("parquet", "json"):
+        source.write(rows, f"{top}/{kind}", kind)
+    table(spark, sf_dir, "pages").select(F.expr(BROKEN.format())).write.mode("append").text(f"{top}/json")
+    parts = [F.md5("req_body").alias("req_body"), F.md5("resp_body").alias("resp_body")]
+    sizes = [F.size("req_headers").alias("n_headers"), F.size("resp_headers").alias("n_resp_headers")]
+    names = ("exchange_id", "ts", "tool", "method", "url")
+    out = [source.read(spark, f"{top}/{k}", k).select(F.lit(k).alias("kind"), *names, *sizes, *parts, F.lit(None).cast("string").alias("raw")) for k in ("parquet", "json")]
+    lost = source.damaged(spark, f"{top}/json", "json").select(F.lit("damaged").alias("kind"), "raw")
+    return out[0].unionByName(out[1]).unionByName(lost, allowMissingColumns=True)
 
 
 @query(r"SELECT replace(replace(replace(text, '\', '\\'), chr(13), '\r'), chr(10), '\n') AS value FROM documents WHERE text IS NOT NULL")
@@ -244,7 +256,8 @@ def p9_multipart_fields(spark, sf_dir):
 JSON_SQL = "exchange_id % 12 = 5"
 
 
-@query(EX + f" SELECT exchange_id, 'request-body:key:md5' AS location, concat('md5=', md5(concat('k', exchange_id))) AS text FROM ex WHERE {JSON_SQL} UNION ALL SELECT exchange_id, 'request-body:key:list:idx:1:key:sha1', concat('sha1=', sha1(concat('k', exchange_id))) FROM ex WHERE {JSON_SQL}")
+@query(EX + r""" SELECT exchange_id, concat('request-body', regexp_replace(replace(substr(j.fullkey, 2), '.', ':key:'), '\[([0-9]+)\]', ':idx:\1', 'g')) AS location, concat(j.key, '=', j.atom ->> '$') AS text
+FROM ex, json_tree(CASE WHEN exchange_id % 12 = 5 THEN req_body END) AS j WHERE j.type = 'VARCHAR' AND NOT ends_with(j.fullkey, ']')""")
 def p10_json_leaves(spark, sf_dir):
     rows = surfaces.detection(ex(spark, sf_dir))
     return rows.where(F.col("location").contains(":key:")).select("exchange_id", "location", "text")
@@ -257,8 +270,8 @@ def p11_inflate(spark, sf_dir):
     out = []
     for name, codec in (("gzip", "gzip"), ("deflate", "zlib"), ("br", "brotli")):
         packed = F.unbase64(codecs.encode_udf(codec)(F.col("html")))
-        out.append(F.struct(F.lit(name).alias("codec"), codecs.inflate_udf(5_000_000)(packed, F.lit(name)).alias("body")))
-    out.append(F.struct(F.lit("none").alias("codec"), codecs.inflate_udf(5_000_000)(F.col("html").cast("binary"), F.lit("gzip")).alias("body")))
+        out.append(F.struct(F.lit(name).alias("codec"), F.get(codecs.inflate_udf(5_000_000)(packed, F.lit(name)), F.lit(0)).alias("body")))
+    out.append(F.struct(F.lit("none").alias("codec"), F.get(codecs.inflate_udf(5_000_000)(F.col("html").cast("binary"), F.lit("gzip")), F.lit(0)).alias("body")))
     rows = pages.select("page_id", *[s.alias(f"s{i}") for i, s in enumerate(out)])
     rows = rows.select("page_id", F.explode(F.array(*[f"s{i}" for i in range(len(out))])).alias("s"))
     return rows.select("page_id", "s.codec", F.md5("s.body").alias("digest"))
@@ -493,20 +506,34 @@ def planted_tokens(spark, sf_dir):
     return made.select(F.concat(F.col("id").cast("string"), F.lit("/"), F.col("variant")).alias("token_id"), F.col("value").alias("token"))
 
 
-# Tokens that SQL can make, and what the text routes make of them.
 PLAIN = "WITH pl AS (SELECT page_id, concat('user=', page_id, '&note=hello world') AS x FROM pages)"
-TEXT_TOKENS = PLAIN + """, tk AS (SELECT concat(page_id, '/Base64') AS token_id, to_base64(encode(x)) AS token, x, 'Base64 text' AS variant FROM pl
-  UNION ALL SELECT concat(page_id, '/Base64URL'), translate(to_base64(encode(x)), '+/=', '-_'), x, 'Base64 text' FROM pl
-  UNION ALL SELECT concat(page_id, '/HEX'), hex(encode(x)), x, 'HEX' FROM pl
-  UNION ALL SELECT concat(page_id, '/Quoted-Printable'), replace(x, '=', '=3D'), replace(replace(x, '=', '=3D'), '+', ' '), 'none' FROM pl)"""
-TEXT_ROUTES = ("URL-decoded", "Base64 text", "HEX")
 
 
-@query(TEXT_TOKENS + " SELECT token_id, variant, x AS value FROM tk WHERE variant <> 'none'")
+def varied(spark, sf_dir):
+    """A text of its own for each page: (id, text), with its url and words of its html."""
+    words = F.substring(F.regexp_replace("html", "[^a-z ]+", " "), 1, 40)
+    text = F.concat(F.lit("page="), F.col("page_id").cast("string"), F.lit("&from="), F.substring("url", 1, 60), F.lit("&words="), words)
+    return table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), text.alias("text"))
+
+
+def varied_tokens(spark, sf_dir):
+    """Every encoding of the varied texts as (token_id, token); those in Base64 in its form without `+`, `/` and `=`."""
+    made = decode.encoded(varied(spark, sf_dir)).where(~F.col("variant").startswith("LZ-"))
+    bare = F.when(F.col("variant").contains("Base64"), F.translate("value", "+/=", "-_")).otherwise(F.col("value"))
+    return made.select(F.concat(F.col("id").cast("string"), F.lit("/"), F.col("variant")).alias("token_id"), bare.alias("token"))
+
+
+VARIED = r"""WITH pl AS (SELECT page_id, concat('page=', page_id, '&from=', substr(url, 1, 60), '&words=', substr(regexp_replace(html, '[^a-z ]+', ' ', 'g'), 1, 40)) AS x FROM pages)"""
+# How each encoding is read, and what else reads it: zlib's first bytes are a UTF-16 LZ-String.
+READINGS = """(VALUES ('Base64', 'Base64 text'), ('Base64URL', 'Base64 text'), ('HEX', 'HEX'), ('Base32', 'Base32'), ('Quoted-Printable', 'Quoted-Printable'), """ + ", ".join(
+    f"('{c}+Base64', 'Base64 {c}')" for c in codecs.CODECS
+) + ") AS v(encoding, variant)"
+
+
+@query(VARIED + f" SELECT concat(page_id, '/', encoding) AS token_id, variant, x AS value FROM pl, {READINGS} UNION ALL SELECT concat(page_id, '/zlib+Base64'), 'LZ-UTF16', '@@@' FROM pl")
 def j5_text_variants(spark, sf_dir):
-    """The union over the routes that give text without a codec."""
-    tokens = planted_tokens(spark, sf_dir).where(F.split("token_id", "/")[1].isin("Base64", "Base64URL", "HEX", "Quoted-Printable"))
-    return decode.variants(tokens).where(F.col("variant").isin(*TEXT_ROUTES))
+    """The whole union: every accepted reading of every encoding of a text."""
+    return decode.variants(varied_tokens(spark, sf_dir))
 
 
 @query()
@@ -578,11 +605,14 @@ def t11_repair(spark, sf_dir):
     return docs.select("doc_id", codecs.repaired_text(wrong).alias("repaired"), codecs.repaired_text(F.col("text")).alias("untouched"))
 
 
-@query()
+# Whether a deflate or brotli token is an LZ-String too depends on the text; the first bytes of lz4 and snappy always are one, which is then rejected.
+@query(VARIED + """ SELECT concat(page_id, '/', encoding) AS token_id, route, x AS decoded FROM pl,
+  (VALUES ('Base64', 'base64'), ('Base64URL', 'base64'), ('gzip+Base64', 'gzip'), ('zlib+Base64', 'zlib'), ('zstd+Base64', 'zstd')) AS v(encoding, route)""")
 def t12_base64_route(spark, sf_dir):
-    rows = decode.with_routes(planted_tokens(spark, sf_dir))
+    """The Base64 route of all encodings of varied texts, of those too that it can't read."""
+    tokens = varied_tokens(spark, sf_dir).where(~F.split("token_id", "/")[1].isin("deflate+Base64", "brotli+Base64"))
     found = decode.first_accepted(F.array("_found"), DECODE)
-    return rows.select("token_id", found.alias("f")).select("token_id", "f.*").where("route IS NOT NULL")
+    return decode.with_routes(tokens).select("token_id", found.alias("f")).select("token_id", "f.*").where("route IS NOT NULL")
 
 
 @query(PLAIN + """ SELECT concat(page_id, '/', variant) AS token_id, route, x AS decoded FROM pl,
@@ -666,17 +696,45 @@ def st2_live_requests(spark, sf_dir):
     return spark.read.parquet(f"{out}/rows").select("exchange_id", "origin", "token", "route", "decoded")
 
 
+def answered(rows: DataFrame) -> DataFrame:
+    """Exchanges whose responses hold one known token each, escaped in every third."""
+    plain = F.concat(F.lit("page="), F.col("exchange_id").cast("string"), F.lit("&from="), F.substring("url", 1, 60))
+    token = F.translate(F.base64(plain.cast("binary")), "+/=\r\n", "-_")
+    shown = F.when(F.col("exchange_id") % 3 == 0, F.regexp_replace(F.hex(token.cast("binary")), "(..)", "%$1")).otherwise(token)
+    body = F.concat(F.lit("<p> id "), shown, F.lit(" </p>")).cast("binary")
+    return rows.withColumn("resp_body", F.when(F.col("resp_headers").isNotNull(), body))
+
+
+ANSWERS_SQL = EX + f""", an AS (SELECT exchange_id, {TYPE} AS kind, concat('page=', exchange_id, '&from=', substr(url, 1, 60)) AS decoded FROM ex WHERE resp_headers IS NOT NULL)
+SELECT exchange_id, 'resp-body' AS origin, rtrim(translate(to_base64(encode(decoded)), '+/', '-_'), '=') AS token, 'base64' AS route, decoded FROM an WHERE {ALLOWED}"""
+
+
+@query(ANSWERS_SQL)
+def t15_response_hits(spark, sf_dir):
+    """The decode job over responses with known tokens."""
+    found = audit.decode_job(answered(ex(spark, sf_dir)), DecodeOptions(min_decoded=4))
+    return found.where("direction = 'response'").select("exchange_id", "origin", "token", "route", "decoded")
+
+
+@query(ANSWERS_SQL)
+def st2_live_responses(spark, sf_dir):
+    """The same responses as they arrive."""
+    out = folder(spark)
+    live.write_live_tokens(answered(stream(spark, sf_dir)), f"{out}/rows", f"{out}/state", DecodeOptions(min_decoded=4)).awaitTermination()
+    return spark.read.parquet(f"{out}/rows").where("direction = 'response'").select("exchange_id", "origin", "token", "route", "decoded")
+
+
 @query()
 def t15_first_hits(spark, sf_dir):
     return audit.decode_job(ex(spark, sf_dir), DecodeOptions(min_decoded=4))
 
 
-@query(TEXT_TOKENS + """ SELECT token_id, variant, x AS value FROM tk WHERE variant = 'HEX' UNION ALL SELECT concat('page ', page_id), 'No decode', '' FROM pages""")
+@query(VARIED + f""" SELECT concat(page_id, '/', encoding) AS token_id, variant, x AS value FROM pl, {READINGS} UNION ALL SELECT concat(page_id, '/zlib+Base64'), 'LZ-UTF16', '@@@' FROM pl
+UNION ALL SELECT concat('page ', page_id), 'No decode', '' FROM pages""")
 def t16_hex_or_none(spark, sf_dir):
-    """Tokens with one reading, and tokens that no route can read."""
-    rows = planted_tokens(spark, sf_dir).where(F.split("token_id", "/")[1] == "HEX")
+    """The report over every encoding of varied texts, and over tokens that no route can read: all rows."""
     dull = table(spark, sf_dir, "pages").select(F.concat(F.lit("page "), F.col("page_id").cast("string")).alias("token_id"), F.lit("\x01\x02").alias("token"))
-    return decode.variants(rows.unionByName(dull)).where(F.col("variant").isin("HEX", "No decode"))
+    return decode.variants(varied_tokens(spark, sf_dir).unionByName(dull))
 
 
 @query()
@@ -769,11 +827,7 @@ def stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def folder(spark: SparkSession) -> str:
-    """A fresh folder below spark.checkpoint.dir, which all executors reach."""
-    top = spark.conf.get("spark.checkpoint.dir", None)
-    if not top:
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return f"{top.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return tables.shared_folder(spark, "stream")
 
 
 @query(FIND_SQL + " SELECT url, title, detail, kind FROM found")

@@ -4,13 +4,41 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types
 
 from .. import schema
 
 
+def stored(spark: SparkSession, path: str, kind: str = "parquet") -> DataFrame:
+    """Stored exchanges and `raw`, the record as it was stored where it is damaged, else null.
+
+    Kinds are parquet, and json: one object a line, bodies in Base64.  A record is damaged
+    if it doesn't parse, whole or in a field, or has no exchange_id.
+    """
+    columns = [f.name for f in types.StructType.fromDDL(schema.EXCHANGES)]
+    if kind == "json":
+        lines = spark.read.text(path).where(F.trim("value") != "")
+        how = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}
+        rows = lines.select("value", F.from_json("value", f"{schema.EXCHANGES}, _bad STRING", how).alias("r"))
+        bad = F.col("r._bad").isNotNull() | F.col("r.exchange_id").isNull()
+        return rows.select("r.*", F.when(bad, F.col("value")).alias("raw")).select(*columns, "raw")
+    rows = spark.read.schema(schema.EXCHANGES).format(kind).load(path)
+    return rows.withColumn("raw", F.when(F.col("exchange_id").isNull(), F.to_json(F.struct(*columns))))
+
+
 def read(spark: SparkSession, path: str, kind: str = "parquet") -> DataFrame:
-    """Stored exchanges as one row each; a missing response has null headers and body."""
-    return spark.read.schema(schema.EXCHANGES).format(kind).load(path)
+    """Stored exchanges as one row each, but for damaged ones; a missing response has null headers and body."""
+    return stored(spark, path, kind).where("raw IS NULL").drop("raw")
+
+
+def damaged(spark: SparkSession, path: str, kind: str = "parquet") -> DataFrame:
+    """(raw): the records that read() leaves out."""
+    return stored(spark, path, kind).where("raw IS NOT NULL").select("raw")
+
+
+def write(exchanges: DataFrame, path: str, kind: str = "parquet") -> None:
+    """Exchanges as read() takes them."""
+    exchanges.write.mode("append").format(kind).save(path)
 
 
 def read_stream(spark: SparkSession, path: str, kind: str = "parquet") -> DataFrame:

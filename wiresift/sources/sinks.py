@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import tables
+
 TIMESTAMP = "yyyy-MM-dd'T'HH:mm:ss.SSSZ"
 
 
@@ -40,15 +42,26 @@ def write_findings(findings: DataFrame, path: str) -> None:
     issues(findings).write.mode("append").partitionBy("kind").parquet(path)
 
 
-def export(decoded: DataFrame, most: int = 100_000) -> DataFrame:
-    """Decoded rows of a report of at most so many, numbered; rows without text are left out.
+EXPORT_ORDER = ("exchange_id", "origin", "token", "decoded")
+
+
+def export(decoded: DataFrame) -> DataFrame:
+    """Decoded rows of a report, numbered in their order from 1; rows without text are left out.  Any number of them.
 
-    The bound is the report's; write_decoded() writes any number.
+    The rows are sorted by ranges and written; a row's number is its place in its range
+    and the count of the ranges before, of which there is a row for each.
     """
-    order = ("exchange_id", "origin", "token", "decoded")
-    rows = decoded.where(F.col("decoded") != "").orderBy(*order).limit(most)
-    number = F.row_number().over(Window.orderBy(*order)).alias("row")
-    return rows.select(number, "ts", "host", "port", "origin", "token_len", "decoded", "token")
+    rows = decoded.where(F.col("decoded") != "")
+    width = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartitionByRange(width, *EXPORT_ORDER).sortWithinPartitions(*EXPORT_ORDER)
+    # The upper bits of this number are the range, the lower ones the place in it.
+    placed = tables.written(dealt.withColumn("_id", F.monotonically_increasing_id()))
+    part, place = F.shiftright("_id", 33), F.col("_id").bitwiseAND((1 << 33) - 1)
+    counts = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = F.broadcast(counts.select("_part", F.coalesce(before, F.lit(0)).alias("_before")))  # a row for each range
+    number = (F.col("_before") + place + 1).alias("row")
+    return placed.withColumn("_part", part).join(starts, "_part").select(number, "ts", "host", "port", "origin", "token_len", "decoded", "token")
 
 
 def write_decoded(decoded: DataFrame, path: str) -> None:
