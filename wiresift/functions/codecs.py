@@ -418,11 +418,34 @@ def inflate_udf(cap: int, least: int = 8):
     return F.pandas_udf(run, "array<binary>").asNondeterministic()
 
 
+LEAVES = "array<struct<location:string,text:string>>"
+
+
+def parts_udf(cap: int, least: int = 8):
+    """Packed bodies unpacked, and the JSON leaves of both sides, in one visit to Python.
+
+    Takes the packed response body, its encoding, whether it is JSON, the response's JSON where it
+    is not packed, and the request's JSON; all but the encoding are null where there is nothing to do.
+    """
+
+    def run(packed: pd.Series, encoding: pd.Series, is_json: pd.Series, answer: pd.Series, request: pd.Series) -> pd.DataFrame:
+        bodies = [inflate(b, e, cap, least) for b, e in zip(packed, encoding)]
+        answers = [b[0].decode("utf-8", "replace") if j and b is not None and len(b) == 1 else a for b, j, a in zip(bodies, is_json, answer)]
+        columns = {
+            "bodies": bodies,
+            "request": [json_leaves(r, "request-body") for r in request],
+            "response": [json_leaves(a, "response-body") for a in answers],
+        }
+        return pd.DataFrame({k: pd.Series(v, dtype=object) for k, v in columns.items()})
+
+    return F.pandas_udf(run, f"struct<bodies:array<binary>,request:{LEAVES},response:{LEAVES}>").asNondeterministic()
+
+
 def json_leaves_udf():
     def run(body: pd.Series, origin: pd.Series) -> pd.Series:
         return pd.Series([json_leaves(b, o) for b, o in zip(body, origin)])
 
-    return F.pandas_udf(run, "array<struct<location:string,text:string>>")
+    return F.pandas_udf(run, LEAVES)
 
 
 def lz_decode_udf(alphabet: str, cap: int = CAP):

@@ -21,8 +21,15 @@ OLDER_TOKEN_CLASS = r"[A-Za-z0-9_\-+$]"
 BASE64_TOKEN = r"^[A-Za-z0-9_\-+/]*=*$"
 
 
+#: A scope of up to so many rows is sent to all tasks.
+SMALL_SCOPE = 100_000
+
+
 def in_scope(exchanges: DataFrame, scope: DataFrame) -> DataFrame:
     """Exchanges whose host and path prefix stand in `scope` (host, path_prefix); each row once."""
+    scope = scope.select("host", "path_prefix").distinct()
+    if scope.limit(SMALL_SCOPE + 1).count() <= SMALL_SCOPE:
+        scope = F.broadcast(scope)
     rows = exchanges.withColumns({"_host": http.host(F.col("url")), "_path": F.coalesce(http.path(F.col("url")), F.lit(""))})
     inside = (rows["_host"] == scope["host"]) & F.startswith(rows["_path"], scope["path_prefix"])
     return rows.join(scope, inside, "left_semi").drop("_host", "_path")
@@ -247,7 +254,7 @@ def variants(tokens: DataFrame, options: DecodeOptions = DecodeOptions()) -> Dat
         "Base64 text": F.col("_text"),
         **{f"Base64 {c}": F.col(f"_all_{c}") for c in codecs.CODECS},
         "HEX": hex_text(F.col("token")),
-        "Base32": utf8(codecs.bytes_udf(codecs.base32_bytes)(F.col("token"))),
+        "Base32": utf8(codecs.bytes_udf(codecs.base32_bytes)(F.when(F.col("token").rlike("^[A-Za-z2-7]+=*$"), F.col("token")))),
         "Quoted-Printable": F.when(F.contains("token", F.lit("=")), utf8(codecs.bytes_udf(codecs.quoted_printable_bytes)(F.col("token")))),
     }
     rows = with_routes(tokens, options, every=True)

@@ -108,9 +108,15 @@ def detection_parts(exchanges: DataFrame, options: DetectOptions) -> tuple[DataF
     rows = rows.withColumn("req_text", F.when(sends, latin1(F.col("req_body"))))
     packed = http.header_value(F.col("resp_headers"), "Content-Encoding")
     plain = ~F.coalesce(F.lower(packed).isin("gzip", "x-gzip", "deflate", "br"), F.lit(False))
-    # Only encoded bodies visit Python.
-    unpacked = codecs.inflate_udf(o.inflate_cap, o.min_hex_len)(F.when(~plain, F.col("resp_body")), packed)
-    rows = rows.withColumn("bodies", F.when(answers, F.when(plain, F.array("resp_body")).otherwise(unpacked)))
+    # Only encoded bodies and JSON visit Python, all at once.
+    json_sent = F.lit(o.scan_json) & sends & F.coalesce(F.col("req_type").contains("json"), F.lit(False))
+    json_back = F.lit(o.scan_json and o.scan_response_body) & answers & F.coalesce(F.col("resp_type").contains("json"), F.lit(False))
+    made = codecs.parts_udf(o.inflate_cap, o.min_hex_len)(
+        F.when(answers & ~plain, F.col("resp_body")), packed, json_back,
+        F.when(json_back & plain, utf8(F.col("resp_body"))), F.when(json_sent, utf8(F.col("req_body"))),
+    )
+    rows = rows.withColumn("made", made)
+    rows = rows.withColumn("bodies", F.when(answers, F.when(plain, F.array("resp_body")).otherwise(F.col("made.bodies"))))
 
     path, query = F.col("path"), F.col("query")
     out = []
@@ -130,18 +136,15 @@ def detection_parts(exchanges: DataFrame, options: DetectOptions) -> tuple[DataF
         out.append(named("cookie:", cookies(F.col("req_headers")), decode=False))
     if o.scan_request_body:
         out.append(one("request-body", F.col("req_text")))
-    leaves = codecs.json_leaves_udf()
     if o.scan_json:
-        json = F.coalesce(F.col("req_type").contains("json"), F.lit(False)) & F.col("req_text").isNotNull()
-        out.append(F.coalesce(leaves(F.when(json, utf8(F.col("req_body"))), F.lit("request-body")), F.array().cast(surfaces_type())))
+        out.append(F.coalesce("made.request", F.array().cast(surfaces_type())))
     if o.scan_headers:
         out.append(one("response-headers", F.concat_ws("\n", "resp_headers"), typed))
     if o.scan_response_body:
         texts = F.transform("bodies", lambda b: surface("response-body", latin1(b)))
         out.append(F.coalesce(F.filter(texts, lambda s: s["text"] != ""), F.array().cast(surfaces_type())))
         if o.scan_json:
-            json = F.coalesce(F.col("resp_type").contains("json"), F.lit(False)) & (F.size("bodies") == 1)
-            out.append(F.coalesce(leaves(F.when(json, utf8(F.get("bodies", F.lit(0)))), F.lit("response-body")), F.array().cast(surfaces_type())))
+            out.append(F.coalesce("made.response", F.array().cast(surfaces_type())))
     return rows, out
 
 

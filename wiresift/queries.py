@@ -171,11 +171,12 @@ def f7_noisy_headers(spark, sf_dir):
 
 
 @query(EX + f" SELECT exchange_id, 'request-headers' AS location FROM ex WHERE NOT regexp_matches(lower({PATH}), '\\.(js|css|map|woff2?|ttf|otf|eot|svg|ico)$') "
-  f"UNION ALL SELECT exchange_id, unnest(['cookie:sid', 'cookie:theme']) FROM ex WHERE NOT regexp_matches(lower({PATH}), '\\.(js|css|map|woff2?|ttf|otf|eot|svg|ico)$')")
+  f"UNION ALL SELECT exchange_id, unnest(['cookie:sid', 'cookie:theme']) FROM ex WHERE NOT regexp_matches(lower({PATH}), '\\.(js|css|map|woff2?|ttf|otf|eot|svg|ico)$') "
+  f"UNION ALL SELECT exchange_id, 'response-headers' FROM ex WHERE resp_headers IS NOT NULL AND NOT regexp_matches(lower({PATH}), '\\.(js|css|map|woff2?|ttf|otf|eot|svg|ico)$') AND NOT regexp_matches({TYPE}, '{gates.BLOCKED_TYPE}')")
 def f8_surface_toggles(spark, sf_dir):
     only = dict(scan_path=False, scan_query=False, scan_params=False, scan_request_body=False, scan_response_body=False, scan_json=False)
     rows = surfaces.detection(ex(spark, sf_dir), DetectOptions(scan_headers=True, **only))
-    return rows.where(F.col("direction") == "request").select("exchange_id", "location")
+    return rows.select("exchange_id", "location")
 
 
 @query("SELECT doc_id, length(text) AS n FROM documents WHERE text IS NOT NULL AND length(text) BETWEEN 1 AND 4096")
@@ -237,9 +238,9 @@ def p7_raw_query_values(spark, sf_dir):
 
 
 @query(EX + f", q AS (SELECT exchange_id, 'url' AS ptype, unnest(string_split({QUERY}, '&')) AS p FROM ex UNION ALL SELECT exchange_id, 'body', unnest(string_split(req_body, '&')) FROM ex WHERE req_body IS NOT NULL AND contains(req_headers[6], 'form')), "
-  f"v AS (SELECT exchange_id, ptype, {DECODED.format('split_part(p, chr(61), 1)')} AS name, {DECODED.format('substr(p, instr(p, chr(61)) + 1)')} AS value FROM q WHERE contains(p, '=')) SELECT * FROM v WHERE value <> ''")
+  f"v AS (SELECT exchange_id, ptype, {DECODED.format('split_part(p, chr(61), 1)')} AS name, {DECODED.format('substr(p, instr(p, chr(61)) + 1)')} AS value FROM q WHERE contains(p, '=')) SELECT * FROM v WHERE value <> '' UNION ALL SELECT exchange_id, 'json', j.key, j.atom ->> '$' FROM ex, json_tree(CASE WHEN exchange_id % 12 = 5 THEN req_body END) AS j WHERE j.type = 'VARCHAR' AND NOT ends_with(j.fullkey, ']')")
 def p8_parameters(spark, sf_dir):
-    return capture.inputs(ex(spark, sf_dir)).where(F.col("ptype").isin("url", "body")).select("exchange_id", "ptype", "name", "value")
+    return capture.inputs(ex(spark, sf_dir)).select("exchange_id", "ptype", "name", "value")
 
 
 @query("SELECT doc_id AS exchange_id, 'field' AS name, trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS value FROM documents WHERE trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) <> '' UNION ALL SELECT doc_id, 'lang', lang FROM documents")
@@ -301,9 +302,10 @@ surf AS (SELECT * FROM s WHERE text <> '')"""
 )
 
 
-@query(SURFACES_SQL + " SELECT exchange_id, location, count(*) AS n FROM surf GROUP BY 1, 2")
+@query(SURFACES_SQL + " SELECT exchange_id, location, CASE WHEN location IN ('request-body', 'response-body') THEN strlen(text) ELSE length(text) END AS n FROM surf")
 def p13_surface_union(spark, sf_dir):
-    return surfaces.detection(ex(spark, sf_dir)).groupBy("exchange_id", "location").agg(F.count("*").alias("n"))
+    """Every surface with its length; bodies are read byte by byte."""
+    return surfaces.detection(ex(spark, sf_dir)).select("exchange_id", "location", F.length("text").cast("long").alias("n"))
 
 
 ALLOWED = "(kind IS NULL OR kind = '' OR " + " OR ".join(f"contains(kind, '{t}')" for t in gates.ALLOWED_TYPES) + ")"
@@ -365,12 +367,12 @@ def d6_printable(spark, sf_dir):
     return rows.select("location", "exchange_id", "value", share.alias("printable"), digests.looks_like_text(F.col("p"), 0.85).alias("is_text"))
 
 
-def whole_english(docs: DataFrame) -> DataFrame:
+def whole_english(docs: DataFrame, vowel_check: bool = False) -> DataFrame:
     """Every row's verdict over all bytes of its text; an empty or null text is not English."""
     # byte_pairs() looks each pair up from the start, which suits runs of 256 digits but not texts
     pairs = F.regexp_extract_all(F.lower(F.hex(F.col("text").cast("binary"))), F.lit(".."), F.lit(0))
     rows = docs.select("doc_id", F.when(F.length("text") > 0, pairs).alias("p"))
-    return rows.select("doc_id", F.coalesce(digests.looks_like_english(F.col("p")), F.lit(False)).alias("english"))
+    return rows.select("doc_id", F.coalesce(digests.looks_like_english(F.col("p"), vowel_check), F.lit(False)).alias("english"))
 
 
 @query("""WITH q AS (SELECT doc_id, regexp_extract_all(lower(hex(encode(text))), '..') AS p FROM documents)
@@ -380,6 +382,15 @@ def d7_english(spark, sf_dir):
     return whole_english(table(spark, sf_dir, "documents"))
 
 
+@query("""WITH q AS (SELECT doc_id, regexp_extract_all(lower(hex(encode(text))), '..') AS p FROM documents),
+n AS (SELECT doc_id, len(p) AS n, len(list_filter(p, lambda x: (x BETWEEN '20' AND '7e') OR x IN ('09', '0a', '0d'))) AS printable, len(list_filter(p, lambda x: (x BETWEEN '41' AND '5a') OR (x BETWEEN '61' AND '7a'))) AS letters,
+  len(list_filter(p, lambda x: x = '20')) AS blanks, len(list_filter(p, lambda x: x IN ('41', '45', '49', '4f', '55', '61', '65', '69', '6f', '75'))) AS vowels FROM q)
+SELECT doc_id, coalesce(printable / n >= 0.9 AND letters / n >= 0.6 AND blanks / n >= 0.02 AND vowels / letters BETWEEN 0.25 AND 0.5, false) AS english FROM n""")
+def d7_vowel_check(spark, sf_dir):
+    """The older test, which also weighs vowels against letters."""
+    return whole_english(table(spark, sf_dir, "documents"), vowel_check=True)
+
+
 @query(TEXTS + " SELECT location, exchange_id, value FROM sized WHERE hex_len IN (32, 40, 56, 64, 96, 128)")
 def d8_exact_lengths(spark, sf_dir):
     return sized_runs(spark, sf_dir).where(digests.is_exact_length(F.col("value"))).select("location", "exchange_id", "value")
@@ -414,6 +425,14 @@ def d11_confidence(spark, sf_dir):
     return surfaces.detection(ex(spark, sf_dir)).select("exchange_id", "location", sure.alias("confidence"))
 
 
+@query(TEXTS.replace("SELECT location, exchange_id, unnest", "SELECT location, exchange_id, text, unnest") + f""" SELECT location, exchange_id, value,
+  CASE WHEN regexp_matches(lower(text), '{'|'.join(digests.CONTEXT_KEYWORDS)}') THEN 'Firm' ELSE 'Tentative' END AS confidence FROM shares WHERE NOT {SKIP} AND {LIKELY}""")
+def d11_require_context(spark, sf_dir):
+    """Findings in all texts, relabelled by their surface's words."""
+    found = detect.findings(texts(spark, sf_dir), DetectOptions(require_context=True)).where("kind = 'hex'")
+    return found.select("location", "exchange_id", "value", "confidence")
+
+
 @query(TEXTS + f" SELECT location, exchange_id, value, {CANDIDATES} AS candidates FROM sized")
 def d12_candidates(spark, sf_dir):
     names = F.concat_ws(", ", digests.candidates(F.col("value")))
@@ -793,6 +812,17 @@ def q1_quality(spark, sf_dir):
     return docs.select("doc_id", quality.looks_structured(text).alias("structured"), quality.passes(text, DECODE).alias("passes"))
 
 
+@query(r"""WITH b AS (SELECT page_id, concat('{', repeat('}', CAST(page_id % 6 AS INT)), substr(html, 1, 40), repeat('{', CAST(page_id % 3 AS INT)), '}') AS t FROM pages),
+c AS (SELECT page_id, regexp_replace(t, '[^{}]', '', 'g') AS s FROM b), d AS (SELECT page_id, s, unnest(range(1, length(s) + 1)) AS i FROM c),
+w AS (SELECT page_id, min(2 * length(replace(left(s, i), '}', '')) - i) AS low FROM d GROUP BY page_id)
+SELECT page_id, low >= -2 OR (instr(t, ':') > 1 AND instr(t, ',') > 1) OR regexp_matches(t, '(?s)^[^@]+@.*\.') AS structured FROM w JOIN b USING (page_id)""")
+def q1_brace_balance(spark, sf_dir):
+    """The older gate's test of braces, on texts between braces that close too often in every second."""
+    n = F.col("page_id")
+    text = F.concat(F.lit("{"), F.repeat(F.lit("}"), (n % 6).cast("int")), F.substring("html", 1, 40), F.repeat(F.lit("{"), (n % 3).cast("int")), F.lit("}"))
+    return table(spark, sf_dir, "pages").select("page_id", quality.looks_structured(text, brace_balance=True).alias("structured"))
+
+
 @query(SHARES + " SELECT doc_id, c <= 0.05 AND p >= 0.70 AS readable FROM q")
 def q2_readable(spark, sf_dir):
     return table(spark, sf_dir, "documents").where(F.length("text") > 0).select("doc_id", quality.readable(F.col("text")).alias("readable"))
