@@ -87,3 +87,26 @@ def test_json_leaves():
 def test_repair():
     assert codecs.repaired("cafÃ© �").startswith("café")
     assert codecs.repaired("plain") == "plain"
+
+
+def test_xml_values():
+    body = '<?xml version="1.0" encoding="ISO-8859-1"?><a x="1" y=""><b>t&amp;u</b><c> <d z="é"/>in<e>deep</e>side </c></a>'
+    want = [("xml-attr", "x", "1"), ("xml", "b", "t&u"), ("xml-attr", "z", "é"), ("xml", "e", "deep"), ("xml", "c", "inside")]
+    assert codecs.xml_values(body) == want
+    for bad in (None, "", "no xml", "<a>", "<a></b>", "<!DOCTYPE a [<!ENTITY e 'x'>]><a>&e;</a>"):
+        assert codecs.xml_values(bad) == []
+
+
+def test_text_codecs_of_the_standard_library():
+    """Encodings that are not our own."""
+    import base64
+    import quopri
+    import random
+
+    rng = random.Random(2)
+    for n in range(1, 60):
+        data = rng.randbytes(n)
+        assert codecs.base32_bytes(base64.b32encode(data).decode()) == data
+        assert codecs.base32_bytes(base64.b32encode(data).decode().rstrip("=").lower()) == data
+        line = bytes(b for b in data if b not in b"\r\n")
+        assert codecs.quoted_printable_bytes(quopri.encodestring(line).decode("latin-1").replace("=\n", "")) == line

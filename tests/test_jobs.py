@@ -138,7 +138,7 @@ def test_surfaces_keep_duplicates_apart(spark):
     assert got.isEmpty()
 
 
-@pytest.mark.parametrize("name", ["d7_english_whole", "p5_path_layers", "d10_context_everywhere"])
+@pytest.mark.parametrize("name", ["d7_english", "p5_path_segments", "s1_read_exchanges", "t16_hex_or_none", "t15_response_hits", "p8_typed_surfaces"])
 def test_whole_query_equals_sql(spark, name):
     test_query_equals_sql(spark, name)
 

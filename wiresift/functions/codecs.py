@@ -11,6 +11,7 @@ import json
 import quopri
 import re
 import zlib
+from xml.parsers import expat
 
 import pandas as pd
 import pyarrow as pa
@@ -388,8 +389,8 @@ def repaired_text(text: Column) -> Column:
     return F.when(F.contains(text, F.lit("\ufffd")), F.make_valid_utf8(single.cast("string"))).otherwise(text)
 
 
-def json_leaves(body: str | None, origin: str) -> list[dict]:
-    """Strings that stand under a key of a JSON body, depth first, as `key=value` with their path."""
+def json_values(body: str | None, origin: str = "") -> list[tuple[str, str, str]]:
+    """(path, key, string) of the strings that stand under a key of a JSON object or list, depth first."""
     try:
         stack = [(origin, None, json.loads(body))] if body else []
     except (ValueError, RecursionError):
@@ -402,10 +403,51 @@ def json_leaves(body: str | None, origin: str) -> list[dict]:
         elif isinstance(node, list):
             stack += [(f"{at}:idx:{i}", None, v) for i, v in reversed(list(enumerate(node)))]
         elif isinstance(node, str) and key is not None:
-            out.append({"location": at, "text": f"{key}={node}"})
+            out.append((at, key, node))
+    return out
+
+
+def leaf(value: tuple[str, str, str]) -> dict:
+    return {"location": value[0], "text": f"{value[1]}={value[2]}"}
+
+
+def json_leaves(body: str | None, origin: str) -> list[dict]:
+    """Strings of json_values() as `key=value` with their path."""
+    return [leaf(v) for v in json_values(body, origin)]
+
+
+def xml_values(body: str | None) -> list[tuple[str, str, str]]:
+    """(xml, element, its own text) and (xml-attr, attribute, value) of an XML body; none where it is malformed or declares entities."""
+    out, stack = [], []
+    parser = expat.ParserCreate()
+    parser.buffer_text = True
+
+    def start(name, attributes):
+        out.extend(("xml-attr", k, v) for k, v in attributes.items() if v)
+        stack.append((name, []))
+
+    def end(_):
+        name, texts = stack.pop()
+        if text := "".join(texts).strip():
+            out.append(("xml", name, text))
+
+    def entity(*_):
+        raise ValueError("an entity")
+
+    parser.StartElementHandler, parser.EndElementHandler, parser.EntityDeclHandler = start, end, entity
+    parser.CharacterDataHandler = lambda text: stack[-1][1].append(text)
+    try:
+        parser.Parse(body or "", True)
+    except (expat.ExpatError, ValueError):
+        return []
     return out
 
 
+def body_values(json_body: str | None, xml_body: str | None) -> list[tuple[str, str, str]]:
+    """(ptype, name, value) of the parameters that a JSON or XML body holds."""
+    return [("json", k, v) for _, k, v in json_values(json_body) if v] + (xml_values(xml_body) if xml_body else [])
+
+
 # --- columns ---------------------------------------------------------------
 
 CODECS = ("gzip", "zlib", "deflate", "brotli", "lz4", "zstd", "snappy")
@@ -421,31 +463,42 @@ def inflate_udf(cap: int, least: int = 8):
 LEAVES = "array<struct<location:string,text:string>>"
 
 
+PARAMETERS = "array<struct<ptype:string,name:string,value:string>>"
+
+
 def parts_udf(cap: int, least: int = 8):
-    """Packed bodies unpacked, and the JSON leaves of both sides, in one visit to Python.
+    """Packed bodies unpacked, JSON leaves of both sides, and the request's JSON and XML parameters, in one visit to Python.
 
-    Takes the packed response body, its encoding, whether it is JSON, the response's JSON where it
-    is not packed, and the request's JSON; all but the encoding are null where there is nothing to do.
+    Takes the packed response body, its encoding, whether JSON in it counts, the response's JSON where
+    it is not packed, and the request's JSON and XML; null where there is nothing to do.
     """
 
-    def run(packed: pd.Series, encoding: pd.Series, is_json: pd.Series, answer: pd.Series, request: pd.Series) -> pd.DataFrame:
+    def run(packed: pd.Series, encoding: pd.Series, unpack_json: pd.Series, answer: pd.Series, request: pd.Series, xml: pd.Series) -> pd.DataFrame:
         bodies = [inflate(b, e, cap, least) for b, e in zip(packed, encoding)]
-        answers = [b[0].decode("utf-8", "replace") if j and b is not None and len(b) == 1 else a for b, j, a in zip(bodies, is_json, answer)]
+        answers = [b[0].decode("utf-8", "replace") if j and b is not None and len(b) == 1 else a for b, j, a in zip(bodies, unpack_json, answer)]
         columns = {
             "bodies": bodies,
-            "request": [json_leaves(r, "request-body") for r in request],
-            "response": [json_leaves(a, "response-body") for a in answers],
+            "request": [json_leaves(r, "request-body-json") for r in request],
+            "response": [json_leaves(a, "response-body-json") for a in answers],
+            "params": [parameters(r, x) for r, x in zip(request, xml)],
         }
         return pd.DataFrame({k: pd.Series(v, dtype=object) for k, v in columns.items()})
 
-    return F.pandas_udf(run, f"struct<bodies:array<binary>,request:{LEAVES},response:{LEAVES}>").asNondeterministic()
+    kind = f"struct<bodies:array<binary>,request:{LEAVES},response:{LEAVES},params:{PARAMETERS}>"
+    return F.pandas_udf(run, kind).asNondeterministic()
+
+
+def parameters(json_body: str | None, xml_body: str | None) -> list[dict]:
+    return [dict(zip(("ptype", "name", "value"), v)) for v in body_values(json_body, xml_body)]
+
 
+def parameters_udf():
+    """The request's JSON and XML parameters alone."""
 
-def json_leaves_udf():
-    def run(body: pd.Series, origin: pd.Series) -> pd.Series:
-        return pd.Series([json_leaves(b, o) for b, o in zip(body, origin)])
+    def run(request: pd.Series, xml: pd.Series) -> pd.Series:
+        return pd.Series([parameters(r, x) for r, x in zip(request, xml)], dtype=object)
 
-    return F.pandas_udf(run, LEAVES)
+    return F.pandas_udf(run, PARAMETERS)
 
 
 def lz_decode_udf(alphabet: str, cap: int = CAP):

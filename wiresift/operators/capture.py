@@ -9,7 +9,6 @@ from ..functions import codecs, gates, http
 from ..options import CaptureOptions, DetectOptions
 from ..sources import tables
 from . import detect, surfaces
-from .surfaces import fields_type, is_form, multipart_fields, utf8
 
 
 def distinct_hashes(found: DataFrame) -> DataFrame:
@@ -22,39 +21,20 @@ def distinct_hashes(found: DataFrame) -> DataFrame:
 
 def inputs(exchanges: DataFrame) -> DataFrame:
     """(exchange_id, ts, ptype, name, value): request parameters, cookies left out, empty values dropped."""
-    rows = exchanges.select("exchange_id", "ts", F.explode(input_list()).alias("p"))
+    params = codecs.parameters_udf()(*surfaces.json_and_xml(F.col("req_headers"), F.col("req_body")))
+    rows = exchanges.select("exchange_id", "ts", F.explode(input_list(params)).alias("p"))
     return rows.select("exchange_id", "ts", "p.ptype", "p.name", "p.value")
 
 
-def input_list() -> Column:
-    """[(ptype, name, value)]: an exchange's request parameters, cookies left out, empty values dropped."""
-    text = utf8(F.col("req_body"))
-    form = F.when(is_form(F.col("req_headers")), text)
+def input_list(params: Column) -> Column:
+    """[(ptype, name, value)]: an exchange's parameters in the url, in forms, and `params`, those of JSON and XML; empty values are dropped."""
 
-    def typed(kind: str, pairs, decode: bool):
-        def each(p):
-            name, value = p["name"], p["value"]
-            if decode:
-                name, value = http.form_decoded(name), http.form_decoded(value)
-            return F.struct(F.lit(kind).alias("ptype"), name.alias("name"), value.alias("value"))
+    def given(p: Column) -> Column:
+        return F.struct(F.lit("url").alias("ptype"), http.form_decoded(p["name"]).alias("name"), http.form_decoded(p["value"]).alias("value"))
 
-        return F.transform(pairs, each)
-
-    json = F.coalesce(http.content_type(F.col("req_headers")).contains("json"), F.lit(False))
-    leaves = codecs.json_leaves_udf()(F.when(json, text), F.lit("json"))
-
-    def leaf(s):
-        at = F.instr(s["text"], "=")
-        name = F.substring_index(s["location"], ":key:", -1)
-        return F.struct(name.alias("name"), F.substring(s["text"], F.length(name) + 2, F.length(s["text"])).alias("value"))
-
-    parts = [
-        typed("url", http.pairs(F.coalesce(http.query(F.col("url")), F.lit("")), "&"), True),
-        typed("body", http.pairs(F.coalesce(form, F.lit("")), "&"), True),
-        typed("multipart", F.coalesce(multipart_fields(F.coalesce(text, F.lit("")), F.col("req_headers")), F.array().cast(fields_type())), False),
-        typed("json", F.coalesce(F.transform(leaves, leaf), F.array().cast(fields_type())), False),
-    ]
-    return F.filter(F.concat(*parts), lambda p: F.coalesce(p["value"] != "", F.lit(False)))
+    url = F.transform(http.pairs(F.coalesce(http.query(F.col("url")), F.lit("")), "&"), given)
+    body = surfaces.body_parameters(F.col("req_headers"), F.col("req_body"), params)
+    return F.filter(F.concat(url, body), lambda p: F.coalesce(p["value"] != "", F.lit(False)))
 
 
 def captured(exchanges: DataFrame, options: DetectOptions = DetectOptions()) -> DataFrame:
@@ -64,7 +44,7 @@ def captured(exchanges: DataFrame, options: DetectOptions = DetectOptions()) ->
     """
     rows, parts = surfaces.detection_parts(exchanges, options)
     some = F.filter(F.concat(*parts), lambda s: F.coalesce(F.length(s["text"]) > 0, F.lit(False)))
-    one = F.array(F.struct(detect.gated_matches(some, options).alias("found"), input_list().alias("params")))
+    one = F.array(F.struct(detect.gated_matches(some, options).alias("found"), input_list(F.col("made.params")).alias("params")))
     # Exploded, as a filter on the findings would work them out twice.
     hit = F.explode(F.filter(one, lambda x: F.size(x["found"]) > 0)).alias("x")
     return rows.select("exchange_id", "ts", "url", hit).select("exchange_id", "ts", "url", "x.found", "x.params")

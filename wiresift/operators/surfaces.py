@@ -75,6 +75,37 @@ def multipart_fields(body: Column, headers: Column) -> Column:
     return F.filter(found, lambda _: usable)
 
 
+def looks_json(body: Column) -> Column:
+    """Bytes that begin like a JSON object or list; the parser tells whether they are one."""
+    return F.coalesce(latin1(F.substring(body, 1, 64)).rlike(r"^[ \t\n\r]*(?:[\{\[]|$)"), F.lit(False)) & (F.octet_length(body) > 1)
+
+
+def json_and_xml(headers: Column, body: Column) -> tuple[Column, Column]:
+    """A body's text where it begins like JSON, and where its type is XML; else null."""
+    text = utf8(body)
+    xml = F.coalesce(http.content_type(headers).contains("xml"), F.lit(False))
+    return F.when(looks_json(body), text), F.when(xml, text)
+
+
+def body_parameters(headers: Column, body: Column, params: Column) -> Column:
+    """[(ptype, name, value)] of a request body: form fields, multipart fields that are no files, and `params`, those of JSON and XML."""
+    text = utf8(body)
+
+    def typed(kind: str, pairs: Column, decode: bool) -> Column:
+        def each(p: Column) -> Column:
+            name, value = p["name"], p["value"]
+            if decode:
+                name, value = http.form_decoded(name), http.form_decoded(value)
+            return F.struct(F.lit(kind).alias("ptype"), name.alias("name"), value.alias("value"))
+
+        return F.transform(pairs, each)
+
+    none = F.array().cast(codecs.PARAMETERS)
+    form = typed("body", http.pairs(F.coalesce(F.when(is_form(headers), text), F.lit("")), "&"), True)
+    fields = typed("multipart", multipart_fields(F.coalesce(text, F.lit("")), headers), False)
+    return F.concat(form, F.coalesce(fields, none), F.coalesce(params, none))
+
+
 def exploded(df: DataFrame, surfaces: list[Column], *keep: str) -> DataFrame:
     """One row for each surface with text: `keep`, ordinal, location, text.  The source is read once."""
     rows = df.select(*keep, F.posexplode(F.concat(*surfaces)).alias("ordinal", "s"))
@@ -104,16 +135,18 @@ def detection_parts(exchanges: DataFrame, options: DetectOptions) -> tuple[DataF
     )
     typed = ~gates.is_blocked_type(F.col("resp_type")) if o.skip_blocked_types else F.lit(True)
     sends = gates.has_body_method(F.col("method")) & gates.body_fits(F.col("req_body"), o.max_scan)
+    if o.skip_blocked_types:
+        sends = sends & ~gates.is_blocked_type(F.col("req_type"))
     answers = typed & gates.body_fits(F.col("resp_body"), o.max_scan)
     rows = rows.withColumn("req_text", F.when(sends, latin1(F.col("req_body"))))
     packed = http.header_value(F.col("resp_headers"), "Content-Encoding")
     plain = ~F.coalesce(F.lower(packed).isin("gzip", "x-gzip", "deflate", "br"), F.lit(False))
     # Only encoded bodies and JSON visit Python, all at once.
-    json_sent = F.lit(o.scan_json) & sends & F.coalesce(F.col("req_type").contains("json"), F.lit(False))
-    json_back = F.lit(o.scan_json and o.scan_response_body) & answers & F.coalesce(F.col("resp_type").contains("json"), F.lit(False))
+    json_back = F.lit(o.scan_json and o.scan_response_body) & answers
+    json, xml = json_and_xml(F.col("req_headers"), F.col("req_body"))
     made = codecs.parts_udf(o.inflate_cap, o.min_hex_len)(
         F.when(answers & ~plain, F.col("resp_body")), packed, json_back,
-        F.when(json_back & plain, utf8(F.col("resp_body"))), F.when(json_sent, utf8(F.col("req_body"))),
+        F.when(json_back & plain & looks_json(F.col("resp_body")), utf8(F.col("resp_body"))), json, xml,
     )
     rows = rows.withColumn("made", made)
     rows = rows.withColumn("bodies", F.when(answers, F.when(plain, F.array("resp_body")).otherwise(F.col("made.bodies"))))
@@ -128,16 +161,14 @@ def detection_parts(exchanges: DataFrame, options: DetectOptions) -> tuple[DataF
         out += [one("request-query", query), decoded_once("request-query-decoded", query)]
     if o.scan_params:
         out.append(named("query-param:", http.pairs(F.coalesce(query, F.lit("")), "&")))
-        form = F.when(is_form(F.col("req_headers")), F.col("req_text"))
-        out.append(named("body-param:", http.pairs(F.coalesce(form, F.lit("")), "&")))
-        fields = multipart_fields(F.coalesce("req_text", F.lit("")), F.col("req_headers"))
-        out.append(named("body-param:", F.coalesce(fields, F.array().cast(fields_type())), decode=False))
+        params = body_parameters(F.col("req_headers"), F.col("req_body"), F.col("made.params"))
+        out.append(named("body-param:", params, decode=False))
     if o.scan_cookies or o.scan_headers:
         out.append(named("cookie:", cookies(F.col("req_headers")), decode=False))
     if o.scan_request_body:
         out.append(one("request-body", F.col("req_text")))
     if o.scan_json:
-        out.append(F.coalesce("made.request", F.array().cast(surfaces_type())))
+        out.append(F.coalesce(F.when(sends, F.col("made.request")), F.array().cast(surfaces_type())))
     if o.scan_headers:
         out.append(one("response-headers", F.concat_ws("\n", "resp_headers"), typed))
     if o.scan_response_body:
@@ -148,18 +179,19 @@ def detection_parts(exchanges: DataFrame, options: DetectOptions) -> tuple[DataF
     return rows, out
 
 
-def fields_type() -> str:
-    return "array<struct<name:string,value:string>>"
-
-
 def surfaces_type() -> str:
     return "array<struct<location:string,text:string>>"
 
 
+# Numbers of the parameter types other than url and form body, in the decode job's labels.
+PARAMETER_NUMBERS = {"cookie": 2, "xml": 3, "xml-attr": 4, "multipart": 5, "json": 6}
+
+
 def decoding(exchanges: DataFrame, options: DecodeOptions = DecodeOptions()) -> DataFrame:
     """Surfaces of the decode job: exchange_id, ts, url, tool, ordinal, direction, location, text."""
     path, query = http.path(F.col("url")), F.coalesce(http.query(F.col("url")), F.lit(""))
-    rows = exchanges.withColumns({"path": path, "query": query})
+    json_and_xml_params = codecs.parameters_udf()(*json_and_xml(F.col("req_headers"), F.col("req_body")))
+    rows = exchanges.withColumns({"path": path, "query": query, "params": json_and_xml_params})
     layers = http.decode_chain(F.coalesce("path", F.lit("")), 2)
 
     def segments(layer: Column) -> Column:
@@ -171,9 +203,10 @@ def decoding(exchanges: DataFrame, options: DecodeOptions = DecodeOptions()) ->
     if options.split_semicolons:
         out.append(F.array_distinct(F.flatten(F.transform(layers, semicolon_parts))))
     out.append(named("param-url:", http.pairs(F.col("query"), "&")))
-    form = F.when(is_form(F.col("req_headers")), utf8(F.col("req_body")))
-    out.append(named("param-body:", http.pairs(F.coalesce(form, F.lit("")), "&")))
-    out.append(named("param-cookie:", cookies(F.col("req_headers")), decode=False))
+    label = F.create_map(*[F.lit(x) for kind, n in PARAMETER_NUMBERS.items() for x in (kind, f"param-{n}:")], F.lit("body"), F.lit("param-body:"))
+    given = F.filter(body_parameters(F.col("req_headers"), F.col("req_body"), F.col("params")), lambda p: p["value"].isNotNull())
+    out.append(F.transform(given, lambda p: surface(F.concat(F.try_element_at(label, p["ptype"]), p["name"]), p["value"])))
+    out.append(named(f"param-{PARAMETER_NUMBERS['cookie']}:", cookies(F.col("req_headers")), decode=False))
     raw = F.filter(F.split("query", "&"), lambda p: F.instr(p, "=") > 0)
     out.append(F.transform(raw, lambda p: surface(F.concat(F.lit("raw-query:"), F.left(p, F.lit(20))), F.substring(p, F.instr(p, "=") + 1, F.length(p)))))
     out.append(one("query", F.col("query")))

@@ -243,6 +243,32 @@ def p8_parameters(spark, sf_dir):
     return capture.inputs(ex(spark, sf_dir)).select("exchange_id", "ptype", "name", "value")
 
 
+@query(EX + f""", q AS (SELECT exchange_id, 'param-url:' AS pre, unnest(string_split({QUERY}, '&')) AS p FROM ex UNION ALL SELECT exchange_id, 'param-body:', unnest(string_split(req_body, '&')) FROM ex WHERE req_body IS NOT NULL AND contains(req_headers[6], 'form')),
+c AS (SELECT exchange_id, unnest(string_split(substr(req_headers[2], 9), ';')) AS c FROM ex)
+SELECT exchange_id, concat(pre, {DECODED.format('split_part(p, chr(61), 1)')}) AS location, {DECODED.format('substr(p, instr(p, chr(61)) + 1)')} AS text FROM q WHERE contains(p, '=') AND substr(p, instr(p, '=') + 1) <> ''
+UNION ALL SELECT exchange_id, concat('param-2:', trim(split_part(c, '=', 1))), substr(c, instr(c, '=') + 1) FROM c
+UNION ALL SELECT exchange_id, concat('param-6:', j.key), j.atom ->> '$' FROM ex, json_tree(CASE WHEN exchange_id % 12 = 5 THEN req_body END) AS j WHERE j.type = 'VARCHAR' AND NOT ends_with(j.fullkey, ']')""")
+def p8_typed_surfaces(spark, sf_dir):
+    """Parameters of all types under the decode job's labels."""
+    rows = surfaces.decoding(ex(spark, sf_dir))
+    return rows.where(F.col("location").startswith("param-")).select("exchange_id", "location", "text")
+
+
+@query("""SELECT page_id AS exchange_id, 'xml' AS ptype, 'link' AS name, url AS value FROM pages WHERE trim(url) <> '' UNION ALL SELECT page_id, 'xml-attr', 'id', concat('p', page_id) FROM pages
+UNION ALL SELECT page_id, 'xml', 'note', concat('a < b & ', md5(concat('k', page_id))) FROM pages WHERE page_id % 3 > 0""")
+def p8_xml_parameters(spark, sf_dir):
+    """Requests with XML bodies: elements, attributes, entities and CDATA."""
+    url = F.replace(F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    note = F.concat(F.lit("<note>a &lt; b <![CDATA[& "), F.md5(F.concat(F.lit("k"), F.col("page_id").cast("string"))), F.lit("]]></note>"))
+    note = F.when(F.col("page_id") % 3 > 0, note).otherwise(F.lit("<note/>"))
+    body = F.concat(F.lit("<?xml version='1.0'?><page id='p"), F.col("page_id").cast("string"), F.lit("'>\n<link>"), url, F.lit("</link>"), note, F.lit("</page>"))
+    rows = table(spark, sf_dir, "pages").where("url IS NOT NULL").select(
+        F.col("page_id").alias("exchange_id"), F.lit(None).cast("timestamp").alias("ts"), F.lit("https://a.example/x").alias("url"),
+        F.array(F.lit("Content-Type: text/xml; charset=utf-8")).alias("req_headers"), body.cast("binary").alias("req_body"),
+    )
+    return capture.inputs(rows).select("exchange_id", "ptype", "name", "value")
+
+
 @query("SELECT doc_id AS exchange_id, 'field' AS name, trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS value FROM documents WHERE trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) <> '' UNION ALL SELECT doc_id, 'lang', lang FROM documents")
 def p9_multipart_fields(spark, sf_dir):
     """Documents as multipart bodies with two fields and a file."""
@@ -257,11 +283,11 @@ def p9_multipart_fields(spark, sf_dir):
 JSON_SQL = "exchange_id % 12 = 5"
 
 
-@query(EX + r""" SELECT exchange_id, concat('request-body', regexp_replace(replace(substr(j.fullkey, 2), '.', ':key:'), '\[([0-9]+)\]', ':idx:\1', 'g')) AS location, concat(j.key, '=', j.atom ->> '$') AS text
+@query(EX + r""" SELECT exchange_id, concat('request-body-json', regexp_replace(replace(substr(j.fullkey, 2), '.', ':key:'), '\[([0-9]+)\]', ':idx:\1', 'g')) AS location, concat(j.key, '=', j.atom ->> '$') AS text
 FROM ex, json_tree(CASE WHEN exchange_id % 12 = 5 THEN req_body END) AS j WHERE j.type = 'VARCHAR' AND NOT ends_with(j.fullkey, ']')""")
 def p10_json_leaves(spark, sf_dir):
     rows = surfaces.detection(ex(spark, sf_dir))
-    return rows.where(F.col("location").contains(":key:")).select("exchange_id", "location", "text")
+    return rows.where(F.col("location").startswith("request-body-json:")).select("exchange_id", "location", "text")
 
 
 @query("SELECT page_id, codec, md5(html) AS digest FROM pages, (VALUES ('gzip'), ('deflate'), ('br'), ('none')) AS c(codec)")
@@ -295,8 +321,10 @@ s AS (SELECT exchange_id, ts, url, 'request-path' AS location, path AS text FROM
   UNION ALL SELECT exchange_id, ts, url, 'request-query-decoded', {DECODED.format('query')} FROM u WHERE {DECODED.format('query')} <> query
   UNION ALL SELECT exchange_id, ts, url, concat(pre, {DECODED.format('split_part(p, chr(61), 1)')}), {DECODED.format('substr(p, instr(p, chr(61)) + 1)')} FROM pairs WHERE contains(p, '=')
   UNION ALL SELECT exchange_id, ts, url, 'request-body', req_body FROM u WHERE method = 'POST'
-  UNION ALL SELECT exchange_id, ts, url, 'request-body:key:md5', concat('md5=', md5(concat('k', exchange_id))) FROM u WHERE {JSON_SQL}
-  UNION ALL SELECT exchange_id, ts, url, 'request-body:key:list:idx:1:key:sha1', concat('sha1=', sha1(concat('k', exchange_id))) FROM u WHERE {JSON_SQL}
+  UNION ALL SELECT exchange_id, ts, url, 'request-body-json:key:md5', concat('md5=', md5(concat('k', exchange_id))) FROM u WHERE {JSON_SQL}
+  UNION ALL SELECT exchange_id, ts, url, 'request-body-json:key:list:idx:1:key:sha1', concat('sha1=', sha1(concat('k', exchange_id))) FROM u WHERE {JSON_SQL}
+  UNION ALL SELECT exchange_id, ts, url, 'body-param:md5', md5(concat('k', exchange_id)) FROM u WHERE {JSON_SQL}
+  UNION ALL SELECT exchange_id, ts, url, 'body-param:sha1', sha1(concat('k', exchange_id)) FROM u WHERE {JSON_SQL}
   UNION ALL SELECT exchange_id, ts, url, 'response-body', resp_body FROM u WHERE NOT coalesce(regexp_matches(kind, '{gates.BLOCKED_TYPE}'), false)),
 surf AS (SELECT * FROM s WHERE text <> '')"""
 )
@@ -681,7 +709,8 @@ hd AS (SELECT exchange_id, unnest(req_headers) AS h FROM ex),
 sf AS (SELECT DISTINCT exchange_id, concat('path-seg[', i, ']') AS origin, parts[i + 1] AS text FROM (SELECT *, unnest(range(len(parts))) AS i FROM sg)
   UNION ALL SELECT exchange_id, concat(pre, {DECODED.format('split_part(p, chr(61), 1)')}), {DECODED.format('substr(p, instr(p, chr(61)) + 1)')} FROM pr WHERE contains(p, '=')
   UNION ALL SELECT exchange_id, concat('raw-query:', left(p, 20)), substr(p, instr(p, '=') + 1) FROM pr WHERE pre = 'param-url:' AND contains(p, '=')
-  UNION ALL SELECT exchange_id, concat('param-cookie:', trim(split_part(c, '=', 1))), substr(c, instr(c, '=') + 1) FROM (SELECT exchange_id, unnest(string_split(substr(h, 9), ';')) AS c FROM hd WHERE starts_with(h, 'Cookie:'))
+  UNION ALL SELECT exchange_id, concat('param-2:', trim(split_part(c, '=', 1))), substr(c, instr(c, '=') + 1) FROM (SELECT exchange_id, unnest(string_split(substr(h, 9), ';')) AS c FROM hd WHERE starts_with(h, 'Cookie:'))
+  UNION ALL SELECT exchange_id, concat('param-6:', j.key), j.atom ->> '$' FROM ex, json_tree(CASE WHEN {JSON_SQL} THEN req_body END) AS j WHERE j.type = 'VARCHAR' AND NOT ends_with(j.fullkey, ']')
   UNION ALL SELECT exchange_id, 'query', {QUERY} FROM ex UNION ALL SELECT exchange_id, 'body', req_body FROM ex
   UNION ALL SELECT exchange_id, concat('header:', split_part(h, ':', 1)), trim(substr(h, instr(h, ':') + 1)) FROM hd WHERE lower(split_part(h, ':', 1)) NOT IN ('cookie', 'user-agent', 'accept-language')),
 ch AS (SELECT *, text AS y0, {DECODED.format('text')} AS y1 FROM sf WHERE text <> ''), ch2 AS (SELECT *, {DECODED.format('y1')} AS y2 FROM ch), ch3 AS (SELECT *, {DECODED.format('y2')} AS y3 FROM ch2),
