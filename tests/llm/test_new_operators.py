@@ -272,3 +272,48 @@ def test_warc_member_holds_no_other():
         assert warc.Member(warc.Bytes(outer), at).header() is None
         at = outer.find(warc.MAGIC, at + 1)
     assert [r[6] for r in warc.owned(warc.Bytes(outer), "x", 0, len(outer), False)] == [2]
+
+
+# --- tiling of repetitive texts --------------------------------------------
+
+
+def test_tiling_in_stretches_equals_tiling_at_once(monkeypatch):
+    import pyarrow as pa
+
+    from wiresift.llm import decontaminate
+    from wiresift.llm.kernel import WORDY, buffers, grams, words
+
+    def parts(text):
+        w = words(*buffers(pa.array([text])), WORDY)
+        h, ok = grams(w, 4)
+        return w, h[: int(ok.sum())]
+
+    rng = random.Random(9)
+    for trial in range(60):
+        letters = rng.choice(["a", "ab", "abc"])
+        doc = " ".join(rng.choice(letters) for _ in range(rng.randrange(4, 220)))
+        item = " ".join(rng.choice(letters) for _ in range(rng.randrange(4, 60)))
+        (d, seeds), (t, _) = parts(doc), parts(item)
+        monkeypatch.setattr(decontaminate, "PAIRS", 1 << 40)
+        want = decontaminate.tiles_of(d, seeds, t, 4)
+        for pairs in (0, 1, 7, 100):
+            monkeypatch.setattr(decontaminate, "PAIRS", pairs)
+            assert decontaminate.tiles_of(d, seeds, t, 4) == want, (doc, item, pairs)
+
+
+def test_tiling_of_one_word_repeated_is_bounded():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from wiresift.llm import decontaminate
+    from wiresift.llm.kernel import WORDY, buffers, grams, words
+
+    d, t = (words(*buffers(pa.array(["word " * n])), WORDY) for n in (200_000, 500))
+    seeds, ok = grams(d, 4)
+    tracemalloc.start()
+    tiles = decontaminate.tiles_of(d, seeds[: int(ok.sum())], t, 4)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert tiles == [(500, 0, 0)]
+    assert peak < 300e6

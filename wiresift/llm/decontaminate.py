@@ -36,6 +36,8 @@ from .kernel import WORDY, U64, Words, buffers, grams, runs, signed, words
 MIN_MATCH = 4
 #: bits of the table that tells which documents to look at (2 MB)
 FILTER_BITS = 24
+#: pairs of a document's and an item's seeds that are laid out at once
+PAIRS = 1 << 20
 #: items of one row that a document meets
 ITEMS_A_ROW = 1024
 FOUND = "doc_id long, mark long, size int, item_id long, item_words int, covered_words int, tiles int, longest_tile int"
@@ -52,9 +54,14 @@ def tiling(doc_at: np.ndarray, item_at: np.ndarray, k: int, size: int) -> list[t
     first = np.r_[True, (np.diff(d) != 1) | (np.diff(d - t) != 0)]
     start = np.flatnonzero(first)
     length = np.diff(np.r_[start, len(d)]) + k - 1
-    heap = [(-int(n), int(d[s]), int(t[s])) for s, n in zip(start, length)]
+    tiles: list[tuple[int, int, int]] = []
+    _mark([(-int(n), int(d[s]), int(t[s])) for s, n in zip(start, length)], k, np.zeros(size, bool), set(), tiles)
+    return tiles
+
+
+def _mark(heap: list[tuple[int, int, int]], least: int, done_item: np.ndarray, done_doc: set, tiles: list) -> None:
+    """Takes the longest free runs (-length, places) of `least` words or more, one after another."""
     heapq.heapify(heap)
-    done_item, done_doc, tiles = np.zeros(size, bool), set(), []
     while heap and not done_item.all():
         n, a, b = heapq.heappop(heap)
         free = [not done_item[b + i] and a + i not in done_doc for i in range(-n)]
@@ -68,10 +75,63 @@ def tiling(doc_at: np.ndarray, item_at: np.ndarray, k: int, size: int) -> list[t
             j = i
             while j < -n and free[j]:
                 j += 1
-            if j - i >= k:
+            if j - i >= least:
                 heapq.heappush(heap, (i - j, a + i, b + i))
             i = j + 1
-    return tiles
+
+
+def _free_runs(order, first, n, k: int, least: int, done_item: np.ndarray, done_doc: set) -> list[tuple[int, int, int]]:
+    """Maximal unmarked runs of `least` words or more, found in stretches of the document of PAIRS seed pairs.
+
+    Document place p meets the item places order[first[p] : first[p] + n[p]].
+    """
+    size, places = len(done_item), len(n)
+    marked = np.zeros(places + k, bool)
+    marked[[p for p in done_doc if p < len(marked)]] = True
+    item_free = _windows(done_item, k)
+    doc_free = _windows(marked, k)[:places]
+    n = np.where(doc_free, n, 0)
+    upto = np.concatenate([[0], np.cumsum(n)])
+    out, open_runs, lo = [], {}, 0
+    while lo < places:
+        hi = max(lo + 1, int(np.searchsorted(upto, upto[lo] + PAIRS, "right")) - 1)
+        m = n[lo:hi]
+        d = np.repeat(np.arange(lo, hi), m)
+        t = order[np.repeat(first[lo:hi] - np.cumsum(m) + m, m) + np.arange(m.sum())]
+        keep = item_free[t]
+        d, t = d[keep], t[keep]
+        by = np.lexsort((d, d - t))
+        d, t = d[by], t[by]
+        start = np.flatnonzero(np.r_[True, (np.diff(d) != 1) | (np.diff(d - t) != 0)]) if len(d) else np.zeros(0, np.int64)
+        stop = np.r_[start[1:], len(d)][: len(start)].astype(np.int64) - 1
+        still = {}
+        head = d[start] == lo
+        tail = d[stop] == hi - 1
+        length = stop - start + k
+        # Runs that lie inside the stretch are done; those at its ends may go on.
+        for i in np.flatnonzero(~head & ~tail & (length >= least)):
+            out.append((-int(length[i]), int(d[start[i]]), int(t[start[i]])))
+        for i in np.flatnonzero(head | tail):
+            a, b, z = int(d[start[i]]), int(t[start[i]]), int(d[stop[i]])
+            if head[i]:
+                a, b = open_runs.pop(a - b, (a, b))
+            if tail[i]:
+                still[a - b] = (a, b)
+            elif z - a + k >= least:
+                out.append((a - z - k, a, b))
+        out += [(a - lo - k + 1, a, b) for a, b in open_runs.values() if lo - 1 - a + k >= least]
+        open_runs, lo = still, hi
+    out += [(a - places - k + 1, a, b) for a, b in open_runs.values() if places - 1 - a + k >= least]
+    return out
+
+
+def _windows(marked: np.ndarray, k: int) -> np.ndarray:
+    """Is each place the start of k unmarked words?"""
+    sums = np.concatenate([[0], np.cumsum(marked)])
+    out = np.zeros(len(marked), bool)
+    if len(marked) >= k:
+        out[: len(marked) - k + 1] = sums[k:] == sums[:-k]
+    return out
 
 
 def _seeds(benchmark: DataFrame, k: int) -> DataFrame:
@@ -151,9 +211,18 @@ def tiles_of(d: Words, seeds: np.ndarray, t: Words, k: int) -> list[tuple[int, i
     order = np.argsort(own, kind="stable")
     first, last = np.searchsorted(own[order], seeds, "left"), np.searchsorted(own[order], seeds, "right")
     n = last - first
-    doc_at = np.repeat(np.arange(len(seeds)), n)
-    item_at = order[np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())]
-    found = tiling(doc_at, item_at, k, len(t.name)) if len(doc_at) else []
+    pairs, found, least = int(n.sum()), [], len(t.name)
+    if pairs > PAIRS:  # repetitive on both sides: longer matches first, so that the product of the two is never laid out
+        done_item, done_doc = np.zeros(len(t.name), bool), set()
+        while not done_item.all():
+            least = max(k, least // 2)
+            _mark(_free_runs(order, first, n, k, least, done_item, done_doc), least, done_item, done_doc, found)
+            if least == k:
+                break
+    elif pairs:
+        doc_at = np.repeat(np.arange(len(seeds)), n)
+        item_at = order[np.repeat(first - np.cumsum(n) + n, n) + np.arange(pairs)]
+        found = tiling(doc_at, item_at, k, len(t.name))
     return [x for x in found if _spelled(d, x[1], x[0]) == _spelled(t, x[2], x[0])]
 
 
