@@ -819,11 +819,18 @@ def t16_first_readings(spark, sf_dir):
     return decode.first_readings(rows.unionByName(dull))
 
 
-@query("""WITH p AS (SELECT page_id AS id, url AS text FROM pages) SELECT id, 'Base64' AS variant, to_base64(encode(text)) AS value FROM p UNION ALL
-SELECT id, 'Base64URL', translate(to_base64(encode(text)), '+/=', '-_') FROM p UNION ALL SELECT id, 'HEX', hex(encode(text)) FROM p""")
+# Base32 by the bits of hex digits, five at a time.
+@query("""WITH p AS (SELECT page_id AS id, url AS text FROM pages WHERE url IS NOT NULL),
+b AS (SELECT id, array_to_string(list_transform(string_split(hex(encode(text)), ''), lambda x: lpad(bin(CAST(instr('0123456789ABCDEF', x) - 1 AS INT)), 4, '0')), '') AS bits FROM p),
+g AS (SELECT id, list_transform(range(1, length(bits) + 1, 5), lambda i: rpad(substr(bits, i, 5), 5, '0')) AS fives FROM b)
+SELECT id, 'Base64' AS variant, to_base64(encode(text)) AS value FROM p UNION ALL SELECT id, 'Base64URL', translate(to_base64(encode(text)), '+/=', '-_') FROM p
+UNION ALL SELECT id, 'HEX', hex(encode(text)) FROM p UNION ALL SELECT id, 'Quoted-Printable', replace(text, '=', '=3D') FROM p
+UNION ALL SELECT id, 'Base32', array_to_string(list_transform(fives, lambda f: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+  1 + 16 * CAST(f[1] AS INT) + 8 * CAST(f[2] AS INT) + 4 * CAST(f[3] AS INT) + 2 * CAST(f[4] AS INT) + CAST(f[5] AS INT), 1)), '') FROM g""")
 def t17_encode(spark, sf_dir):
+    """The encodings without a codec."""
     plain = table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.col("url").alias("text"))
-    return decode.encoded(plain).where(F.col("variant").isin("Base64", "Base64URL", "HEX"))
+    return decode.encoded(plain).where(F.col("variant").isin("Base64", "Base64URL", "HEX", "Quoted-Printable", "Base32"))
 
 
 SHARES = r"""WITH s AS (SELECT doc_id, text, length(text) AS n, length(regexp_replace(text, '[^\x20-\x7E\t\n\r]', '', 'g')) / length(text) AS p,
