@@ -135,3 +135,14 @@ def test_one_scan_and_no_shuffle_for_first_hits(spark):
     hits = decode.first_hits(surfaces.decoding(queries.ex(spark, "/root/testdata/sf0.001")))
     plan = hits._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan") == 1 and "Exchange" not in plan and plan.count("MapInArrow") == 1
+
+
+def test_the_cap_counts_characters():
+    import base64
+
+    reader = routes.Reader(DecodeOptions())
+    words = ("words with an é now and then, " * 700)[:16_384]
+    assert len(words.encode()) > codecs.CAP == len(words)
+    for text, read in ((words, True), (words + "x", False)):
+        token = base64.b64encode(codecs.compress(text.encode(), "gzip")).decode()
+        assert (reader.read([(token, False)])[token, False] == ("gzip", text)) == read

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 CAP = 16_384
+#: Bytes beyond the cap that are still unpacked: a text may have more bytes than characters.
+BEYOND = 8_192
 BASE64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
 URI_SAFE = BASE64[:-1] + "-$"
 

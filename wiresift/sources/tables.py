@@ -8,10 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession, name: str = "table") -> str:
-    """A fresh folder below spark.checkpoint.dir."""
-    top = spark.conf.get("spark.checkpoint.dir", None)
-    if not top:
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    """A fresh folder below spark.checkpoint.dir, which a cluster sets; where it is unset, as in tests, below the warehouse."""
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    top = top or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
     return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
