@@ -232,3 +232,23 @@ def test_older_routes_by_class(spark):
 
     assert all(r == first(t) for t, (r, _) in got.items())
     assert {r for r, _ in got.values()} == {"lz-uri", "lz-base64"}
+
+
+def test_parameters_of_all_types_in_both_jobs(spark):
+    digest = hashlib.sha256(b"p").hexdigest()
+    token = "dXNlcj1hZG1pbiZyb2xlPW9w"
+    xml = ["Content-Type: application/xml"], f"<a k='{digest}'><t>{token}</t></a>".encode()
+    json = ["Content-Type: text/plain"], f'{{"t": "{token}", "d": {{"k": "{digest}"}}, "n": [1, "{digest}"]}}'.encode()
+    form = ['Content-Type: multipart/form-data; boundary="B"'], f'--B\r\nContent-Disposition: form-data; name="t"\r\n\r\n{token}\r\n--B--'.encode()
+    blocked = ["Content-Type: image/png"], f"<a>{digest}</a>".encode()
+    made = [dict(method=m, req_headers=h, req_body=b) for m, (h, b) in (("GET", xml), ("POST", json), ("POST", form), ("POST", blocked))]
+    rows = exchange(spark, *made)
+    found = detect.findings(surfaces.detection(rows))
+    assert {(r["exchange_id"], r["location"]) for r in found.collect()} == {
+        (0, "body-param:k"), (1, "body-param:k"), (1, "request-body"), (1, "request-body-json:key:d:key:k"),
+    }
+    hits = audit.decode_job(rows, DecodeOptions(min_decoded=10)).where(F.col("decoded") == "user=admin&role=op")
+    got = {(r["exchange_id"], r["origin"]) for r in hits.collect()}
+    assert got >= {(0, "param-3:t"), (1, "param-6:t"), (2, "param-5:t")}
+    params = {(r["exchange_id"], r["ptype"], r["name"]) for r in capture.inputs(rows).collect()}
+    assert params == {(0, "xml-attr", "k"), (0, "xml", "t"), (1, "json", "t"), (1, "json", "k"), (2, "multipart", "t")}

@@ -167,7 +167,7 @@ def detection_parts(exchanges: DataFrame, options: DetectOptions) -> tuple[DataF
         out.append(named("cookie:", cookies(F.col("req_headers")), decode=False))
     if o.scan_request_body:
         out.append(one("request-body", F.col("req_text")))
-    if o.scan_json:
+    if o.scan_request_body and o.scan_json:
         out.append(F.coalesce(F.when(sends, F.col("made.request")), F.array().cast(surfaces_type())))
     if o.scan_headers:
         out.append(one("response-headers", F.concat_ws("\n", "resp_headers"), typed))
