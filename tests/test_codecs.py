@@ -1,4 +1,7 @@
 import gzip
+import os
+import random
+from pathlib import Path
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -110,3 +113,23 @@ def test_text_codecs_of_the_standard_library():
         assert codecs.base32_bytes(base64.b32encode(data).decode().rstrip("=").lower()) == data
         line = bytes(b for b in data if b not in b"\r\n")
         assert codecs.quoted_printable_bytes(quopri.encodestring(line).decode("latin-1").replace("=\n", "")) == line
+
+
+def test_brotli_streams_leave_nothing_behind():
+    """Failed streams keep no memory; what follows a stream must be one too; the cap counts all of them."""
+    rng, one = random.Random(1), codecs.compress(b"hello " * 9, "brotli")
+    junk = [rng.randbytes(60) for _ in range(2_000)] + [one[:-2], one + b"junk"] * 500
+    for b in junk:
+        codecs.decompress(b, "brotli")
+    before = resident_mb()
+    for _ in range(5):
+        assert all(codecs.decompress(b, "brotli") is None for b in junk[-1_000:])
+        for b in junk:
+            codecs.decompress(b, "brotli")
+    assert resident_mb() - before < 50
+    assert codecs.decompress(one + one, "brotli") == b"hello " * 18
+    assert [codecs.decompress(codecs.compress(b"a" * n, "brotli") + one, "brotli", 100) is None for n in (46, 47)] == [False, True]
+
+
+def resident_mb():
+    return int(Path("/proc/self/statm").read_text().split()[1]) * os.sysconf("SC_PAGE_SIZE") >> 20
