@@ -2,6 +2,7 @@
 
 import random
 import string
+from dataclasses import replace
 
 import pytest
 from hypothesis import given, settings
@@ -146,3 +147,25 @@ def test_the_cap_counts_characters():
     for text, read in ((words, True), (words + "x", False)):
         token = base64.b64encode(codecs.compress(text.encode(), "gzip")).decode()
         assert (reader.read([(token, False)])[token, False] == ("gzip", text)) == read
+
+
+def test_streams_that_end_amid_a_run_are_not_read(spark):
+    """The bits behind an LZ-String's end are 0 in its run of the alphabet's characters, or it is none."""
+    note = codecs.lz_encode("user=1&note=hello world", "uri")
+    digests = ["pw=2a74d8cce1b8480f61d1c64287c824cac203529f", "pw=1abb4f0dc6af9cba11eced6cb63f1ada67dfefc8"]
+    tokens = [*digests, note, f"{note}.next", f"{note}/view", f"{note}A$$"]
+    options = DecodeOptions(min_decoded=4)
+    want = [None, None, *["user=1&note=hello world"] * 4]
+
+    def read(options):
+        found = routes.Reader(options).read([(t, False) for t in tokens])
+        return [found[t, False] and found[t, False][1] for t in tokens]
+
+    assert read(options) == want
+    assert read(replace(options, full_streams=False)) == ["99999", "9999999", *want[2:]]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(tokens)], "token_id int, token string")
+    found = [r["_uri"] for r in decode.with_routes(rows, options).orderBy("token_id").select("_uri").collect()]
+    assert found == want
+    ends = {}
+    assert lzbatch.decode(tokens * 9, "uri", ends=ends) == [codecs.lz_decode(t, "uri") for t in tokens] * 9
+    assert [ends[i] for i in range(9 * len(tokens))] == [codecs.lz_read(t, "uri")[1] for t in tokens] * 9
