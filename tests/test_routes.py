@@ -169,3 +169,18 @@ def test_streams_that_end_amid_a_run_are_not_read(spark):
     ends = {}
     assert lzbatch.decode(tokens * 9, "uri", ends=ends) == [codecs.lz_decode(t, "uri") for t in tokens] * 9
     assert [ends[i] for i in range(9 * len(tokens))] == [codecs.lz_read(t, "uri")[1] for t in tokens] * 9
+
+
+def test_padded_lz_string_is_read_by_the_base64_route(spark):
+    """LZ-String pads with up to three = and leaves bits set that strict Base64 forbids."""
+    notes = [f"user={i}&note=hello world" for i in range(1000, 1200)]
+    tokens = [codecs.lz_encode(n) for n in notes]
+    assert any(t.endswith("===") for t in tokens)
+    read = routes.Reader(DecodeOptions()).read([(t, False) for t in tokens])
+    assert [read[t, False] for t in tokens] == [("lz-base64", n) for n in notes]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(tokens)], "token_id int, token string")
+    found = decode.first_accepted(F.array("_found"), DecodeOptions())
+    rows = decode.with_routes(rows).orderBy("token_id").select(found.alias("f")).collect()
+    assert [tuple(r["f"]) for r in rows] == [("lz-base64", n) for n in notes]
+    words = ["password=", "password===="]
+    assert not any(routes.Reader(DecodeOptions()).read([(w, False) for w in words]).values())
