@@ -4,10 +4,12 @@ import gzip
 import hashlib
 import json
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from wiresift import queries, schema
 from wiresift.jobs import audit
+from wiresift.functions import codecs
 from wiresift.operators import capture
 from wiresift.sources import exchanges, sinks
 
@@ -89,3 +91,14 @@ def test_command_line(spark, tmp_path):
     decoded = spark.read.parquet(f"{top}/decode/decoded")
     want = audit.decode_job(rows)
     assert sorted(map(str, decoded.select(want.columns).collect())) == sorted(map(str, want.collect()))
+
+
+def test_large_batches_are_worked_on_in_slices(spark):
+    """A batch's bytes, not its number of rows, bound what stands in memory."""
+    rows = spark.range(0, 400, 1, 1).select("id", F.repeat(F.lit("x"), 20_000).alias("text"))
+
+    def run(b):
+        yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], names=["n", "size"])
+
+    got = codecs.in_slices(rows, run, "n long, size long").collect()
+    assert sum(r["n"] for r in got) == 400 and max(r["size"] for r in got) < 2 * codecs.SLICE
