@@ -252,3 +252,15 @@ def test_parameters_of_all_types_in_both_jobs(spark):
     assert got >= {(0, "param-3:t"), (1, "param-6:t"), (2, "param-5:t")}
     params = {(r["exchange_id"], r["ptype"], r["name"]) for r in capture.inputs(rows).collect()}
     assert params == {(0, "xml-attr", "k"), (0, "xml", "t"), (1, "json", "t"), (1, "json", "k"), (2, "multipart", "t")}
+
+
+def test_english_of_texts_and_of_their_bytes(spark):
+    """Counting characters gives what the list of bytes gives, vowels or not, at any length."""
+    made = ["plain english text of some words", "zzz bcd fgh klm " * 9, "aeiou aeiou aeiou", "ünïcödé words and some more of them", "x" * 50, " ", "\x01\x02 abc", "a b\n" * 50_000, "12 34 ab"]
+    rows = spark.createDataFrame([(t,) for t in [*made, "", None]], "text string")
+    pairs = F.regexp_extract_all(F.lower(F.hex(F.col("text").cast("binary"))), F.lit(".."), F.lit(0))
+    both = [c for v in (False, True) for c in (digests.text_looks_english(F.col("text"), v), digests.looks_like_english(pairs, v))]
+    got = [tuple(bool(x) for x in r) for r in rows.select(*both).collect()]
+    assert all(a == b and c == d for a, b, c, d in got) and len(set(got)) == 3
+    plan = queries.QUERIES["d7_vowel_check"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert "hex(" not in plan and "regexp_extract_all" not in plan
