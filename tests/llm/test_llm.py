@@ -264,6 +264,39 @@ def test_voronoi_cells_lose_no_link(spark, monkeypatch, few, pivots, block):
     assert got == brute_components(texts)
 
 
+@pytest.mark.parametrize("copies", [0, 1.5, 100])
+def test_cells_whether_regions_are_cut_or_whole(spark, monkeypatch, copies):
+    for name, value in (("FEW", 2), ("PIVOTS", 3), ("BLOCK", 16), ("COPIES", copies), ("LEVELS", (10_000, 20_000, 30_000))):
+        monkeypatch.setattr(jaccard_join, name, value)
+    texts = crowded(4, 150)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.groups(docs(spark, texts)).collect()}
+    assert got == brute_components(texts)
+
+
+def test_members_about_equally_far_from_all_pivots_are_not_copied(spark, monkeypatch):
+    """A region that pivots don't cut stays in one piece: before, each member went to the cell of every pivot."""
+    rng = random.Random(8)
+    base = [f"c{i}" for i in range(120)]
+    texts = []
+    for n in range(150):
+        words = list(base)
+        for at in rng.sample(range(20, 120), 4):
+            words[at] = f"u{n}_{at}"
+        texts.append(" ".join(words))
+    cut, seen = jaccard_join._cut, []
+
+    def watched(cells, *more):
+        found, inner = cut(cells, *more)
+        seen.append((cells.count(), inner.count()))
+        return found, inner
+
+    monkeypatch.setattr(jaccard_join, "_cut", watched)
+    monkeypatch.setattr(jaccard_join, "LEVELS", (10_000, 20_000, 30_000))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.groups(docs(spark, texts)).collect()}
+    assert got == brute_components(texts)
+    assert seen and all(after <= 1.5 * before for before, after in seen)
+
+
 def test_components(spark):
     rng = random.Random(5)
     edges = [(rng.randrange(80), rng.randrange(80)) for _ in range(60)] + [(200 + i, 201 + i) for i in range(25)]

@@ -21,10 +21,13 @@ are linked, and the rest of the region is cut into the pivots' Voronoi cells.
 A member x also goes to the cell of any pivot p that is no more than twice the
 radius further than its nearest one: of two documents within the radius of
 each other, by the triangle inequality, both stand in the cell of the one's
-nearest pivot.  Cells join recursively.  A cell with few members outside its
-main component, or one that pivots don't cut, is compared directly, in blocks
-of bounded size; there too the triangle inequality holds pairs back whose
-distances to the cell's pivot differ by more than the radius.
+nearest pivot.  Cells join recursively.  A region whose members would on the
+whole go to more than COPIES cells each stays in one piece, so copies don't
+pile up where all members are about equally far from all pivots.  A cell with
+few members outside its main component, or one that pivots don't cut, is
+compared directly, in blocks of bounded size; there too the triangle inequality
+holds pairs back whose distances to the cell's pivot differ by more than the
+radius.
 
 Sets that are equal are one class from the start.
 """
@@ -332,9 +335,11 @@ def linked_classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     docs, order = _counts(rows, bits)
     regions = _regions(rows, order, bits)
     # The pivot is the member that the region's shingle comes first in: it has the fewest shingles of its own.
-    pivots = regions.groupBy("region").agg(F.min(F.struct("place", "class", "n")).alias("p"))
-    pivots = pivots.select("region", F.col("p.class").alias("pivot"), F.col("p.n").alias("pivot_n"), F.col("p.place").alias("pivot_place"))
-    members = shared.written(regions.join(pivots, "region"))
+    pivots = regions.groupBy("region").agg(F.min(F.struct("place", "class", "n")).alias("p"), F.min("n").alias("least"))
+    pivots = pivots.select("region", "least", F.col("p.class").alias("pivot"), F.col("p.n").alias("pivot_n"), F.col("p.place").alias("pivot_place"))
+    # A member that doesn't fit the smallest set of its region fits none.
+    some = (F.col("n") - F.col("place")) * (NUM + DEN) >= (F.col("n") + F.col("least")) * NUM
+    members = shared.written(regions.join(pivots, "region").where(some | (F.col("class") == F.col("pivot"))).drop("least"))
     shared.discard(regions)
     star = members.where((F.col("class") != F.col("pivot")) & _fits("", "pivot_"))
     star = shared.written(star.select(F.col("pivot").alias("a"), F.col("class").alias("b")).distinct())
@@ -361,6 +366,8 @@ def linked_classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 #: members outside the main component up to which a cell is compared directly, a block of such a cell, pivots of others
 FEW, BLOCK, PIVOTS = 32, 256, 8
+#: cells that a member goes to, on the average of its region, up to which the region is cut
+COPIES = 1.5
 RADIUS = 1 - NUM / DEN + 1e-9
 #: columns of a member of a cell
 CELL = ("region", "class", "n", "place", "distance", "stuck")
@@ -399,12 +406,19 @@ def _cut(cells: DataFrame, rows: DataFrame, docs: DataFrame) -> tuple[DataFrame,
     others = dealt.select("region", "pivot", "class", "n", "place", "all", *ends)
     met = pivots.withColumnRenamed("pivot", "class")
     others = others.join(met, ["region", "class"], "left_anti").join(apart, ["a", "b"])
-    nearest = others.groupBy("region", "class").agg(F.min("d").alias("nearest"))
-    inner = others.join(nearest, ["region", "class"]).where(F.col("d") <= F.col("nearest") + 2 * RADIUS)
-    inner = inner.withColumns({"outer": F.col("all"), "region": F.xxhash64("region", "pivot"), "distance": F.col("d")})
-    size = inner.groupBy("region").agg(F.count("*").alias("left"))
-    inner = inner.join(size, "region").withColumn("stuck", F.col("left") > 0.5 * F.col("outer"))
-    return found, shared.written(inner.select(*CELL))
+    others = others.groupBy("region", "class", "n", "place", "all").agg(F.sort_array(F.collect_list(F.struct("d", "pivot"))).alias("to"))
+    others = shared.written(others.withColumn("near", F.filter("to", lambda t: t["d"] <= F.col("to")[0]["d"] + 2 * RADIUS)))
+    cut = others.groupBy("region").agg((F.sum(F.size("near")) <= COPIES * F.count("*")).alias("cut"))
+    others = others.join(cut, "region")
+    parts = others.where("cut").withColumn("c", F.explode("near")).select(F.xxhash64("region", "c.pivot").alias("region"), "class", "n", "place", F.col("c.d").alias("distance"), "all")
+    left = parts.groupBy("region").agg(F.count("*").alias("left"))
+    parts = parts.join(left, "region").withColumn("stuck", F.col("left") > 0.5 * F.col("all"))
+    # All members of a region that stays whole have met the same pivots: the first of those takes the place of its own.
+    one = F.array_min(F.transform("to", lambda t: F.struct(t["pivot"].alias("pivot"), t["d"].alias("d"))))["d"]
+    whole = others.where(~F.col("cut")).withColumns({"distance": one, "stuck": F.lit(True)})
+    inner = shared.written(parts.select(*CELL).unionByName(whole.select(*CELL)))
+    shared.discard(others)
+    return found, inner
 
 
 def _direct(cells: DataFrame) -> DataFrame:
