@@ -1,6 +1,7 @@
 """Live capture: repeats, expiry, clearing on demand, restart and replayed batches."""
 
 import hashlib
+import random
 from datetime import datetime, timedelta
 
 from wiresift import schema
@@ -125,3 +126,65 @@ def test_expired_keys_are_swept():
     assert fresh(("a", 0), ("b", 5), ("a", 9), ("c", None), ("c", None)) == [True, True, False, True, False]
     assert fresh(("d", 12)) == [True] and len(m.seen) == 4
     assert fresh(("e", 20)) == [True] and set(m.seen) == {("c",), ("d",), ("e",)}
+
+
+def test_packs_hold_what_a_plain_map_holds_with_few_visits():
+    """Of a micro-batch's keys each asked the state store two or three times before."""
+    visits = []
+
+    class Map(dict):
+        def containsKey(self, k):
+            visits.append(k)
+            return k in self
+
+        def getValue(self, k):
+            visits.append(k)
+            return self[k]
+
+        def updateValue(self, k, v):
+            visits.append(k)
+            self[k] = v
+
+        def removeKey(self, k):
+            visits.append(k)
+            del self[k]
+
+        def iterator(self):
+            return iter(self.items())
+
+    class Value:
+        v = None
+
+        def exists(self):
+            return self.v is not None
+
+        def get(self):
+            return self.v
+
+        def update(self, v):
+            self.v = v
+
+    class Handle:
+        def getMapState(self, *_):
+            return Map()
+
+        def getValueState(self, *_):
+            return Value()
+
+    def rows(n, clear=False):
+        made = [{"what": "hash", "_key": f"{rng.randrange(4000)} é", "_at": rng.choice([None, clock + rng.randrange(5)]), "_clear": False, "_lead": True} for _ in range(n)]
+        return made + [{"what": None, "_key": None, "_at": None, "_clear": True, "_lead": False}] * clear
+
+    rng, clock = random.Random(2), 0
+    packed, plain = (kind(timedelta(microseconds=40), ["what"]) for kind in (memory.PackedMemory, memory.Memory))
+    packed.init(Handle())
+    plain.seen, plain.swept = Map(), Value()
+    for n, clear in ((2000, False), (1, False), (900, False), (3, True), (500, False), (0, True), (3000, False), (50, False), (2, False)):
+        batch = rows(n, clear)
+        visits.clear()
+        got = [r["fresh"] for r in packed.handleInputRows((0,), iter(batch), None)]
+        assert len(visits) <= 3 * max(n, 1) and (n < 2000 or len(visits) <= n / 8)
+        assert got == [r["fresh"] for r in plain.handleInputRows((0,), iter(batch), None)]
+        packed.seen.open(0)
+        assert dict(packed.seen.iterator()) == dict(plain.seen) and packed.seen.many == len(plain.seen)
+        clock += 15
