@@ -184,3 +184,27 @@ def test_padded_lz_string_is_read_by_the_base64_route(spark):
     assert [tuple(r["f"]) for r in rows] == [("lz-base64", n) for n in notes]
     words = ["password=", "password===="]
     assert not any(routes.Reader(DecodeOptions()).read([(w, False) for w in words]).values())
+
+
+def test_raw_deflate_has_to_end_where_its_token_does(spark):
+    """Digests whose bytes begin a raw deflate stream that breaks off are no reading; nor is one that goes on."""
+    import base64
+
+    note = b"user=1&note=hello world, hello world"
+    packed = codecs.compress(note, "deflate")
+    tokens = ["c0305ba27a9813a96f0fdd4ac1264156", "0210f6890d5d22544312834fd645dc47"]
+    tokens += [base64.b64encode(b).decode() for b in (packed, packed[:-3], packed + b"more", codecs.compress(note, "zlib")[:-3])]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(tokens)], "token_id int, token string")
+
+    def read(options):
+        found = routes.Reader(options).read([(t, False) for t in tokens])
+        return [found[t, False] and found[t, False][0] for t in tokens]
+
+    def columns(options):
+        found = decode.first_accepted(F.array("_found"), options)["route"]
+        return [r["f"] for r in decode.with_routes(rows, options).orderBy("token_id").select(found.alias("f")).collect()]
+
+    for options, want in ((DecodeOptions(), [None, None, "deflate", None, None, "zlib"]), (DecodeOptions(full_streams=False), [*["deflate"] * 5, "zlib"])):
+        assert read(options) == want and columns(options) == want
+    every = decode.variants(rows).where("variant = 'Base64 deflate'").select("token_id").collect()
+    assert [r[0] for r in every] == [2]
