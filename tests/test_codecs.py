@@ -35,6 +35,12 @@ def test_known_stream():
     assert codecs.lz_encode("hello, i am a 猫") == "BYUwNmD2A0AECWsCGBbZtDUzkA=="
 
 
+def test_characters_beyond_16_bits():
+    for alphabet in ("base64", "uri", "utf16"):
+        for text in ("a\U0001f600b\U0001f600\U0001f600", "\U0001f600"):
+            assert codecs.lz_decode(codecs.lz_encode(text, alphabet), alphabet) == text
+
+
 def test_truncated_and_malformed_streams_give_nothing():
     assert codecs.lz_decode("BYUwNmD2", "base64") is None
     assert codecs.lz_decode(None, "uri") is None

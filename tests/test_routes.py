@@ -208,3 +208,42 @@ def test_raw_deflate_has_to_end_where_its_token_does(spark):
         assert read(options) == want and columns(options) == want
     every = decode.variants(rows).where("variant = 'Base64 deflate'").select("token_id").collect()
     assert [r[0] for r in every] == [2]
+
+
+def test_lz_strings_that_end_amid_a_run_keep_no_route_from_a_token(spark):
+    """Packed bytes whose first bits happen to be an LZ-String are unpacked all the same."""
+    import base64
+
+    texts = [f"page={i}&from=https://host{i % 7}.example.com/{i * i}&words=" + "some words, and more of them " * (i % 4) for i in range(300)]
+    for codec in codecs.CODECS:
+        tokens = [base64.b64encode(codecs.compress(t.encode(), codec)).decode() for t in texts]
+        found = routes.Reader(DecodeOptions()).base64_readings(tokens)
+        assert [found.get(t) for t in tokens] == [(codec, t) for t in texts]
+        rows = spark.createDataFrame(list(enumerate(tokens[:40])), "token_id int, token string")
+        columns = decode.with_routes(rows).orderBy("token_id").select("_found.*").collect()
+        assert [tuple(r) for r in columns] == [(codec, t) for t in texts[:40]]
+    token = base64.b64encode(codecs.compress(texts[1].encode(), "snappy")).decode()
+    assert not routes.Reader(DecodeOptions(full_streams=False)).base64_readings([token])
+
+
+def pages_at(spark, path, *rows):
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{path}/pages.parquet")
+    return str(path)
+
+
+def test_the_base64_route_of_whole_pages(spark, tmp_path):
+    """Every encoding of all of a page, url and html, whatever its length."""
+    import hashlib
+
+    from wiresift import queries
+
+    rows = [(7, "https://host.example.com/" + "x" * 80, "<p>Some words, \n and an é</p>" * 900), (8, None, None), (9, "http://a.example", "")]
+    got = {(r["token_id"], r["route"], r["decoded"]) for r in queries.QUERIES["t12_base64_route"](spark, pages_at(spark, tmp_path, *rows)).collect()}
+    want = set()
+    for page, url, html in rows:
+        whole = f"{url or ''}\n{html or ''}"
+        for i in range(0, len(whole), queries.PIECE):
+            text = f"page={page}&piece={i // queries.PIECE}&text={whole[i : i + queries.PIECE]}"
+            kinds = {"Base64": "base64", "Base64URL": "base64", "LZ-Base64": "lz-base64", "LZ-URI": "lz-uri"} | {f"{c}+Base64": c for c in codecs.CODECS}
+            want |= {(f"{page}/{i // queries.PIECE}/{k}", r, hashlib.md5(text.encode()).hexdigest()) for k, r in kinds.items()}
+    assert got == want and len(want) > 250
