@@ -247,3 +247,20 @@ def test_the_base64_route_of_whole_pages(spark, tmp_path):
             kinds = {"Base64": "base64", "Base64URL": "base64", "LZ-Base64": "lz-base64", "LZ-URI": "lz-uri"} | {f"{c}+Base64": c for c in codecs.CODECS}
             want |= {(f"{page}/{i // queries.PIECE}/{k}", r, hashlib.md5(text.encode()).hexdigest()) for k, r in kinds.items()}
     assert got == want and len(want) > 250
+
+
+def test_the_cascade_takes_all_tokens_of_the_pages(spark, tmp_path):
+    """Words of urls and html and the encodings of urls count, and the tokens that no route reads."""
+    from wiresift import queries
+
+    def counts(name, *rows):
+        return {r["route"]: r["n"] for r in queries.QUERIES["t13_token_cascade"](spark, pages_at(spark, tmp_path / name, *rows)).collect()}
+
+    url, token = "https://host.example.com/some/page", "dXNlcj1hZG1pbiZyb2xlPW9w"
+    bare = counts("bare", (12, None, None))
+    with_url = counts("url", (12, url, None))
+    full = counts("html", (12, url, f"<p>{token}</p> <p>((unreadable.words.here))</p>"))
+    # the planted text and the url in as many encodings; Base64 with and without padding
+    assert {c: bare[c] for c in codecs.CODECS} == dict.fromkeys(codecs.CODECS, 1)
+    assert {c: with_url[c] for c in codecs.CODECS} == dict.fromkeys(codecs.CODECS, 2) and with_url["base64"] > bare["base64"]
+    assert full["base64"] == with_url["base64"] + 1 and full[None] > with_url[None]
