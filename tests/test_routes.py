@@ -226,6 +226,22 @@ def test_lz_strings_that_end_amid_a_run_keep_no_route_from_a_token(spark):
     assert not routes.Reader(DecodeOptions(full_streams=False)).base64_readings([token])
 
 
+def test_packed_bytes_that_look_like_text_are_unpacked(spark):
+    """lz4 and brotli store what they can't pack, so their bytes pass the gate of text."""
+    import base64
+
+    rng = random.Random(5)
+    text = "a:b, " + "".join(rng.choice(string.ascii_letters + string.digits + " .,;-+*") for _ in range(990))
+    data = codecs.compress(text.encode(), "lz4")
+    token, plain = (base64.b64encode(b).decode() for b in (data, text.encode() + b"\xff"))
+    reader = routes.Reader(DecodeOptions())
+    assert reader.passes(data.decode("utf-8", "replace"))
+    want = {token: ("lz4", text), plain: ("base64", text + "\ufffd")}
+    assert reader.base64_readings(want) == want
+    rows = spark.createDataFrame([(t,) for t in want], "token string")
+    assert {r["token"]: tuple(r["_found"]) for r in decode.with_routes(rows).collect()} == want
+
+
 def pages_at(spark, path, *rows):
     spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{path}/pages.parquet")
     return str(path)
